@@ -1,0 +1,55 @@
+"""Tables that later steps read more than once, and joins that a hot key does not slow."""
+
+import tempfile
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+CHECKPOINT_DIR = "spark.checkpoint.dir"
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share; one of our own only where the session names none."""
+    if not spark.conf.get(CHECKPOINT_DIR, None):
+        spark.conf.set(CHECKPOINT_DIR, "file://" + tempfile.mkdtemp(prefix="spark-"))
+    return spark.conf.get(CHECKPOINT_DIR).rstrip("/")
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder, removed when the application ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    return path
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """Write df to the shared folder and read it back: its lineage ends there, and a lost executor loses nothing."""
+    spark = df.sparkSession
+    path = new_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def broadcast_if_small(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """Hint a broadcast of a table of narrow rows only when it has at most that many; else Spark shuffles."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int, hot: int = 1000) -> DataFrame:
+    """Inner join of rows with one row per group on key, where a group may hold a third of all rows.
+
+    Groups of more than total/hot rows, of which there are fewer than hot, are broadcast; their rows never
+    shuffle. The others shuffle, and no key has more than total/hot rows there.
+    """
+    limit = max(1, total // hot)
+    tagged = rows.join(F.broadcast(groups.filter(F.col(size) > limit)), key, "left")
+    extra = [c for c in groups.columns if c != key]
+    rest = tagged.filter(F.col(size).isNull()).drop(*extra)
+    return tagged.filter(F.col(size).isNotNull()).unionByName(rest.join(groups.filter(F.col(size) <= limit), key))
+
+
+def quoted(name: str) -> Column:
+    """The column of that very name, dots included."""
+    return F.col("`" + name.replace("`", "``") + "`")
