@@ -26,9 +26,9 @@ WITH sized AS (
              - coalesce(sum(cap) OVER (ORDER BY fill, r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0::DOUBLE))
             / sum(weight) OVER (ORDER BY fill, r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
   FROM filling
-), lambda AS (SELECT level FROM levels WHERE level <= fill ORDER BY fill, r LIMIT 1),
+), waterline AS (SELECT level FROM levels WHERE level <= fill ORDER BY fill, r LIMIT 1),
 targets AS (
-  SELECT source, source_size, least(cap, coalesce((SELECT level FROM lambda) * weight, cap)) AS target FROM levels
+  SELECT source, source_size, least(cap, coalesce((SELECT level FROM waterline) * weight, cap)) AS target FROM levels
 ), passes AS (
   SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS full_passes FROM targets
 ), hashes AS (
