@@ -1,16 +1,42 @@
 """The queries of this subpackage, each over its whole table, and their SQL."""
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from millrace.llm import sql
+from millrace.llm import bpe, language_id, sql
 from millrace.llm.exact_dedup import exact_dedup
 from millrace.llm.mixing import mix
+from millrace.llm.token_counts import count_tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    docs = docs.withColumn("held_out", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False)))
+    filters = language_id.learn(docs.filter("not held_out"))
+    return language_id.identify(docs.select("doc_id", "held_out", "text"), filters).drop("text")
+
+
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    ids = bpe.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), path).drop("text")
+    texts = bpe.decode(ids, path)
+    return texts.select(
+        "doc_id",
+        F.size("token_ids").cast("bigint").alias("n_tokens"),
+        bpe.ids_sha256(F.col("token_ids")).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), carry=["doc_id"])
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"), carry=["doc_id"])
 
@@ -21,7 +47,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op5_exact_dedup, op9_mixing)}
+    return {f.__name__: f for f in (op1_language_id, op2_bpe, op3_token_counts, op5_exact_dedup, op9_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
