@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from millrace.llm.spans import code_points, gathered, ranges, span_hashes
 
 SPACE, LETTER, NUMBER, OTHER = range(4)
+#: Code points whose pre-tokens share one index; bounds the memory of a Python worker.
+CHUNK = 1 << 22
 #: What an apostrophe splits off, as of the pre-tokeniser's pattern. Fixed values.
 CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
 
@@ -240,7 +242,7 @@ def encode(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
         vocab = vocabulary(path)
         for batch in batches:
             texts = [t or "" for t in batch.to_pylist()]
-            parts = [encode_texts(texts[lo:hi], vocab) for lo, hi in ranges(texts, 1 << 24)]
+            parts = [encode_texts(texts[lo:hi], vocab) for lo, hi in ranges(texts, CHUNK)]
             yield pa.concat_arrays([pa.ListArray.from_arrays(pa.array(b, pa.int32()), pa.array(i, pa.int32())) for i, b in parts] or [pa.array([], pa.list_(pa.int32()))])
 
     keep = [c for c in docs.columns if c != "token_ids"]
@@ -254,16 +256,15 @@ def decode(docs: DataFrame, path: str, ids_col: str = "token_ids") -> DataFrame:
     """
 
     @F.arrow_udf("string")
-    def decoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def decoded(batch: pa.Array) -> pa.Array:
         word = vocabulary(path).bytes.__getitem__
-        for batch in batches:
-            bounds = batch.offsets.to_numpy()
-            flat = batch.values.to_numpy(zero_copy_only=False)
-            missing = batch.is_null().to_numpy(zero_copy_only=False)
-            yield pa.array(
-                ["" if gone else b"".join(map(word, flat[a:b].tolist())).decode("utf-8", "replace") for a, b, gone in zip(bounds[:-1], bounds[1:], missing, strict=True)],
-                pa.string(),
-            )
+        bounds = batch.offsets.to_numpy()
+        flat = batch.values.to_numpy(zero_copy_only=False)
+        missing = batch.is_null().to_numpy(zero_copy_only=False)
+        return pa.array(
+            ["" if gone else b"".join(map(word, flat[a:b].tolist())).decode("utf-8", "replace") for a, b, gone in zip(bounds[:-1], bounds[1:], missing, strict=True)],
+            pa.string(),
+        )
 
     keep = [c for c in docs.columns if c != "decoded"]
     return docs.select(*[F.col(f"`{c}`") for c in keep], decoded(F.col(ids_col)).alias("decoded"))
