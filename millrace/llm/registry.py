@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm import bpe, language_id, sql
 from millrace.llm.exact_dedup import exact_dedup
+from millrace.llm.minhash_dedup import near_dedup
 from millrace.llm.mixing import mix
 from millrace.llm.token_counts import count_tokens
 
@@ -41,13 +42,17 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"), carry=["doc_id"])
 
 
+def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(_table(spark, sf_dir, "documents"), carry=["doc_id"], width=2)
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix(_table(spark, sf_dir, "documents"), carry=["doc_id"])
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_language_id, op2_bpe, op3_token_counts, op5_exact_dedup, op9_mixing)}
+    return {f.__name__: f for f in (op1_language_id, op2_bpe, op3_token_counts, op5_exact_dedup, op8_minhash_near_dedup, op9_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:

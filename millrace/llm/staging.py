@@ -37,8 +37,8 @@ def broadcast_if_small(df: DataFrame, rows: int = 100_000) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int, hot: int = 1000) -> DataFrame:
-    """Inner join of rows with one row per group on key, where a group may hold a third of all rows.
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int, how: str = "inner", hot: int = 1000) -> DataFrame:
+    """Join (inner or left) of rows with one row per group on key, where a group may hold a third of all rows.
 
     Groups of more than total/hot rows, of which there are fewer than hot, are broadcast; their rows never
     shuffle. The others shuffle, and no key has more than total/hot rows there.
@@ -47,7 +47,7 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total:
     tagged = rows.join(F.broadcast(groups.filter(F.col(size) > limit)), key, "left")
     extra = [c for c in groups.columns if c != key]
     rest = tagged.filter(F.col(size).isNull()).drop(*extra)
-    return tagged.filter(F.col(size).isNotNull()).unionByName(rest.join(groups.filter(F.col(size) <= limit), key))
+    return tagged.filter(F.col(size).isNotNull()).unionByName(rest.join(groups.filter(F.col(size) <= limit), key, how))
 
 
 def quoted(name: str) -> Column:
