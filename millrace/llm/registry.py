@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, language_id, sql
+from millrace.llm import bpe, language_id, sql, warc
 from millrace.llm.exact_dedup import exact_dedup
 from millrace.llm.minhash_dedup import near_dedup
 from millrace.llm.mixing import mix
@@ -38,6 +38,11 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), carry=["doc_id"])
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = warc.archive(_table(spark, sf_dir, "pages"))
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"), carry=["doc_id"])
 
@@ -52,8 +57,8 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_language_id, op2_bpe, op3_token_counts, op5_exact_dedup, op8_minhash_near_dedup, op9_mixing)}
+    return {f.__name__: f for f in (op1_language_id, op2_bpe, op3_token_counts, op4_warc, op5_exact_dedup, op8_minhash_near_dedup, op9_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_dedup": sql.EXACT_DEDUP, "op9_mixing": sql.MIXING}
+    return {"op4_warc": sql.WARC, "op5_exact_dedup": sql.EXACT_DEDUP, "op9_mixing": sql.MIXING}
