@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm import bpe, language_id, sql, warc
 from millrace.llm.exact_dedup import exact_dedup
+from millrace.llm.line_dedup import drop_repeated_lines
 from millrace.llm.minhash_dedup import near_dedup
 from millrace.llm.mixing import mix
 from millrace.llm.token_counts import count_tokens
@@ -56,9 +57,14 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = drop_repeated_lines(_table(spark, sf_dir, "documents"), carry=["doc_id"])
+    return lines.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_language_id, op2_bpe, op3_token_counts, op4_warc, op5_exact_dedup, op8_minhash_near_dedup, op9_mixing)}
+    return {f.__name__: f for f in (op1_language_id, op2_bpe, op3_token_counts, op4_warc, op5_exact_dedup, op8_minhash_near_dedup, op9_mixing, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_warc": sql.WARC, "op5_exact_dedup": sql.EXACT_DEDUP, "op9_mixing": sql.MIXING}
+    return {"op4_warc": sql.WARC, "op5_exact_dedup": sql.EXACT_DEDUP, "op9_mixing": sql.MIXING, "op10_line_dedup": sql.LINE_DEDUP}
