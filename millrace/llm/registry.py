@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import bpe, language_id, sql, warc
+from millrace.llm.embedding_dedup import near_vectors
 from millrace.llm.exact_dedup import exact_dedup
 from millrace.llm.line_dedup import drop_repeated_lines
 from millrace.llm.minhash_dedup import near_dedup
@@ -48,6 +49,10 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"), carry=["doc_id"])
 
 
+def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(_table(spark, sf_dir, "embeddings"), carry=["vec_id"])
+
+
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(_table(spark, sf_dir, "documents"), carry=["doc_id"], width=2)
 
@@ -63,8 +68,8 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_language_id, op2_bpe, op3_token_counts, op4_warc, op5_exact_dedup, op8_minhash_near_dedup, op9_mixing, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_language_id, op2_bpe, op3_token_counts, op4_warc, op5_exact_dedup, op7_embedding_near_dedup, op8_minhash_near_dedup, op9_mixing, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_warc": sql.WARC, "op5_exact_dedup": sql.EXACT_DEDUP, "op9_mixing": sql.MIXING, "op10_line_dedup": sql.LINE_DEDUP}
+    return {"op4_warc": sql.WARC, "op5_exact_dedup": sql.EXACT_DEDUP, "op7_embedding_near_dedup": sql.EMBEDDING, "op9_mixing": sql.MIXING, "op10_line_dedup": sql.LINE_DEDUP}
