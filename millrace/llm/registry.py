@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, language_id, sql, warc
+from millrace.llm import bpe, language_id, pii, sql, warc
 from millrace.llm.embedding_dedup import near_vectors
 from millrace.llm.exact_dedup import exact_dedup
 from millrace.llm.line_dedup import drop_repeated_lines
@@ -49,6 +49,15 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"), carry=["doc_id"])
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = ("email", "ip", "card", "phone")
+    docs = pii.find_spans(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    kinds = F.col("pii.kind")
+    counts = {f"n_{k}": (F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("bigint") for k in base}
+    digest = F.sha2(pii.written(F.filter("pii", lambda s: s["kind"].isin(*base))), 256)
+    return docs.select("doc_id", *[c.alias(n) for n, c in counts.items()], digest.alias("base_sha256"), pii.written(F.col("pii")).alias("spans"))
+
+
 def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(_table(spark, sf_dir, "embeddings"), carry=["vec_id"])
 
@@ -68,8 +77,8 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_language_id, op2_bpe, op3_token_counts, op4_warc, op5_exact_dedup, op7_embedding_near_dedup, op8_minhash_near_dedup, op9_mixing, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_language_id, op2_bpe, op3_token_counts, op4_warc, op5_exact_dedup, op6_pii, op7_embedding_near_dedup, op8_minhash_near_dedup, op9_mixing, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_warc": sql.WARC, "op5_exact_dedup": sql.EXACT_DEDUP, "op7_embedding_near_dedup": sql.EMBEDDING, "op9_mixing": sql.MIXING, "op10_line_dedup": sql.LINE_DEDUP}
+    return {"op4_warc": sql.WARC, "op5_exact_dedup": sql.EXACT_DEDUP, "op6_pii": sql.PII, "op7_embedding_near_dedup": sql.EMBEDDING, "op9_mixing": sql.MIXING, "op10_line_dedup": sql.LINE_DEDUP}

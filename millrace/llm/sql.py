@@ -98,3 +98,47 @@ SELECT r.vec_id, (SELECT count(*) FROM links l WHERE l.a = r.vec_id) AS n_links,
        r.vec_id = min(r.other) AS kept
 FROM reach r GROUP BY r.vec_id
 """
+
+
+def _kind(name: str, pattern: str, good: str) -> str:
+    """CTEs m_, p_ and s_ of a kind: its matches, their places, and the spans whose value passes the check."""
+    return f"""
+m_{name} AS (
+  SELECT doc_id, regexp_extract_all(text, '{pattern}') AS m, regexp_split_to_array(text, '{pattern}') AS g FROM d
+), p_{name} AS (
+  SELECT doc_id, unnest(m) AS v, unnest(list_transform(range(1, len(m) + 1), lambda i:
+    list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0)))::INT AS s
+  FROM m_{name} WHERE len(m) > 0
+), s_{name} AS (SELECT doc_id, s, s + length(v) AS e, '{name}' AS kind FROM p_{name} WHERE {good})"""
+
+
+_LUHN = """list_reduce(list_transform(range(length(n)), lambda i: CASE WHEN i % 2 = 0 THEN reverse(n)[i + 1]::INT
+  ELSE (CASE WHEN 2 * reverse(n)[i + 1]::INT > 9 THEN 2 * reverse(n)[i + 1]::INT - 9 ELSE 2 * reverse(n)[i + 1]::INT END) END),
+  lambda a, b: a + b) % 10 = 0""".replace("n)", "regexp_replace(v, '[ -]', '', 'g'))")
+_MOD97 = """list_reduce(list_concat([0], list_transform(string_split(v[5:] || v[1:4], ''), lambda c: CASE WHEN c BETWEEN '0' AND '9' THEN c::INT ELSE ascii(c) - 55 END)),
+  lambda a, b: (CASE WHEN b > 9 THEN a * 100 + b ELSE a * 10 + b END) % 97) = 1"""
+_DIGITS = "length(regexp_replace(v, '[^0-9]', '', 'g'))"
+
+PII = (
+    "WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),"
+    + ",".join(
+        [
+            _kind("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "true"),
+            _kind("ip", r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)", "list_max(list_transform(string_split(v, '.'), lambda x: x::HUGEINT)) <= 255"),
+            _kind("card", r"[0-9](?:[\x20-]?[0-9])+", f"length(regexp_replace(v, '[ -]', '', 'g')) BETWEEN 14 AND 19 AND {_LUHN}"),
+            _kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", f"{_DIGITS} BETWEEN 10 AND 15"),
+            _kind("iban", r"\b[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}\b", _MOD97),
+        ]
+    )
+    + """, spans AS (
+  SELECT doc_id, s, kind, kind || ':' || s || ':' || e AS w,
+         CASE kind WHEN 'email' THEN 0 WHEN 'ip' THEN 1 WHEN 'card' THEN 2 WHEN 'phone' THEN 3 ELSE 4 END AS r
+  FROM (SELECT * FROM s_email UNION ALL SELECT * FROM s_ip UNION ALL SELECT * FROM s_card UNION ALL SELECT * FROM s_phone UNION ALL SELECT * FROM s_iban)
+)
+SELECT d.doc_id, count(*) FILTER (WHERE kind = 'email') AS n_email, count(*) FILTER (WHERE kind = 'ip') AS n_ip,
+       count(*) FILTER (WHERE kind = 'card') AS n_card, count(*) FILTER (WHERE kind = 'phone') AS n_phone,
+       sha256(coalesce(string_agg(w, ',' ORDER BY s, r) FILTER (WHERE kind <> 'iban'), '')) AS base_sha256,
+       coalesce(string_agg(w, ',' ORDER BY s, r), '') AS spans
+FROM d LEFT JOIN spans x ON d.doc_id = x.doc_id GROUP BY d.doc_id
+"""
+)
