@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 
 from millrace.llm.components import components
 from millrace.llm.spans import U, code_points, mixed, ranges, span_hashes
-from millrace.llm.staging import join_groups, quoted, staged
+from millrace.llm.staging import broadcast_if_small, join_groups, quoted, staged
 
 COORDINATES = 64
 
@@ -194,26 +194,31 @@ def near_dedup(
     share = percent / 100
     matches = max(1, math.floor(coordinates * share - 5 * math.sqrt(coordinates * share * (1 - share))))
     columns = [c for c in (docs.columns if carry is None else carry) if c not in ("n_shingles", "component_id", "kept")]
+    held = text_col in columns
     rows = docs.select(
         F.struct(*map(quoted, columns)).alias("_in"),
         F.col(id_col).alias("id"),
-        F.col(text_col).alias("text"),
+        *([] if held else [F.col(text_col).alias("text")]),
         signed(F.col(text_col), width, coordinates).alias("s"),
     )
-    rows = staged(rows.select(F.monotonically_increasing_id().alias("row"), "_in", "id", "text", "s.*"), "signatures")
+    rows = staged(rows.select("*", F.monotonically_increasing_id().alias("row")).select("row", "_in", "id", *([] if held else ["text"]), "s.*"), "signatures")
+    text = F.col("_in").getField(text_col) if held else F.col("text")
     n = rows.count()
     sets = staged(rows.filter("digest is not null").groupBy("digest").agg(F.min("row").alias("first"), F.count("*").alias("size")), "sets")
     single = sets.select(F.col("first").alias("row"))
-    nodes = rows.select("row", "sig", "text").join(single, "row", "left_semi")
+    nodes = rows.select("row", "sig", text.alias("text")).join(single, "row", "left_semi")
     named = links(nodes, matches, width, percent)
     label = named.select(F.col("node").alias("first"), "component")
     sets = sets.join(label, "first", "left").filter("size > 1 or component is not null")
-    sets = sets.select("digest", "size", F.coalesce("component", "first").alias("label"))
-    thin = rows.select("row", "_in", "id", "n_shingles", "digest")
-    labelled = join_groups(thin, sets, "digest", "size", n, how="left").drop("size").withColumn("label", F.coalesce("label", "row"))
-    labelled = staged(labelled, "labelled")
+    sets = staged(sets.select("digest", "size", F.coalesce("component", "first").alias("label")), "labelled-sets")
+    labelled = staged(join_groups(rows.select("row", "id", "digest"), sets, "digest", "size", n).drop("size"), "labelled")
     least = F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("row").alias("first")))
-    groups = staged(labelled.groupBy("label").agg(least.alias("least"), F.count("*").alias("size")).filter("size > 1"), "groups")
-    final = join_groups(labelled, groups, "label", "size", n, how="left")
-    kept = F.coalesce(F.col("row") == F.col("least.first"), F.lit(True))
-    return final.select("_in.*", "n_shingles", F.when(F.col("least").isNull(), F.col("id")).otherwise(F.col("least.id")).alias("component_id"), kept.alias("kept"))
+    groups = staged(labelled.groupBy("label").agg(least.alias("least"), F.count("*").alias("size")), "groups")
+    grouped = join_groups(labelled, groups, "label", "size", n).select("row", "least.id", F.col("least.first").alias("first"))
+    grouped = broadcast_if_small(staged(grouped.withColumnRenamed("id", "least"), "grouped"))
+    return rows.select("row", "_in", "id", "n_shingles").join(grouped, "row", "left").select(
+        "_in.*",
+        "n_shingles",
+        F.when(F.col("first").isNull(), F.col("id")).otherwise(F.col("least")).alias("component_id"),
+        F.coalesce(F.col("row") == F.col("first"), F.lit(True)).alias("kept"),
+    )
