@@ -1,9 +1,13 @@
 """Every query outside the llm subpackage, with its SQL where DuckDB can express it."""
 
+from millrace.plans import tables
+
+PLANS = (tables,)
+
 
 def queries() -> dict:
-    return {}
+    return {name: query for plan in PLANS for name, query in plan.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: text for plan in PLANS for name, text in plan.SQL.items()}
