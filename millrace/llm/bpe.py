@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from millrace.llm.spans import code_points, gathered, ranges, span_hashes
 
 SPACE, LETTER, NUMBER, OTHER = range(4)
-#: Code points whose pre-tokens share one index; bounds the memory of a Python worker.
-CHUNK = 1 << 22
+#: Texts whose pre-tokens share one index; bounds the memory of a Python worker.
+SLICE = 512
 #: What an apostrophe splits off, as of the pre-tokeniser's pattern. Fixed values.
 CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
 
@@ -241,9 +241,9 @@ def encode(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
     def encoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         vocab = vocabulary(path)
         for batch in batches:
-            texts = [t or "" for t in batch.to_pylist()]
-            parts = [encode_texts(texts[lo:hi], vocab) for lo, hi in ranges(texts, CHUNK)]
-            yield pa.concat_arrays([pa.ListArray.from_arrays(pa.array(b, pa.int32()), pa.array(i, pa.int32())) for i, b in parts] or [pa.array([], pa.list_(pa.int32()))])
+            for at in range(0, len(batch), SLICE):
+                ids, bounds = encode_texts([t or "" for t in batch.slice(at, SLICE).to_pylist()], vocab)
+                yield pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32()))
 
     keep = [c for c in docs.columns if c != "token_ids"]
     return docs.select(*[F.col(f"`{c}`") for c in keep], encoded(F.col(text_col)).alias("token_ids"))
@@ -261,10 +261,10 @@ def decode(docs: DataFrame, path: str, ids_col: str = "token_ids") -> DataFrame:
         bounds = batch.offsets.to_numpy()
         flat = batch.values.to_numpy(zero_copy_only=False)
         missing = batch.is_null().to_numpy(zero_copy_only=False)
-        return pa.array(
-            ["" if gone else b"".join(map(word, flat[a:b].tolist())).decode("utf-8", "replace") for a, b, gone in zip(bounds[:-1], bounds[1:], missing, strict=True)],
-            pa.string(),
-        )
+        spans = list(zip(bounds[:-1].tolist(), bounds[1:].tolist(), missing.tolist(), strict=True))
+        text = lambda a, b, gone: "" if gone else b"".join(map(word, flat[a:b].tolist())).decode("utf-8", "replace")
+        parts = [pa.array([text(*x) for x in spans[at : at + SLICE]], pa.string()) for at in range(0, len(spans), SLICE)]
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.string())
 
     keep = [c for c in docs.columns if c != "decoded"]
     return docs.select(*[F.col(f"`{c}`") for c in keep], decoded(F.col(ids_col)).alias("decoded"))
