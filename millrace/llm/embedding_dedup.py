@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from millrace.llm.components import components
+from millrace.llm.components import components, forest
 from millrace.llm.staging import broadcast_if_small, join_groups, quoted, staged
 
 #: Vectors of a block, children of an interval, leading dimensions, vectors that the directions are fitted on.
@@ -163,18 +163,6 @@ def near_blocks(cut: DataFrame, total: int, epsilon: float) -> DataFrame:
     return pairs
 
 
-def _forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Smallest member of each node's component, of n nodes with links a-b."""
-    label = np.arange(n)
-    while True:
-        before = label.copy()
-        np.minimum.at(label, a, label[b])
-        np.minimum.at(label, b, label[a])
-        label = label[label]
-        if (label == before).all():
-            return label
-
-
 def join_blocks(pairs: DataFrame, least: float) -> DataFrame:
     """(row, n, root): per pair of blocks, the weight that a vector links with and a row that it is connected to."""
 
@@ -197,13 +185,13 @@ def join_blocks(pairs: DataFrame, least: float) -> DataFrame:
                     u, v = np.nonzero(hit)
                     keep = u + at < v if same else slice(None)
                     u, v = u[keep] + at, v[keep] + (0 if same else len(one))
-                    label = _forest(len(one) + (0 if same else len(other)), u, v)  # a tile needs no more links than nodes
+                    label = forest(len(one) + (0 if same else len(other)), u, v)  # a tile needs no more links than nodes
                     linked = np.unique(np.concatenate([u, v]))
                     a.append(linked)
                     b.append(label[linked])
                 node = rows[0] if same else np.concatenate(rows)
                 count = n if same else np.concatenate([n, m])
-                label = _forest(len(node), np.concatenate(a), np.concatenate(b))
+                label = forest(len(node), np.concatenate(a), np.concatenate(b))
                 some = count > 0
                 yield pa.RecordBatch.from_arrays([pa.array(node[some]), pa.array(count[some].astype(np.int64)), pa.array(node[label[some]])], ["row", "n", "root"])
 

@@ -8,13 +8,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from millrace.llm.components import components
-from millrace.llm.spans import U, code_points, mixed, ranges, span_hashes
+from millrace.llm.components import components, forest
+from millrace.llm.spans import U, code_points, gathered, mixed, ranges, span_hashes
 from millrace.llm.staging import broadcast_if_small, join_groups, quoted, staged
 
 COORDINATES = 64
+#: Rows of a block, about, in comparisons of many rows with many.
+BLOCK = 1024
 
 
 def shingle_sets(texts: list[str], width: int) -> list[np.ndarray]:
@@ -123,53 +124,95 @@ def postings(signatures: DataFrame, matches: int) -> DataFrame:
     return prefix.join(sizes, "token").select("row", "token", "size")
 
 
-def _order(row: Column) -> Column:
-    """The order in which the rows of a posting list become hubs: by a hash, the same in every list."""
-    return F.struct(F.xxhash64(row).alias("order"), row.alias("row"))
+def shared_counts(one: list[np.ndarray], other: list[np.ndarray]) -> np.ndarray:
+    """How many hashes each set of one list has in common with each set of the other.
+
+    Hashes that few sets hold are counted pair by pair, the others by products of 0/1 matrices.
+    """
+    n, m = len(one), len(other)
+    flat = np.concatenate([*one, *other, np.zeros(0, U)])
+    row = np.repeat(np.arange(n + m), [len(s) for s in (*one, *other)])
+    column = np.unique(flat, return_inverse=True)[1]
+    left = row < n
+    width = int(column.max()) + 1 if len(column) else 0
+    a, b = np.bincount(column[left], minlength=width), np.bincount(column[~left], minlength=width)
+    rare = (a * b > 0) & (a * b <= 256)
+    often = np.flatnonzero(a * b > 256)
+    at = np.flatnonzero(~left & rare[column])
+    at = at[np.argsort(column[at], kind="stable")]
+    offsets = np.concatenate([[0], np.cumsum(np.where(rare, b, 0))])
+    mine = np.flatnonzero(left & rare[column])
+    place, lengths = gathered(offsets, column[mine])
+    pairs = np.repeat(row[mine], lengths) * m + row[at][place] - n
+    counts = np.bincount(pairs, minlength=n * m).reshape(n, m).astype(np.float32)
+    number = np.full(width, -1)
+    for lo in range(0, len(often), 2048):
+        part = often[lo : lo + 2048]
+        number[:] = -1
+        number[part] = np.arange(len(part))
+        use = number[column] >= 0
+        held = np.zeros((n + m, len(part)), np.float32)
+        held[row[use], number[column[use]]] = 1
+        counts += held[:n] @ held[n:].T
+    return counts.astype(np.int64)
+
+
+def compared(rest: DataFrame, every: DataFrame, width: int, percent: int) -> DataFrame:
+    """(u, v): per cell of (hub, x, y), links that connect what the rows of rest and of every connect there."""
+
+    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
+        if left.num_rows and right.num_rows:
+            rows = [t["row"].to_numpy() for t in (left, right)]
+            one, other = (shingle_sets(t["text"].to_pylist(), width) for t in (left, right))
+            common = shared_counts(one, other)
+            union = np.array([len(s) for s in one])[:, None] + np.array([len(s) for s in other])[None, :] - common
+            hit = (common > 0) & (100 * common >= percent * union) & (rows[0][:, None] != rows[1][None, :])
+            i, j = np.nonzero(hit)
+            label = forest(len(one) + len(other), i, j + len(one))
+            node = np.concatenate(rows)
+            linked = np.unique(np.concatenate([i, j + len(one)]))
+            return pa.table({"u": node[linked], "v": node[label[linked]]})
+        return pa.table({"u": pa.array([], pa.int64()), "v": pa.array([], pa.int64())})
+
+    return rest.groupBy("hub", "x", "y").cogroup(every.groupBy("hub", "x", "y")).applyInArrow(compare, "u long, v long")
 
 
 def links(signatures: DataFrame, matches: int, width: int, percent: int) -> DataFrame:
     """(node, component) of the rows of (row, sig, text) that are linked at all.
 
-    Within a posting list hubs are compared with the other rows: first one hub a list, then 8, 64 and so on until
-    every row was one. A pair is skipped where both rows are in one component already, so a group of thousands of
-    near copies takes about as many comparisons as it has rows, and no pair that could join two components is left
-    out. Of the pairs that remain, collisions are counted on whole signatures and those with enough of them are
-    confirmed on whole shingle sets.
+    First each posting list has one hub, by the order of a hash, and its other rows are compared with it: collisions
+    are counted on whole signatures, and pairs with enough of them are confirmed on whole shingle sets. Most groups
+    are one component after that. Where a hub's lists still hold several, the rows outside the most frequent one are
+    compared with every row of those lists, on whole sets, in blocks of at most about BLOCK by BLOCK rows that emit
+    links but no pairs. Pairs within one component are skipped; no pair that could join two is left out.
     """
     lists = staged(postings(signatures, matches), "postings")
-    active = staged(signatures.join(lists.select("row").distinct(), "row", "left_semi"), "active")
+    order = F.min(F.struct(F.xxhash64("row").alias("order"), F.col("row"))).alias("h")
+    hubs = lists.groupBy("token").agg(order).select("token", F.col("h.row").alias("hub"))
+    near = staged(lists.join(hubs, "token").select("hub", "row").distinct(), "near-hubs")
+    active = staged(signatures.join(near.select("row").distinct(), "row", "left_semi"), "active")
     member = active.select(F.col("row").alias("b"), F.col("sig").alias("sig_b"), F.col("text").alias("text_b"))
-    hub_rows = active.select(F.col("row").alias("a"), F.col("sig").alias("sig_a"), F.col("text").alias("text_a"))
+    center = active.select(F.col("row").alias("a"), F.col("sig").alias("sig_a"), F.col("text").alias("text_a"))
     collisions = F.size(F.filter(F.zip_with("sig_a", "sig_b", lambda x, y: x == y), lambda x: x))
-    found = None
-    lower, upper = 0, 1
-    while True:
-        if lower == 0:
-            hubs = lists.groupBy("token").agg(F.min(_order(F.col("row"))).alias("h")).select("token", F.col("h.row").alias("a"), F.lit(0).alias("place"))
-            current = lists.withColumn("label", F.col("row"))
-        else:
-            split = current.groupBy("token").agg(F.min("label").alias("least"), F.max("label").alias("most")).filter("least < most")
-            current = staged(current.join(split, "token", "left_semi"), "open-lists")
-            if not current.filter(F.col("size") > lower).limit(1).count():
-                break
-            place = F.row_number().over(Window.partitionBy("token").orderBy(_order(F.col("row")))) - 1
-            hubs = current.select("token", F.col("row").alias("a"), F.col("label").alias("label_a"), place.alias("place"))
-            hubs = hubs.filter((F.col("place") >= lower) & (F.col("place") < upper))
-        pairs = current.join(hubs, "token").filter(F.col("row") != F.col("a"))
-        if lower:
-            pairs = pairs.filter(F.col("label") != F.col("label_a"))
-        pairs = pairs.select("a", F.col("row").alias("b")).distinct()
-        close = pairs.join(member.select("b", "sig_b"), "b").join(hub_rows.select("a", "sig_a"), "a").filter(collisions >= matches).select("a", "b")
-        close = staged(close, "pairs")
-        texts = close.join(member.select("b", "text_b"), "b").join(hub_rows.select("a", "text_a"), "a")
-        good = staged(texts.filter(similar(F.col("text_a"), F.col("text_b"), width, percent)).select(F.col("a").alias("u"), F.col("b").alias("v")), "confirmed")
-        found = good if found is None else found.unionByName(good)
-        named = staged(components(found), "components")
-        labels = named.select(F.col("node").alias("row"), "component")
-        current = current.drop("label").join(labels, "row", "left").withColumn("label", F.coalesce("component", "row")).drop("component")
-        lower, upper = upper, upper * 8
-    return named
+    pairs = near.filter("row <> hub").select(F.col("hub").alias("a"), F.col("row").alias("b"))
+    close = pairs.join(member.select("b", "sig_b"), "b").join(center.select("a", "sig_a"), "a").filter(collisions >= matches).select("a", "b")
+    texts = staged(close, "pairs").join(member.select("b", "text_b"), "b").join(center.select("a", "text_a"), "a")
+    first = staged(texts.filter(similar(F.col("text_a"), F.col("text_b"), width, percent)).select(F.col("a").alias("u"), F.col("b").alias("v")), "confirmed")
+    named = staged(components(first), "components").select(F.col("node").alias("row"), "component")
+    labelled = near.join(named, "row", "left").select("hub", "row", F.coalesce("component", "row").alias("label"))
+    labelled = staged(labelled, "labelled-hubs")
+    counted = labelled.groupBy("hub", "label").agg(F.count("*").alias("n"))
+    usual = counted.groupBy("hub").agg(F.max(F.struct("n", "label")).alias("most"), F.sum("n").alias("every"))
+    blocks = lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
+    rest_size = F.col("every") - F.col("most.n")
+    open_hubs = usual.filter(rest_size > 0).select("hub", F.col("most.label").alias("usual"), blocks(rest_size).alias("xs"), blocks(F.col("every")).alias("ys"))
+    mixed_hubs = staged(labelled.join(open_hubs, "hub"), "open-hubs").join(active.select("row", "text"), "row")
+    block = lambda n: F.pmod(F.xxhash64("row", F.lit(7)), F.col(n)).cast("int")
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    rest = mixed_hubs.filter("label <> usual").select("hub", "row", "text", block("xs").alias("x"), spread("ys").alias("y"))
+    every = mixed_hubs.select(F.col("hub").alias("hub"), F.col("row").alias("row"), F.col("text").alias("text"), spread("xs").alias("x"), block("ys").alias("y"))
+    more = staged(compared(rest, every, width, percent), "compared")
+    return staged(components(first.unionByName(more)), "components")
 
 
 def near_dedup(
