@@ -15,6 +15,8 @@ from millrace.llm.staging import join_groups, new_path, staged
 
 INDEX = "page_id long, path string, offset long, length long, url string, digest string, record_type string"
 RECORD = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary"
+#: Bytes of one read, at most about; reads are dealt to as many tasks as they hold of it.
+MOST = 1 << 23
 DATE = "2024-01-01T00:00:00Z"
 
 
@@ -128,7 +130,7 @@ def write_archives(records: DataFrame, folder: str) -> DataFrame:
     return staged(records.mapInArrow(written, INDEX), "warc-index")
 
 
-def ranges_of(index: DataFrame, gap: int = 1 << 16, most: int = 1 << 23) -> DataFrame:
+def ranges_of(index: DataFrame, gap: int = 1 << 16, most: int = MOST) -> DataFrame:
     """(path, begin, members) of the reads that cover the selected index rows.
 
     Rows of one archive are taken in the order of their offsets; a new read starts where more than gap bytes would
@@ -162,7 +164,9 @@ def read_records(index: DataFrame, folder: str) -> DataFrame:
                 found = [parsed(data[m["offset"] - begin : m["offset"] - begin + m["length"]]) for m in members]
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in found], t) for i, t in enumerate(types)], names)
 
-    return ranges_of(index).mapInArrow(read, RECORD)
+    size = index.agg(F.sum("length")).first()[0] or 0
+    reads = ranges_of(index).repartition(max(1, -(-size // MOST)), "path", "members")
+    return reads.mapInArrow(read, RECORD)
 
 
 def archive(pages: DataFrame, folder: str | None = None, selected: Column | None = None, **names) -> DataFrame:
