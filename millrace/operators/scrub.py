@@ -5,6 +5,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.functions.binding import let
 from millrace.operators.detect import KINDS, scan_table, spans_of
 from millrace.sources.tables import name_of
 
@@ -41,10 +42,14 @@ def map_digits(value: Column, new: Column) -> Column:
     """The value with its digits replaced one after another; the rest of its layout stays. Digits are used again where
     there are more places than digits."""
     chars = F.filter(F.split(value, ""), lambda c: c != "")
-    step = lambda acc, c: F.when(
-        c.between("0", "9"), F.struct((acc["k"] + 1).alias("k"), F.concat(acc["out"], F.substr(new, acc["k"] % F.length(new) + 1, F.lit(1))).alias("out"))
-    ).otherwise(F.struct(acc["k"].alias("k"), F.concat(acc["out"], c).alias("out")))
-    return F.aggregate(chars, F.struct(F.lit(0).alias("k"), F.lit("").alias("out")), step, lambda acc: acc["out"])
+
+    def mapped(new: Column) -> Column:
+        step = lambda acc, c: F.when(
+            c.between("0", "9"), F.struct((acc["k"] + 1).alias("k"), F.concat(acc["out"], F.substr(new, acc["k"] % F.length(new) + 1, F.lit(1))).alias("out"))
+        ).otherwise(F.struct(acc["k"].alias("k"), F.concat(acc["out"], c).alias("out")))
+        return F.aggregate(chars, F.struct(F.lit(0).alias("k"), F.lit("").alias("out")), step, lambda acc: acc["out"])
+
+    return let(new, mapped)
 
 
 def luhn_digit(payload: Column) -> Column:
@@ -126,7 +131,7 @@ FAKES = {"phone": fake_phone, "ssn": fake_ssn, "credit_card": fake_card, "ip": f
 
 def fake(value: Column, kind: str, salt: bytes) -> Column:
     """The pseudonym of a value as a kind; null stays null."""
-    return F.when(value.isNotNull(), FAKES[kind](value, hmac_sha256(value, salt)))
+    return F.when(value.isNotNull(), let(hmac_sha256(value, salt), lambda digest: FAKES[kind](value, digest)))
 
 
 def scrub_column(df: DataFrame, column: str, kind: str, salt: bytes) -> DataFrame:
@@ -145,10 +150,13 @@ def chosen_spans(spans: Column) -> Column:
 
 
 def fake_by_kind(value: Column, kind: Column, salt: bytes, kinds: Sequence[str] = KINDS) -> Column:
-    out = F.lit(None).cast("string")
-    for k in kinds:
-        out = F.when(kind == k, FAKES[k](value, hmac_sha256(value, salt))).otherwise(out)
-    return out
+    def chosen(digest: Column) -> Column:
+        out = F.lit(None).cast("string")
+        for k in kinds:
+            out = F.when(kind == k, FAKES[k](value, digest)).otherwise(out)
+        return out
+
+    return let(hmac_sha256(value, salt), chosen)
 
 
 def scrub_spans(text: Column, salt: bytes, kinds: Sequence[str] = KINDS) -> Column:
@@ -156,8 +164,12 @@ def scrub_spans(text: Column, salt: bytes, kinds: Sequence[str] = KINDS) -> Colu
     spans = chosen_spans(spans_of(text, False, kinds))
     faked = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), s["value"].alias("original"), fake_by_kind(s["value"], s["kind"], salt, kinds).alias("fake")))
     step = lambda acc, s: F.struct(s["end"].alias("at"), F.concat(acc["out"], F.substr(text, acc["at"] + 1, s["start"] - acc["at"]), s["fake"]).alias("out"))
-    out = F.aggregate(faked, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substr(text, acc["at"] + 1)))
-    return F.struct(F.when(text.isNotNull(), out).alias("text"), faked.alias("replaced"))
+
+    def replaced(spans: Column) -> Column:
+        out = F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substr(text, acc["at"] + 1)))
+        return F.struct(F.when(text.isNotNull(), out).alias("text"), spans.alias("replaced"))
+
+    return let(faked, replaced)
 
 
 def column_plan(df: DataFrame, kinds: Sequence[str] = KINDS) -> dict[str, str]:

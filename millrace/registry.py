@@ -1,8 +1,8 @@
 """Every query outside the llm subpackage, with its SQL where DuckDB can express it."""
 
-from millrace.plans import tables
+from millrace.plans import privacy, tables, texts
 
-PLANS = (tables,)
+PLANS = (tables, privacy, texts)
 
 
 def queries() -> dict:
