@@ -12,7 +12,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.spans import code_points, gathered, ranges, span_hashes
+from millrace.llm.spans import code_points, gathered, ranges, sliced, span_hashes
 
 SPACE, LETTER, NUMBER, OTHER = range(4)
 #: Texts whose pre-tokens share one index; bounds the memory of a Python worker.
@@ -240,10 +240,9 @@ def encode(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
     @F.arrow_udf("array<int>")
     def encoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         vocab = vocabulary(path)
-        for batch in batches:
-            for at in range(0, len(batch), SLICE):
-                ids, bounds = encode_texts([t or "" for t in batch.slice(at, SLICE).to_pylist()], vocab)
-                yield pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32()))
+        for batch in sliced(batches, SLICE):
+            ids, bounds = encode_texts([t or "" for t in batch.to_pylist()], vocab)
+            yield pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32()))
 
     keep = [c for c in docs.columns if c != "token_ids"]
     return docs.select(*[F.col(f"`{c}`") for c in keep], encoded(F.col(text_col)).alias("token_ids"))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from millrace.llm.spans import U, code_points, mixed, ranges
+from millrace.llm.spans import U, code_points, mixed, ranges, sliced
 from millrace.llm.staging import broadcast_if_small, staged
 
 #: Code points of an n-gram; slots of the filters, as a power of two.
@@ -64,7 +64,7 @@ def _pieces(texts: list[str], limit: int) -> Iterator[tuple[int, str]]:
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, gram, n) of the batches of (lang, text), summed within ranges of texts."""
-    for batch in batches:
+    for batch in sliced(batches):
         langs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         for lang in dict.fromkeys(langs):
             own = [t for x, t in zip(langs, texts, strict=True) if x == lang]
@@ -141,7 +141,7 @@ def identify(docs: DataFrame, filters: LanguageFilters, text_col: str = "text")
 
     @F.arrow_udf("struct<lang_pred: string, score: double>")
     def predicted(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
+        for batch in sliced(batches):
             names, scores = _predict(batch.to_pylist(), filters)
             yield pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["lang_pred", "score"])
 

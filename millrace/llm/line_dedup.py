@@ -9,7 +9,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.spans import U, mixed
+from millrace.llm.spans import U, mixed, sliced
 from millrace.llm.staging import broadcast_if_small, quoted, staged
 
 STRIPPED = " \t\n\x0b\x0c\r"
@@ -32,11 +32,12 @@ def line_keys(text: Column, least: int) -> Column:
     """array<struct<h, check>> of the distinct keys of a text's lines."""
 
     @F.arrow_udf("array<struct<h: long, check: long>>")
-    def keyed(batch: pa.Array) -> pa.Array:
-        rows = [{k for line in (t or "").split("\n") if (k := _key(line, least))} for t in batch.to_pylist()]
-        flat = np.array([k for r in rows for k in r], np.int64).reshape(-1, 2)
-        keys = pa.StructArray.from_arrays([pa.array(flat[:, 0]), pa.array(flat[:, 1])], ["h", "check"])
-        return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rows)]), pa.int32()), keys)
+    def keyed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in sliced(batches):
+            rows = [{k for line in (t or "").split("\n") if (k := _key(line, least))} for t in batch.to_pylist()]
+            flat = np.array([k for r in rows for k in r], np.int64).reshape(-1, 2)
+            keys = pa.StructArray.from_arrays([pa.array(flat[:, 0]), pa.array(flat[:, 1])], ["h", "check"])
+            yield pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rows)]), pa.int32()), keys)
 
     return keyed(text)
 
@@ -138,19 +139,16 @@ def without(text: Column, keys: Column, least: int) -> Column:
     """struct<n_dropped, kept>: the text without the lines that have one of the keys."""
 
     @F.arrow_udf("struct<n_dropped: long, kept: string>")
-    def kept_lines(texts: pa.Array, keys: pa.Array) -> pa.Array:
-        dropped, kept = [], []
-        for text, gone in zip(texts.to_pylist(), keys.to_pylist(), strict=True):
-            if not gone:
-                dropped.append(0)
-                kept.append(text or "")
-                continue
-            gone = {(k["h"], k["check"]) for k in gone}
-            lines = (text or "").split("\n")
-            rest = [line for line in lines if _key(line, least) not in gone]
-            dropped.append(len(lines) - len(rest))
-            kept.append("\n".join(rest))
-        return pa.StructArray.from_arrays([pa.array(dropped, pa.int64()), pa.array(kept, pa.string())], ["n_dropped", "kept"])
+    def kept_lines(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for texts, keys in sliced(batches):
+            dropped, kept = [], []
+            for text, gone in zip(texts.to_pylist(), keys.to_pylist(), strict=True):
+                gone = {(k["h"], k["check"]) for k in gone or ()}
+                lines = (text or "").split("\n")
+                rest = [line for line in lines if _key(line, least) not in gone] if gone else lines
+                dropped.append(len(lines) - len(rest))
+                kept.append("\n".join(rest))
+            yield pa.StructArray.from_arrays([pa.array(dropped, pa.int64()), pa.array(kept, pa.string())], ["n_dropped", "kept"])
 
     return kept_lines(text, keys)
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.components import components, forest
-from millrace.llm.spans import U, code_points, gathered, mixed, ranges, span_hashes
+from millrace.llm.spans import U, code_points, gathered, mixed, ranges, sliced, span_hashes
 from millrace.llm.staging import broadcast_if_small, join_groups, quoted, staged
 
 COORDINATES = 64
@@ -71,7 +71,7 @@ def signed(text: Column, width: int, coordinates: int) -> Column:
 
     @F.arrow_udf("struct<n_shingles: long, digest: binary, sig: array<long>>")
     def signed_texts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
+        for batch in sliced(batches):
             texts = [t or "" for t in batch.to_pylist()]
             sizes, digests, sigs = [], [], [np.zeros((0, coordinates), np.int64)]
             for lo, hi in ranges(texts):
@@ -91,13 +91,13 @@ def similar(a: Column, b: Column, width: int, percent: int) -> Column:
 
     @F.arrow_udf("boolean")
     def similar_texts(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for one, other in batches:
+        for one, other in sliced(batches):
             pairs = list(zip(one.to_pylist(), other.to_pylist(), strict=True))
             known: dict[str, np.ndarray] = {}
             found = []
             for x, y in pairs:
                 new = [t for t in {x, y} if t not in known]
-                if len(known) > 2000:
+                if len(known) > 1000:
                     known, new = {}, list({x, y})
                 known |= zip(new, shingle_sets(new, width), strict=True)
                 p, q = known[x], known[y]

@@ -4,12 +4,24 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 
 U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
 
 
+def sliced(batches: Iterator, rows: int = 512) -> Iterator:
+    """Each batch (or tuple of arrays) in slices, so that Python objects exist for a few rows at a time only."""
+    for batch in batches:
+        many = isinstance(batch, tuple)
+        size = len(batch[0]) if many else len(batch)
+        for at in range(0, size, rows):
+            yield tuple(b.slice(at, rows) for b in batch) if many else batch.slice(at, rows)
+        del batch
+        pa.default_memory_pool().release_unused()
+
+
 def ranges(texts: list[str], limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Ranges of consecutive texts of together at most limit code points; a longer text is a range of its own."""
     start, size = 0, 0

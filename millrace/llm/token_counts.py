@@ -9,7 +9,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.spans import code_points, ranges, span_hashes
+from millrace.llm.spans import code_points, ranges, sliced, span_hashes
 from millrace.llm.staging import quoted, staged
 
 #: Pre-tokens that are looked up in a broadcast table, at most; the rest join by a shuffle.
@@ -55,7 +55,7 @@ def frequencies(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, np
 
 
 def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in sliced(batches, 4096):
         texts = [t or "" for t in batch.column(0).to_pylist()]
         for lo, hi in ranges(texts, 1 << 24):
             tokens, _, token, n = frequencies(texts[lo:hi])
@@ -109,7 +109,7 @@ def count_tokens(
     @F.arrow_udf("struct<n_bytes: long, hot: long, cold: array<struct<token: string, n: long>>>")
     def looked_up(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         table = known.value
-        for batch in batches:
+        for batch in sliced(batches, 4096):
             texts = [t or "" for t in batch.to_pylist()]
             n_bytes, sums, rest = [len(t.encode()) for t in texts], np.zeros(len(texts), np.int64), []
             for lo, hi in ranges(texts, 1 << 24):
