@@ -177,14 +177,37 @@ def compared(rest: DataFrame, every: DataFrame, width: int, percent: int) -> Dat
     return rest.groupBy("hub", "x", "y").cogroup(every.groupBy("hub", "x", "y")).applyInArrow(compare, "u long, v long")
 
 
+def promising(rest: DataFrame, every: DataFrame, matches: int) -> DataFrame:
+    """(side, hub, x, y, row) of the rows that agree in enough coordinates with a row of the other side and another
+    label. Signatures are cut to 16 bits a coordinate, which may add rows but loses none."""
+
+    def count(left: pa.Table, right: pa.Table) -> pa.Table:
+        parts = []
+        if left.num_rows and right.num_rows:
+            one, other = (np.stack(t["short"].combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1).T) for t in (left, right))
+            agree = np.zeros((left.num_rows, right.num_rows), np.uint8)
+            for a, b in zip(one, other, strict=True):
+                agree += a[:, None] == b[None, :]
+            close = (agree >= matches) & (left["label"].to_numpy()[:, None] != right["label"].to_numpy()[None, :])
+            for side, (table, axis) in enumerate(((left, 1), (right, 0))):
+                some = table.filter(pa.array(close.any(axis=axis))).select(["hub", "x", "y", "row"])
+                parts.append(some.append_column("side", pa.array([side] * some.num_rows, pa.int32())).select(["side", "hub", "x", "y", "row"]))
+        empty = pa.table({c: pa.array([], t) for c, t in (("side", pa.int32()), ("hub", pa.int64()), ("x", pa.int32()), ("y", pa.int32()), ("row", pa.int64()))})
+        return pa.concat_tables(parts) if parts else empty
+
+    groups = rest.groupBy("hub", "x", "y").cogroup(every.groupBy("hub", "x", "y"))
+    return groups.applyInArrow(count, "side int, hub long, x int, y int, row long")
+
+
 def links(signatures: DataFrame, matches: int, width: int, percent: int) -> DataFrame:
     """(node, component) of the rows of (row, sig, text) that are linked at all.
 
     First each posting list has one hub, by the order of a hash, and its other rows are compared with it: collisions
     are counted on whole signatures, and pairs with enough of them are confirmed on whole shingle sets. Most groups
-    are one component after that. Where a hub's lists still hold several, the rows outside the most frequent one are
-    compared with every row of those lists, on whole sets, in blocks of at most about BLOCK by BLOCK rows that emit
-    links but no pairs. Pairs within one component are skipped; no pair that could join two is left out.
+    are one component after that. Of lists whose other rows still lie in several, the rows outside the most frequent
+    one are compared with every row of the hub's open lists, in blocks of at most about BLOCK by BLOCK rows: collisions
+    first, then the rows that have any partner on whole sets. Blocks emit rows and links but no pairs. Pairs within one
+    component are skipped; no pair that could join two is left out.
     """
     lists = staged(postings(signatures, matches), "postings")
     order = F.min(F.struct(F.xxhash64("row").alias("order"), F.col("row"))).alias("h")
@@ -199,18 +222,26 @@ def links(signatures: DataFrame, matches: int, width: int, percent: int) -> Data
     texts = staged(close, "pairs").join(member.select("b", "text_b"), "b").join(center.select("a", "text_a"), "a")
     first = staged(texts.filter(similar(F.col("text_a"), F.col("text_b"), width, percent)).select(F.col("a").alias("u"), F.col("b").alias("v")), "confirmed")
     named = staged(components(first), "components").select(F.col("node").alias("row"), "component")
-    labelled = near.join(named, "row", "left").select("hub", "row", F.coalesce("component", "row").alias("label"))
-    labelled = staged(labelled, "labelled-hubs")
-    counted = labelled.groupBy("hub", "label").agg(F.count("*").alias("n"))
+    labels = named.withColumnRenamed("component", "label")
+    other = lists.join(hubs, "token").filter("size > 2 and row <> hub").join(labels, "row", "left").withColumn("label", F.coalesce("label", "row"))
+    other = staged(other.select("token", "hub", "row", "label"), "beside-hubs")
+    split = other.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("token")
+    left = staged(other.join(split, "token", "left_semi").select("hub", "row", "label").distinct(), "open-rows")
+    counted = left.groupBy("hub", "label").agg(F.count("*").alias("n"))
     usual = counted.groupBy("hub").agg(F.max(F.struct("n", "label")).alias("most"), F.sum("n").alias("every"))
-    blocks = lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
-    rest_size = F.col("every") - F.col("most.n")
-    open_hubs = usual.filter(rest_size > 0).select("hub", F.col("most.label").alias("usual"), blocks(rest_size).alias("xs"), blocks(F.col("every")).alias("ys"))
-    mixed_hubs = staged(labelled.join(open_hubs, "hub"), "open-hubs").join(active.select("row", "text"), "row")
+    blocks = lambda n: F.greatest(F.lit(1), F.ceil(n / F.lit(BLOCK))).cast("int")
+    sizes = usual.select("hub", F.col("most.label").alias("usual"), blocks(F.col("every") - F.col("most.n")).alias("xs"), blocks(F.col("every")).alias("ys"))
+    short = F.transform("sig", lambda v: (v.bitwiseAND(0xFFFF) - 32768).cast("smallint")).alias("short")
+    open_rows = staged(left.join(sizes, "hub").join(active.select("row", short), "row"), "open-hubs")
     block = lambda n: F.pmod(F.xxhash64("row", F.lit(7)), F.col(n)).cast("int")
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    rest = mixed_hubs.filter("label <> usual").select("hub", "row", "text", block("xs").alias("x"), spread("ys").alias("y"))
-    every = mixed_hubs.select(F.col("hub").alias("hub"), F.col("row").alias("row"), F.col("text").alias("text"), spread("xs").alias("x"), block("ys").alias("y"))
+    kept = ("hub", "row", "label", "short")
+    rest = open_rows.filter("label <> usual").select(*kept, block("xs").alias("x"), spread("ys").alias("y"))
+    every = open_rows.select(*[F.col(c).alias(c) for c in kept], spread("xs").alias("x"), block("ys").alias("y"))
+    chosen = staged(promising(rest, every, matches), "promising")
+    texts = active.select("row", "text")
+    rest = chosen.filter("side = 0").join(texts, "row").select("hub", "x", "y", "row", "text")
+    every = chosen.filter("side = 1").join(texts, "row").select(*[F.col(c).alias(c) for c in ("hub", "x", "y", "row", "text")])
     more = staged(compared(rest, every, width, percent), "compared")
     return staged(components(first.unionByName(more)), "components")
 
