@@ -1,8 +1,8 @@
 """Every query outside the llm subpackage, with its SQL where DuckDB can express it."""
 
-from millrace.plans import privacy, tables, texts
+from millrace.plans import evidence, privacy, tables, texts
 
-PLANS = (tables, privacy, texts)
+PLANS = (tables, privacy, texts, evidence)
 
 
 def queries() -> dict:
