@@ -161,12 +161,13 @@ def n19_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def n20_live_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs the stream over the events file to its end, into a table, and reads that."""
     path = new_path(spark, "live")
+    name = path.rpartition("/")[2].replace("-", "_")
     events = spark.readStream.schema(table(spark, sf_dir, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    rows = events.select(F.col("user_id").alias("session_id"), F.col("ts").alias("started_at"), F.when(F.col("event_type") == "error", "blocked").otherwise("allowed").alias("decision"), F.floor(F.col("value") * 100).cast("bigint").alias("bytes_sent"))
+    rows = events.select(F.col("user_id").alias("session_id"), F.col("ts").cast("timestamp").alias("started_at"), F.when(F.col("event_type") == "error", "blocked").otherwise("allowed").alias("decision"), F.floor(F.col("value") * 100).cast("bigint").alias("bytes_sent"))
     totals = streams.live_totals(rows, "1 day", "1 day").select(F.col("window.start").alias("day"), "session_id", "events", "allowed", "bytes_sent")
-    done = totals.writeStream.outputMode("complete").format("memory").queryName("live_totals").option("checkpointLocation", path).trigger(availableNow=True).start()
+    done = totals.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", path).trigger(availableNow=True).start()
     done.awaitTermination()
-    return spark.table("live_totals")
+    return spark.table(name)
 
 
 def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,8 +1,8 @@
 """Every query outside the llm subpackage, with its SQL where DuckDB can express it."""
 
-from millrace.plans import evidence, privacy, tables, texts
+from millrace.plans import evals, evidence, privacy, synth, tables, texts
 
-PLANS = (tables, privacy, texts, evidence)
+PLANS = (tables, privacy, texts, evidence, evals, synth)
 
 
 def queries() -> dict:
