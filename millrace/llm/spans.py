@@ -22,7 +22,7 @@ def sliced(batches: Iterator, rows: int = 512) -> Iterator:
         pa.default_memory_pool().release_unused()
 
 
-def ranges(texts: list[str], limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def ranges(texts: list[str], limit: int = 1 << 18) -> Iterator[tuple[int, int]]:
     """Ranges of consecutive texts of together at most limit code points; a longer text is a range of its own."""
     start, size = 0, 0
     for i, text in enumerate(texts):
@@ -55,7 +55,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def span_hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Hash of codes[start:end] for each span: a polynomial over mixed code points, by differences of prefix sums."""
-    power, inverse = _powers(max(1 << 20, 1 << int(len(codes)).bit_length()))
+    power, inverse = _powers(max(1 << 18, 1 << int(len(codes)).bit_length()))
     value = (codes.astype(U) + U(1)) * U(0xA24BAED4963EE407)
     value ^= value >> U(29)
     prefix = np.zeros(len(codes) + 1, U)
