@@ -14,6 +14,8 @@ from millrace.llm.spans import U, code_points, gathered, mixed, ranges, sliced,
 from millrace.llm.staging import broadcast_if_small, join_groups, quoted, staged
 
 COORDINATES = 64
+#: Row numbers that are broadcast rather than shuffled with the texts they pick, at most: a few tens of MB.
+MANY = 1_000_000
 #: Rows of a block, about, in comparisons of many rows with many.
 BLOCK = 1024
 
@@ -213,7 +215,8 @@ def links(signatures: DataFrame, matches: int, width: int, percent: int) -> Data
     order = F.min(F.struct(F.xxhash64("row").alias("order"), F.col("row"))).alias("h")
     hubs = lists.groupBy("token").agg(order).select("token", F.col("h.row").alias("hub"))
     near = staged(lists.join(hubs, "token").select("hub", "row").distinct(), "near-hubs")
-    active = staged(signatures.join(near.select("row").distinct(), "row", "left_semi"), "active")
+    some = broadcast_if_small(staged(near.select("row").distinct(), "near-rows"), MANY)
+    active = staged(signatures.join(some, "row", "left_semi"), "active")
     member = active.select(F.col("row").alias("b"), F.col("sig").alias("sig_b"), F.col("text").alias("text_b"))
     center = active.select(F.col("row").alias("a"), F.col("sig").alias("sig_a"), F.col("text").alias("text_a"))
     collisions = F.size(F.filter(F.zip_with("sig_a", "sig_b", lambda x, y: x == y), lambda x: x))
@@ -279,8 +282,10 @@ def near_dedup(
     text = F.col("_in").getField(text_col) if held else F.col("text")
     n = rows.count()
     sets = staged(rows.filter("digest is not null").groupBy("digest").agg(F.min("row").alias("first"), F.count("*").alias("size")), "sets")
-    single = sets.select(F.col("first").alias("row"))
-    nodes = rows.select("row", "sig", text.alias("text")).join(single, "row", "left_semi")
+    repeated = staged(sets.filter("size > 1"), "repeated-sets")
+    copies = join_groups(rows.select("row", "digest"), repeated, "digest", "size", n).filter("row <> first").select("row")
+    copies = broadcast_if_small(staged(copies, "set-copies"), MANY)
+    nodes = rows.filter("digest is not null").select("row", "sig", text.alias("text")).join(copies, "row", "left_anti")
     named = links(nodes, matches, width, percent)
     label = named.select(F.col("node").alias("first"), "component")
     sets = sets.join(label, "first", "left").filter("size > 1 or component is not null")
@@ -289,7 +294,7 @@ def near_dedup(
     least = F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("row").alias("first")))
     groups = staged(labelled.groupBy("label").agg(least.alias("least"), F.count("*").alias("size")), "groups")
     grouped = join_groups(labelled, groups, "label", "size", n).select("row", "least.id", F.col("least.first").alias("first"))
-    grouped = broadcast_if_small(staged(grouped.withColumnRenamed("id", "least"), "grouped"))
+    grouped = broadcast_if_small(staged(grouped.withColumnRenamed("id", "least"), "grouped"), MANY)
     return rows.select("row", "_in", "id", "n_shingles").join(grouped, "row", "left").select(
         "_in.*",
         "n_shingles",
