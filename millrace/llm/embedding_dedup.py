@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from millrace.functions.staging import broadcast_if_small, join_groups, quoted, staged
 from millrace.llm.components import components, forest
-from millrace.llm.staging import broadcast_if_small, join_groups, quoted, staged
 
 #: Vectors of a block, children of an interval, leading dimensions, vectors that the directions are fitted on.
 BLOCK, FANOUT, LEADING, SAMPLE = 2048, 8, 8, 4096

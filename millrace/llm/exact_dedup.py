@@ -5,7 +5,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.staging import join_groups, quoted, staged
+from millrace.functions.staging import join_groups, quoted, staged
 
 #: Bits of one bitmap of bitmap_construct_agg.
 PAGE = 32768

@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from millrace.functions.staging import broadcast_if_small, staged
 from millrace.llm.spans import U, code_points, mixed, ranges, sliced
-from millrace.llm.staging import broadcast_if_small, staged
 
 #: Code points of an n-gram; slots of the filters, as a power of two.
 GRAM, SLOT_BITS = 4, 20

@@ -9,8 +9,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.functions.staging import broadcast_if_small, quoted, staged
 from millrace.llm.spans import U, mixed, sliced
-from millrace.llm.staging import broadcast_if_small, quoted, staged
 
 STRIPPED = " \t\n\x0b\x0c\r"
 #: Lines of one shard, and probes of one task, about.

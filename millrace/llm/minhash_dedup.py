@@ -9,9 +9,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.functions.staging import broadcast_if_small, join_groups, quoted, staged
 from millrace.llm.components import components, forest
 from millrace.llm.spans import U, code_points, gathered, mixed, ranges, sliced, span_hashes
-from millrace.llm.staging import broadcast_if_small, join_groups, quoted, staged
 
 COORDINATES = 64
 #: Row numbers that are broadcast rather than shuffled with the texts they pick, at most: a few tens of MB.

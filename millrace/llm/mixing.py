@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from millrace.llm.staging import broadcast_if_small, quoted, staged
+from millrace.functions.staging import broadcast_if_small, quoted, staged
 
 #: The hash has 60 bits; each level of the histograms looks at 15 more of them.
 HASH_BITS, LEVEL_BITS = 60, 15

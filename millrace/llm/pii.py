@@ -6,7 +6,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.staging import quoted
+from millrace.functions.staging import quoted
 
 #: Code points before and after a span in which context words count, and what one adds to the score.
 BEFORE, AFTER, CONTEXT = 40, 20, 0.2

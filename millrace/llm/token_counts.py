@@ -9,8 +9,8 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.functions.staging import quoted, staged
 from millrace.llm.spans import code_points, ranges, sliced, span_hashes
-from millrace.llm.staging import quoted, staged
 
 #: Pre-tokens that are looked up in a broadcast table, at most; the rest join by a shuffle.
 HOT = 1 << 18

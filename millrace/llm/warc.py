@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.staging import join_groups, new_path, staged
+from millrace.functions.staging import join_groups, new_path, staged
 
 INDEX = "page_id long, path string, offset long, length long, url string, digest string, record_type string"
 RECORD = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary"
