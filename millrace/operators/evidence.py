@@ -168,8 +168,13 @@ def host_matches(hosts: DataFrame, rules: DataFrame) -> DataFrame:
     each = hosts.select("host", F.posexplode(suffixes(F.col("host"))).alias("depth", "key"))
     fits = ((F.col("how") == "exact") & (F.col("depth") == 0)) | ((F.col("how") == "below") & (F.col("depth") > 0)) | (F.col("how") == "within")
     some = each.join(patterns, "key").filter(fits).select("host", "rule")
-    every = hosts.select("host").join(F.broadcast(host_patterns(rules).filter("how = 'any'").select("rule")))
-    return some.union(every).distinct()
+    anywhere = _ids(rules.filter(F.array_contains("hosts", "*")))
+    return some.union(hosts.select("host", F.explode(anywhere).alias("rule"))).distinct()
+
+
+def _ids(rules: DataFrame) -> Column:
+    """The ids of some rules as an array; a rule table is a configuration of at most a few thousand rows."""
+    return F.array(*[F.lit(r["id"]) for r in rules.select("id").collect()]).cast("array<string>")
 
 
 def network_matches(ips: DataFrame, rules: DataFrame) -> DataFrame:
@@ -209,18 +214,20 @@ def evaluate_policy(events: DataFrame, rules: DataFrame, default: str = "deny",
     bad = check_rules(rules).limit(5).collect()
     if bad:
         raise ValueError("; ".join(f"rule {r['id']}: {r['reason']}" for r in bad))
-    few = F.broadcast(rules.select("id", "rank", "action", "ports", "protocols", "allow_private", F.size("hosts").alias("nh"), F.size("ips").alias("ni")))
+    few = F.broadcast(rules.select("id", "rank", "action", "ports", "protocols", "allow_private", F.size("ips").alias("ni")))
     by_host = host_matches(events.select("host").distinct(), rules).groupBy("host").agg(F.collect_set("rule").alias("host_rules"))
     by_ip = network_matches(events.select("ip").distinct(), rules).groupBy("ip").agg(F.collect_set("rule").alias("ip_rules"))
     seen = events.join(by_host, "host", "left").join(by_ip, "ip", "left")
+    free = _ids(rules.filter(F.size("hosts") == 0))
+    some = F.array_distinct(F.concat(F.coalesce("host_rules", F.array().cast("array<string>")), free))
+    seen = seen.withColumn("_id", F.explode_outer(some))
     fits = (
-        ((F.col("nh") == 0) | F.coalesce(F.array_contains("host_rules", F.col("id")), F.lit(False)))
-        & ((F.col("ni") == 0) | F.coalesce(F.array_contains("ip_rules", F.col("id")), F.lit(False)))
+        ((F.col("ni") == 0) | F.coalesce(F.array_contains("ip_rules", F.col("id")), F.lit(False)))
         & ((F.size("ports") == 0) | F.array_contains("ports", F.col("port")))
         & ((F.size("protocols") == 0) | F.array_contains("protocols", F.col("protocol")))
     )
     first = lambda action: F.min(F.when(F.col("action") == action, F.struct("rank", "id")))["id"]
-    judged = seen.join(few, fits, "left").groupBy("event_id", "host", "ip", "port", "protocol").agg(
+    judged = seen.join(few, F.col("_id") == F.col("id"), "left").withColumn("action", F.when(fits, F.col("action"))).groupBy("event_id", "host", "ip", "port", "protocol").agg(
         first("deny").alias("deny"), first("allow").alias("allow"), F.coalesce(F.bool_or(F.when(F.col("action") == "allow", F.col("allow_private"))), F.lit(False)).alias("private_ok")
     )
     chosen = F.coalesce("deny", "allow")
