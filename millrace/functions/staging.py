@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
+#: Paths of the tables that `staged` has written, in order.
+STAGED: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -29,9 +31,17 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
+    STAGED.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def delete_staged(spark: SparkSession, paths: list[str]) -> None:
+    """Remove staged tables that no frame reads any more."""
+    for path in paths:
+        hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+        hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
 def broadcast_if_small(df: DataFrame, rows: int = 100_000) -> DataFrame:
     """Hint a broadcast of a table of narrow rows only when it has at most that many; else Spark shuffles."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
