@@ -1,5 +1,8 @@
 """From raw documents to token ids: five stages, each on all that the one before kept."""
 
+from collections.abc import Callable
+from functools import wraps
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -8,7 +11,7 @@ from millrace.llm import bpe, language_id
 from millrace.llm.exact_dedup import exact_dedup
 from millrace.llm.minhash_dedup import near_dedup
 from millrace.llm.mixing import mix
-from millrace.functions.staging import staged
+from millrace.functions.staging import STAGED, delete_staged, staged
 
 #: Share of a text's n-grams that its language must hold at least.
 LEAST_SCORE = 0.4
@@ -16,35 +19,60 @@ LEAST_SCORE = 0.4
 ORACLE_SQL = None
 
 
+#: Tables that the last stage wrote for itself; its result is written when the next one starts, so they can go then.
+_LEFT: list[str] = []
+
+
+def stage(function: Callable) -> Callable:
+    """A stage that first removes what the stage before wrote on its way, so that disk does not add up."""
+
+    @wraps(function)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        delete_staged(spark, _LEFT)
+        before = len(STAGED)
+        out = function(spark, docs, sf_dir)
+        _LEFT[:] = STAGED[before:]
+        return out
+
+    return run_stage
+
+
+@stage
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without letters, or whose n-grams no language holds well enough, go."""
     named = language_id.identify(docs, language_id.learn(docs))
     return named.filter((F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("score") >= LEAST_SCORE)).select(docs.columns)
 
 
+@stage
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the document with the smallest id stays."""
     return exact_dedup(docs).filter("kept").select(docs.columns)
 
 
+@stage
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by 0.8 of their five-word shingles one stays."""
     return near_dedup(docs).filter("kept").select(docs.columns)
 
 
+@stage
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it."""
     return mix(docs).withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))).select(docs.columns)
 
 
+@stage
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source and token_ids of every document, and whether decoding gives its text back.
 
-    The ids are written before they are decoded, so that no task needs two Python workers at once."""
+    The ids are written before they are decoded, so that no task needs two Python workers at once; of the texts only
+    digests are."""
     path = public_tokenizers.path("byte_bpe_50k.json")
-    ids = staged(bpe.encode(docs.select("doc_id", "source", "text"), path), "token-ids")
-    texts = bpe.decode(ids, path)
-    same = F.col("decoded") == F.coalesce("text", F.lit(""))
+    digest = F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest")
+    ids = bpe.encode(docs.select("doc_id", "source", "text", digest), path).drop("text")
+    texts = bpe.decode(staged(ids, "token-ids"), path)
+    same = F.sha2("decoded", 256) == F.col("digest")
     return texts.select("doc_id", "source", F.size("token_ids").cast("bigint").alias("n_tokens"), "token_ids", same.alias("round_trip"))
 
 
@@ -59,8 +87,8 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = staged(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    for name, apply in STAGES:
+        docs = staged(apply(spark, docs, sf_dir), f"pipeline-{name}")
     return docs
 
 
