@@ -14,6 +14,9 @@ V4 = r"^(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][
 SENSITIVE = r"(?i)(?:^|[-_])(?:api[-_]?key|auth|credential|password|secret|token)(?:$|[-_=])"
 UUID = r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[1-5][0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}$"
 LONG_TOKEN = r"^(?=.*[A-Za-z])(?=.*[0-9])[A-Za-z0-9._~-]{24,}$"
+#: What can become of an event, and what tells destinations apart.
+DECISIONS = ("allowed", "observed", "would_block", "blocked", "failed", "unsupported")
+DESTINATION = ("service", "host", "port", "protocol", "scope")
 RESTRICTED = ("loopback", "link-local", "private", "multicast", "reserved")
 PORTS = {"http": 80, "https": 443, "tcp": 443}
 
@@ -248,14 +251,13 @@ def multi_address(events: DataFrame, rules: DataFrame, **options) -> DataFrame:
 
 
 def _counts() -> list[Column]:
-    public = F.col("scope") == "public"
+    """Totals of the events of a group; what is not public, a null scope included, is local or private."""
+    seen, public = F.col("event_id").isNotNull(), F.col("scope").eqNullSafe("public")
     return [
-        F.count("*").alias("events"),
-        F.count_if(F.col("decision") == "allowed").alias("allowed"),
-        F.count_if(F.col("decision") == "would_block").alias("would_block"),
-        F.count_if(F.col("decision") == "blocked").alias("blocked"),
-        F.count_if(public).alias("public"),
-        F.count_if(F.col("scope").isin("loopback", "private", "link-local")).alias("local_private"),
+        F.count_if(seen).alias("events"),
+        *[F.count_if(F.col("decision") == d).alias(d) for d in DECISIONS],
+        F.count_if(seen & public).alias("public"),
+        F.count_if(seen & ~public).alias("local_private"),
         F.coalesce(F.sum("bytes_sent"), F.lit(0)).alias("bytes_sent"),
         F.coalesce(F.sum("bytes_received"), F.lit(0)).alias("bytes_received"),
         F.count_distinct("service").alias("services"),
@@ -279,15 +281,23 @@ def destination_rollup(events: DataFrame) -> DataFrame:
     )
 
 
-def overview(sessions: DataFrame, events: DataFrame) -> DataFrame:
-    """Totals, by agent, by source and by destination, in one pass of grouping sets."""
-    both = events.join(sessions.select("session_id", "agent"), "session_id")
-    keys = [F.col(c) for c in ("agent", "source", "service", "host")]
-    sets = [[], [keys[0]], [keys[1]], [keys[2], keys[3]]]
+def overview(sessions: DataFrame, events: DataFrame, destination: Sequence[str] = DESTINATION) -> DataFrame:
+    """Totals, by agent, by source and by destination, in one pass of grouping sets.
+
+    Every session adds a row without an event, so that sessions without events count in the totals. `running` is null
+    for sources and destinations, which have no sessions of their own.
+    """
+    each = sessions.select("session_id", "agent", "status")
+    both = events.join(each.drop("status"), "session_id").unionByName(each, allowMissingColumns=True)
+    keys = [F.col(c) for c in ("agent", "source", *destination)]
+    sets = [[], [keys[0]], [keys[1]], keys[2:]]
     level = F.when(F.grouping("agent") == 0, "agent").when(F.grouping("source") == 0, "source").when(F.grouping("host") == 0, "destination").otherwise("total")
-    return both.groupingSets(sets, *keys).agg(
-        level.alias("level"), F.count("*").alias("events"), F.count_distinct("session_id").alias("sessions"), F.sum("bytes_sent").alias("bytes_sent")
-    )
+    running = F.when((F.grouping("source") == 1) & (F.grouping("host") == 1), F.count_if(F.col("status").isin("starting", "running")))
+    out = both.groupingSets(sets, *keys).agg(
+        level.alias("level"), *_counts(), F.count_distinct("session_id").alias("sessions"), running.alias("running"),
+        F.array_sort(F.collect_set(F.when(F.col("event_id").isNotNull(), F.col("agent")))).alias("agents"), F.array_sort(F.collect_set("source")).alias("sources"),
+    )
+    return out.filter("events > 0 or level = 'total'")
 
 
 def evidence_ledger(events: DataFrame, tools: DataFrame) -> DataFrame:

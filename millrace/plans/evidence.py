@@ -122,7 +122,21 @@ def n12_multi_address(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def n13_session_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evidence.session_report(sessions(spark, sf_dir), log(spark, sf_dir), tools(spark, sf_dir))
+    """The totals that its SQL has; n13_session_totals has all."""
+    out = evidence.session_report(sessions(spark, sf_dir), log(spark, sf_dir), tools(spark, sf_dir))
+    return out.drop("observed", "failed", "unsupported")
+
+
+def _mixed_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log with every decision, and with scopes that are neither public nor private or unknown."""
+    k = F.col("event_id")
+    decision = F.when(k % 7 == 0, "observed").when(k % 7 == 1, "failed").when(k % 7 == 2, "unsupported").otherwise(F.col("decision"))
+    scope = F.when(k % 11 == 1, "multicast").when(k % 11 == 2, "reserved").when(k % 11 == 3, "hostname").when(k % 11 != 4, F.col("scope"))
+    return log(spark, sf_dir).withColumns({"decision": decision, "scope": scope})
+
+
+def n13_session_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evidence.session_report(sessions(spark, sf_dir), _mixed_log(spark, sf_dir), tools(spark, sf_dir))
 
 
 def n14_destinations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -130,7 +144,14 @@ def n14_destinations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def n15_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evidence.overview(sessions(spark, sf_dir), log(spark, sf_dir))
+    """The destinations and figures that its SQL has; n15_overview_parts has all."""
+    out = evidence.overview(sessions(spark, sf_dir), log(spark, sf_dir), ("service", "host"))
+    return out.select("agent", "source", "service", "host", "level", "events", "sessions", "bytes_sent")
+
+
+def n15_overview_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = evidence.overview(sessions(spark, sf_dir), _mixed_log(spark, sf_dir))
+    return out.withColumns({c: F.array_join(c, ",") for c in ("agents", "sources")})
 
 
 def n16_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -196,7 +217,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         n1_normalize_host, n2_services, n3_ip_scope, n4_sanitize_path, n5_sanitize_url, n6_tool_event, n7_redact_command, n8_parse_destination, n9_host_match,
-        n10_network_match, n11_policy, n12_multi_address, n13_session_report, n14_destinations, n15_overview, n16_ledger, n17_retention, n18_merge, n19_dedupe,
+        n10_network_match, n11_policy, n12_multi_address, n13_session_report, n13_session_totals, n14_destinations, n15_overview, n15_overview_parts, n16_ledger, n17_retention, n18_merge, n19_dedupe,
         n20_live_totals, e1_validate, e2_week, e3_weekly_report,
     )
 }
@@ -220,6 +241,12 @@ _JUDGED = f"""{LOG}, judged AS (SELECT *, CASE host
     WHEN 'github.com' THEN CASE WHEN port = 443 THEN 'allow-git' END
     WHEN 'api.openai.com' THEN 'allow-ai' END AS named,
     CASE WHEN (ip LIKE '10.%' OR ip LIKE '142.250.%') AND protocol = 'https' THEN 'allow-net' END AS net FROM log)"""
+_MIXED = f"""{LOG}, mixed AS (SELECT * REPLACE (
+    CASE event_id % 7 WHEN 0 THEN 'observed' WHEN 1 THEN 'failed' WHEN 2 THEN 'unsupported' ELSE decision END AS decision,
+    CASE event_id % 11 WHEN 1 THEN 'multicast' WHEN 2 THEN 'reserved' WHEN 3 THEN 'hostname' WHEN 4 THEN NULL ELSE scope END AS scope) FROM log)"""
+_TOTALS = ", ".join(f"count(*) FILTER (WHERE decision = '{d}') AS {d}" for d in evidence.DECISIONS) + """,
+    count(*) FILTER (WHERE scope = 'public') AS public, count(*) FILTER (WHERE scope IS DISTINCT FROM 'public') AS local_private,
+    sum(bytes_sent)::BIGINT AS bytes_sent, sum(bytes_received)::BIGINT AS bytes_received, count(DISTINCT service) AS services"""
 _WEEK = "strftime(ts, '%G-W%V')"
 _TAG = "CASE WHEN event_id % 70 = 1 THEN 'odd' ELSE CASE event_type WHEN 'signup' THEN 'win' WHEN 'error' THEN 'blocker' WHEN 'click' THEN 'note' WHEN 'view' THEN 'next' WHEN 'purchase' THEN 'decision' END END"
 
@@ -248,11 +275,18 @@ SQL = {
     "n13_session_report": f"""WITH {LOG} SELECT session_id, count(*) AS events, count(*) FILTER (WHERE decision = 'allowed') AS allowed, count(*) FILTER (WHERE decision = 'would_block') AS would_block,
         count(*) FILTER (WHERE decision = 'blocked') AS blocked, count(*) FILTER (WHERE scope = 'public') AS public, count(*) FILTER (WHERE scope IN ('loopback', 'private')) AS local_private,
         sum(bytes_sent)::BIGINT AS bytes_sent, sum(bytes_received)::BIGINT AS bytes_received, count(DISTINCT service) AS services, count(*) FILTER (WHERE event_id % 3 = 1) AS tool_events FROM log GROUP BY session_id""",
+    "n13_session_totals": f"WITH {_MIXED} SELECT session_id, count(*) AS events, {_TOTALS}, count(*) FILTER (WHERE event_id % 3 = 1) AS tool_events FROM mixed GROUP BY session_id",
     "n14_destinations": f"""WITH {LOG} SELECT service, host, port, protocol, scope, count(*) AS events, count(*) FILTER (WHERE decision = 'allowed') AS allowed, sum(bytes_sent)::BIGINT AS bytes_sent,
         min(started_at) AS first_seen, max(coalesce(ended_at, started_at)) AS last_seen, string_agg(DISTINCT path, ',' ORDER BY path) AS paths FROM log GROUP BY ALL""",
     "n15_overview": f"""WITH {LOG}, b AS (SELECT l.*, agent FROM log l JOIN sessions USING (session_id))
         SELECT agent, source, service, host, CASE WHEN grouping(agent) = 0 THEN 'agent' WHEN grouping(source) = 0 THEN 'source' WHEN grouping(host) = 0 THEN 'destination' ELSE 'total' END AS level,
           count(*) AS events, count(DISTINCT session_id) AS sessions, sum(bytes_sent)::BIGINT AS bytes_sent FROM b GROUP BY GROUPING SETS ((), (agent), (source), (service, host))""",
+    "n15_overview_parts": f"""WITH {_MIXED}, b AS (SELECT l.*, agent, status FROM mixed l JOIN sessions USING (session_id))
+        SELECT agent, source, service, host, port, protocol, scope, CASE WHEN grouping(agent) = 0 THEN 'agent' WHEN grouping(source) = 0 THEN 'source' WHEN grouping(host) = 0 THEN 'destination' ELSE 'total' END AS level,
+          count(*) AS events, {_TOTALS}, count(DISTINCT session_id) AS sessions,
+          CASE WHEN grouping(source) = 1 AND grouping(host) = 1 THEN count(DISTINCT session_id) FILTER (WHERE status = 'running') END AS running,
+          string_agg(DISTINCT agent, ',' ORDER BY agent) AS agents, string_agg(DISTINCT source, ',' ORDER BY source) AS sources
+        FROM b GROUP BY GROUPING SETS ((), (agent), (source), (service, host, port, protocol, scope))""",
     "n16_ledger": f"WITH {LOG} SELECT event_id, session_id, host, decision, 'network' AS record, NULL::VARCHAR AS tool FROM log UNION ALL SELECT event_id, user_id, NULL, NULL, 'tool', '''=t' || (event_id % 4) FROM events WHERE event_id % 3 = 1",
     "n17_retention": f"WITH {LOG} SELECT session_id, count(*) AS events FROM log WHERE session_id % 2 <> 0 OR session_id % 10 = 0 GROUP BY session_id",
     "n18_merge": f"WITH {LOG} SELECT event_id, started_at, ended_at, CASE WHEN ended_at IS NULL THEN 'pending' ELSE decision END AS decision, CASE WHEN ended_at IS NOT NULL THEN bytes_sent END AS bytes_sent FROM log",
