@@ -2,7 +2,7 @@
 
 import pytest
 
-from millrace.operators import evidence
+from millrace.operators import evals, evidence
 from tests.test_registry import test_query_and_sql_agree as agree
 
 
@@ -28,3 +28,31 @@ def test_totals_of_sessions(spark):
     places = [r for r in found if r["level"] == "destination"]
     assert len(places) == 7 and next(r for r in places if r["scope"] == "public")["sources"] == ["attach"] and next(r for r in places if r["scope"] is None)["agents"] == ["a"]
     assert sorted((r["agent"], r["running"]) for r in found if r["level"] == "agent") == [("a", 1), ("b", 1)]
+
+
+@pytest.mark.parametrize("name", ("a11_tool_risk", "a12_risk_warnings", "a13_validate_records"))
+def test_evals_agree(spark, name):
+    agree(spark, name)
+
+
+def test_tool_risk(spark):
+    want = {
+        "dropTable": ["drop"], "table.dropped": ["dropped"], "dropping_all": ["dropping"], "transferring": ["transferring"], "invoice.paid": ["paid"], "fileWritten": ["written"],
+        "mailSent": ["sent"], "forcedelete": ["delete"], "del_ete": ["delete"], "d.e.l.e.t.e": ["delete"], "DBDROP": ["drop"], "orders:writes": ["writes"], "execute": ["execute"],
+        "s.endpoint": ["send"], "rewriteAll": ["write"], "refunds.create": ["create", "refunds"], "writer.publish": ["write"],
+        "list.refunds": [], "writer.read": [], "writer.readAndDelete": ["delete", "write"], "readPayload": [], "consent.get": [], "represented": [], "dropdown": [], "sender": [],
+        "readUserUpdatedAt": [], "payments.list": [], "executor": [],
+    }
+    tools = spark.createDataFrame([("s", n, [], False) for n in want], "spec_id string, name string, scopes array<string>, approval boolean")
+    found = {n: [] for n in want}
+    for r in evals.tool_risk(tools).collect():
+        found[r["identifier"]].append(r["token"])
+    assert {n: sorted(t) for n, t in found.items()} == want
+    assert {r["name"] for r in evals.risk_warnings(tools).collect()} == {n for n, t in want.items() if t}
+
+
+def test_items_and_tool_ids(spark):
+    rows = spark.createDataFrame([(["ab", "", None, "a b"], "a.b:c/d"), ([], "a\u2028"), (None, None)], "tags array<string>, tool string")
+    schema = {"properties": {"tags": {"type": "array", "minItems": 1, "items": {"type": "string", "minLength": 1, "pattern": evals.TOOL_ID}}, "tool": {"type": "string", "pattern": evals.TOOL_ID}}}
+    found = [r["errors"] for r in evals.validate_records(rows, schema).collect()]
+    assert found == [["tags[1]: minLength", "tags[1]: pattern", "tags[2]: type", "tags[3]: pattern"], ["tags: minItems", "tool: pattern"], []]
