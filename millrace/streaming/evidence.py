@@ -7,17 +7,21 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 
-def merge_stream(rows: DataFrame, late: str = "1 hour") -> DataFrame:
-    """Opened and closed events merged once both phases came or the watermark passed.
+def merge_stream(rows: DataFrame, late: str = "1 hour", longest: str = "7 days") -> DataFrame:
+    """Opened and closed events merged, one row each, with the decision and bytes of the latest filled phase.
 
-    State is one row per event within a day; a phase later than the watermark is dropped.
+    A session window per event takes phases that are less than `longest` apart, whatever the day; it is emitted once
+    the watermark has passed it by that wait. State is one row per event that is open or was closed within the wait;
+    a phase later than the watermark is dropped, and phases further apart than `longest` come out as rows of their own.
     """
     stamped = rows.withWatermark("at", late)
-    return stamped.groupBy(F.window("at", "1 day"), "event_id").agg(
+    last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("at"))).alias(c)
+    merged = stamped.groupBy(F.session_window("at", longest), "event_id").agg(
         F.min(F.when(F.col("phase") == "open", F.col("at"))).alias("started_at"),
         F.max(F.when(F.col("phase") == "close", F.col("at"))).alias("ended_at"),
-        F.max("bytes_sent").alias("bytes_sent"),
-    )
+        last("decision"), last("bytes_sent"),
+    )
+    return merged.drop("session_window")
 
 
 def dedupe_stream(rows: DataFrame, late: str = "1 hour") -> DataFrame:
