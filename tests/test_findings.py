@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.operators import evals, evidence
+from millrace.operators import evals, evidence, text
 from millrace.streaming import evidence as streams
 from tests.test_registry import test_query_and_sql_agree as agree
 
@@ -78,3 +78,25 @@ def test_merge_stream_over_midnight(spark, tmp_path):
     closed = streams.merge_stream(spark.readStream.schema(table(rows).schema).parquet(str(tmp_path / "in"))).writeStream.format("memory").queryName("emitted").outputMode("append")
     closed.option("checkpointLocation", str(tmp_path / "d")).trigger(availableNow=True).start().awaitTermination()
     assert sorted(r["event_id"] for r in spark.table("emitted").collect()) == [1, 2, 3]
+
+
+def test_triads_of_bullets(spark):
+    docs = spark.createDataFrame([(1, "Look:\n- one\n* two\n  + three\nend"), (2, "- one\n- two\nend"), (3, "Red, blue, and green."), (4, "- a, b, and c\n- d\n- e")], "id long, text string")
+    hits = {r["id"]: (r["hits"], r["severity"]) for r in text.analyze(docs, "id", signals={"uniform_structure": text.uniform_structure}).collect()}
+    assert hits == {1: (1, "notice"), 2: (0, "info"), 3: (1, "notice"), 4: (1, "notice")}
+    found = {r["id"]: r["excerpt"] for r in text.evidence(docs, "id").filter("signal = 'uniform_structure'").collect()}
+    assert found == {1: "- one\n* two\n  + three", 3: "Red, blue, and green", 4: "- a, b, and c\n- d\n- e"}
+
+
+def test_suggestions(spark):
+    said = (
+        "In the age of data, we wait. It's not just fast, but it's cheap. The result: more noise. It grew, highlighting the need for care in every single part. Experts say so 😀 every day.\n\n"
+        "`Not this. Not that. No more.` Some words stand here in between. Fine. No rest for anyone here. Not a single day of it. Never again in any year. Why would anyone ask this?\n\nIn conclusion, let that sink in for a while."
+    )
+    docs = spark.createDataFrame([(1, said), (2, "One two three four five. " * 6), (3, None)], "id long, text string")
+    rows = text.suggestions(docs, "id").collect()
+    assert all(said[r["start"] : r["end"]] == r["value"] for r in rows if r["id"] == 1)
+    kinds = {v: k for k, v in text.JUDGED.items()}
+    found = {kinds[r["advice"]]: r["value"] for r in sorted(rows, key=lambda r: -r["id"]) if r["advice"] in kinds}
+    assert set(found) == set(text.JUDGED) and found["dramatic_fragmentation"] == "Fine." and found["object_opener"] == "In the age of data,"
+    assert found["whole_recap"].startswith("In conclusion") and found["negative_listing"].startswith("No rest") and found["negative_listing"].endswith("any year.")
