@@ -1,12 +1,13 @@
 """Operator 3, token counts: pieces counted once per distinct pre-token, joined to each document's frequencies."""
 
+import hashlib
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import sentencepiece
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.staging import quoted, staged
@@ -14,6 +15,8 @@ from millrace.llm.spans import code_points, ranges, sliced, span_hashes
 
 #: Pre-tokens that are looked up in a broadcast table, at most; the rest join by a shuffle.
 HOT = 1 << 18
+#: Bytes of a pre-token up to which it is its own key; the hot table's strings take at most 16 MB.
+KEY_BYTES = 64
 
 
 @lru_cache(maxsize=2)
@@ -26,6 +29,19 @@ def _marked(text: str) -> str:
     return "▁" + text.replace(" ", "▁") if text else ""
 
 
+def key_of(token: str) -> str:
+    """What a pre-token is looked up by: itself, or its MD5 where it is long. No digest starts with a mark."""
+    if len(token) <= KEY_BYTES // 4:
+        return token
+    raw = token.encode()
+    return token if len(raw) <= KEY_BYTES else hashlib.md5(raw).hexdigest()
+
+
+def key_column(token: Column) -> Column:
+    """key_of in Spark."""
+    return F.when(F.octet_length(token) <= KEY_BYTES, token).otherwise(F.md5(token))
+
+
 def frequencies(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
     """Distinct pre-tokens of the marked texts; then, sorted by text: text number, pre-token number, how often.
 
@@ -97,9 +113,10 @@ def count_tokens(
     Counts the pieces that the sentencepiece model at path gives for the whole text, without begin or end pieces.
     Null counts as empty: 0 bytes, 0 tokens. Repeated rows are counted each. Carried columns with the name of a
     result column are replaced. The `hot` most frequent pre-tokens at most are broadcast; the others join by a
-    shuffle, where none is frequent.
+    shuffle, where none is frequent. Both go by keys of at most 64 bytes, so texts without spaces, which are one
+    pre-token each, neither fill the driver nor shuffle again.
     """
-    counts = staged(piece_counts(docs, path, text_col), "piece-counts")
+    counts = staged(piece_counts(docs, path, text_col).select(key_column(F.col("token")).alias("token"), "total", "pieces"), "piece-counts")
     threshold = _hot_threshold(counts, hot)
     table = counts.filter(F.col("total") >= threshold).select("token", "pieces").toArrow() if threshold < float("inf") else None
     known = docs.sparkSession.sparkContext.broadcast(dict(zip(table["token"].to_pylist(), table["pieces"].to_pylist(), strict=True)) if table else {})
@@ -114,6 +131,7 @@ def count_tokens(
             n_bytes, sums, rest = [len(t.encode()) for t in texts], np.zeros(len(texts), np.int64), []
             for lo, hi in ranges(texts, 1 << 24):
                 tokens, text, token, n = frequencies(texts[lo:hi])
+                tokens = [key_of(t) for t in tokens]
                 pieces = np.array([table.get(t, -1) for t in tokens], np.int64)[token] if tokens else np.zeros(0, np.int64)
                 warm = pieces >= 0
                 np.add.at(sums, lo + text[warm], n[warm] * pieces[warm])
