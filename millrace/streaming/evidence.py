@@ -44,6 +44,21 @@ def run_once(stream: DataFrame, name: str, mode: str, checkpoint: str) -> Stream
     return query
 
 
+def run_to_files(stream: DataFrame, path: str) -> DataFrame:
+    """Run a stream of totals over all that is there; every batch writes all totals to files under path, and the last
+    ones are read back. Nothing is collected."""
+    written = []
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/out-{epoch}")
+        written.append(f"{path}/out-{epoch}")
+
+    query = stream.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", f"{path}/log").trigger(availableNow=True).start()
+    query.awaitTermination()
+    spark = stream.sparkSession
+    return spark.read.schema(stream.schema).parquet(written[-1]) if written else spark.createDataFrame([], stream.schema)
+
+
 def gated(stream: DataFrame, transform: Callable[[DataFrame], DataFrame], gate: Callable[[DataFrame, DataFrame], None], sink: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
     """Each micro-batch is transformed, must pass the gate, and only then reaches the sink."""
 

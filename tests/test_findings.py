@@ -3,8 +3,10 @@
 import pytest
 from pyspark.sql import functions as F
 
+from millrace import registry
 from millrace.operators import evals, evidence, text
 from millrace.streaming import evidence as streams
+from tests.test_registry import FOLDER
 from tests.test_registry import test_query_and_sql_agree as agree
 
 
@@ -100,3 +102,18 @@ def test_suggestions(spark):
     found = {kinds[r["advice"]]: r["value"] for r in sorted(rows, key=lambda r: -r["id"]) if r["advice"] in kinds}
     assert set(found) == set(text.JUDGED) and found["dramatic_fragmentation"] == "Fine." and found["object_opener"] == "In the age of data,"
     assert found["whole_recap"].startswith("In conclusion") and found["negative_listing"].startswith("No rest") and found["negative_listing"].endswith("any year.")
+
+
+def test_live_totals_stay_out_of_the_driver(spark):
+    agree(spark, "n20_live_totals")
+    found = registry.queries()["n20_live_totals"](spark, FOLDER)
+    assert found.inputFiles() and all("/live-" in f and f.endswith(".parquet") for f in found.inputFiles())
+
+
+def test_totals_to_files(spark, tmp_path):
+    rows = lambda *r: spark.createDataFrame(r, "session_id long, at string, decision string, bytes_sent long").withColumn("started_at", F.to_timestamp("at"))
+    for r in ((1, "2024-01-01 01:00:00", "allowed", 5), (1, "2024-01-01 02:00:00", "blocked", 6)):
+        rows(r).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(rows((1, "", "", 1)).schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = streams.run_to_files(streams.live_totals(stream, "1 day", "1 day"), str(tmp_path / "out")).collect()
+    assert [(r["session_id"], r["events"], r["allowed"], r["bytes_sent"]) for r in got] == [(1, 2, 1, 11)]
