@@ -1,5 +1,6 @@
 """From raw documents to token ids: five stages, each on all that the one before kept."""
 
+import threading
 from collections.abc import Callable
 from functools import wraps
 
@@ -11,7 +12,7 @@ from millrace.llm import bpe, language_id
 from millrace.llm.exact_dedup import exact_dedup
 from millrace.llm.minhash_dedup import near_dedup
 from millrace.llm.mixing import mix
-from millrace.functions.staging import STAGED, delete_staged, staged
+from millrace.functions.staging import delete_staged, scratch, staged
 
 #: Share of a text's n-grams that its language must hold at least.
 LEAST_SCORE = 0.4
@@ -19,19 +20,20 @@ LEAST_SCORE = 0.4
 ORACLE_SQL = None
 
 
-#: Tables that the last stage wrote for itself; its result is written when the next one starts, so they can go then.
-_LEFT: list[str] = []
+#: Tables that this thread's last stage wrote for itself and its result still reads.
+_LEFT = threading.local()
 
 
 def stage(function: Callable) -> Callable:
-    """A stage that first removes what the stage before wrote on its way, so that disk does not add up."""
+    """A stage that first removes what the thread's stage before wrote on its way, so that disk does not add up: a
+    stage's result must be written before the next one is called, as `run` does."""
 
     @wraps(function)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        delete_staged(spark, _LEFT)
-        before = len(STAGED)
-        out = function(spark, docs, sf_dir)
-        _LEFT[:] = STAGED[before:]
+        delete_staged(spark, getattr(_LEFT, "paths", []))
+        with scratch(spark) as own:
+            out = function(spark, docs, sf_dir)
+            _LEFT.paths = own.release()
         return out
 
     return run_stage
@@ -86,9 +88,16 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, each result written and read again; only the last one stays. Null and empty texts go
+    at the first stage; an empty table gives an empty result."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, apply in STAGES:
-        docs = staged(apply(spark, docs, sf_dir), f"pipeline-{name}")
+    with scratch(spark) as own:
+        for name, apply in STAGES:
+            before, docs = docs, staged(apply(spark, docs, sf_dir), f"pipeline-{name}")
+            own.drop(before)
+        own.keep(docs)
+    delete_staged(spark, _LEFT.paths)
+    _LEFT.paths = []
     return docs
 
 
