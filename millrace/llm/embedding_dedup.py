@@ -14,8 +14,8 @@ from pyspark.sql.window import Window
 from millrace.functions.staging import broadcast_if_small, join_groups, quoted, staged
 from millrace.llm.components import components, forest
 
-#: Vectors of a block, children of an interval, leading dimensions, vectors that the directions are fitted on.
-BLOCK, FANOUT, LEADING, SAMPLE = 2048, 8, 8, 4096
+#: Bytes of the vectors of a block, about; children of an interval, leading dimensions, vectors for the directions.
+BLOCK_BYTES, FANOUT, LEADING, SAMPLE = 1 << 22, 8, 8, 4096
 #: Sub-blocks within a task, and what rounding may take from a distance.
 TILE, SLACK = 256, 1e-6
 
@@ -25,16 +25,13 @@ def named_vectors(embedding: Column) -> Column:
 
     @F.arrow_udf("struct<dim: int, digest: binary>")
     def named(batch: pa.Array) -> pa.Array:
-        rows = []
-        for vector in batch:
-            values = vector.values
-            if values is None or not len(values) or values.null_count:
-                rows.append(None)
-                continue
-            x = values.to_numpy(zero_copy_only=False) + 0.0  # minus zero is zero
-            good = bool(np.isfinite(x).all()) and bool(x.any())
-            rows.append({"dim": len(x), "digest": hashlib.blake2b(x.tobytes(), digest_size=16).digest()} if good else None)
-        return pa.array(rows, pa.struct([("dim", pa.int32()), ("digest", pa.binary())]))
+        bounds, flat = batch.offsets.to_numpy(), batch.values.to_numpy(zero_copy_only=False) + 0.0  # minus zero is zero
+        length = np.where(batch.is_null().to_numpy(zero_copy_only=False), 0, np.diff(bounds))
+        odd, some = (np.concatenate([[0], np.cumsum(x)]) for x in (~np.isfinite(flat), flat != 0))  # a null part is NaN here
+        inside = lambda x: x[bounds[1:]] - x[bounds[:-1]]
+        good = (length > 0) & (inside(odd) == 0) & (inside(some) > 0)
+        names = [hashlib.blake2b(flat[a:b].tobytes(), digest_size=16).digest() if g else None for a, b, g in zip(bounds[:-1].tolist(), bounds[1:].tolist(), good.tolist(), strict=True)]
+        return pa.StructArray.from_arrays([pa.array(length, pa.int32()), pa.array(names, pa.binary())], ["dim", "digest"], mask=pa.array(~good))
 
     return named(embedding)
 
@@ -68,17 +65,21 @@ def grid_cells(vector: Column, dim: Column, directions: dict[int, np.ndarray], e
 
     @F.arrow_udf("array<int>")
     def cells(vectors: pa.Array, dims: pa.Array) -> pa.Array:
-        out = [
-            np.floor(unit(v.values.to_numpy()[None, :]) @ directions[d] / epsilon)[0].astype(int).tolist() if d in directions else []
-            for v, d in zip(vectors, dims.to_pylist(), strict=True)
-        ]
+        dims, bounds, flat = dims.to_numpy(), vectors.offsets.to_numpy(), vectors.values.to_numpy()
+        out: list[list[int]] = [[]] * len(dims)
+        for d in np.unique(dims).tolist():
+            if d in directions:
+                at = np.flatnonzero(dims == d)
+                own = unit(flat[bounds[at][:, None] + np.arange(d)]) @ directions[d] / epsilon
+                for i, cell in zip(at.tolist(), np.floor(own).astype(int).tolist(), strict=True):
+                    out[i] = cell
         return pa.array(out, pa.list_(pa.int32()))
 
     return cells(vector, dim)
 
 
-def blocks(nodes: DataFrame, count: int, directions: dict[int, np.ndarray], epsilon: float) -> DataFrame:
-    """The vectors in epsilon grid order, cut into blocks: (part, chunk, dim, low, high, rows, weights, vectors).
+def blocks(nodes: DataFrame, count: int, most: int, directions: dict[int, np.ndarray], epsilon: float) -> DataFrame:
+    """The vectors in epsilon grid order, cut into blocks of at most `most`: (part, chunk, dim, low, high, rows, weights, vectors).
 
     Rows are dealt by ranges of (dim, cells), ties by row, so that a crowded cell spreads over several tasks.
     """
@@ -106,9 +107,9 @@ def blocks(nodes: DataFrame, count: int, directions: dict[int, np.ndarray], epsi
                 chunk += 1
 
         for batch in batches:
-            for at in range(0, batch.num_rows, BLOCK):
-                piece = batch.slice(at, BLOCK)
-                if size + piece.num_rows > BLOCK:
+            for at in range(0, batch.num_rows, most):
+                piece = batch.slice(at, most)
+                if size + piece.num_rows > most:
                     yield from block(held)
                     held, size = [], 0
                 held.append(piece)
@@ -199,7 +200,7 @@ def join_blocks(pairs: DataFrame, least: float) -> DataFrame:
 
 
 def near_vectors(
-    vectors: DataFrame, vector_col: str = "embedding", id_col: str = "vec_id", carry: Sequence[str] | None = None, least: float = 0.9
+    vectors: DataFrame, vector_col: str = "embedding", id_col: str = "vec_id", carry: Sequence[str] | None = None, least: float = 0.9, block_bytes: int = BLOCK_BYTES
 ) -> DataFrame:
     """The carried columns (default: all) of every row, with n_links, component_id and kept.
 
@@ -221,8 +222,9 @@ def near_vectors(
     sets = staged(rows.filter("digest is not null").groupBy("digest").agg(F.min("row").alias("first"), F.count("*").alias("size")), "vector-sets")
     nodes = rows.join(sets.select(F.col("first").alias("row"), "size"), "row").select("row", "size", "dim", "vector")
     nodes = staged(nodes, "vector-nodes")
-    n = sets.count()
-    cut = staged(blocks(nodes, max(1, -(-n // BLOCK)), leading_directions(nodes) if n else {}, epsilon), "blocks")
+    n, longest = sets.count(), nodes.agg(F.max("dim")).first()[0] or 1
+    most = max(16, block_bytes // (8 * longest))
+    cut = staged(blocks(nodes, max(1, -(-n // most)), most, leading_directions(nodes) if n else {}, epsilon), "blocks")
     numbered = cut.select("part", "chunk", (F.row_number().over(Window.orderBy("part", "chunk")) - 1).cast("bigint").alias("seq"))
     cut = staged(cut.join(broadcast_if_small(numbered), ["part", "chunk"]), "blocks")
     pairs = near_blocks(cut, cut.count(), epsilon) if n else None

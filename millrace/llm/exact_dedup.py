@@ -16,35 +16,35 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x09-\x0D][\x20\x09-\x0D]*+|\x20[\x20\x09-\x0D]++", " ")
 
 
-def _slots(digest: Column, bits: int) -> list[Column]:
-    return [F.pmod(F.xxhash64(digest, F.lit(k)), F.lit(bits)) for k in (1, 2)]
+def _page(digest: Column, bits: int) -> Column:
+    return F.pmod(F.xxhash64(digest, F.lit(1)), F.lit(bits // PAGE))
 
 
-def repeated_slots(digests: DataFrame, bits: int) -> DataFrame:
+def _slots(digest: Column, slots: int) -> list[Column]:
+    return [F.pmod(F.xxhash64(digest, F.lit(k)), F.lit(PAGE)) for k in range(2, 2 + slots)]
+
+
+def repeated_slots(digests: DataFrame, bits: int, slots: int) -> DataFrame:
     """First pass: (page, bitmap) of the Bloom slots that at least two insertions hit.
 
-    Only slot numbers shuffle, summed per task first; the bitmaps take at most bits / 8 bytes in all.
+    All slots of a row lie in one page. Only their numbers shuffle, summed per task first: 8 bytes each, where whole
+    bitmaps of every task would take bits / 8 bytes a task. The bitmaps take at most bits / 8 bytes in all.
     """
-    slot = digests.select(F.explode(F.array(*_slots(F.col("_sha"), bits))).alias("slot"))
-    twice = slot.groupBy("slot").count().filter("count > 1")
-    return twice.groupBy(F.expr(f"slot div {PAGE}").alias("page")).agg(
-        F.bitmap_construct_agg(F.expr(f"slot % {PAGE}")).alias("bitmap")
-    )
+    slot = digests.select(_page(F.col("_sha"), bits).alias("page"), F.explode(F.array_distinct(F.array(*_slots(F.col("_sha"), slots)))).alias("slot"))
+    twice = slot.groupBy((F.col("page") * PAGE + F.col("slot")).alias("at")).count().filter("count > 1")
+    return twice.groupBy(F.expr(f"at div {PAGE}").alias("page")).agg(F.bitmap_construct_agg(F.expr(f"at % {PAGE}")).alias("bitmap"))
 
 
-def may_repeat(rows: DataFrame, pages: DataFrame, bits: int) -> DataFrame:
-    """Second pass: adds _maybe, true where both slots of a row's digest are set; false says that it is unique."""
-    for k, slot in enumerate(_slots(F.col("_sha"), bits)):
-        page = pages.select(F.col("page").alias(f"_page{k}"), F.col("bitmap").alias(f"_map{k}"))
-        rows = rows.withColumn(f"_slot{k}", slot).join(
-            F.broadcast(page), F.expr(f"_slot{k} div {PAGE}") == F.col(f"_page{k}"), "left"
-        )
+def may_repeat(rows: DataFrame, pages: DataFrame, bits: int, slots: int) -> DataFrame:
+    """Second pass: adds _maybe, true where all slots of a row's digest are set; false says that it is unique."""
+    page = pages.select(F.col("page").alias("_page"), F.col("bitmap").alias("_map"))
+    joined = rows.join(F.broadcast(page), _page(F.col("_sha"), bits) == F.col("_page"), "left")
+    joined = joined.withColumns({f"_slot{k}": slot for k, slot in enumerate(_slots(F.col("_sha"), slots))})
     hit = [
-        f"coalesce(getbit(cast(conv(hex(substring(_map{k}, cast(_slot{k} % {PAGE} div 8 as int) + 1, 1)), 16, 10) as bigint), "
-        f"cast(_slot{k} % 8 as int)) = 1, false)"
-        for k in (0, 1)
+        f"coalesce(getbit(cast(conv(hex(substring(_map, cast(_slot{k} div 8 as int) + 1, 1)), 16, 10) as bigint), cast(_slot{k} % 8 as int)) = 1, false)"
+        for k in range(slots)
     ]
-    return rows.withColumn("_maybe", F.expr(" and ".join(hit))).drop(*[f"_{n}{k}" for n in ("slot", "page", "map") for k in (0, 1)])
+    return joined.withColumn("_maybe", F.expr(" and ".join(hit))).drop("_page", "_map", *[f"_slot{k}" for k in range(slots)])
 
 
 def exact_dedup(
@@ -60,8 +60,9 @@ def exact_dedup(
     Of equal texts the row with the smallest id stays; null ids come last, and of repeated rows with one id a single
     one stays. A carried column with the name of a result column is replaced. An empty table gives an empty result.
 
-    The filter has 16 bits a row, up to max_filter_bits (128 MB by default), so the broadcast is bounded; beyond
-    that more rows count as possibly repeated and shuffle, and the result stays the same.
+    The filter has 16 bits a row and two slots, up to max_filter_bits (128 MB by default), so the broadcast is bounded;
+    with fewer than five bits a row it has one slot. Beyond that more rows count as possibly repeated and shuffle their
+    digests, and the result stays the same.
     """
     made = ("keep_id", "group_size", "kept", "text_sha256")
     columns = [c for c in (docs.columns if carry is None else carry) if c not in made]
@@ -76,8 +77,9 @@ def exact_dedup(
     )
     n = rows.count()
     bits = min(max_filter_bits, max(PAGE, 1 << (16 * n - 1).bit_length() if n else 0))
-    pages = staged(repeated_slots(rows, bits), "exact-filter")
-    flagged = may_repeat(rows, pages, bits)
+    slots = 2 if bits >= 5 * n else 1
+    pages = staged(repeated_slots(rows, bits, slots), "exact-filter")
+    flagged = may_repeat(rows, pages, bits, slots)
     groups = staged(
         flagged.filter("_maybe")
         .groupBy("_sha")

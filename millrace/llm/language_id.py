@@ -14,19 +14,26 @@ from pyspark.sql.window import Window
 from millrace.functions.staging import broadcast_if_small, staged
 from millrace.llm.spans import U, code_points, mixed, ranges, sliced
 
-#: Code points of an n-gram; slots of the filters, as a power of two.
-GRAM, SLOT_BITS = 4, 20
+#: Code points of an n-gram; least and most slots of a filter, as powers of two, and slots per n-gram of a language.
+GRAM, SLOT_BITS, MOST_BITS, SLOTS = 4, 20, 24, 16
 UNDETERMINED = "und"
 
 
 @dataclass(frozen=True)
 class LanguageFilters:
-    """planes[slot, l // 8] has bit l % 8 set where language l uses the slot; fill is the share of its slots."""
+    """planes[slot, l // 8] has bit l % 8 set where language l uses the slot; fill is the share of its slots. There are
+    2 ** bits slots."""
 
     languages: tuple[str, ...]
     planes: np.ndarray
     fill: np.ndarray
     usual: int
+    bits: int
+
+    def masks(self, gram: np.ndarray) -> np.ndarray:
+        """The languages that hold each n-gram, as bits: both of its slots are set."""
+        one, other = gram >> U(64 - self.bits), (gram >> U(64 - 2 * self.bits)) & U((1 << self.bits) - 1)
+        return self.planes[one] & self.planes[other]
 
 
 @lru_cache(maxsize=1)
@@ -76,8 +83,9 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", sample: int = 2000, ratio: float = 0.5) -> LanguageFilters:
     """Filters of the languages in lang_col, from a sample of about `sample` texts of each, chosen by their hash.
 
-    A language holds an n-gram where its relative frequency is at least `ratio` of the highest of all languages.
-    Rows without text or language teach nothing; without any such row there are no languages.
+    A language holds an n-gram where its relative frequency is at least `ratio` of the highest of all languages. A
+    filter has 16 slots or more per n-gram of the language that holds most, up to 2 ** 24. Rows without text or
+    language teach nothing, repeated rows count each; without any row of use there are no languages.
     """
     rows = labelled.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).filter("lang is not null and text is not null")
     sizes = staged(rows.groupBy("lang").agg(F.count("*").alias("texts")), "languages")
@@ -91,12 +99,15 @@ def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", s
     share = grams.join(broadcast_if_small(totals), "lang").withColumn("share", F.col("n") / F.col("all"))
     held = share.withColumn("most", F.max("share").over(Window.partitionBy("gram"))).filter(F.col("share") >= ratio * F.col("most"))
     number = F.array_position(F.array(*map(F.lit, languages)), F.col("lang")) - 1 if languages else F.lit(0)
-    slots = held.select(number.cast("int").alias("l"), F.explode(F.array(*[F.shiftrightunsigned("gram", s).bitwiseAND((1 << SLOT_BITS) - 1) for s in (44, 24)])).alias("slot"))
+    held = staged(held.select(number.cast("int").alias("l"), "gram"), "held-grams")
+    most = held.groupBy("l").count().agg(F.max("count")).first()[0] or 1
+    size = min(MOST_BITS, max(SLOT_BITS, (SLOTS * most - 1).bit_length()))
+    slots = held.select("l", F.explode(F.array(*[F.shiftrightunsigned("gram", 64 - k * size).bitwiseAND((1 << size) - 1) for k in (1, 2)])).alias("slot"))
     bits = slots.groupBy("slot", F.expr("l div 8").alias("plane")).agg(F.bit_or(F.expr("shiftleft(1, l % 8)")).alias("bits")).toArrow()
-    planes = np.zeros((1 << SLOT_BITS, max(1, -(-len(languages) // 8))), np.uint8)
+    planes = np.zeros((1 << size, max(1, -(-len(languages) // 8))), np.uint8)
     planes[bits["slot"].to_numpy(), bits["plane"].to_numpy()] = bits["bits"].to_numpy()
     fill = np.array([((planes[:, i // 8] >> (i % 8)) & 1).mean() for i in range(len(languages))])
-    return LanguageFilters(languages, planes, fill, max(range(len(languages)), key=lambda i: counts[languages[i]], default=0))
+    return LanguageFilters(languages, planes, fill, max(range(len(languages)), key=lambda i: counts[languages[i]], default=0), size)
 
 
 def _held(texts: list[str], filters: LanguageFilters) -> tuple[np.ndarray, np.ndarray]:
@@ -107,7 +118,7 @@ def _held(texts: list[str], filters: LanguageFilters) -> tuple[np.ndarray, np.nd
     parts = [t for _, t in numbered]
     for lo, hi in ranges(parts):
         gram, owner = _grams(parts[lo:hi])
-        masks = filters.planes[gram >> U(44)] & filters.planes[(gram >> U(24)) & U((1 << SLOT_BITS) - 1)]
+        masks = filters.masks(gram)
         of = np.array([i for i, _ in numbered[lo:hi]])
         np.add.at(total, of, np.bincount(owner, minlength=hi - lo))
         for p in range(masks.shape[1]):

@@ -17,9 +17,10 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("bigint")
 
 
-def hash60(key: Column) -> Column:
-    """The first 60 bits of the MD5 of the key as text (null: empty)."""
-    return F.conv(F.substring(F.md5(F.coalesce(key.cast("string"), F.lit(""))), 1, HASH_BITS // 4), 16, 10).cast("bigint")
+def hash60(key: Column, text: Column) -> Column:
+    """The first 60 bits of an MD5 of the key as text and the text (null: empty), so that rows of one key differ."""
+    empty = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    return F.conv(F.substring(F.md5(F.concat(empty(key), F.lit(":"), F.md5(empty(text)))), 1, HASH_BITS // 4), 16, 10).cast("bigint")
 
 
 def source_targets(sized: DataFrame, weights: Sequence[int], share: float, repeats: int) -> DataFrame:
@@ -89,15 +90,15 @@ def mix(
     A row's size is its number of words (null text: 0). Sources in code point order, null last as a source of its
     own, get the weights in turn and share `share` times the size of all rows; no target exceeds `repeats` times its
     source, and the excess goes to the others by weight. A source takes every row as often as its target holds it
-    whole, and once more the rows whose hash of the id lies below a threshold; the row on the threshold is taken if
-    that brings the sum nearer. Rows that share an id share a hash and are taken alike. copies is how often a row is
+    whole, and once more the rows whose hash of id and text lies below a threshold; the row on the threshold is taken
+    if that brings the sum nearer. Rows that share both are taken alike. copies is how often a row is
     taken, taken is copies times size. A source without words has target 0. An empty table gives an empty result.
     Carried columns with the name of a result column are replaced.
     """
     made = ("size", "source_size", "target", "copies", "taken")
     columns = [c for c in (docs.columns if carry is None else carry) if c not in made]
     sized = staged(
-        docs.select(F.struct(*map(quoted, columns)).alias("_in"), F.col(source_col).alias("_source"), word_count(F.col(text_col)).alias("_size"), hash60(F.col(id_col)).alias("_h")), "mix"
+        docs.select(F.struct(*map(quoted, columns)).alias("_in"), F.col(source_col).alias("_source"), word_count(F.col(text_col)).alias("_size"), hash60(F.col(id_col), F.col(text_col)).alias("_h")), "mix"
     )
     targets = broadcast_if_small(staged(source_targets(sized, weights, share, repeats), "mix-targets"))
     final = broadcast_if_small(staged(thresholds(sized, targets), "mix-thresholds")).withColumnRenamed("_source", "_of")

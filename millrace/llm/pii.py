@@ -6,9 +6,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.functions.spans import starts
 from millrace.functions.staging import quoted
 
-#: Code points before and after a span in which context words count, and what one adds to the score.
+#: Code points before and after a span in which context words count, as far as the next match, and what one adds.
 BEFORE, AFTER, CONTEXT = 40, 20, 0.2
 OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 
@@ -30,7 +31,7 @@ KINDS = {
     "card": Kind(r"[0-9](?:[\x20-]?[0-9])++", "", 0.7, "card|visa|credit|payment|carte|karte|tarjeta"),
     "phone": Kind(r"\+[0-9][\x20().0-9-]+[0-9]", "+", 0.6, "phone|call|tel|mobile|fax"),
     "iban": Kind(r"\b[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}\b", "", 0.7, "iban|bank|account|konto|compte|cuenta"),
-    "ssn": Kind(r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])", "-", 0.4, "ssn|social security"),
+    "ssn": Kind(r"[0-9-]++", "-", 0.4, "ssn|social security"),
 }
 
 
@@ -51,42 +52,41 @@ def _confirmed(kind: str, value: Column) -> Column:
         return F.length(F.regexp_replace(value, "[^0-9]", "")).between(10, 15)
     if kind == "iban":
         return _mod97(value) == 1
+    if kind == "ssn":
+        return value.rlike("^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}$")
     return F.lit(True)
 
 
-def _placed(matches: Column, gaps: Column) -> Column:
-    """Matches with the place where each starts: the lengths of the gaps and matches before it."""
-    none = F.array().cast("array<struct<start: int, value: string>>")
-    step = lambda acc, x: F.struct(
-        (acc["at"] + F.length(x["gap"]) + F.length(x["match"])).alias("at"),
-        F.concat(acc["out"], F.array(F.struct((acc["at"] + F.length(x["gap"])).alias("start"), x["match"].alias("value")))).alias("out"),
-    )
-    pairs = F.zip_with(matches, F.slice(gaps, F.lit(1), F.size(matches)), lambda m, g: F.struct(m.alias("match"), g.alias("gap")))
-    return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
-
-
 def _scored(rank: int, kind: str, least_score: float) -> Column:
-    """The spans of a kind, from its matches and gaps, with their scores."""
+    """The spans of a kind, from its matches and gaps, with their scores: checked first, then scored by their context."""
+    found, gaps = F.col(f"m_{kind}"), F.col(f"g_{kind}")
+    around = F.zip_with(
+        F.slice(gaps, F.lit(1), F.size(found)),
+        F.slice(gaps, F.lit(2), F.size(found)),
+        lambda b, a: F.struct(F.right(b, F.lit(BEFORE)).alias("before"), F.left(a, F.lit(AFTER)).alias("after")),
+    )
+    placed = F.zip_with(found, starts(found, gaps), lambda m, s: F.struct(s.alias("start"), m.alias("value")))
+    both = F.zip_with(placed, around, lambda p, c: F.struct(p["start"].alias("start"), p["value"].alias("value"), c.alias("near")))
 
     def scored(s: Column) -> Column:
-        end = s["start"] + F.length(s["value"])
-        near = F.substring(F.col("text"), F.greatest(s["start"] - BEFORE, F.lit(0)) + 1, F.least(s["start"], F.lit(BEFORE)) + F.length(s["value"]) + AFTER)
+        near = F.concat(s["near"]["before"], s["value"], s["near"]["after"])
         score = F.lit(KINDS[kind].score) + F.when(F.lower(near).rlike(KINDS[kind].words), CONTEXT).otherwise(0.0)
-        return F.struct(s["start"].alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(kind).alias("kind"), s["value"].alias("value"), score.alias("score"))
+        end = s["start"] + F.length(s["value"])
+        return F.struct(s["start"].alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(kind).alias("kind"), s["value"].alias("value"), F.round(score, 2).alias("score"))
 
-    placed = _placed(F.col(f"m_{kind}"), F.col(f"g_{kind}"))
-    good = F.filter(placed, lambda s: _confirmed(kind, s["value"]))
+    good = F.filter(both, lambda s: _confirmed(kind, s["value"]))
     return F.filter(F.transform(good, scored), lambda s: s["score"] >= least_score)
 
 
-def find_spans(docs: DataFrame, text_col: str = "text", kinds: Sequence[str] = ("email", "ip", "card", "phone", "iban"), least_score: float = 0.5) -> DataFrame:
+def find_spans(docs: DataFrame, text_col: str = "text", kinds: Sequence[str] = tuple(KINDS), least_score: float = 0.5) -> DataFrame:
     """docs with pii: array of (start, rank, end, kind, value, score) by start, then by the order of kinds.
 
     Starts and ends are code points, the end exclusive. Matches of a kind are leftmost and do not overlap; those of
     different kinds may. A match that its checksum or range check refuses is dropped and not tried again. A context
-    word within 40 code points before or 20 after adds to the score, and spans below least_score are dropped: base
-    kinds never fall below 0.5, a social security number needs a context word. Null texts have no spans. A column
-    named pii is replaced.
+    word within 40 code points before or 20 after, as far as the next match of the kind, adds to the score, and spans
+    below least_score are dropped: base kinds never fall below 0.5, a social security number needs a context word.
+    Null and empty texts have no spans, repeated rows each their own, an empty table an empty result. A column named
+    pii is replaced.
     """
     columns = [c for c in docs.columns if c != "pii"]
     rows = docs.select(F.struct(*map(quoted, columns)).alias("_in"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))

@@ -55,7 +55,8 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = F.col("pii.kind")
     counts = {f"n_{k}": (F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("bigint") for k in base}
     digest = F.sha2(pii.written(F.filter("pii", lambda s: s["kind"].isin(*base))), 256)
-    return docs.select("doc_id", *[c.alias(n) for n, c in counts.items()], digest.alias("base_sha256"), pii.written(F.col("pii")).alias("spans"))
+    scores = F.array_join(F.transform("pii", lambda s: F.round(s["score"] * 100).cast("int").cast("string")), ",")
+    return docs.select("doc_id", *[c.alias(n) for n, c in counts.items()], digest.alias("base_sha256"), pii.written(F.col("pii")).alias("spans"), scores.alias("scores"))
 
 
 def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,6 @@
-"""Texts as arrays of code points, and 64-bit hashes of spans of them, without a Python step per token."""
+"""Texts as arrays of code points, and distinct spans of them, without a Python step per token."""
 
+import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -53,8 +54,9 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return tuple(np.cumprod(np.concatenate([np.ones(1, U), np.full(n, b, U)])) for b in (_BASE, pow(_BASE, -1, 1 << 64)))
 
 
-def span_hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hash of codes[start:end] for each span: a polynomial over mixed code points, by differences of prefix sums."""
+def _sums(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A number for codes[start:end] of each span, by differences of prefix sums. Equal spans have equal numbers, but
+    spans with equal numbers may differ: only good for sorting spans before they are compared."""
     power, inverse = _powers(max(1 << 18, 1 << int(len(codes)).bit_length()))
     value = (codes.astype(U) + U(1)) * U(0xA24BAED4963EE407)
     value ^= value >> U(29)
@@ -63,6 +65,45 @@ def span_hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
     return mixed((prefix[ends] - prefix[starts]) * inverse[starts])
 
 
+def distinct_spans(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+    """The distinct spans codes[start:end], none empty, as UTF-32 bytes, and the number of each span among them.
+
+    Spans are sorted by a number, then every span is compared, code point by code point, with the one that stands for
+    its number; where any two differ, all are told apart by their bytes.
+    """
+    raw = np.ascontiguousarray(codes, "<u4").tobytes()
+    _, one, inverse = np.unique(_sums(codes, starts, ends), return_index=True, return_inverse=True)
+    length, stand = ends - starts, one[inverse]
+    same = (length == length[stand]).all()
+    if same and len(starts):
+        upto = np.cumsum(length)
+        at = np.repeat(starts - (upto - length), length) + np.arange(upto[-1])
+        same = (codes[at] == codes[at + np.repeat(starts[stand] - starts, length)]).all()
+    if same:
+        return [raw[4 * s : 4 * e] for s, e in zip(starts[one].tolist(), ends[one].tolist(), strict=True)], inverse
+    numbers: dict[bytes, int] = {}
+    every = [numbers.setdefault(raw[4 * s : 4 * e], len(numbers)) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
+    return list(numbers), np.array(every, np.int64)
+
+
+def span_hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, chained: int = 32) -> np.ndarray:
+    """A 64-bit hash of each span: every code point is mixed into the state that those before it left, so that no
+    regularity of the text shows in it; of spans longer than `chained`, 64 bits of BLAKE2b."""
+    length = ends - starts
+    out = mixed(length.astype(U) * U(0xA24BAED4963EE407) + U(_BASE))
+    short = np.flatnonzero(length <= chained)
+    short = short[np.argsort(-length[short], kind="stable")]
+    h, at, size = out[short], starts[short], -length[short]
+    for k in range(int(-size[0]) if len(size) else 0):
+        n = int(np.searchsorted(size, -k))
+        h[:n] = mixed((h[:n] ^ codes[at[:n] + k]) * U(0x9E3779B97F4A7C15) + U(k))
+    out[short] = h
+    raw = np.ascontiguousarray(codes, "<u4")
+    for i in np.flatnonzero(length > chained).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(raw[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return out
+
+
 def gathered(offsets: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Positions of the rows `which` of a ragged array with those offsets, one after another, and their lengths."""
     lengths = (offsets[1:] - offsets[:-1])[which]

@@ -27,7 +27,7 @@ FROM d JOIN g USING (text_sha256)
 MIXING = r"""
 WITH sized AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         ('0x' || md5(coalesce(doc_id::VARCHAR, ''))[1:15])::BIGINT AS h
+         ('0x' || md5(coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, '')))[1:15])::BIGINT AS h
   FROM documents
 ), per AS (
   SELECT source, sum(size)::BIGINT AS source_size,
@@ -100,16 +100,19 @@ FROM reach r GROUP BY r.vec_id
 """
 
 
-def _kind(name: str, pattern: str, good: str) -> str:
-    """CTEs m_, p_ and s_ of a kind: its matches, their places, and the spans whose value passes the check."""
+def _kind(name: str, pattern: str, good: str, score: int, words: str) -> str:
+    """CTEs m_, p_ and s_ of a kind: its matches, their places and surroundings, and the spans that pass the check."""
     return f"""
 m_{name} AS (
   SELECT doc_id, regexp_extract_all(text, '{pattern}') AS m, regexp_split_to_array(text, '{pattern}') AS g FROM d
 ), p_{name} AS (
   SELECT doc_id, unnest(m) AS v, unnest(list_transform(range(1, len(m) + 1), lambda i:
-    list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0)))::INT AS s
+    list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0)))::INT AS s,
+    unnest(list_transform(range(1, len(m) + 1), lambda i: lower(right(g[i], 40) || m[i] || left(g[i + 1], 20)))) AS near
   FROM m_{name} WHERE len(m) > 0
-), s_{name} AS (SELECT doc_id, s, s + length(v) AS e, '{name}' AS kind FROM p_{name} WHERE {good})"""
+), s_{name} AS (
+  SELECT doc_id, s, s + length(v) AS e, '{name}' AS kind, {score} + CASE WHEN regexp_matches(near, '{words}') THEN 20 ELSE 0 END AS score FROM p_{name} WHERE {good}
+)"""
 
 
 _LUHN = """list_reduce(list_transform(range(length(n)), lambda i: CASE WHEN i % 2 = 0 THEN reverse(n)[i + 1]::INT
@@ -119,26 +122,31 @@ _MOD97 = """list_reduce(list_concat([0], list_transform(string_split(v[5:] || v[
   lambda a, b: (CASE WHEN b > 9 THEN a * 100 + b ELSE a * 10 + b END) % 97) = 1"""
 _DIGITS = "length(regexp_replace(v, '[^0-9]', '', 'g'))"
 
+_SSN = "regexp_matches(v, '^[0-9]{3}-[0-9]{2}-[0-9]{4}$') AND v[1:3] NOT IN ('000', '666') AND v[1:1] <> '9' AND v[5:6] <> '00' AND v[8:11] <> '0000'"
+
 PII = (
     "WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),"
     + ",".join(
         [
-            _kind("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "true"),
-            _kind("ip", r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)", "list_max(list_transform(string_split(v, '.'), lambda x: x::HUGEINT)) <= 255"),
-            _kind("card", r"[0-9](?:[\x20-]?[0-9])+", f"length(regexp_replace(v, '[ -]', '', 'g')) BETWEEN 14 AND 19 AND {_LUHN}"),
-            _kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", f"{_DIGITS} BETWEEN 10 AND 15"),
-            _kind("iban", r"\b[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}\b", _MOD97),
+            _kind("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "true", 80, "mail|contact|write"),
+            _kind("ip", r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)", "list_max(list_transform(string_split(v, '.'), lambda x: x::HUGEINT)) <= 255", 60, "ip|host|server|address|login"),
+            _kind("card", r"[0-9](?:[\x20-]?[0-9])+", f"length(regexp_replace(v, '[ -]', '', 'g')) BETWEEN 14 AND 19 AND {_LUHN}", 70, "card|visa|credit|payment|carte|karte|tarjeta"),
+            _kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", f"{_DIGITS} BETWEEN 10 AND 15", 60, "phone|call|tel|mobile|fax"),
+            _kind("iban", r"\b[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}\b", _MOD97, 70, "iban|bank|account|konto|compte|cuenta"),
+            _kind("ssn", "[0-9-]+", _SSN, 40, "ssn|social security"),
         ]
     )
     + """, spans AS (
-  SELECT doc_id, s, kind, kind || ':' || s || ':' || e AS w,
-         CASE kind WHEN 'email' THEN 0 WHEN 'ip' THEN 1 WHEN 'card' THEN 2 WHEN 'phone' THEN 3 ELSE 4 END AS r
-  FROM (SELECT * FROM s_email UNION ALL SELECT * FROM s_ip UNION ALL SELECT * FROM s_card UNION ALL SELECT * FROM s_phone UNION ALL SELECT * FROM s_iban)
+  SELECT doc_id, s, kind, score, kind || ':' || s || ':' || e AS w,
+         CASE kind WHEN 'email' THEN 0 WHEN 'ip' THEN 1 WHEN 'card' THEN 2 WHEN 'phone' THEN 3 WHEN 'iban' THEN 4 ELSE 5 END AS r
+  FROM (SELECT * FROM s_email UNION ALL SELECT * FROM s_ip UNION ALL SELECT * FROM s_card UNION ALL SELECT * FROM s_phone UNION ALL SELECT * FROM s_iban
+        UNION ALL SELECT * FROM s_ssn)
+  WHERE score >= 50
 )
 SELECT d.doc_id, count(*) FILTER (WHERE kind = 'email') AS n_email, count(*) FILTER (WHERE kind = 'ip') AS n_ip,
        count(*) FILTER (WHERE kind = 'card') AS n_card, count(*) FILTER (WHERE kind = 'phone') AS n_phone,
-       sha256(coalesce(string_agg(w, ',' ORDER BY s, r) FILTER (WHERE kind <> 'iban'), '')) AS base_sha256,
-       coalesce(string_agg(w, ',' ORDER BY s, r), '') AS spans
+       sha256(coalesce(string_agg(w, ',' ORDER BY s, r) FILTER (WHERE kind NOT IN ('iban', 'ssn')), '')) AS base_sha256,
+       coalesce(string_agg(w, ',' ORDER BY s, r), '') AS spans, coalesce(string_agg(score::VARCHAR, ',' ORDER BY s, r), '') AS scores
 FROM d LEFT JOIN spans x ON d.doc_id = x.doc_id GROUP BY d.doc_id
 """
 )

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.staging import quoted, staged
-from millrace.llm.spans import code_points, ranges, sliced, span_hashes
+from millrace.llm.spans import code_points, distinct_spans, ranges, sliced
 
 #: Pre-tokens that are looked up in a broadcast table, at most; the rest join by a shuffle.
 HOT = 1 << 18
@@ -60,9 +60,8 @@ def frequencies(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, np
         start[bounds[:-1][bounds[:-1] < len(codes)]] = True
         starts = np.flatnonzero(start)
         ends = np.append(starts[1:], len(codes))
-        _, one, inverse = np.unique(span_hashes(codes, starts, ends), return_index=True, return_inverse=True)
-        raw = codes.tobytes()
-        own = [numbers.setdefault(raw[4 * s : 4 * e].decode("utf-32-le", "surrogatepass"), len(numbers)) for s, e in zip(starts[one].tolist(), ends[one].tolist(), strict=True)]
+        spans, inverse = distinct_spans(codes, starts, ends)
+        own = [numbers.setdefault(s.decode("utf-32-le", "surrogatepass"), len(numbers)) for s in spans]
         text = np.searchsorted(bounds, starts, side="right") - 1
         key, n = np.unique((text << 32) | inverse, return_counts=True)
         rows.append(np.stack([lo + (key >> 32), np.array(own, np.int64)[key & 0xFFFFFFFF], n]))

@@ -1,9 +1,11 @@
 """The ten operators against brute force, on rows with nulls, empty and long texts, ties, repeats and clashing names."""
 
+import collections
 import hashlib
 import itertools
 import math
 import re
+import unicodedata
 
 import numpy as np
 import public_tokenizers
@@ -12,13 +14,15 @@ import sentencepiece
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from millrace.llm import bpe, language_id, pii, warc
+from millrace.llm import bpe, language_id, minhash_dedup, pii, warc
 from millrace.llm.components import components
 from millrace.llm.embedding_dedup import near_vectors
 from millrace.llm.exact_dedup import exact_dedup
 from millrace.llm.line_dedup import PerfectHash, drop_repeated_lines
-from millrace.llm.minhash_dedup import near_dedup, shared_counts, shingle_sets
+from millrace.llm.minhash_dedup import merged, near_dedup, shared_counts, shingle_sets
 from millrace.llm.mixing import mix
+from millrace.llm.registry import queries
+from millrace.llm.spans import code_points, distinct_spans
 from millrace.llm.token_counts import count_tokens
 
 WORDS = "the quick brown fox jumps over a lazy dog while nine purple clouds drift slowly past an old stone bridge near our quiet village".split()
@@ -215,13 +219,14 @@ def test_context_decides_on_weak_spans(spark):
     assert by_id(pii.redacted(pii.find_spans(rows, kinds=("ssn",))))[1]["redacted"] == "my ssn [ssn]"
 
 
-def test_vectors(spark):
+@pytest.mark.parametrize("block_bytes", [1 << 22, 1])
+def test_vectors(spark, block_bytes):
     rng = np.random.default_rng(2)
     base = rng.normal(size=(30, 16))
     x = [*(base + 0.0), *(base[:10] + 0.12 * rng.normal(size=(10, 16))), base[0], base[0], 3 * base[1]]
     rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(90, None), (91, [0.0] * 16), (92, [float("nan")] * 16), (93, [1.0, None]), (94, [1.0, 0.5]), (95, [2.0, 1.0]), (96, []), (None, base[2].tolist()), (5, x[5].tolist())]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("kept", F.lit(1))
-    got = near_vectors(frame).collect()
+    got = near_vectors(frame, block_bytes=block_bytes).collect()
     vec = [np.array(v["embedding"], float) if v["embedding"] and None not in v["embedding"] and np.isfinite(v["embedding"]).all() and any(v["embedding"]) else None for v in got]
     linked = [
         (a, b) for a, b in itertools.combinations(range(len(got)), 2)
@@ -254,8 +259,10 @@ def test_mix(docs, none):
     assert mix(none).count() == 0
 
 
-def test_lines(docs, none):
-    got = drop_repeated_lines(docs).collect()
+@pytest.mark.parametrize("small", [{}, {"shard": 2}, {"room": 0}, {"room": 0, "shard": 2, "probes": 2}])
+def test_lines(docs, none, small):
+    docs = docs.withColumn("n_lines", F.lit("x")).withColumn("shard", F.lit(1))
+    got = drop_repeated_lines(docs, **small).collect()
     key = lambda line: re.sub("[A-Z]", lambda m: m[0].lower(), line.strip(" \t\n\x0b\x0c\r"))
     held = {}
     for n, r in enumerate(got):
@@ -267,7 +274,7 @@ def test_lines(docs, none):
         rest = [x for x in lines if not gone(x)]
         assert (r["n_lines"], r["n_dropped"], r["kept_text"]) == (len(lines), len(lines) - len(rest), "\n".join(rest))
     assert sum(r["n_dropped"] for r in got) > 0
-    assert drop_repeated_lines(none).count() == 0
+    assert drop_repeated_lines(none, **small).count() == 0
 
 
 def test_perfect_hash():
@@ -291,3 +298,117 @@ def test_languages(spark):
     nothing = language_id.learn(docs.limit(0))
     assert {r["lang_pred"] for r in language_id.identify(docs, nothing).collect()} == {"und"}
     assert language_id.identify(docs.limit(0), filters).count() == 0
+
+
+def test_vectors_over_many_blocks(spark):
+    rng = np.random.default_rng(7)
+    base = rng.normal(size=(500, 12))
+    x = np.concatenate([base, base[:300] + 0.1 * rng.normal(size=(300, 12)), base[:300] + 0.25 * rng.normal(size=(300, 12))])
+    got = {r["vec_id"]: r for r in near_vectors(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"), block_bytes=1).collect()}
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    close = unit @ unit.T >= 0.9
+    np.fill_diagonal(close, False)
+    label = brute_components(range(len(x)), list(zip(*map(list, np.nonzero(close)), strict=True)))
+    assert {i: (got[i]["n_links"], got[i]["component_id"]) for i in got} == {i: (int(close[i].sum()), label[i]) for i in range(len(x))}
+
+
+def test_merged_signatures_equal_a_full_comparison():
+    rng = np.random.default_rng(8)
+    base = rng.integers(-(1 << 15), 1 << 15, (4, 64)).astype(np.int16)
+
+    def some(n):
+        x = base[rng.integers(0, 4, n)].copy()
+        new = rng.random(x.shape) < rng.random((n, 1)) * 0.9
+        x[new] = rng.integers(-(1 << 15), 1 << 15, new.sum())
+        return x, np.sort(rng.integers(0, 3, n))
+
+    (one, a), (other, b) = some(70), some(90)
+    for matches, room in ((35, 1 << 21), (1, 64), (64, 64), (20, 512)):
+        i, j = merged(one, other, matches, (a, b), room)
+        want = ((one[:, None] == other[None]).sum(axis=2) >= matches) & (a[:, None] == b[None])
+        assert sorted(zip(i.tolist(), j.tolist(), strict=True)) == sorted(zip(*(x.tolist() for x in np.nonzero(want)), strict=True))
+
+
+def test_near_over_several_blocks(spark, monkeypatch):
+    monkeypatch.setattr(minhash_dedup, "BLOCK", 8)
+    monkeypatch.setattr(minhash_dedup, "MANY", 3)
+    test_near_group_of_variants(spark)
+
+
+def thue_morse(n):
+    one = "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+    return one, one.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("n", [1024, 2048])
+def test_regular_texts_are_told_apart(spark, n):
+    one, other = thue_morse(n)
+    path, model = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    library, pieces = Tokenizer.from_file(path), sentencepiece.SentencePieceProcessor(model_file=model)
+    rows = spark.createDataFrame([(1, one), (2, other), (3, f"{one} {other}")], "doc_id long, text string").coalesce(1)
+    for r in bpe.decode(bpe.encode(rows, path), path).collect():
+        assert r["token_ids"] == library.encode(r["text"], add_special_tokens=False).ids and r["decoded"] == r["text"]
+    assert all(r["n_tokens"] == len(pieces.encode(r["text"])) for r in count_tokens(rows, model).collect())
+    assert {r["doc_id"]: r["component_id"] for r in near_dedup(rows, width=2).collect()} == {1: 1, 2: 2, 3: 3}
+    codes, bounds = code_points([one, other, one])
+    spans, number = distinct_spans(codes, bounds[:-1], bounds[1:])
+    assert len(spans) == 2 and number[0] == number[2] != number[1]
+
+
+def grams(text):
+    folded = "".join((c.lower() if len(c.lower()) == 1 else c) if unicodedata.category(c)[0] in "LM" else " " for c in f"  {text}  ")
+    return [folded[i : i + 4] for i in range(len(folded) - 3) if folded[i + 1] != " " or folded[i + 2] != " "]
+
+
+def test_languages_against_exact_sets(spark):
+    rows = [r for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang").collect()]
+    rows += [(-1, "tie", "en"), (-1, "tie", "en"), (-2, "", None), (-3, None, "en"), (-4, "…", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = [tuple(r) for r in language_id.identify(docs, language_id.learn(docs)).select("text", "lang_pred", "score").collect()]
+    counts = {}
+    for _, text, lang in rows:
+        if text is not None and lang is not None:
+            counts.setdefault(lang, collections.Counter()).update(grams(text))
+    total = {lang: sum(c.values()) for lang, c in counts.items()}
+    share = lambda lang, g: counts[lang][g] / total[lang]
+    most = {g: max(share(lang, g) for lang in counts) for g in set().union(*counts.values())}
+    held = {lang: {g for g in counts[lang] if share(lang, g) >= 0.5 * most[g]} for lang in counts}
+    assert len(got) == len(rows)
+    for text, lang, score in got:
+        if not any(map(str.isalpha, text or "")):
+            assert (lang, score) == ("und", 0.0)
+            continue
+        own = grams(text)
+        exact = {k: sum(g in held[k] for g in own) / len(own) for k in held}
+        assert abs(score - max(exact.values())) < 0.01 and exact[lang] >= max(exact.values()) - 0.01
+
+
+def test_languages_on_held_out_documents(spark):
+    got = queries()["op1_language_id"](spark, "/root/testdata/sf0.01")
+    truth = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang")
+    out = got.join(truth, "doc_id").filter("held_out and lang is not null and lang_pred <> 'und'").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("double")), F.count("*")).first()
+    assert out[0] > 0.95 and out[1] > 100, out
+
+
+def test_columns_with_clashing_names(spark):
+    rows = spark.createDataFrame([(1, "mail a@b.cd", 5, "x", "y", "z", "w")], "doc_id long, text string, token_ids int, decoded string, pii string, n_tokens string, m_email string")
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    assert bpe.decode(bpe.encode(rows, path), path).first()["decoded"] == "mail a@b.cd"
+    got = pii.find_spans(rows).first()
+    assert [s["kind"] for s in got["pii"]] == ["email"] and got["m_email"] == "w"
+    assert pii.find_spans(rows.limit(0)).count() == 0
+    assert count_tokens(rows, public_tokenizers.path("piece_bpe_32k.model")).first()["n_tokens"] > 3
+
+
+def test_many_spans_in_one_text(spark):
+    text = " ".join("8.8.8.8" for _ in range(60000)) + " my ssn is 123-45-6789, not 123-45-6780"
+    got = pii.find_spans(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()["pii"]
+    assert len(got) == 60001 and all(text[s["start"] : s["end"]] == s["value"] for s in got)
+    assert got[-1]["kind"] == "ssn" and got[-1]["score"] == 0.6 and got[0]["score"] == 0.6
+
+
+def test_mix_splits_rows_of_one_id(spark):
+    rows = spark.createDataFrame([(None, f"w{i} " * 10, "a") for i in range(300)] + [(1, "x " * 300, "b")], "doc_id long, text string, source string")
+    got = mix(rows).filter("source = 'a'")
+    target, taken = got.agg(F.max("target"), F.sum("taken")).first()
+    assert abs(target - taken) <= 10
