@@ -1,4 +1,5 @@
-"""Operator 2, BPE encoding and decoding by an index of pair occurrences over all pre-tokens of a batch."""
+"""Operator 2, BPE encoding and decoding by an index of pair occurrences over the distinct pre-tokens of a slice of a
+partition: what a Python worker can hold of it at a time."""
 
 import hashlib
 import heapq
@@ -12,11 +13,11 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.spans import code_points, gathered, ranges, sliced, span_hashes
+from millrace.llm.spans import code_points, distinct_spans, gathered, ranges, sliced
 
 SPACE, LETTER, NUMBER, OTHER = range(4)
 #: Texts whose pre-tokens share one index; bounds the memory of a Python worker.
-SLICE = 512
+SLICE = 256
 #: What an apostrophe splits off, as of the pre-tokeniser's pattern. Fixed values.
 CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
 
@@ -202,11 +203,9 @@ def encode_texts(texts: list[str], vocab: Vocabulary) -> tuple[np.ndarray, np.nd
     for lo, hi in ranges(parts):
         codes, bounds = code_points(parts[lo:hi])
         starts, ends = pre_tokens(codes, bounds)
-        _, one, inverse = np.unique(span_hashes(codes, starts, ends), return_index=True, return_inverse=True)
-        raw = codes.astype("<u4").tobytes()
+        spans, inverse = distinct_spans(codes, starts, ends)
         own = []
-        for s, e in zip(starts[one].tolist(), ends[one].tolist(), strict=True):
-            word = raw[4 * s : 4 * e]
+        for word in spans:
             if word not in numbers:
                 numbers[word] = len(words)
                 words.append(word.decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass"))
@@ -255,27 +254,27 @@ def decode(docs: DataFrame, path: str, ids_col: str = "token_ids") -> DataFrame:
     """
 
     @F.arrow_udf("string")
-    def decoded(batch: pa.Array) -> pa.Array:
+    def decoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         word = vocabulary(path).bytes.__getitem__
-        bounds = batch.offsets.to_numpy()
-        flat = batch.values.to_numpy(zero_copy_only=False)
-        missing = batch.is_null().to_numpy(zero_copy_only=False)
-        spans = list(zip(bounds[:-1].tolist(), bounds[1:].tolist(), missing.tolist(), strict=True))
-        text = lambda a, b, gone: "" if gone else b"".join(map(word, flat[a:b].tolist())).decode("utf-8", "replace")
-        parts = [pa.array([text(*x) for x in spans[at : at + SLICE]], pa.string()) for at in range(0, len(spans), SLICE)]
-        return pa.concat_arrays(parts) if parts else pa.array([], pa.string())
+        for batch in sliced(batches, SLICE):
+            bounds = batch.offsets.to_numpy().tolist()
+            missing = batch.is_null().to_numpy(zero_copy_only=False).tolist()
+            flat = batch.values
+            text = lambda a, b: b"".join(map(word, flat.slice(a, b - a).to_numpy(zero_copy_only=False).tolist())).decode("utf-8", "replace")
+            yield pa.array(["" if gone else text(a, b) for a, b, gone in zip(bounds[:-1], bounds[1:], missing, strict=True)], pa.string())
 
     keep = [c for c in docs.columns if c != "decoded"]
     return docs.select(*[F.col(f"`{c}`") for c in keep], decoded(F.col(ids_col)).alias("decoded"))
 
 
 def ids_sha256(ids: Column) -> Column:
-    """SHA-256 of the ids as little-endian unsigned 32-bit integers, in lowercase hex."""
+    """SHA-256 of the ids as little-endian unsigned 32-bit integers, in lowercase hex; null counts as no ids."""
 
     @F.arrow_udf("string")
-    def hashed(batch: pa.Array) -> pa.Array:
-        bounds = batch.offsets.to_numpy()
-        flat = batch.values.to_numpy(zero_copy_only=False).astype("<u4")
-        return pa.array([hashlib.sha256(flat[a:b].tobytes()).hexdigest() for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.string())
+    def hashed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in sliced(batches, SLICE):
+            bounds, flat = batch.offsets.to_numpy(), batch.values
+            raw = lambda a, b: flat.slice(a, b - a).to_numpy(zero_copy_only=False).astype("<u4").tobytes()
+            yield pa.array([hashlib.sha256(raw(a, b)).hexdigest() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)], pa.string())
 
     return hashed(ids)

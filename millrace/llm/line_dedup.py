@@ -1,4 +1,4 @@
-"""Operator 10, line dedup: documents probe sharded minimal perfect hashes over the repeated lines."""
+"""Operator 10, line dedup: sharded minimal perfect hashes over distinct lines, whose arrays count and are probed."""
 
 from collections.abc import Iterator, Sequence
 
@@ -6,15 +6,17 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.functions.staging import broadcast_if_small, quoted, staged
+from millrace.functions.staging import broadcast_if_small, quoted, scratch, staged
 from millrace.llm.spans import U, mixed, sliced
 
 STRIPPED = " \t\n\x0b\x0c\r"
 #: Lines of one shard, and probes of one task, about.
-SHARD, PROBES = 50_000, 500_000
+SHARD, PROBES = 250_000, 500_000
+#: Lines that a task counts before it hands them on, and bytes of index that are broadcast, at most.
+HELD, ROOM = 1 << 19, 1 << 26
 #: Stands for a null id, below all others.
 NO_ID = -(1 << 63)
 
@@ -28,20 +30,60 @@ def _key(line: str, least: int) -> tuple[int, int] | None:
     return int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
 
 
+def _keys(texts: list[str | None], least: int) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    """Keys of the distinct lines of each text as rows (h, check), the number of each row's text, and how many it has."""
+    rows = [{k for line in (t or "").split("\n") if (k := _key(line, least))} for t in texts]
+    flat = np.array([k for r in rows for k in r], np.int64).reshape(-1, 2)
+    sizes = list(map(len, rows))
+    return flat, np.repeat(np.arange(len(texts)), sizes), sizes
+
+
 def line_keys(text: Column, least: int) -> Column:
     """array<struct<h, check>> of the distinct keys of a text's lines."""
 
     @F.arrow_udf("array<struct<h: long, check: long>>")
     def keyed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in sliced(batches):
-            rows = [{k for line in (t or "").split("\n") if (k := _key(line, least))} for t in batch.to_pylist()]
-            flat = np.array([k for r in rows for k in r], np.int64).reshape(-1, 2)
+            flat, _, sizes = _keys(batch.to_pylist(), least)
             keys = pa.StructArray.from_arrays([pa.array(flat[:, 0]), pa.array(flat[:, 1])], ["h", "check"])
-            yield pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rows)]), pa.int32()), keys)
+            yield pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), pa.int32()), keys)
 
     return keyed(text)
 
 
+def _summed(parts: list[np.ndarray]) -> np.ndarray:
+    """Rows (h, check, docs, last), one per key: documents added, the largest id."""
+    rows = np.concatenate(parts)
+    rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+    first = np.flatnonzero(np.concatenate([[True], (rows[1:, :2] != rows[:-1, :2]).any(axis=1)])) if len(rows) else np.zeros(0, np.int64)
+    if not len(rows):
+        return rows
+    return np.column_stack([rows[first, :2], np.add.reduceat(rows[:, 2], first), np.maximum.reduceat(rows[:, 3], first)])
+
+
+def partial_lines(docs: DataFrame, least: int) -> DataFrame:
+    """(h, check, docs, last) of the lines of (id, text), each once per HELD or so distinct lines of a task."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, size = [], 0
+        out = lambda rows: pa.RecordBatch.from_arrays([pa.array(rows[:, c]) for c in range(4)], ["h", "check", "docs", "last"])
+        for batch in sliced(batches):
+            flat, text, _ = _keys(batch["text"].to_pylist(), least)
+            ids = pc.fill_null(batch["id"], NO_ID).to_numpy()[text]
+            parts.append(np.column_stack([flat, np.ones(len(flat), np.int64), ids]))
+            size += len(flat)
+            if size >= 2 * HELD:
+                parts = [_summed(parts)]
+                size = len(parts[0])
+                if size >= HELD:
+                    yield out(parts.pop())
+                    size = 0
+        if parts:
+            yield out(_summed(parts))
+
+    return docs.select("id", "text").mapInArrow(counted, "h long, check long, docs long, last long")
+
+
 class PerfectHash:
     """A minimal perfect hash of distinct 128-bit keys: levels of bits, where a key sits at the first level on which
     it met no other; its slot is the number of bits before it. About three bits a key."""
@@ -81,58 +123,114 @@ class PerfectHash:
 
 
 def _shard_of(h: Column, shards: int) -> Column:
-    return F.pmod(F.xxhash64(h), F.lit(shards))
+    return F.pmod(h, F.lit(shards))
+
+
+def _arrays(table: pa.Table) -> tuple[PerfectHash, np.ndarray, np.ndarray, np.ndarray]:
+    """The perfect hash of a shard's distinct lines, and by slot the row of its key, the documents, the largest id.
+
+    Rows may hold a line in parts: each adds to the counter of its slot."""
+    h, check = (table[c].to_numpy().view(U) for c in ("h", "check"))
+    row = np.lexsort((check, h))
+    row = row[np.concatenate([[True], (np.diff(h[row]) != 0) | (np.diff(check[row]) != 0)])]
+    hashed = PerfectHash.of(h[row], check[row])
+    slot = hashed.slots(h, check)
+    one, docs, last = np.empty(len(row), np.int64), np.zeros(len(row), np.int64), np.full(len(row), NO_ID)
+    one[slot] = np.arange(len(h))
+    np.add.at(docs, slot, table["docs"].to_numpy())
+    np.maximum.at(last, slot, table["last"].to_numpy())
+    return hashed, one, docs, last
+
+
+def repeated_lines(parts: DataFrame, shards: int, min_docs: int) -> DataFrame:
+    """(h, check, docs, last) of the lines of at least min_docs documents, counted in the arrays of each shard."""
+
+    def count(table: pa.Table) -> pa.Table:
+        _, one, docs, last = _arrays(table)
+        often = docs >= min_docs
+        lines = table.select(["h", "check"]).take(pa.array(one[often]))
+        return lines.append_column("docs", pa.array(docs[often])).append_column("last", pa.array(last[often]))
+
+    return parts.groupBy(_shard_of(F.col("h"), shards)).applyInArrow(count, "h long, check long, docs long, last long")
 
 
 def build_index(lines: DataFrame, shards: int) -> DataFrame:
-    """One row per shard: the bits of its hash, and by slot fingerprint, number of documents and last id."""
+    """One row per shard: the bits of its hash, and by slot fingerprint and last id; hits is how often its lines occur."""
 
     def build(table: pa.Table) -> pa.Table:
-        h, check = (table[c].to_numpy().view(U) for c in ("h", "check"))
-        hashed = PerfectHash.of(h, check)
-        slot = hashed.slots(h, check)
-        arrays = [np.empty(len(h), np.int64) for _ in range(3)]
-        for array, column in zip(arrays, ("check", "docs", "last"), strict=True):
-            array[slot] = table[column].to_numpy()
+        hashed, one, docs, last = _arrays(table)
         bits = np.packbits(np.concatenate(hashed.levels).astype(np.uint8))
         sizes = np.array([len(b) for b in hashed.levels], np.int64)
         return pa.table(
             {
                 "shard": table["shard"][:1],
+                "hits": pa.array([int(docs.sum())]),
                 "levels": pa.array([sizes.tobytes()], pa.binary()),
                 "bits": pa.array([bits.tobytes()], pa.binary()),
-                "fingerprints": pa.array([arrays[0].tobytes()], pa.binary()),
-                "docs": pa.array([arrays[1].astype(np.uint32).tobytes()], pa.binary()),
-                "last": pa.array([arrays[2].tobytes()], pa.binary()),
+                "fingerprints": pa.array([table["check"].to_numpy()[one].tobytes()], pa.binary()),
+                "last": pa.array([last.tobytes()], pa.binary()),
             }
         )
 
-    schema = "shard long, levels binary, bits binary, fingerprints binary, docs binary, last binary"
+    schema = "shard long, hits long, levels binary, bits binary, fingerprints binary, last binary"
     return lines.withColumn("shard", _shard_of(F.col("h"), shards)).groupBy("shard").applyInArrow(build, schema)
 
 
-def probe(probes: DataFrame, index: DataFrame, min_docs: int) -> DataFrame:
-    """The probes (id, h, check, shard, salt) that find a line of at least min_docs documents and another last id."""
+class Shard:
+    """The arrays of one row of the index."""
+
+    def __init__(self, row: dict):
+        sizes = np.frombuffer(row["levels"], np.int64)
+        bits = np.unpackbits(np.frombuffer(row["bits"], np.uint8))[: sizes.sum()].astype(np.int64)
+        self.hashed = PerfectHash(np.split(bits, np.cumsum(sizes)[:-1]))
+        self.fingerprints, self.last = np.frombuffer(row["fingerprints"], U), np.frombuffer(row["last"], np.int64)
+
+    def dropped(self, h: np.ndarray, check: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Whether each line is indexed and its largest id is another than the one it stands in."""
+        slot = self.hashed.slots(h, check)
+        at = np.maximum(slot, 0)
+        return (slot >= 0) & (self.fingerprints[at] == check) & (self.last[at] != ids)
+
+
+def probe(probes: DataFrame, index: DataFrame) -> DataFrame:
+    """The probes (row, id, h, check, shard, salt) that are dropped."""
 
     def look_up(left: pa.Table, right: pa.Table) -> pa.Table:
-        found = left.select(["id", "h", "check"])
+        found = left.select(["row", "h", "check"])
         if not right.num_rows or not left.num_rows:
             return found.slice(0, 0)
-        row = {c: right[c][0].as_py() for c in ("levels", "bits", "fingerprints", "docs", "last")}
-        sizes = np.frombuffer(row["levels"], np.int64)
-        bits = np.unpackbits(np.frombuffer(row["bits"], np.uint8))[: sizes.sum()].astype(np.int64)
-        hashed = PerfectHash(np.split(bits, np.cumsum(sizes)[:-1]))
         h, check = (left[c].to_numpy().view(U) for c in ("h", "check"))
-        slot = hashed.slots(h, check)
-        known = slot >= 0
-        at = np.where(known, slot, 0)
-        known &= np.frombuffer(row["fingerprints"], U)[at] == check
-        known &= np.frombuffer(row["docs"], np.uint32)[at] >= min_docs
-        last = np.frombuffer(row["last"], np.int64)[at]
-        return found.filter(pa.array(known & (pc.fill_null(left["id"], NO_ID).to_numpy() != last)))
+        ids = pc.fill_null(left["id"], NO_ID).to_numpy()
+        return found.filter(pa.array(Shard(right.slice(0, 1).to_pylist()[0]).dropped(h, check, ids)))
 
     groups = probes.groupBy("shard", "salt").cogroup(index.groupBy("shard", "salt"))
-    return groups.applyInArrow(look_up, "id long, h long, check long")
+    return groups.applyInArrow(look_up, "row long, h long, check long")
+
+
+def without_indexed(text: Column, ident: Column, index: dict[int, Shard], shards: int, least: int) -> Column:
+    """struct<n_dropped, kept>: the text without the lines that the arrays of a broadcast index say to drop."""
+    known = SparkSession.active().sparkContext.broadcast(index)
+
+    @F.arrow_udf("struct<n_dropped: long, kept: string>")
+    def kept_lines(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        index = known.value
+        for texts, ids in sliced(batches):
+            lines = [(t or "").split("\n") for t in texts.to_pylist()]
+            keys = [(n, k, key) for n, own in enumerate(lines) for k, line in enumerate(own) if (key := _key(line, least))]
+            pair = np.array([key for _, _, key in keys], np.int64).reshape(-1, 2)
+            own = pc.fill_null(ids, NO_ID).to_numpy()[[n for n, _, _ in keys]] if keys else np.zeros(0, np.int64)
+            gone, shard = np.zeros(len(keys), bool), pair[:, 0] % shards
+            for s in np.unique(shard).tolist():
+                at = np.flatnonzero(shard == s)
+                if s in index:
+                    gone[at] = index[s].dropped(pair[at, 0].view(U), pair[at, 1].view(U), own[at])
+            out: list[set[int]] = [set() for _ in lines]
+            for i in np.flatnonzero(gone).tolist():
+                out[keys[i][0]].add(keys[i][1])
+            kept = ["\n".join([x for k, x in enumerate(own) if k not in bad] if bad else own) for own, bad in zip(lines, out, strict=True)]
+            yield pa.StructArray.from_arrays([pa.array(map(len, out), pa.int64()), pa.array(kept, pa.string())], ["n_dropped", "kept"])
+
+    return kept_lines(text, ident)
 
 
 def without(text: Column, keys: Column, least: int) -> Column:
@@ -154,7 +252,15 @@ def without(text: Column, keys: Column, least: int) -> Column:
 
 
 def drop_repeated_lines(
-    docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", carry: Sequence[str] | None = None, min_docs: int = 3, least: int = 20
+    docs: DataFrame,
+    text_col: str = "text",
+    id_col: str = "doc_id",
+    carry: Sequence[str] | None = None,
+    min_docs: int = 3,
+    least: int = 20,
+    shard: int = SHARD,
+    probes: int = PROBES,
+    room: int = ROOM,
 ) -> DataFrame:
     """The carried columns (default: all) of every row, with n_lines, n_dropped and kept_text.
 
@@ -163,26 +269,34 @@ def drop_repeated_lines(
     hold lose their lines in every row but those with the largest id that holds them; null ids are the smallest,
     and where all are null all stay. The other lines stay in order. Carried columns with the name of a result
     column are replaced. An empty table gives an empty result.
+
+    Each task sums its own lines first, so that a frequent line reaches its shard once per task. The lines that repeat
+    often enough are indexed again. An index of at most `room` bytes is broadcast, and documents probe it where they
+    stand; a larger one stays in its shards, to which the lines' hashes go, those of a frequent line dealt to several
+    copies of its shard.
     """
     columns = [c for c in (docs.columns if carry is None else carry) if c not in ("n_lines", "n_dropped", "kept_text")]
-    ident = F.col(id_col).cast("bigint").alias("id")
-    held = staged(docs.select(ident, line_keys(F.col(text_col), least).alias("keys")), "lines")
-    each = held.select("id", F.explode("keys").alias("k")).select("id", "k.h", "k.check")
-    repeated = each.groupBy("h", "check").agg(F.count("*").alias("docs"), F.coalesce(F.max("id"), F.lit(NO_ID)).alias("last"))
-    repeated = staged(repeated.filter(F.col("docs") >= min_docs), "repeated-lines")
-    totals = held.agg(F.sum(F.size("keys")).alias("lines")).first()
-    shards = max(1, -(-repeated.count() // SHARD))
-    index = staged(build_index(repeated, shards), "line-index")
-    rest = (totals.lines or 0) // shards
-    load = repeated.groupBy(_shard_of(F.col("h"), shards).alias("shard")).agg(F.ceil((F.sum("docs") + rest) / PROBES).cast("int").alias("salts"))
-    load = staged(load, "line-load")
-    salted = index.join(load, "shard").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-    probes = each.withColumn("shard", _shard_of(F.col("h"), shards)).join(broadcast_if_small(load), "shard")
-    probes = probes.withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int")).drop("salts")
-    gone = staged(probe(probes, salted, min_docs), "dropped-lines")
-    gone = gone.groupBy("id").agg(F.collect_set(F.struct("h", "check")).alias("keys"))
-    rows = docs.select(F.struct(*map(quoted, columns)).alias("_in"), ident.alias("own"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    joined = rows.join(gone, F.col("own").eqNullSafe(F.col("id")), "left")
-    lines = F.length("text") - F.length(F.replace("text", F.lit("\n"))) + 1
-    result = joined.select("_in", lines.cast("bigint").alias("n_lines"), without(F.col("text"), F.col("keys"), least).alias("out"))
+    rows = docs.select(F.struct(*map(quoted, columns)).alias("_in"), F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
+    text = F.coalesce(F.col("text"), F.lit(""))
+    lines = (F.length(text) - F.length(F.replace(text, F.lit("\n"))) + 1).cast("bigint").alias("n_lines")
+    with scratch(docs.sparkSession) as own:
+        parts = staged(partial_lines(rows, least), "line-counts")
+        repeated = staged(repeated_lines(parts, max(1, -(-parts.count() // shard)), min_docs), "repeated-lines")
+        shards = max(1, -(-repeated.count() // shard))
+        index = staged(build_index(repeated, shards), "line-index")
+        size = index.agg(F.sum(F.length("bits") + F.length("fingerprints") + F.length("last"))).first()[0] or 0
+        if size <= room:
+            known = {r["shard"]: Shard(r) for r in index.toArrow().to_pylist()}
+            result = rows.select("_in", lines, without_indexed(F.col("text"), F.col("id"), known, shards, least).alias("out"))
+        else:
+            rows = own.keep(staged(rows.withColumn("row", F.monotonically_increasing_id()), "line-rows"))
+            each = rows.select("row", "id", F.explode(line_keys(F.col("text"), least)).alias("k")).select("row", "id", "k.h", "k.check")
+            rest = (parts.agg(F.sum("docs")).first()[0] or 0) // shards
+            load = staged(index.select("shard", F.ceil((F.col("hits") + rest) / probes).cast("int").alias("salts")), "line-load")
+            salted = index.join(load, "shard").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+            asked = each.withColumn("shard", _shard_of(F.col("h"), shards)).join(broadcast_if_small(load), "shard")
+            asked = asked.withColumn("salt", F.pmod(F.xxhash64("row"), F.col("salts")).cast("int")).drop("salts")
+            gone = own.keep(staged(probe(asked, salted), "dropped-lines"))
+            gone = gone.groupBy("row").agg(F.collect_set(F.struct("h", "check")).alias("keys"))
+            result = rows.join(gone, "row", "left").select("_in", lines, without(F.col("text"), F.col("keys"), least).alias("out"))
     return result.select("_in.*", "n_lines", "out.n_dropped", F.col("out.kept").alias("kept_text"))

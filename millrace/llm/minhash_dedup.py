@@ -9,15 +9,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions.staging import broadcast_if_small, join_groups, quoted, staged
+from millrace.functions.staging import broadcast_if_small, join_groups, quoted, scratch, staged
 from millrace.llm.components import components, forest
 from millrace.llm.spans import U, code_points, gathered, mixed, ranges, sliced, span_hashes
 
 COORDINATES = 64
-#: Row numbers that are broadcast rather than shuffled with the texts they pick, at most: a few tens of MB.
-MANY = 1_000_000
-#: Rows of a block, about, in comparisons of many rows with many.
-BLOCK = 1024
+#: Rows of up to four numbers that are broadcast, at most: about 10 MB.
+MANY = 250_000
+#: Rows of a block, and shingles of its texts, about, in comparisons of many rows with many.
+BLOCK, SHINGLES = 1024, 1 << 21
 
 
 def shingle_sets(texts: list[str], width: int) -> list[np.ndarray]:
@@ -88,42 +88,64 @@ def signed(text: Column, width: int, coordinates: int) -> Column:
     return signed_texts(text)
 
 
-def similar(a: Column, b: Column, width: int, percent: int) -> Column:
-    """Whether 100 * intersection >= percent * union of the shingle sets of two texts."""
-
-    @F.arrow_udf("boolean")
-    def similar_texts(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for one, other in sliced(batches):
-            pairs = list(zip(one.to_pylist(), other.to_pylist(), strict=True))
-            known: dict[str, np.ndarray] = {}
-            found = []
-            for x, y in pairs:
-                new = [t for t in {x, y} if t not in known]
-                if len(known) > 1000:
-                    known, new = {}, list({x, y})
-                known |= zip(new, shingle_sets(new, width), strict=True)
-                p, q = known[x], known[y]
-                common = len(np.intersect1d(p, q, assume_unique=True))
-                found.append(common > 0 and 100 * common >= percent * (len(p) + len(q) - common))
-            yield pa.array(found, pa.bool_())
-
-    return similar_texts(a, b)
-
-
-def postings(signatures: DataFrame, matches: int) -> DataFrame:
-    """(row, token, size): the prefix of each signature, under the tokens that stand in more than one prefix.
+def postings(nodes: DataFrame, matches: int, coordinates: int) -> DataFrame:
+    """(row, token, size, hub): the prefix of each signature, under the tokens that stand in more than one prefix.
 
     A token is a coordinate with its value. Tokens are ordered by how many signatures hold them, rare first. Two
     signatures with at least `matches` common tokens have one in common among the first coordinates - matches + 1
-    of each; tokens that stand in one signature alone fill that prefix without being posted.
+    of each; tokens that stand in one signature alone fill that prefix without being posted. size is the length of a
+    token's list, hub its first row by a hash. Tokens that very many signatures hold are joined by a broadcast.
     """
-    tokens = signatures.select("row", F.posexplode("sig")).select("row", F.xxhash64("pos", "col").alias("token"))
-    shared = tokens.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
-    ordered = tokens.join(shared, "token").groupBy("row").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("t"))
+    tokens = nodes.select("row", F.posexplode("sig")).select("row", F.xxhash64("pos", "col").alias("token"))
+    shared = staged(tokens.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1"), "shared-tokens")
+    ordered = join_groups(tokens, shared, "token", "df", nodes.count() * coordinates)
+    ordered = ordered.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("t"))
     prefix = ordered.filter(F.size("t") >= matches).select("row", F.explode(F.slice("t", 1, F.size("t") - (matches - 1))).alias("t"))
     prefix = staged(prefix.select("row", "t.token"), "prefixes")
-    sizes = prefix.groupBy("token").agg(F.count("*").alias("size")).filter("size > 1")
-    return prefix.join(sizes, "token").select("row", "token", "size")
+    least = F.min(F.struct(F.xxhash64("row").alias("order"), F.col("row"))).alias("h")
+    lists = prefix.groupBy("token").agg(F.count("*").alias("size"), least).filter("size > 1").select("token", "size", F.col("h.row").alias("hub"))
+    return join_groups(prefix, staged(lists, "lists"), "token", "size", prefix.count())
+
+
+def merged(one: np.ndarray, other: np.ndarray, matches: int, groups: tuple[np.ndarray, np.ndarray], room: int = 1 << 21) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (i, j) of signatures of one and of other, of one group, that agree in at least `matches` coordinates.
+
+    The signatures of other are posted under each group, coordinate and value. Of the lists of a signature of one, the
+    shortest, all but matches - 1, are merged and collisions counted: a pair above the threshold is in one of them.
+    The longer lists are skipped through: only pairs that can still reach the threshold are looked up there, the
+    shorter list first. At most about `room` postings are merged at a time.
+    """
+    n, k = one.shape
+    keyed = lambda x, group: ((group[:, None] * k + np.arange(k)) << 16) + x.astype(np.int64) + 32768
+    keys = keyed(other, groups[1]).ravel()
+    order = np.argsort(keys, kind="stable")
+    keys, order = keys[order], order // k
+    low, high = (np.searchsorted(keys, keyed(one, groups[0]), side) for side in ("left", "right"))
+    rank = np.argsort(high - low, axis=1, kind="stable")
+    prefix, suffix = rank[:, : k - matches + 1], rank[:, k - matches + 1 :]
+    load = np.concatenate([[0], np.cumsum(np.take_along_axis(high - low, prefix, axis=1).sum(axis=1))])
+    left, right, start, m = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0, len(other)
+    while start < n:
+        stop = min(start + max(1, room // m), max(start + 1, int(np.searchsorted(load, load[start] + room, "right")) - 1))
+        rows = np.repeat(np.arange(start, stop), prefix.shape[1])
+        column = prefix[start:stop].ravel()
+        first, length = low[rows, column], (high - low)[rows, column]
+        upto = np.cumsum(length)
+        at = np.repeat(first - (upto - length), length) + np.arange(load[stop] - load[start])
+        hits = np.bincount(np.repeat((rows - start) * m, length) + order[at], minlength=(stop - start) * m)
+        pairs = np.flatnonzero(hits)
+        count = hits[pairs]
+        for step in range(suffix.shape[1] + 1):
+            left.append(pairs[count >= matches] // m + start)
+            right.append(pairs[count >= matches] % m)
+            able = (count < matches) & (count + (suffix.shape[1] - step) >= matches)
+            pairs, count = pairs[able], count[able]
+            if not len(pairs):
+                break
+            i, j = pairs // m + start, pairs % m
+            count = count + (one[i, suffix[i, step]] == other[j, suffix[i, step]])
+        start = stop
+    return np.concatenate(left), np.concatenate(right)
 
 
 def shared_counts(one: list[np.ndarray], other: list[np.ndarray]) -> np.ndarray:
@@ -179,74 +201,148 @@ def compared(rest: DataFrame, every: DataFrame, width: int, percent: int) -> Dat
     return rest.groupBy("hub", "x", "y").cogroup(every.groupBy("hub", "x", "y")).applyInArrow(compare, "u long, v long")
 
 
-def promising(rest: DataFrame, every: DataFrame, matches: int) -> DataFrame:
-    """(side, hub, x, y, row) of the rows that agree in enough coordinates with a row of the other side and another
-    label. Signatures are cut to 16 bits a coordinate, which may add rows but loses none."""
+def promising(rest: DataFrame, every: DataFrame, matches: int, many: int = 4 * BLOCK) -> DataFrame:
+    """(side, hub, x, y, row) of the rows that agree in enough coordinates with a row of the other side, of the same
+    cell (hub, x, y) and another label. Signatures are cut to 16 bits a coordinate, which may add rows but loses none.
+    Cells are merged several at a time, about `many` rows."""
 
-    def count(left: pa.Table, right: pa.Table) -> pa.Table:
-        parts = []
-        if left.num_rows and right.num_rows:
-            one, other = (np.stack(t["short"].combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1).T) for t in (left, right))
-            agree = np.zeros((left.num_rows, right.num_rows), np.uint8)
-            for a, b in zip(one, other, strict=True):
-                agree += a[:, None] == b[None, :]
-            close = (agree >= matches) & (left["label"].to_numpy()[:, None] != right["label"].to_numpy()[None, :])
-            for side, (table, axis) in enumerate(((left, 1), (right, 0))):
-                some = table.filter(pa.array(close.any(axis=axis))).select(["hub", "x", "y", "row"])
-                parts.append(some.append_column("side", pa.array([side] * some.num_rows, pa.int32())).select(["side", "hub", "x", "y", "row"]))
-        empty = pa.table({c: pa.array([], t) for c, t in (("side", pa.int32()), ("hub", pa.int64()), ("x", pa.int32()), ("y", pa.int32()), ("row", pa.int64()))})
-        return pa.concat_tables(parts) if parts else empty
-
-    groups = rest.groupBy("hub", "x", "y").cogroup(every.groupBy("hub", "x", "y"))
-    return groups.applyInArrow(count, "side int, hub long, x int, y int, row long")
-
-
-def links(signatures: DataFrame, matches: int, width: int, percent: int) -> DataFrame:
-    """(node, component) of the rows of (row, sig, text) that are linked at all.
-
-    First each posting list has one hub, by the order of a hash, and its other rows are compared with it: collisions
-    are counted on whole signatures, and pairs with enough of them are confirmed on whole shingle sets. Most groups
-    are one component after that. Of lists whose other rows still lie in several, the rows outside the most frequent
-    one are compared with every row of the hub's open lists, in blocks of at most about BLOCK by BLOCK rows: collisions
-    first, then the rows that have any partner on whole sets. Blocks emit rows and links but no pairs. Pairs within one
-    component are skipped; no pair that could join two is left out.
+    def found(table: pa.Table) -> list[pa.RecordBatch]:
+        side, label = table["side"].to_numpy(), table["label"].to_numpy()
+        short = table["short"].combine_chunks().flatten().to_numpy().reshape(len(side), -1)
+        cell = np.cumsum(np.concatenate([[False], _changed(table)]))
+        one, other = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        i, j = merged(short[one], short[other], matches, (cell[one], cell[other])) if len(one) and len(other) else (np.zeros(0, np.int64),) * 2
+        far = label[one[i]] != label[other[j]]
+        rows = np.concatenate([np.unique(one[i[far]]), np.unique(other[j[far]])])
+        return table.select(["side", "hub", "x", "y", "row"]).take(pa.array(rows)).combine_chunks().to_batches()
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            for at in range(0, batch.num_rows, many):
+                piece = pa.Table.from_batches([batch.slice(at, many)])
+                held = piece if held is None else pa.concat_tables([held, piece]).combine_chunks()
+                cut = np.flatnonzero(_changed(held))
+                if held.num_rows >= many and len(cut):  # the last cell may go on in the next piece
+                    yield from found(held.slice(0, int(cut[-1]) + 1))
+                    held = held.slice(int(cut[-1]) + 1)
+        if held is not None and held.num_rows:
+            yield from found(held)
+
+    both = rest.withColumn("side", F.lit(0)).unionByName(every.withColumn("side", F.lit(1)))
+    cells = both.repartition("hub", "x", "y").sortWithinPartitions("hub", "x", "y")
+    return cells.mapInArrow(count, "side int, hub long, x int, y int, row long")
+
+
+def _changed(table: pa.Table) -> np.ndarray:
+    """Whether each row but the first is of another cell than the row before it."""
+    return np.any([np.diff(table[c].to_numpy()) != 0 for c in ("hub", "x", "y")], axis=0)
+
+
+def _blocks(rows: Column, shingles: Column) -> Column:
+    """In how many blocks rows with so many shingles together are dealt."""
+    return F.greatest(F.lit(1), F.ceil(rows / F.lit(BLOCK)), F.ceil(shingles / F.lit(SHINGLES))).cast("int")
+
+
+def _block(number: Column) -> Column:
+    return F.pmod(F.xxhash64("row", F.lit(7)), number).cast("int")
+
+
+def _every_block(number: Column) -> Column:
+    return F.explode(F.sequence(F.lit(0), number - 1))
+
+
+def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """(u, v): the pairs (hub, row, n_shingles) whose whole shingle sets have 100 * intersection >= percent * union.
+
+    A hub's rows are dealt to blocks. Each text moves once per pair and once more per block of a hub.
+    """
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        center = np.zeros(0, U)
+        for batch in sliced(batches):
+            row, hub, texts = batch["row"].to_numpy(), batch["hub"].to_numpy(), batch["text"].to_pylist()
+            hit = np.zeros(len(row), bool)
+            for lo, hi in ranges(texts):
+                for k, own in enumerate(shingle_sets(texts[lo:hi], width), lo):
+                    if row[k] == hub[k]:  # a hub comes before its rows
+                        center = own
+                        continue
+                    common = np.intersect1d(center, own, assume_unique=True).size
+                    hit[k] = common > 0 and 100 * common >= percent * (len(center) + len(own) - common)
+            yield pa.RecordBatch.from_arrays([pa.array(hub[hit]), pa.array(row[hit])], ["u", "v"])
+
+    sizes = pairs.groupBy("hub").agg(_blocks(F.count("*"), F.sum("n_shingles")).alias("blocks"))
+    sizes = staged(sizes, "hub-blocks")
+    own = pairs.join(broadcast_if_small(sizes), "hub").select("row", "hub", _block(F.col("blocks")).alias("block"))
+    hubs = sizes.select(F.col("hub").alias("row"), "hub", _every_block(F.col("blocks")).alias("block"))
+    asked = broadcast_if_small(staged(own.unionByName(hubs), "asked"), MANY)
+    held = texts.join(asked, "row").select("hub", "block", "row", "text").repartition("hub", "block")
+    return held.sortWithinPartitions("hub", "block", F.col("row") != F.col("hub")).mapInArrow(compare, "u long, v long")
+
+
+def _agreeing(near: DataFrame, short: DataFrame, matches: int) -> DataFrame:
+    """(hub, row, hits, n_shingles) of the pairs (hub, row) whose signatures agree in enough coordinates."""
+    pairs = near.filter("row <> hub").join(short, "row")
+    size = near.filter("row <> hub").groupBy("hub").agg(F.count("*").alias("size"))
+    hubs = staged(size.join(short.select(F.col("row").alias("hub"), F.col("short").alias("center")), "hub"), "hubs")
+    both = join_groups(pairs, hubs, "hub", "size", near.count())
+    hits = F.size(F.filter(F.zip_with("short", "center", lambda x, y: x == y), lambda x: x))
+    return both.select("hub", "row", hits.alias("hits"), "n_shingles").filter(F.col("hits") >= matches)
+
+
+def _labelled(rows: DataFrame, labels: DataFrame, row: str, name: str) -> DataFrame:
+    """rows with the component of a row, which is the row itself where it has none."""
+    named = broadcast_if_small(labels, MANY).select(F.col("node").alias(row), F.col("component").alias("_label"))
+    return rows.join(named, row, "left").withColumn(name, F.coalesce("_label", row)).drop("_label")
+
+
+def links(nodes: DataFrame, texts: DataFrame, matches: int, width: int, percent: int, coordinates: int) -> DataFrame:
+    """(node, component) of the rows of (row, sig, n_shingles) that are linked at all; texts has their (row, text).
+
+    First each posting list has one hub, the row that comes first by a hash, and its other rows are compared with it:
+    each row with the first of the hubs that its signature agrees with, then with those of its other hubs that did not
+    go to the same hub. Most lists are one component after that. Where the rows of a hub's lists still lie in several, those outside the most frequent
+    one are merged with all of them, in blocks of at most about BLOCK by BLOCK rows, and the rows that have any
+    partner there are compared on whole sets. Blocks emit rows and links but no pairs. Pairs within one component are
+    skipped; no pair that could join two is left out. Texts move for rows that need them only.
     """
-    lists = staged(postings(signatures, matches), "postings")
-    order = F.min(F.struct(F.xxhash64("row").alias("order"), F.col("row"))).alias("h")
-    hubs = lists.groupBy("token").agg(order).select("token", F.col("h.row").alias("hub"))
-    near = staged(lists.join(hubs, "token").select("hub", "row").distinct(), "near-hubs")
-    some = broadcast_if_small(staged(near.select("row").distinct(), "near-rows"), MANY)
-    active = staged(signatures.join(some, "row", "left_semi"), "active")
-    member = active.select(F.col("row").alias("b"), F.col("sig").alias("sig_b"), F.col("text").alias("text_b"))
-    center = active.select(F.col("row").alias("a"), F.col("sig").alias("sig_a"), F.col("text").alias("text_a"))
-    collisions = F.size(F.filter(F.zip_with("sig_a", "sig_b", lambda x, y: x == y), lambda x: x))
-    pairs = near.filter("row <> hub").select(F.col("hub").alias("a"), F.col("row").alias("b"))
-    close = pairs.join(member.select("b", "sig_b"), "b").join(center.select("a", "sig_a"), "a").filter(collisions >= matches).select("a", "b")
-    texts = staged(close, "pairs").join(member.select("b", "text_b"), "b").join(center.select("a", "text_a"), "a")
-    first = staged(texts.filter(similar(F.col("text_a"), F.col("text_b"), width, percent)).select(F.col("a").alias("u"), F.col("b").alias("v")), "confirmed")
-    named = staged(components(first), "components").select(F.col("node").alias("row"), "component")
-    labels = named.withColumnRenamed("component", "label")
-    other = lists.join(hubs, "token").filter("size > 2 and row <> hub").join(labels, "row", "left").withColumn("label", F.coalesce("label", "row"))
-    other = staged(other.select("token", "hub", "row", "label"), "beside-hubs")
-    split = other.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("token")
-    left = staged(other.join(split, "token", "left_semi").select("hub", "row", "label").distinct(), "open-rows")
-    counted = left.groupBy("hub", "label").agg(F.count("*").alias("n"))
-    usual = counted.groupBy("hub").agg(F.max(F.struct("n", "label")).alias("most"), F.sum("n").alias("every"))
-    blocks = lambda n: F.greatest(F.lit(1), F.ceil(n / F.lit(BLOCK))).cast("int")
-    sizes = usual.select("hub", F.col("most.label").alias("usual"), blocks(F.col("every") - F.col("most.n")).alias("xs"), blocks(F.col("every")).alias("ys"))
-    short = F.transform("sig", lambda v: (v.bitwiseAND(0xFFFF) - 32768).cast("smallint")).alias("short")
-    open_rows = staged(left.join(sizes, "hub").join(active.select("row", short), "row"), "open-hubs")
-    block = lambda n: F.pmod(F.xxhash64("row", F.lit(7)), F.col(n)).cast("int")
-    spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    kept = ("hub", "row", "label", "short")
-    rest = open_rows.filter("label <> usual").select(*kept, block("xs").alias("x"), spread("ys").alias("y"))
-    every = open_rows.select(*[F.col(c).alias(c) for c in kept], spread("xs").alias("x"), block("ys").alias("y"))
-    chosen = staged(promising(rest, every, matches), "promising")
-    texts = active.select("row", "text")
-    rest = chosen.filter("side = 0").join(texts, "row").select("hub", "x", "y", "row", "text")
-    every = chosen.filter("side = 1").join(texts, "row").select(*[F.col(c).alias(c) for c in ("hub", "x", "y", "row", "text")])
-    more = staged(compared(rest, every, width, percent), "compared")
-    return staged(components(first.unionByName(more)), "components")
+    with scratch(nodes.sparkSession) as own:
+        with scratch(nodes.sparkSession) as inner:
+            lists = inner.keep(staged(postings(nodes, matches, coordinates).select("row", "hub").distinct(), "near-hubs"))
+        cut = F.transform("sig", lambda v: (v.bitwiseAND(0xFFFF) - 32768).cast("smallint")).alias("short")
+        active = broadcast_if_small(staged(lists.select("row").distinct(), "near-rows"), MANY)
+        short = staged(nodes.join(active, "row", "left_semi").select("row", "n_shingles", cut), "active")
+        close = staged(_agreeing(lists, short, matches), "close")
+        least = F.min(F.struct(F.xxhash64("hub").alias("order"), F.col("hub"), F.col("n_shingles"))).alias("b")
+        best = staged(close.groupBy("row").agg(least).select("b.hub", "row", "b.n_shingles"), "first-hubs")
+        first = staged(confirmed(best, texts, width, percent), "confirmed")
+        parents = first.select(F.col("v").alias("node"), F.col("u").alias("component"))
+        other = close.select("hub", "row", "n_shingles").join(best.select("hub", "row"), ["hub", "row"], "left_anti")
+        apart = _labelled(_labelled(other, parents, "row", "a"), parents, "hub", "b").filter("a <> b").select("hub", "row", "n_shingles")
+        first = first.unionByName(staged(confirmed(staged(apart, "apart"), texts, width, percent), "confirmed"))
+        labels = staged(components(first), "components")
+        beside = staged(_labelled(lists.filter("row <> hub"), labels, "row", "label"), "beside-hubs")
+        split = beside.groupBy("hub").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("hub")
+        left = beside.join(broadcast_if_small(staged(split, "open-hubs"), MANY), "hub", "left_semi")
+        left = staged(left.join(short, "row"), "open-rows")
+        counted = left.groupBy("hub", "label").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("w"))
+        usual = counted.groupBy("hub").agg(F.max(F.struct("n", "w", "label")).alias("most"), F.sum("n").alias("n"), F.sum("w").alias("w"))
+        sizes = usual.select("hub", F.col("most.label").alias("usual"), _blocks(F.col("n") - F.col("most.n"), F.col("w") - F.col("most.w")).alias("xs"), _blocks(F.col("n"), F.col("w")).alias("ys"))
+        rows = left.join(broadcast_if_small(staged(sizes, "open-sizes"), MANY), "hub")
+        kept = [F.col(c).alias(c) for c in ("hub", "row", "label", "short")]
+        rest = rows.filter("label <> usual").select(*kept, _block(F.col("xs")).alias("x"), _every_block(F.col("ys")).alias("y"))
+        every = rows.select(*kept, _every_block(F.col("xs")).alias("x"), _block(F.col("ys")).alias("y"))
+        chosen = broadcast_if_small(staged(promising(rest, every, matches), "promising"), MANY)
+        held = texts.join(chosen, "row").select("side", "hub", "x", "y", "row", "text")
+        both = [held.filter(F.col("side") == side).select(*[F.col(c).alias(c) for c in ("hub", "x", "y", "row", "text")]) for side in (0, 1)]
+        more = staged(compared(*both, width, percent), "compared")
+        crossed = _labelled(_labelled(more, labels, "u", "a"), labels, "v", "b").filter("a <> b").select(F.col("a").alias("u"), F.col("b").alias("v"))
+        joined = components(staged(crossed, "crossed")).select(F.col("node").alias("component"), F.col("component").alias("least"))
+        loose = crossed.select(F.explode(F.array("u", "v")).alias("node")).distinct().withColumn("component", F.col("node"))
+        labels = labels.unionByName(loose.join(labels, "node", "left_anti"))
+        labels = labels.join(broadcast_if_small(staged(joined, "joined"), MANY), "component", "left")
+        return own.keep(staged(labels.select("node", F.coalesce("least", "component").alias("component")), "components"))
 
 
 def near_dedup(
@@ -280,21 +376,22 @@ def near_dedup(
     )
     rows = staged(rows.select("*", F.monotonically_increasing_id().alias("row")).select("row", "_in", "id", *([] if held else ["text"]), "s.*"), "signatures")
     text = F.col("_in").getField(text_col) if held else F.col("text")
-    n = rows.count()
-    sets = staged(rows.filter("digest is not null").groupBy("digest").agg(F.min("row").alias("first"), F.count("*").alias("size")), "sets")
-    repeated = staged(sets.filter("size > 1"), "repeated-sets")
-    copies = join_groups(rows.select("row", "digest"), repeated, "digest", "size", n).filter("row <> first").select("row")
-    copies = broadcast_if_small(staged(copies, "set-copies"), MANY)
-    nodes = rows.filter("digest is not null").select("row", "sig", text.alias("text")).join(copies, "row", "left_anti")
-    named = links(nodes, matches, width, percent)
-    label = named.select(F.col("node").alias("first"), "component")
-    sets = sets.join(label, "first", "left").filter("size > 1 or component is not null")
-    sets = staged(sets.select("digest", "size", F.coalesce("component", "first").alias("label")), "labelled-sets")
-    labelled = staged(join_groups(rows.select("row", "id", "digest"), sets, "digest", "size", n).drop("size"), "labelled")
-    least = F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("row").alias("first")))
-    groups = staged(labelled.groupBy("label").agg(least.alias("least"), F.count("*").alias("size")), "groups")
-    grouped = join_groups(labelled, groups, "label", "size", n).select("row", "least.id", F.col("least.first").alias("first"))
-    grouped = broadcast_if_small(staged(grouped.withColumnRenamed("id", "least"), "grouped"), MANY)
+    with scratch(docs.sparkSession) as own:
+        n = rows.count()
+        sets = staged(rows.filter("digest is not null").groupBy("digest").agg(F.min("row").alias("first"), F.count("*").alias("size")), "sets")
+        repeated = staged(sets.filter("size > 1"), "repeated-sets")
+        copies = join_groups(rows.select("row", "digest"), repeated, "digest", "size", n).filter("row <> first").select("row")
+        copies = broadcast_if_small(staged(copies, "set-copies"), MANY)
+        nodes = rows.filter("digest is not null").select("row", "sig", "n_shingles").join(copies, "row", "left_anti")
+        named = links(nodes, rows.select("row", text.alias("text")), matches, width, percent, coordinates)
+        label = named.select(F.col("node").alias("first"), "component")
+        sets = sets.join(label, "first", "left").filter("size > 1 or component is not null")
+        sets = staged(sets.select("digest", "size", F.coalesce("component", "first").alias("label")), "labelled-sets")
+        labelled = staged(join_groups(rows.select("row", "id", "digest"), sets, "digest", "size", n).drop("size"), "labelled")
+        least = F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("row").alias("first")))
+        groups = staged(labelled.groupBy("label").agg(least.alias("least"), F.count("*").alias("size")), "groups")
+        grouped = join_groups(labelled, groups, "label", "size", n).select("row", F.col("least.id").alias("least"), F.col("least.first").alias("first"))
+        grouped = broadcast_if_small(own.keep(staged(grouped, "grouped")), MANY)
     return rows.select("row", "_in", "id", "n_shingles").join(grouped, "row", "left").select(
         "_in.*",
         "n_shingles",

@@ -1,5 +1,6 @@
 """Texts as arrays of code points, and distinct spans of them, without a Python step per token."""
 
+import ctypes
 import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -9,11 +10,20 @@ import pyarrow as pa
 
 U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
-_MASK = (1 << 64) - 1
+#: Code points of spans that are summed and compared at a time, about.
+_CHUNK = 1 << 18
+
+
+def _trimmed() -> None:
+    """Give free memory of the C library back, where it has a call for that."""
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 def sliced(batches: Iterator, rows: int = 512) -> Iterator:
-    """Each batch (or tuple of arrays) in slices, so that Python objects exist for a few rows at a time only."""
+    """Each batch (or tuple of arrays) in slices, so that Python objects exist for a few rows at a time only; what a batch
+    took of memory goes back to the system."""
     for batch in batches:
         many = isinstance(batch, tuple)
         size = len(batch[0]) if many else len(batch)
@@ -21,6 +31,7 @@ def sliced(batches: Iterator, rows: int = 512) -> Iterator:
             yield tuple(b.slice(at, rows) for b in batch) if many else batch.slice(at, rows)
         del batch
         pa.default_memory_pool().release_unused()
+        _trimmed()
 
 
 def ranges(texts: list[str], limit: int = 1 << 18) -> Iterator[tuple[int, int]]:
@@ -71,18 +82,28 @@ def distinct_spans(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> t
     Spans are sorted by a number, then every span is compared, code point by code point, with the one that stands for
     its number; where any two differ, all are told apart by their bytes.
     """
-    raw = np.ascontiguousarray(codes, "<u4").tobytes()
-    _, one, inverse = np.unique(_sums(codes, starts, ends), return_index=True, return_inverse=True)
-    length, stand = ends - starts, one[inverse]
-    same = (length == length[stand]).all()
-    if same and len(starts):
-        upto = np.cumsum(length)
-        at = np.repeat(starts - (upto - length), length) + np.arange(upto[-1])
-        same = (codes[at] == codes[at + np.repeat(starts[stand] - starts, length)]).all()
+    if not len(starts):
+        return [], np.zeros(0, np.int64)
+    codes = np.ascontiguousarray(codes, "<u4")
+    length = ends - starts
+    cuts = np.searchsorted(np.cumsum(length), np.arange(_CHUNK, int(length.sum()) + _CHUNK, _CHUNK), "left") + 1
+    parts = [(a, b) for a, b in zip([0, *cuts[:-1].tolist()], np.minimum(cuts, len(starts)).tolist(), strict=True) if a < b]
+    within = lambda a, b: (codes[starts[a] : ends[b - 1]], starts[a:b] - starts[a], ends[a:b] - starts[a])
+    sums = np.concatenate([np.zeros(0, U), *[_sums(*within(a, b)) for a, b in parts]])
+    _, one, inverse = np.unique(sums, return_index=True, return_inverse=True)
+    stand = one[inverse]
+    same = bool((length == length[stand]).all())
+    for a, b in parts:
+        if same:
+            own = length[a:b]
+            upto = np.cumsum(own)
+            at = np.repeat(starts[a:b] - (upto - own), own) + np.arange(upto[-1])
+            same = bool((codes[at] == codes[at + np.repeat(starts[stand[a:b]] - starts[a:b], own)]).all())
+    raw = lambda s, e: codes[s:e].tobytes()
     if same:
-        return [raw[4 * s : 4 * e] for s, e in zip(starts[one].tolist(), ends[one].tolist(), strict=True)], inverse
+        return [raw(s, e) for s, e in zip(starts[one].tolist(), ends[one].tolist(), strict=True)], inverse
     numbers: dict[bytes, int] = {}
-    every = [numbers.setdefault(raw[4 * s : 4 * e], len(numbers)) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
+    every = [numbers.setdefault(raw(s, e), len(numbers)) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
     return list(numbers), np.array(every, np.int64)
 
 
