@@ -1,7 +1,8 @@
 """From raw documents to token ids: five stages, each on all that the one before kept."""
 
 import threading
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import wraps
 
 import public_tokenizers
@@ -16,6 +17,8 @@ from millrace.functions.staging import delete_staged, scratch, staged
 
 #: Share of a text's n-grams that its language must hold at least.
 LEAST_SCORE = 0.4
+#: The setting for the rows of a batch that goes to a Python worker.
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: SQL can express neither the language model nor the shingle join nor BPE; tests hold each stage against brute force.
 ORACLE_SQL = None
 
@@ -64,6 +67,17 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mix(docs).withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))).select(docs.columns)
 
 
+@contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Python workers get so many rows at a time: whole texts and their ids are wide, and both sides hold a batch."""
+    before = spark.conf.get(BATCH)
+    spark.conf.set(BATCH, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH, before)
+
+
 @stage
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source and token_ids of every document, and whether decoding gives its text back.
@@ -72,10 +86,11 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     digests are."""
     path = public_tokenizers.path("byte_bpe_50k.json")
     digest = F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest")
-    ids = bpe.encode(docs.select("doc_id", "source", "text", digest), path).drop("text")
-    texts = bpe.decode(staged(ids, "token-ids"), path)
-    same = F.sha2("decoded", 256) == F.col("digest")
-    return texts.select("doc_id", "source", F.size("token_ids").cast("bigint").alias("n_tokens"), "token_ids", same.alias("round_trip"))
+    with batches_of(spark, 1024), scratch(spark) as own:
+        ids = staged(bpe.encode(docs.select("doc_id", "source", "text", digest), path).drop("text"), "token-ids")
+        same = F.sha2("decoded", 256) == F.col("digest")
+        columns = ("doc_id", "source", F.size("token_ids").cast("bigint").alias("n_tokens"), "token_ids", same.alias("round_trip"))
+        return own.keep(staged(bpe.decode(ids, path).select(*columns), "decoded"))
 
 
 STAGES = [
