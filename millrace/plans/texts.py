@@ -91,13 +91,13 @@ def x15_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def x16_analyze(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    found = text.analyze(docs, "doc_id").join(docs.select("doc_id", "source", "lang"), "doc_id")
+    docs = table(spark, sf_dir, "documents").select(F.struct("doc_id", "source", "lang").alias("id"), "text")
+    found = text.analyze(docs, "id").select("id.*", "signal", "severity")
     return found.groupBy("source", "lang", "signal", "severity").agg(F.count("*").alias("docs"))
 
 
 def x17_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return text.rewrite(_prose(spark, sf_dir), "id", passes=1).select("id", "puffery", "em_dash", "markdown")
+    return text.rewrite(_prose(spark, sf_dir), "id", passes=1).drop("text", "per_pass")
 
 
 def x18_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,6 +138,10 @@ def _phrases(words: tuple[str, ...]) -> str:
     return f"len(regexp_extract_all({doubled}, '(?i)[^\\w-]({alternatives})(?:[^\\w-])'))"
 
 
+def _counts(words: dict[str, str]) -> str:
+    return f"len(regexp_extract_all(text, '(?i)\\b({'|'.join(words)})\\b'))"
+
+
 def _phrase_sql(words: tuple[str, ...], strong: int, score: str) -> str:
     return f"""WITH {PROSE}, h AS (SELECT id, {_phrases(words)} AS hits, {_WORDS.format(t="text")} AS w FROM t)
       SELECT id, CASE WHEN hits >= {strong} THEN 'strong' WHEN hits > 0 THEN 'notice' ELSE 'info' END AS severity, round(least(1.0, {score}), 4) AS score, hits FROM h"""
@@ -149,13 +153,13 @@ SQL = {
     "x4_text_stats": f"WITH {PROSE} SELECT id, length(text) AS chars, {_WORDS.format(t='text')} AS words, {_PARAGRAPHS} AS paragraphs FROM t",
     "x6_phrase_tells": _phrase_sql(text.TELLS, 3, "hits * 100.0 / greatest(w, 1) / 3"),
     "x7_em_dash": f"WITH {PROSE} SELECT id, length(text) - length(replace(text, '—', '')) AS hits FROM t",
-    "x8_binary_contrast": f"""WITH {PROSE}, h AS (SELECT id, CASE WHEN text LIKE '%It''s not just fast, but it''s cheap.' THEN 1 ELSE 0 END AS hits FROM t)
-        SELECT id, CASE WHEN hits > 0 THEN 'strong' ELSE 'info' END AS severity, hits::DOUBLE AS score, hits FROM h""",
+    "x8_binary_contrast": f"""WITH {PROSE}, h AS (SELECT id, len(regexp_extract_all(text, '(?i)\\bnot (just|only|merely|simply)\\b[^.!?\\n]*?[,;—] *(but|it|this|that|they)\\b|\\bnot [^.!?,\\n]*, but\\b|(\\bnot|n[''’]t) [^.!?\\n]*[.!?]\\s+(it|this|that|they)([''’](s|re)| is| are)\\b')) AS hits FROM t)
+        SELECT id, CASE WHEN hits > 0 THEN 'strong' ELSE 'info' END AS severity, least(1.0, hits::DOUBLE) AS score, hits FROM h""",
     "x10_puffery": _phrase_sql(tuple(text.PUFFERY), 2, "hits / 2.0"),
     "x11_weasel": _phrase_sql(text.WEASEL, 2, "hits / 2.0"),
     "x14_formatting": f"""WITH {PROSE}, h AS (SELECT id, len(regexp_extract_all(text, '(?m)^[ \\t]*([-+*]\\s+|[0-9]+[.)]\\s+)\\*\\*[^*\\n]{{1,40}}:\\*\\*')) AS hits FROM t)
         SELECT id, CASE WHEN hits >= 3 THEN 'strong' WHEN hits > 0 THEN 'notice' ELSE 'info' END AS severity, round(least(1.0, hits / 3.0), 4) AS score, hits FROM h""",
-    "x17_edits": f"""WITH {PROSE} SELECT id, len(regexp_extract_all(text, '(?i)\\b(pivotal|plays a vital role in|stands as a testament to)\\b')) AS puffery,
-        length(text) - length(replace(text, '—', '')) AS em_dash, len(regexp_extract_all(text, '\\*\\*[^*\\n]+\\*\\*')) AS markdown FROM t""",
+    "x17_edits": f"""WITH {PROSE} SELECT id, {_counts(text.SWAPS)} AS swap, 0 AS throat_clearing, 0 AS setup, len(regexp_extract_all(text, '(?im)^(in conclusion|in summary|overall|ultimately|all in all),\\s')) AS recap_adverb,
+        {_phrases(tuple(text.PUFFERY))} AS puffery, length(text) - length(replace(text, '—', '')) AS em_dash, len(regexp_extract_all(text, '\\*\\*[^*\\n]+\\*\\*')) AS markdown FROM t""",
     "x20_word_diff": f"WITH {PROSE} SELECT c.conv_id * 1000 + c.turn AS id, md5(coalesce(c.text, '')) AS old_md5, md5(t.text) AS new_md5 FROM conversations c JOIN t ON t.id = c.conv_id * 1000 + c.turn",
 }
