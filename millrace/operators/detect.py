@@ -12,7 +12,7 @@ from millrace.operators.typing import value_histogram
 
 KINDS = ("email", "phone", "ssn", "credit_card", "ip", "name", "secret")
 #: What each kind looks like before it is validated.
-EMAIL = r"(?U)(?<![\w.+-])[\w.+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+(?![\w.-])"
+EMAIL = r"(?U)(?<![\w.+-])[\w.+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++(?![\w.-])"
 PHONE = r"(?U)(?<!\w)\+?\(?\d[\d()+. -]{8,}\d(?!\w)"
 SSN = r"(?<![0-9])(?:[0-9]{3}-[0-9]{2}-[0-9]{4}|[0-9]{9})(?![0-9])"
 CARD = r"(?<![0-9])(?:[0-9][ -]?){12,18}[0-9](?![0-9])"

@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from millrace.functions.binding import let
+from millrace.functions.staging import staged
 from millrace.operators.detect import scan_histogram
 from millrace.operators.profile import SUPPRESSED, null_and_distinct
 from millrace.operators.typing import as_float, column_types, is_id_like, parse_rates, typed, value_histogram
@@ -89,11 +91,17 @@ def duplicate_tokens(tokens: DataFrame) -> DataFrame:
 
 def differs(old: Column, new: Column, col_type: str) -> Column:
     """Unequal cells: one missing, one that does not parse against one that does, else by raw text or typed value."""
-    a, b = typed(old, col_type), typed(new, col_type)
-    one = old.isNull() != new.isNull()
-    failed = a.isNull() != b.isNull()
-    raw = a.isNull() & b.isNull() & ~old.eqNullSafe(new)
-    return one | failed | raw | F.coalesce(a != b, F.lit(False))
+
+    def of(pair: Column) -> Column:
+        a, b = pair["a"], pair["b"]
+        one = old.isNull() != new.isNull()
+        failed = a.isNull() != b.isNull()
+        raw = a.isNull() & b.isNull() & ~old.eqNullSafe(new)
+        return one | failed | raw | F.coalesce(a != b, F.lit(False))
+
+    if col_type in ("integer", "float", "boolean", "date", "datetime"):  # equal text is equal as any type
+        return ~old.eqNullSafe(new) & let(F.struct(typed(old, col_type).alias("a"), typed(new, col_type).alias("b")), of)
+    return ~old.eqNullSafe(new)
 
 
 def joined_rows(a: DataFrame, b: DataFrame, keys: Sequence[str], types: dict[str, str]) -> DataFrame:
@@ -173,8 +181,8 @@ def diff(a: DataFrame, b: DataFrame, keys: Sequence[str] | None = None) -> Table
     Only schemas and the few rows about columns come to the driver. Duplicate key tokens on either side leave out
     the rows and say so.
     """
-    hists = [value_histogram(t) for t in (a, b)]
-    rates = [parse_rates(h) for h in hists]
+    hists = [staged(value_histogram(t), "histogram") for t in (a, b)]
+    rates = [staged(parse_rates(h), "parse-rates") for h in hists]
     types = [column_types(r) for r in rates]
     if keys is not None:
         if not keys or len(set(keys)) < len(keys) or any(k not in a.columns or k not in b.columns for k in keys):
@@ -195,6 +203,6 @@ def diff(a: DataFrame, b: DataFrame, keys: Sequence[str] | None = None) -> Table
         if duplicate_tokens(with_token(table, key, by_name)).limit(1).count():
             out.notes.append(f"the key repeats in the {side} table: rows are not compared")
             return out
-    joined = joined_rows(a, b, key, by_name)
+    joined = staged(joined_rows(a, b, key, by_name).drop("old", "new"), "joined-rows")
     out.classes, out.cells = row_classes(joined), changed_cells(joined)
     return out

@@ -1,9 +1,12 @@
 """Profile of a table, one row per column (F1-F9), from its value histogram."""
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from millrace.functions.staging import staged
 from millrace.operators.detect import KINDS, scan_histogram
 from millrace.operators.typing import as_float, column_types, parse_rates, value_histogram
 
@@ -46,19 +49,40 @@ def _numbers(hist: DataFrame, types: DataFrame) -> DataFrame:
     return hist.join(F.broadcast(numeric), "column").withColumn("x", as_float(F.col("value"))).filter("x is not null")
 
 
+def weighted_quantiles(numbers: DataFrame, shares: Sequence[float]) -> DataFrame:
+    """(column, q): quantiles with linear interpolation of (column, x, n), each x counting n times.
+
+    No task holds a column: rows are dealt by ranges of (column, x) and summed within each range, ranges start after
+    those before them (one row per range and column), and only the rows on a wanted place are collected.
+    """
+    parts = max(1, int(numbers.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    summed = numbers.groupBy("column", "x").agg(F.sum("n").alias("n"))
+    dealt = summed.repartitionByRange(parts, "column", "x").withColumn("_p", F.spark_partition_id())
+    local = staged(dealt, "quantiles")
+    sizes = local.groupBy("column", "_p").agg(F.sum("n").alias("_n"))
+    offsets = sizes.select("column", "_p", (F.sum("_n").over(Window.partitionBy("column").orderBy("_p")) - F.col("_n")).alias("_before"), F.sum("_n").over(Window.partitionBy("column")).alias("_all"))
+    upto = local.withColumn("_upto", F.sum("n").over(Window.partitionBy("column", "_p").orderBy("x"))).join(F.broadcast(offsets), ["column", "_p"])
+    place = lambda s: F.lit(s) * (F.col("_all") - 1)
+    wanted = F.array_distinct(F.array(*[f(place(s)).cast("bigint") for s in shares for f in (F.floor, F.ceil)]))
+    first, last = F.col("_before") + F.col("_upto") - F.col("n"), F.col("_before") + F.col("_upto")
+    hit = upto.select("column", "x", "_all", F.filter(wanted, lambda i: (i >= first) & (i < last)).alias("_i")).filter(F.size("_i") > 0)
+    found = hit.select("column", "x", "_all", F.explode("_i").alias("_i")).groupBy("column", "_all").agg(F.map_from_entries(F.collect_list(F.struct("_i", "x"))).alias("_at"))
+    at = lambda s, f: F.element_at("_at", f(place(s)).cast("bigint"))
+    blend = lambda s: at(s, F.floor) + (at(s, F.ceil) - at(s, F.floor)) * (place(s) - F.floor(place(s)))
+    return found.select("column", F.array(*map(blend, shares)).alias("q"))
+
+
 def numeric_stats(hist: DataFrame, types: DataFrame, suppressed: DataFrame | None = None) -> DataFrame:
     """Min, max, mean, sample deviation, quantiles with linear interpolation, and outliers beyond one and a
     half interquartile ranges, of integer and float columns that are not suppressed."""
     numbers = _numbers(hist, types)
     if suppressed is not None:
         numbers = numbers.join(F.broadcast(suppressed.select("column").distinct()), "column", "left_anti")
+    numbers = staged(numbers.select("ordinal", "column", "x", "n"), "numbers")
     x, n = F.col("x"), F.col("n")
     total = F.sum(n)
-    mean = F.sum(n * x) / total
-    stats = numbers.groupBy("ordinal", "column").agg(
-        total.alias("count"), F.min(x).alias("min"), F.max(x).alias("max"), mean.alias("mean"),
-        F.percentile(x, F.array(*map(F.lit, (0.05, 0.25, 0.5, 0.75, 0.95))), n).alias("q"),
-    )
+    stats = numbers.groupBy("ordinal", "column").agg(total.alias("count"), F.min(x).alias("min"), F.max(x).alias("max"), (F.sum(n * x) / total).alias("mean"))
+    stats = staged(stats.join(weighted_quantiles(numbers, (0.05, 0.25, 0.5, 0.75, 0.95)), "column"), "column-stats")
     spread = numbers.join(F.broadcast(stats.select("column", F.col("mean").alias("_mean"), F.col("q")[1].alias("q1"), F.col("q")[3].alias("q3"))), "column")
     fence = 1.5 * (F.col("q3") - F.col("q1"))
     out = (x < F.col("q1") - fence) | (x > F.col("q3") + fence)
@@ -75,7 +99,7 @@ def numeric_stats(hist: DataFrame, types: DataFrame, suppressed: DataFrame | Non
 def outlier_examples(hist: DataFrame, types: DataFrame, k: int = 5) -> DataFrame:
     """of each numeric column the k raw values farthest beyond the fences; ties by value."""
     numbers = _numbers(hist, types)
-    q = numbers.groupBy("column").agg(F.percentile("x", F.array(F.lit(0.25), F.lit(0.75)), F.col("n")).alias("q"))
+    q = weighted_quantiles(numbers, (0.25, 0.75))
     fence = 1.5 * (F.col("q")[1] - F.col("q")[0])
     beyond = F.greatest(F.col("q")[0] - fence - F.col("x"), F.col("x") - F.col("q")[1] - fence)
     far = numbers.join(F.broadcast(q), "column").withColumn("beyond", beyond).filter("beyond > 0")
@@ -85,9 +109,9 @@ def outlier_examples(hist: DataFrame, types: DataFrame, k: int = 5) -> DataFrame
 
 def profile(df: DataFrame, include_values: bool = False, k: int = 10) -> DataFrame:
     """one row per column; raw values only where include_values asks for them."""
-    hist = value_histogram(df)
-    types = column_types(parse_rates(hist))
-    pii = scan_histogram(hist, KINDS)
+    hist = staged(value_histogram(df), "histogram")
+    types = staged(column_types(parse_rates(hist)), "column-types")
+    pii = staged(scan_histogram(hist, KINDS), "column-pii")
     kinds = pii.groupBy("column").agg(F.array_sort(F.collect_list("kind")).alias("pii"))
     stats = numeric_stats(hist, types, pii.filter(F.col("kind").isin(*SUPPRESSED))).drop("ordinal")
     out = null_and_distinct(hist).join(types.drop("ordinal"), "column").join(kinds, "column", "left").join(stats, "column", "left")

@@ -123,7 +123,7 @@ def fake_name(value: Column, digest: Column) -> Column:
 
 def fake_secret(value: Column, digest: Column) -> Column:
     """A fixed tombstone with eight hex digits."""
-    return F.concat(F.lit("FK_SECRET_"), F.substring(digest, 1, 8))
+    return F.concat(F.lit("REDACTED_"), F.substring(digest, 1, 8))
 
 
 FAKES = {"phone": fake_phone, "ssn": fake_ssn, "credit_card": fake_card, "ip": fake_ip, "email": fake_email, "name": fake_name, "secret": fake_secret}
@@ -224,7 +224,7 @@ def residual(scrubbed: DataFrame, mapped: DataFrame, kinds: Sequence[str] = KIND
     for p in parts[1:]:
         cells = cells.unionByName(p)
     found = cells.filter("cell is not null").select("column", "n", F.explode(spans_of(F.col("cell"), False, kinds)).alias("s"))
-    known = found.select("column", "n", "s.kind", "s.value").filter(~F.col("value").rlike(r"FK_SECRET_[0-9a-f]{8}")).join(fakes, "value", "left_anti")
+    known = found.select("column", "n", "s.kind", "s.value").filter(~F.col("value").rlike(r"REDACTED_[0-9a-f]{8}")).join(fakes, "value", "left_anti")
     return known.groupBy("column", "kind").agg(F.sum("n").alias("n"))
 
 

@@ -1,18 +1,24 @@
 """Learned synthetic tables (M1-M14): a small specification per column, and rows drawn from hashes of their number."""
 
+import hashlib
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from millrace.functions.staging import staged
 from millrace.operators import scrub
 from millrace.operators.detect import spans_of
+from millrace.operators.profile import weighted_quantiles
 from millrace.operators.typing import as_boolean, as_date, as_datetime, as_float, column_types, parse_rates, shape, value_histogram
 
 #: Which kind of personal data names a column, first to last.
 SENSITIVE = ("secret", "email", "name", "phone", "ssn", "credit_card", "ip")
 QUANTILES = [i / 20 for i in range(21)]
+#: Areas from 100 on, groups and serials of social security numbers that are drawn.
+AREAS, GROUPS, SERIALS = 566, 99, 9999
 WORDS = ("amber", "brook", "cinder", "delta", "ember", "fable", "grain", "harbor", "inlet", "juniper", "knoll", "lumen", "meadow", "nectar", "opal", "prairie")
 
 
@@ -58,7 +64,8 @@ def numeric_grids(hist: DataFrame) -> DataFrame:
     """M5: (column, grid, decimals): 21 quantiles with linear interpolation, and the most decimals seen."""
     rows = hist.withColumn("x", as_float(F.col("value"))).filter("x is not null")
     decimals = F.coalesce(F.max(F.length(F.regexp_extract("value", r"\.([0-9]+)$", 1))), F.lit(0))
-    return rows.groupBy("column").agg(F.percentile("x", F.array(*map(F.lit, QUANTILES)), F.col("n")).alias("grid"), decimals.alias("decimals"))
+    places = rows.groupBy("column").agg(decimals.alias("decimals"))
+    return weighted_quantiles(rows, QUANTILES).withColumnRenamed("q", "grid").join(places, "column")
 
 
 def temporal_ranges(hist: DataFrame) -> DataFrame:
@@ -69,12 +76,17 @@ def temporal_ranges(hist: DataFrame) -> DataFrame:
 
 
 def small_params(hist: DataFrame) -> DataFrame:
-    """M7: (column, true_rate, avg_words): share of true cells, and average words rounded half up, at least one."""
+    """M7: (column, true_rate, avg_words, name_words): share of true cells, average words rounded half up, at least one,
+    and the commonest number of words, the smallest of equally common ones."""
     n, words = F.col("n"), F.size(F.filter(F.split("value", r"\s+"), lambda w: w != ""))
     truth = as_boolean(F.col("value"))
-    return hist.filter("value is not null").groupBy("column").agg(
-        F.round(F.sum(F.when(truth, n).otherwise(0)) / F.sum(F.when(truth.isNotNull(), n)), 2).alias("true_rate"),
-        F.greatest(F.lit(1), F.floor(F.sum(words * n) / F.sum("n") + 0.5)).cast("int").alias("avg_words"),
+    by_words = hist.filter("value is not null").groupBy("column", words.alias("words")).agg(
+        F.sum(F.when(truth, n).otherwise(0)).alias("true"), F.sum(F.when(truth.isNotNull(), n)).alias("truths"), F.sum("n").alias("n")
+    )
+    return by_words.groupBy("column").agg(
+        F.round(F.sum("true") / F.sum("truths"), 2).alias("true_rate"),
+        F.greatest(F.lit(1), F.floor(F.sum(F.col("words") * F.col("n")) / F.sum("n") + 0.5)).cast("int").alias("avg_words"),
+        F.max_by("words", F.struct("n", (-F.col("words")).alias("w"))).alias("name_words"),
     )
 
 
@@ -85,8 +97,8 @@ def uniqueness(rates: DataFrame) -> DataFrame:
 
 def learn_spec(df: DataFrame) -> DataFrame:
     """M1: one row per column: kind, null rate, uniqueness and the parameters of its kind."""
-    hist = value_histogram(df)
-    rates = parse_rates(hist)
+    hist = staged(value_histogram(df), "histogram")
+    rates = staged(parse_rates(hist), "parse-rates")
     nulls = hist.groupBy("column").agg(F.round(F.sum(F.when(F.col("value").isNull(), F.col("n")).otherwise(0)) / F.sum("n"), 2).alias("null_rate"))
     types = column_types(rates).join(nulls, "column").join(uniqueness(rates), "column").join(sensitive_kinds(hist), "column", "left")
     kind = F.coalesce(F.col("sensitive"), F.when(F.col("col_type") == "id_like", "id").otherwise(F.col("col_type")))
@@ -95,7 +107,7 @@ def learn_spec(df: DataFrame) -> DataFrame:
     out = types.select("ordinal", "column", kind.alias("kind"), "null_rate", (F.col("unique") & kind.isin("id", *SENSITIVE)).alias("unique"))
     for part in (categories, numeric_grids(hist), temporal_ranges(hist), small_params(hist), id_patterns(hist)):
         out = out.join(part, "column", "left")
-    return out
+    return staged(out, "specification")
 
 
 def uniform(seed: int, column: str, what: str = "") -> Column:
@@ -103,20 +115,21 @@ def uniform(seed: int, column: str, what: str = "") -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), F.lit(column), F.lit(what), F.col("id")), F.lit(1 << 53)) / float(1 << 53)
 
 
-def permuted(seed: int, column: str) -> Column:
-    """A number below 2^40 that no other row below 2^40 has: the row number, multiplied by an odd number."""
-    odd = (hash_of(seed, column) % (1 << 20)) * 2 + 1
-    return F.pmod(F.pmod(F.col("id"), F.lit(1 << 40)) * odd + hash_of(seed, column + "+") % (1 << 40), F.lit(1 << 40))
+def permuted(seed: int, column: str, size: int = 1 << 40) -> Column:
+    """A number below size that no other row below size has: the row number times a number prime to size, and shifted."""
+    factor = hash_of(seed, column) % (1 << 20) + 1
+    while math.gcd(factor, size) > 1:
+        factor += 1
+    return F.pmod(F.pmod(F.col("id"), F.lit(size)) * factor + hash_of(seed, column + "+") % size, F.lit(size))
 
 
 def hash_of(seed: int, text: str) -> int:
-    import hashlib
-
     return int.from_bytes(hashlib.sha256(f"{seed}/{text}".encode()).digest()[:7], "big")
 
 
 def draw_id(spec: Row, seed: int) -> Column:
-    """Unique ids count up from start in the digits of the pattern, surplus digits in front; others are random."""
+    """Unique ids count up from start in the digits of the pattern, surplus digits in front, or behind a pattern
+    without digits; others are random."""
     pattern = spec["pattern"] or "#"
     width = pattern.count("#")
     random = F.lpad(F.floor(uniform(seed, spec["column"], "id") * 10 ** min(width, 15)).cast("bigint").cast("string"), max(width, 1), "0")
@@ -132,6 +145,8 @@ def draw_id(spec: Row, seed: int) -> Column:
             parts.append(F.char((F.floor(uniform(seed, spec["column"], f"?{i}") * 26) + 65).cast("bigint")))
         else:
             parts.append(F.lit(c))
+    if spec["unique"] and not width:  # a pattern of letters has no place for the number, so it follows
+        parts += [F.lit("-"), number]
     return F.concat(*parts)
 
 
@@ -179,27 +194,42 @@ def draw_personal(spec: Row, seed: int) -> Column:
     if not spec["unique"]:
         sample = {"phone": "(000) 000-0000", "ssn": "000-00-0000", "credit_card": "0" * 16, "ip": "0.0.0.0", "email": "a@b.com", "name": "A B", "secret": "s"}
         return scrub.FAKES[spec["kind"]](F.lit(sample[spec["kind"]]), digest)
+    social = permuted(seed, spec["column"], AREAS * GROUPS * SERIALS)
     octets = [F.pmod(F.floor(permuted(seed, spec["column"]) / 256**k), F.lit(256)).cast("string") for k in (3, 2, 1, 0)]
     return {
         "email": F.concat(F.lit("u"), number, F.lit("@example.com")),
         "phone": F.concat(F.lit("+1"), number),
-        "ssn": F.concat_ws("-", F.substring(number, 5, 3), F.substring(number, 8, 2), F.substring(number, 10, 4)),
+        "ssn": F.concat_ws("-", (100 + F.floor(social / (GROUPS * SERIALS))).cast("string"), F.lpad((1 + F.floor(social / SERIALS) % GROUPS).cast("string"), 2, "0"), F.lpad((1 + social % SERIALS).cast("string"), 4, "0")),
         "credit_card": F.concat(F.lit("40"), number, scrub.luhn_digit(F.concat(F.lit("40"), number))),
         "ip": F.concat_ws(".", *octets),
-        "name": F.concat(scrub._pick(scrub.FIRST, digest, 0), F.lit(" "), scrub._pick(scrub.LAST, digest, 1), F.lit(" "), number),
-        "secret": F.concat(F.lit("FK_SECRET_"), number),
+        "name": F.concat(scrub._pick(scrub.FIRST, digest, 0), F.lit(" "), scrub._pick(scrub.LAST, digest, 1), F.lit(" "), F.initcap(F.translate(number, "0123456789", "abdefgiklm"))),
+        "secret": F.concat(F.lit("REDACTED_"), number),
     }[spec["kind"]]
 
 
 def check_spec(spec: Sequence[Row]) -> None:
-    """Errors of a specification before anything is drawn."""
+    """Errors of a specification before anything is drawn: rates in 0..1, parameters of each kind, finite numbers."""
+    finite = lambda xs: all(x is not None and math.isfinite(x) for x in xs)
+
+    def refuse(row: Row, why: str) -> None:
+        raise ValueError(f"{row['column']}: {why}")
+
     for row in spec:
-        if not 0 <= row["null_rate"] <= 1:
-            raise ValueError(f"{row['column']}: null_rate must lie in 0..1")
-        if row["kind"] == "categorical" and not row["categories"]:
-            raise ValueError(f"{row['column']}: no categories")
-        if row["kind"] in ("integer", "float") and len(row["grid"] or ()) < 2:
-            raise ValueError(f"{row['column']}: no grid")
+        kind, rate = row["kind"], row["true_rate"]
+        if row["null_rate"] is None or not 0 <= row["null_rate"] <= 1:
+            refuse(row, "null_rate must lie in 0..1")
+        if kind == "boolean" and (rate is None or not 0 <= rate <= 1):
+            refuse(row, "true_rate must lie in 0..1")
+        if kind == "categorical":
+            weights = [c["weight"] for c in row["categories"] or ()]
+            if not weights or not finite(weights) or min(weights) < 0:
+                refuse(row, "categories must have finite weights of at least 0")
+        if kind in ("integer", "float"):
+            grid = row["grid"] or ()
+            if len(grid) < 2 or not finite(grid) or list(grid) != sorted(grid):
+                refuse(row, "a grid must hold finite numbers in order")
+        if kind in ("date", "datetime") and (row["low"] is None or row["high"] is None or row["low"] > row["high"]):
+            refuse(row, "a range must have a low and a high end")
 
 
 def generate(spark: SparkSession, spec: DataFrame, n: int, seed: int = 0) -> DataFrame:

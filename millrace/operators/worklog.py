@@ -5,13 +5,15 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.operators.typing import stripped
+
 #: The tags of entries, in the order of a report's sections.
 TAGS = ("win", "blocker", "decision", "note", "next")
 
 
 def validate_entries(rows: DataFrame) -> DataFrame:
     """(id, ts, tag, text, reason), the text trimmed; reason is null for entries that may be kept."""
-    text = F.trim("text")
+    text = stripped(F.col("text"))
     reason = F.when(text.isNull() | (text == ""), "empty").when(F.length(text) > 500, "too_long").when(F.col("tag").isNull() | ~F.col("tag").isin(*TAGS), "bad_tag")
     return rows.select("id", "ts", "tag", text.alias("text"), reason.alias("reason"))
 

@@ -253,8 +253,8 @@ SQL = {
         SELECT c_custkey, (100 + ({_byte(0)} * 256 + {_byte(1)}) % 566) || '-' || lpad((1 + {_byte(2)} % 99)::VARCHAR, 2, '0') || '-' || lpad((1 + ({_byte(3)} * 256 + {_byte(4)}) % 9999)::VARCHAR, 4, '0') AS ssn FROM h""",
     "r4_card": "SELECT c_custkey, true AS same_length, true AS other, true AS valid FROM customer",
     "r5_ip": f"WITH {CONTACTS}, h AS (SELECT c_custkey, {_hmac('ip')} AS h FROM contacts) SELECT c_custkey, {_FAKE_IP} AS ip FROM h",
-    "r6_pools": f"WITH {CONTACTS} SELECT c_custkey, true AS same_top, true AS same_words, 'FK_SECRET_' || left({_hmac('secret')}, 8) AS secret FROM contacts",
-    "r7_scrub_column": f"WITH {CONTACTS} SELECT c_custkey, CASE WHEN c_custkey % 5 <> 0 THEN 'FK_SECRET_' || left({_hmac('secret')}, 8) END AS secret FROM contacts",
+    "r6_pools": f"WITH {CONTACTS} SELECT c_custkey, true AS same_top, true AS same_words, 'REDACTED_' || left({_hmac('secret')}, 8) AS secret FROM contacts",
+    "r7_scrub_column": f"WITH {CONTACTS} SELECT c_custkey, CASE WHEN c_custkey % 5 <> 0 THEN 'REDACTED_' || left({_hmac('secret')}, 8) END AS secret FROM contacts",
     "r11_summary": "SELECT * FROM (SELECT 'email' AS \"column\", 'email' AS kind, count(*) AS replaced FROM customer UNION ALL SELECT 'ip', 'ip', count(*) FROM customer UNION ALL SELECT 'note', 'ip', count(*) FROM customer)",
     "r12_residual": "SELECT 'ip' AS \"column\", 'ip' AS kind, count(*) AS n FROM customer",
     "r13_join_kept": "SELECT c_custkey, count(*) AS orders FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_custkey",

@@ -106,8 +106,8 @@ SQL = {
     "m4_weights": f"WITH {ORDERS_A} {_WEIGHTS}",
     "m5_grids": f"WITH {ORDERS_A} {_GRID}",
     "m6_ranges": f"WITH {ORDERS_A} SELECT 'order_date' AS \"column\", min(order_date) || ' 00:00:00' AS low, max(order_date) || ' 00:00:00' AS high FROM a UNION ALL SELECT 'seen_at', min(seen_at), max(seen_at) FROM a",
-    "m7_small_params": f"""WITH {ORDERS_A} SELECT 'even' AS "column", round(avg(CASE WHEN even = 'yes' THEN 1 ELSE 0 END), 2) AS true_rate, 1 AS avg_words FROM a
-        UNION ALL SELECT 'priority', NULL, greatest(1, floor(avg(len(list_filter(string_split(priority, ' '), lambda w: w <> ''))) + 0.5))::INT FROM a""",
+    "m7_small_params": f"""WITH {ORDERS_A} SELECT 'even' AS "column", round(avg(CASE WHEN even = 'yes' THEN 1 ELSE 0 END), 2) AS true_rate, 1 AS avg_words, 1 AS name_words FROM a
+        UNION ALL SELECT 'priority', NULL, greatest(1, floor(avg(len(list_filter(string_split(priority, ' '), lambda w: w <> ''))) + 0.5))::INT, mode(len(list_filter(string_split(priority, ' '), lambda w: w <> '')))::INT FROM a""",
     "m8_uniqueness": f"""WITH {ORDERS_A}, {histogram_sql("a", A_COLUMNS)}, {rates_sql()} SELECT "column", filled > 0 AND "distinct" = filled AS "unique" FROM rates""",
     "m9_generate": "SELECT count(*) AS n, count(*) AS codes, 0::BIGINT AS notes FROM orders",
     "m10_ids": "SELECT 'ORD-' || lpad(((SELECT min(o_orderkey) FROM orders) + i)::VARCHAR, 9, '0') AS order_code FROM range((SELECT count(*) FROM orders)) t(i)",

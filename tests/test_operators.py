@@ -212,8 +212,64 @@ def test_evals(spark):
 def test_entry_without_the_subpackage(spark, monkeypatch):
     import __spark_entry__
 
-    find = importlib.util.find_spec
-    monkeypatch.setattr(importlib.util, "find_spec", lambda name, *a: None if name in ("millrace.llm", "corpus_pipeline") else find(name, *a))
+    load = importlib.import_module
+
+    def without(name, *a):
+        if name in ("millrace.llm.registry", "corpus_pipeline"):
+            raise ImportError(name)
+        return load(name, *a)
+
+    monkeypatch.setattr(importlib, "import_module", without)
+    with pytest.warns(UserWarning):
+        __spark_entry__.queries()
     names = __spark_entry__.queries()
     assert "f9_profile" in names and not any(n.startswith("op") for n in names) and set(__spark_entry__.oracle_sql()) <= set(names)
     assert shared_dir(spark)
+
+
+@pytest.mark.parametrize("n", [20000])
+def test_long_runs(spark, n):
+    """Long runs of digits, words and domains take no stack, and many spans no quadratic time."""
+    cells = ["9" * n, "1_" * n, "1," * n, "a-" * n, "a@" + "b." * n + "c", "8.8.8.8 " * n, "- a " * n]
+    df = strings(spark, id=[str(i) for i in range(len(cells))], text=cells)
+    assert typing.infer_types(df).count() == 2
+    assert {r["id"]: r["words"] for r in text.text_stats(df, "id").collect()}["3"] == 1
+    assert detect.scan_spans(df, "text", ("ip",)).count() == n
+    assert detect.scan_spans(df, "text", ("email",)).collect()[0]["value"] == cells[4]
+
+
+def test_quantiles_without_one_task(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    rows = [(c, float(x), int(k)) for c in "ab" for x, k in zip(rng.normal(size=200).round(1), rng.integers(1, 4, 200), strict=True)] + [("c", 5.0, 1)]
+    found = {r["column"]: r["q"] for r in profile.weighted_quantiles(spark.createDataFrame(rows, "column string, x double, n long"), (0.0, 0.05, 0.5, 0.95, 1.0)).collect()}
+    for c in "abc":
+        every = np.repeat(*(np.array(v) for v in zip(*((x, k) for d, x, k in rows if d == c), strict=True)))
+        assert np.allclose(found[c], np.quantile(every, (0.0, 0.05, 0.5, 0.95, 1.0)))
+
+
+def test_small_findings(spark):
+    spec = synth.learn_spec(strings(spark, code=[f"AB-{c}" for c in "QRSTUV"]))
+    assert synth.generate(spark, spec, 3000, 1).select("code").distinct().count() == 3000
+    one_case = spark.createDataFrame([("s", "c", None, '{"a":{"y":2,"x":1}}', '{"a":{"x":1,"y":2}}')], "suite_id string, case_id string, score double, expected string, actual string")
+    assert evals.score_cases(one_case).first()["score"] == 1.0
+    entry = spark.createDataFrame([("1", "2024-01-01", "win", "\t\n")], "id string, ts string, tag string, text string")
+    assert worklog.validate_entries(entry).first()["reason"] == "empty"
+    stray = text.rewrite(strings(spark, id=["1"], text=["In order to win ` we utilize tools\n`in order to`"]), "id").first()
+    assert stray["text"] == "to win ` we use tools\n`in order to`" and stray["per_pass"] == [2, 0]
+    social = strings(spark, ssn=[f"{100 + i}-12-{1000 + i}" for i in range(50)])
+    made = synth.generate(spark, synth.learn_spec(social), 2000, 3)
+    assert made.filter(detect.valid_ssn(F.col("ssn"))).select("ssn").distinct().count() == 2000
+
+
+def test_word_runs_are_lossless_and_fine():
+    import random
+
+    rng = random.Random(1)
+    for size in (0, 1, 7, 60, 4000):
+        old = [rng.choice("abcdefgh") + " " for _ in range(size)] + [f"u{i} " for i in range(size // 2)]
+        new = [t for t in old if rng.random() > 0.05]
+        runs = text.word_runs(old, new)
+        assert [t for op, ts in runs if op != "insert" for t in ts] == old and [t for op, ts in runs if op != "delete" for t in ts] == new
+        assert sum(len(ts) for op, ts in runs if op == "equal") >= 0.9 * len(new)
