@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from millrace.functions.binding import let
+from millrace.functions.staging import broadcast_if_small
+from millrace.operators.typing import stripped
 from millrace.sources.tables import ledger_safe
 
 V4 = r"^(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])$"
@@ -24,7 +26,7 @@ PORTS = {"http": 80, "https": 443, "tcp": 443}
 def normalize_host(host: Column) -> Column:
     """Trimmed, lower case, without brackets or trailing dots; null where white space or nothing is left. Names
     beyond ASCII stay as written in lower case."""
-    bare = F.regexp_replace(F.lower(F.trim(host)), r"^\[(.*)\]$", "$1")
+    bare = F.regexp_replace(F.lower(stripped(host)), r"^\[(.*)\]$", "$1")
     return let(F.regexp_replace(bare, r"\.+$", ""), lambda h: F.when((h != "") & ~h.rlike(r"[\s\x00-\x1f]"), h))
 
 
@@ -40,7 +42,7 @@ def identify_service(df: DataFrame, host_col: str, services: DataFrame) -> DataF
     """
     host = F.col(host_col)
     hosts = df.select(host.alias("_host")).distinct()
-    each = hosts.select("_host", F.explode(suffixes(F.col("_host"))).alias("suffix")).join(F.broadcast(services), "suffix")
+    each = hosts.select("_host", F.explode(suffixes(F.col("_host"))).alias("suffix")).join(broadcast_if_small(services), "suffix")
     found = each.groupBy("_host").agg(F.min_by("service", "rank").alias("_service"))
     last = F.when(host.contains("."), F.substring_index(host, ".", -2)).otherwise(host)
     known = F.when((host == "localhost") | host.endswith(".localhost"), "Localhost").when(host.rlike(V4) | host.contains(":"), "IP address")
@@ -167,7 +169,7 @@ def host_patterns(rules: DataFrame) -> DataFrame:
 
 def host_matches(hosts: DataFrame, rules: DataFrame) -> DataFrame:
     """Distinct (host, rule) where a host selector fits, by equality joins on suffixes; rules are few."""
-    patterns = F.broadcast(host_patterns(rules))
+    patterns = broadcast_if_small(host_patterns(rules))
     each = hosts.select("host", F.posexplode(suffixes(F.col("host"))).alias("depth", "key"))
     fits = ((F.col("how") == "exact") & (F.col("depth") == 0)) | ((F.col("how") == "below") & (F.col("depth") > 0)) | (F.col("how") == "within")
     some = each.join(patterns, "key").filter(fits).select("host", "rule")
@@ -180,27 +182,59 @@ def _ids(rules: DataFrame) -> Column:
     return F.array(*[F.lit(r["id"]) for r in rules.select("id").collect()]).cast("array<string>")
 
 
+def ip_bits(ip: Column) -> Column:
+    """An address as its family, 4 or 6, and its bits as text; null for anything else. IPv4 written as IPv6 is IPv4."""
+    low = F.lower(ip)
+    dotted = F.regexp_extract(low, r"([0-9.]+)$", 1)
+    pair = let(F.lpad(F.hex(ip_number(dotted)), 8, "0"), lambda h: F.concat(F.left(h, F.lit(4)), F.lit(":"), F.right(h, F.lit(4))))
+    plain = F.when(low.rlike(r":[0-9]+(?:\.[0-9]+){3}$"), F.concat(F.left(low, F.length(low) - F.length(dotted)), pair)).otherwise(low)
+
+    def groups(halves: Column) -> Column:
+        parts = F.transform(halves, lambda h: F.when(h == "", F.array().cast("array<string>")).otherwise(F.split(h, ":")))
+        zeros = lambda p: F.array_repeat(F.lit("0"), F.lit(8) - F.size(p[0]) - F.size(p[1]))
+        return let(parts, lambda p: F.when(F.size(p) == 1, p[0]).when(F.size(p[0]) + F.size(p[1]) < 8, F.concat(p[0], zeros(p), p[1])))
+
+    def bits(g: Column) -> Column:
+        good = (F.size(g) == 8) & F.forall(g, lambda x: x.rlike("^[0-9a-f]{1,4}$"))
+        return F.when(good, F.array_join(F.transform(g, lambda x: F.lpad(F.conv(x, 16, 2), 16, "0")), ""))
+
+    mapped = "0" * 80 + "1" * 16
+    v6 = let(let(F.split(plain, "::", 2), groups), bits)
+    six = let(v6, lambda b: F.when(b.startswith(mapped), F.concat(F.lit("4"), F.right(b, F.lit(32)))).otherwise(F.concat(F.lit("6"), b)))
+    four = F.concat(F.lit("4"), F.lpad(F.bin(ip_number(ip)), 32, "0"))
+    return F.when(ip.rlike(V4), four).when(plain.rlike("^[0-9a-f:]*:[0-9a-f:]*$"), six)
+
+
+def _networks(cidr: Column) -> Column:
+    """struct<bits, size> of a network: family and bits of its base, and how many of them, family included, it fixes."""
+    bits = ip_bits(F.substring_index(cidr, "/", 1))
+    whole = F.when(bits.startswith("4"), 32).when(bits.isNotNull(), 128)
+    size = F.when(cidr.contains("/"), F.when(F.substring_index(cidr, "/", -1).rlike("^[0-9]{1,3}$"), F.substring_index(cidr, "/", -1).cast("int"))).otherwise(whole)
+    return F.struct(bits.alias("bits"), F.when(size <= whole, size + 1).alias("size"))
+
+
 def network_matches(ips: DataFrame, rules: DataFrame) -> DataFrame:
-    """Distinct (ip, rule) where an address lies in a network of a rule.
+    """Distinct (ip, rule) where an address, IPv4 or IPv6, lies in a network of a rule.
 
-    A network joins by its leading bits: for each prefix length in use, addresses are cut to it.
+    A network joins by its leading bits: each distinct address is cut to every prefix length in use.
     """
     nets = rules.select(F.col("id").alias("rule"), F.explode("ips").alias("cidr"))
-    size = F.coalesce(F.regexp_extract("cidr", r"/([0-9]+)$", 1).try_cast("int"), F.lit(32))
-    nets = nets.select("rule", size.alias("bits"), F.expr("1").alias("one"), ip_number(F.regexp_replace("cidr", r"/[0-9]+$", "")).alias("base"))
-    cut = lambda n: F.floor(n / F.pow(F.lit(2.0), 32 - F.col("bits"))).cast("bigint")
-    nets = F.broadcast(nets.select("rule", "bits", cut(F.col("base")).alias("lead")))
-    addresses = ips.select("ip", ip_number(F.col("ip")).alias("n")).filter("n is not null").distinct()
-    each = addresses.select("ip", "n", F.explode(F.sequence(F.lit(0), F.lit(32))).alias("bits")).select("ip", "bits", cut(F.col("n")).alias("lead"))
-    return each.join(nets, ["bits", "lead"]).select("ip", "rule").distinct()
+    nets = nets.select("rule", _networks(F.col("cidr")).alias("n")).select("rule", F.expr("left(n.bits, n.size)").alias("lead"))
+    nets = nets.filter("lead is not null").withColumn("size", F.length("lead"))
+    sizes = sorted(r["size"] for r in nets.select("size").distinct().collect())  # 162 at most
+    addresses = ips.select("ip").distinct().select("ip", ip_bits(F.col("ip")).alias("bits")).filter("bits is not null")
+    each = addresses.select("ip", F.explode(F.array(*[F.left("bits", F.lit(k)) for k in sizes]).cast("array<string>")).alias("lead"))
+    return each.distinct().join(broadcast_if_small(nets), "lead").select("ip", "rule").distinct()
 
 
 def check_rules(rules: DataFrame) -> DataFrame:
-    """Rules that must not be used, with the reason: repeated ids, no selector, ports or protocols that do not exist."""
+    """Rules that must not be used, with the reason: repeated ids, no selector, networks, ports or protocols that do not
+    exist."""
     n = F.count("*").over(Window.partitionBy("id"))
     reason = (
         F.when(n > 1, "repeated id")
         .when(F.size("hosts") + F.size("ips") + F.size("ports") + F.size("protocols") <= 0, "no selector")
+        .when(F.exists("ips", lambda c: _networks(c)["bits"].isNull() | _networks(c)["size"].isNull()), "bad network")
         .when(F.exists("ports", lambda p: ~p.between(1, 65535)), "bad port")
         .when(F.exists("protocols", lambda p: ~p.isin(*PORTS)), "bad protocol")
     )
@@ -217,7 +251,7 @@ def evaluate_policy(events: DataFrame, rules: DataFrame, default: str = "deny",
     bad = check_rules(rules).limit(5).collect()
     if bad:
         raise ValueError("; ".join(f"rule {r['id']}: {r['reason']}" for r in bad))
-    few = F.broadcast(rules.select("id", "rank", "action", "ports", "protocols", "allow_private", F.size("ips").alias("ni")))
+    few = broadcast_if_small(rules.select("id", "rank", "action", "ports", "protocols", "allow_private", F.size("ips").alias("ni")))
     by_host = host_matches(events.select("host").distinct(), rules).groupBy("host").agg(F.collect_set("rule").alias("host_rules"))
     by_ip = network_matches(events.select("ip").distinct(), rules).groupBy("ip").agg(F.collect_set("rule").alias("ip_rules"))
     seen = events.join(by_host, "host", "left").join(by_ip, "ip", "left")
@@ -273,10 +307,10 @@ def session_report(sessions: DataFrame, events: DataFrame, tools: DataFrame) ->
 
 
 def destination_rollup(events: DataFrame) -> DataFrame:
-    """One row per destination with counts, bytes, first and last sight and paths."""
-    return events.groupBy("service", "host", "port", "protocol", "scope").agg(
-        F.count("*").alias("events"), F.count_if(F.col("decision") == "allowed").alias("allowed"),
-        F.sum("bytes_sent").alias("bytes_sent"), F.min("started_at").alias("first_seen"),
+    """One row per destination with counts by decision, bytes, first and last sight and paths."""
+    return events.groupBy(*DESTINATION).agg(
+        F.count("*").alias("events"), *[F.count_if(F.col("decision") == d).alias(d) for d in DECISIONS],
+        F.sum("bytes_sent").alias("bytes_sent"), F.sum("bytes_received").alias("bytes_received"), F.min("started_at").alias("first_seen"),
         F.max(F.coalesce("ended_at", "started_at")).alias("last_seen"), F.array_sort(F.collect_set("path")).alias("paths"),
     )
 
@@ -322,7 +356,7 @@ def merge_phases(rows: DataFrame, keys: Sequence[str] = ("event_id",)) -> DataFr
     last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("at"))).alias(c)
     return rows.groupBy(*keys).agg(
         F.min(F.when(F.col("phase") == "open", F.col("at"))).alias("started_at"), F.max(F.when(F.col("phase") == "close", F.col("at"))).alias("ended_at"),
-        last("decision"), last("bytes_sent"),
+        *[last(c) for c in ("detail", "decision", "bytes_sent") if c in rows.columns],
     )
 
 

@@ -10,8 +10,8 @@ from millrace.streaming import evidence as streams
 
 HOSTS = ("api.openai.com", "github.com", "raw.githubusercontent.com", "files.pythonhosted.org", "intranet.local", "localhost", "10.0.0.7", "mail.google.com")
 IPS = ("104.18.7.1", "140.82.112.3", "185.199.108.1", "151.101.0.223", "192.168.1.9", "127.0.0.1", "10.0.0.7", "142.250.1.1")
-#: Suffix, service and rank of our own small table.
-SERVICES = (("api.openai.com", "OpenAI API", 1), ("openai.com", "OpenAI", 2), ("github.com", "GitHub", 3), ("githubusercontent.com", "GitHub content", 4), ("google.com", "Google", 5))
+#: What the test log's hosts are for, as a caller would say it: suffix, service, rank.
+SERVICES = (("api.openai.com", "model endpoint", 1), ("github.com", "code review", 2), ("raw.githubusercontent.com", "code files", 3), ("mail.google.com", "mail", 4))
 RULES = (
     ("deny-raw", 1, "deny", ["*.githubusercontent.com"], [], [], [], False),
     ("allow-git", 2, "allow", ["**.github.com", "**.githubusercontent.com"], [], [443], [], False),
@@ -109,7 +109,9 @@ def n9_host_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 def n10_network_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("event_id")
     ips = table(spark, sf_dir, "events").select(F.concat_ws(".", F.element_at(F.array(F.lit(10), F.lit(142), F.lit(8)), (k % 3 + 1).cast("int")), 248 + k % 5, k % 256, k % 100).alias("ip"))
-    return evidence.network_matches(ips, rules(spark))
+    six = table(spark, sf_dir, "events").select(F.concat(F.lit("2001:DB8:"), F.hex(k % 16), F.lit("::"), F.hex(k % 100)).alias("ip"))
+    more = spark.createDataFrame([("allow-v6", 6, "allow", [], ["2001:db8:a::/48"], [], [], False)], RULE_SCHEMA)
+    return evidence.network_matches(ips.union(six), rules(spark).union(more))
 
 
 def n11_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -166,8 +168,8 @@ def n17_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _phases(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = log(spark, sf_dir)
-    opened = rows.select("event_id", F.lit("open").alias("phase"), F.col("started_at").alias("at"), F.lit("pending").alias("decision"), F.lit(None).cast("bigint").alias("bytes_sent"))
-    closed = rows.filter("ended_at is not null").select("event_id", F.lit("close").alias("phase"), F.col("ended_at").alias("at"), "decision", "bytes_sent")
+    opened = rows.select("event_id", F.lit("open").alias("phase"), F.col("started_at").alias("at"), F.lit("pending").alias("decision"), F.lit(None).cast("bigint").alias("bytes_sent"), F.col("host").alias("detail"))
+    closed = rows.filter("ended_at is not null").select("event_id", F.lit("close").alias("phase"), F.col("ended_at").alias("at"), "decision", "bytes_sent", F.when(F.col("event_id") % 2 == 0, F.col("path")).alias("detail"))
     return opened.unionByName(closed)
 
 
@@ -225,7 +227,7 @@ LOG = f"""log AS (
          CASE WHEN event_id % 5 = 0 THEN 80 ELSE 443 END AS port, CASE WHEN event_id % 5 = 0 THEN 'http' ELSE 'https' END AS protocol, '/p' || (event_id % 7) AS path,
          CASE event_type WHEN 'error' THEN 'blocked' WHEN 'purchase' THEN 'would_block' ELSE 'allowed' END AS decision,
          floor(value * 100)::BIGINT AS bytes_sent, floor(value * 10)::BIGINT AS bytes_received, CASE WHEN event_id % 6 <> 0 THEN 'f' || (event_id % 11) END AS fingerprint,
-         ['OpenAI API', 'GitHub', 'GitHub content', 'pythonhosted.org', 'intranet.local', 'Localhost', 'IP address', 'Google'][event_id % 8 + 1] AS service,
+         ['model endpoint', 'code review', 'code files', 'pythonhosted.org', 'intranet.local', 'Localhost', 'IP address', 'mail'][event_id % 8 + 1] AS service,
          ['public', 'public', 'public', 'public', 'private', 'loopback', 'private', 'public'][event_id % 8 + 1] AS scope
   FROM events
 ), sessions AS (
@@ -258,7 +260,7 @@ SQL = {
     "n7_redact_command": "SELECT p_partkey, CASE WHEN len(string_split(p_name, ' ')) > 1 THEN string_split(p_name, ' ')[1] || ' [arguments redacted]' ELSE p_name END AS command FROM part",
     "n8_parse_destination": "SELECT event_id, ['a.example', 'b.example', '::1', 'c.example', NULL, 'e.example'][event_id % 6 + 1] AS host, [80, 443, 443, 7, NULL, 8080][event_id % 6 + 1] AS port, ['http', 'https', 'https', 'tcp', NULL, 'https'][event_id % 6 + 1] AS protocol FROM events",
     "n9_host_match": f"""WITH {LOG} SELECT DISTINCT host, rule FROM log JOIN (VALUES ('raw.githubusercontent.com', 'deny-raw'), ('raw.githubusercontent.com', 'allow-git'), ('github.com', 'allow-git'), ('api.openai.com', 'allow-ai'), ('localhost', 'allow-local')) r(h, rule) ON host = h""",
-    "n10_network_match": "WITH x AS (SELECT [10, 142, 8][event_id % 3 + 1] AS a, 248 + event_id % 5 AS b, event_id % 256 AS c, event_id % 100 AS d FROM events) SELECT DISTINCT a || '.' || b || '.' || c || '.' || d AS ip, 'allow-net' AS rule FROM x WHERE a = 10 OR (a = 142 AND b = 250)",
+    "n10_network_match": "WITH x AS (SELECT [10, 142, 8][event_id % 3 + 1] AS a, 248 + event_id % 5 AS b, event_id % 256 AS c, event_id % 100 AS d FROM events) SELECT DISTINCT a || '.' || b || '.' || c || '.' || d AS ip, 'allow-net' AS rule FROM x WHERE a = 10 OR (a = 142 AND b = 250) UNION SELECT DISTINCT '2001:DB8:A::' || printf('%X', event_id % 100), 'allow-v6' FROM events WHERE event_id % 16 = 10",
     "n11_policy": f"""WITH {_JUDGED}, d AS (SELECT event_id, coalesce(named, net, CASE WHEN host = 'localhost' THEN 'allow-local' END) AS rule, scope, net FROM judged),
         r AS (SELECT event_id, CASE WHEN rule IS NOT NULL AND rule <> 'deny-raw' AND scope <> 'public' AND net IS NULL THEN NULL ELSE rule END AS rule_id,
           CASE WHEN rule IS NULL OR rule = 'deny-raw' OR (scope <> 'public' AND net IS NULL) THEN 'deny' ELSE 'allow' END AS action FROM d)
@@ -272,8 +274,8 @@ SQL = {
         count(*) FILTER (WHERE decision = 'blocked') AS blocked, count(*) FILTER (WHERE scope = 'public') AS public, count(*) FILTER (WHERE scope IN ('loopback', 'private')) AS local_private,
         sum(bytes_sent)::BIGINT AS bytes_sent, sum(bytes_received)::BIGINT AS bytes_received, count(DISTINCT service) AS services, count(*) FILTER (WHERE event_id % 3 = 1) AS tool_events FROM log GROUP BY session_id""",
     "n13_session_totals": f"WITH {_MIXED} SELECT session_id, count(*) AS events, {_TOTALS}, count(*) FILTER (WHERE event_id % 3 = 1) AS tool_events FROM mixed GROUP BY session_id",
-    "n14_destinations": f"""WITH {LOG} SELECT service, host, port, protocol, scope, count(*) AS events, count(*) FILTER (WHERE decision = 'allowed') AS allowed, sum(bytes_sent)::BIGINT AS bytes_sent,
-        min(started_at) AS first_seen, max(coalesce(ended_at, started_at)) AS last_seen, string_agg(DISTINCT path, ',' ORDER BY path) AS paths FROM log GROUP BY ALL""",
+    "n14_destinations": f"""WITH {LOG} SELECT service, host, port, protocol, scope, count(*) AS events, {', '.join(f"count(*) FILTER (WHERE decision = '{d}') AS {d}" for d in evidence.DECISIONS)}, sum(bytes_sent)::BIGINT AS bytes_sent,
+        sum(bytes_received)::BIGINT AS bytes_received, min(started_at) AS first_seen, max(coalesce(ended_at, started_at)) AS last_seen, string_agg(DISTINCT path, ',' ORDER BY path) AS paths FROM log GROUP BY ALL""",
     "n15_overview": f"""WITH {LOG}, b AS (SELECT l.*, agent FROM log l JOIN sessions USING (session_id))
         SELECT agent, source, service, host, CASE WHEN grouping(agent) = 0 THEN 'agent' WHEN grouping(source) = 0 THEN 'source' WHEN grouping(host) = 0 THEN 'destination' ELSE 'total' END AS level,
           count(*) AS events, count(DISTINCT session_id) AS sessions, sum(bytes_sent)::BIGINT AS bytes_sent FROM b GROUP BY GROUPING SETS ((), (agent), (source), (service, host))""",
@@ -285,7 +287,7 @@ SQL = {
         FROM b GROUP BY GROUPING SETS ((), (agent), (source), (service, host, port, protocol, scope))""",
     "n16_ledger": f"WITH {LOG} SELECT event_id, session_id, host, decision, 'network' AS record, NULL::VARCHAR AS tool FROM log UNION ALL SELECT event_id, user_id, NULL, NULL, 'tool', '''=t' || (event_id % 4) FROM events WHERE event_id % 3 = 1",
     "n17_retention": f"WITH {LOG} SELECT session_id, count(*) AS events FROM log WHERE session_id % 2 <> 0 OR session_id % 10 = 0 GROUP BY session_id",
-    "n18_merge": f"WITH {LOG} SELECT event_id, started_at, ended_at, CASE WHEN ended_at IS NULL THEN 'pending' ELSE decision END AS decision, CASE WHEN ended_at IS NOT NULL THEN bytes_sent END AS bytes_sent FROM log",
+    "n18_merge": f"WITH {LOG} SELECT event_id, started_at, ended_at, CASE WHEN ended_at IS NULL THEN 'pending' ELSE decision END AS decision, CASE WHEN ended_at IS NOT NULL THEN bytes_sent END AS bytes_sent, CASE WHEN ended_at IS NOT NULL AND event_id % 2 = 0 THEN path ELSE host END AS detail FROM log",
     "n19_dedupe": f"""WITH {LOG}, r AS (SELECT *, row_number() OVER (PARTITION BY session_id, fingerprint ORDER BY started_at, event_id) AS k FROM log)
         SELECT event_id, session_id, fingerprint FROM r WHERE fingerprint IS NULL OR k = 1""",
     "n20_live_totals": "SELECT date_trunc('day', ts)::TIMESTAMP AS day, user_id AS session_id, count(*) AS events, count(*) FILTER (WHERE event_type <> 'error') AS allowed, sum(floor(value * 100)::BIGINT)::BIGINT AS bytes_sent FROM events GROUP BY ALL",

@@ -19,7 +19,7 @@ def merge_stream(rows: DataFrame, late: str = "1 hour", longest: str = "7 days")
     merged = stamped.groupBy(F.session_window("at", longest), "event_id").agg(
         F.min(F.when(F.col("phase") == "open", F.col("at"))).alias("started_at"),
         F.max(F.when(F.col("phase") == "close", F.col("at"))).alias("ended_at"),
-        last("decision"), last("bytes_sent"),
+        *[last(c) for c in ("detail", "decision", "bytes_sent") if c in rows.columns],
     )
     return merged.drop("session_window")
 

@@ -273,3 +273,19 @@ def test_word_runs_are_lossless_and_fine():
         runs = text.word_runs(old, new)
         assert [t for op, ts in runs if op != "insert" for t in ts] == old and [t for op, ts in runs if op != "delete" for t in ts] == new
         assert sum(len(ts) for op, ts in runs if op == "equal") >= 0.9 * len(new)
+
+
+def test_networks_of_both_families(spark):
+    rules = spark.createDataFrame(
+        [("six", ["2001:db8::/32", "fe80::1"]), ("four", ["10.0.0.0/8", "1.2.3.4"]), ("all", ["::/0"])], "id string, ips array<string>"
+    )
+    ips = spark.createDataFrame([(x,) for x in ("2001:DB8:1::5", "2001:db9::", "fe80::1", "fe80::2", "::ffff:10.1.2.3", "10.9.9.9", "1.2.3.4", "1.2.3.5", "::1", "1::2::3", "x", None, "12345::")], "ip string")
+    found = {}
+    for r in evidence.network_matches(ips, rules).collect():
+        found.setdefault(r["ip"], set()).add(r["rule"])
+    assert found == {
+        "2001:DB8:1::5": {"six", "all"}, "2001:db9::": {"all"}, "fe80::1": {"six", "all"}, "fe80::2": {"all"}, "::ffff:10.1.2.3": {"four"}, "10.9.9.9": {"four"}, "1.2.3.4": {"four"}, "::1": {"all"},
+    }
+    bad = spark.createDataFrame([("a", ["10.0.0.0/33"]), ("b", ["nonsense"]), ("c", ["::/129"]), ("d", ["10.0.0.0/8"])], "id string, ips array<string>")
+    bad = bad.selectExpr("id", "cast(array() as array<string>) as hosts", "ips", "cast(array() as array<int>) as ports", "cast(array() as array<string>) as protocols")
+    assert {r["id"] for r in evidence.check_rules(bad).collect()} == {"a", "b", "c"}
