@@ -186,7 +186,7 @@ def ip_bits(ip: Column) -> Column:
     """An address as its family, 4 or 6, and its bits as text; null for anything else. IPv4 written as IPv6 is IPv4."""
     low = F.lower(ip)
     dotted = F.regexp_extract(low, r"([0-9.]+)$", 1)
-    pair = let(F.lpad(F.hex(ip_number(dotted)), 8, "0"), lambda h: F.concat(F.left(h, F.lit(4)), F.lit(":"), F.right(h, F.lit(4))))
+    pair = let(F.lpad(F.lower(F.hex(ip_number(dotted))), 8, "0"), lambda h: F.concat(F.left(h, F.lit(4)), F.lit(":"), F.right(h, F.lit(4))))
     plain = F.when(low.rlike(r":[0-9]+(?:\.[0-9]+){3}$"), F.concat(F.left(low, F.length(low) - F.length(dotted)), pair)).otherwise(low)
 
     def groups(halves: Column) -> Column:
