@@ -2,10 +2,11 @@
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from millrace.operators import synth
 from millrace.operators.typing import parse_rates, value_histogram
-from millrace.plans.privacy import _contacts
+from millrace.plans.privacy import CONTACTS, _contacts
 from millrace.plans.tables import a
 from millrace.plans.views import A_COLUMNS, ORDERS_A, histogram_sql, rates_sql
 
@@ -64,23 +65,37 @@ def m11_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _made(spark, sf_dir).select("status").distinct()
 
 
+def _grid(rows: DataFrame) -> DataFrame:
+    return synth.numeric_grids(value_histogram(rows.select("total"))).select("column", F.posexplode("grid").alias("i", "q"))
+
+
 def m12_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    real = a(spark, sf_dir).agg(F.min(F.col("total").cast("double")).alias("low"), F.max(F.col("total").cast("double")).alias("high"))
-    made = _made(spark, sf_dir).select(F.col("total").cast("double").alias("x")).filter("x is not null")
-    return made.join(F.broadcast(real)).agg(F.bool_and(F.col("x").between(F.col("low"), F.col("high"))).alias("within"))
+    """The grid of the real numbers; near: the made number at that place lies between the neighbours on the real grid."""
+    around = Window.partitionBy("column").orderBy("i")
+    real = _grid(a(spark, sf_dir)).withColumns({"low": F.coalesce(F.lag("q").over(around), "q"), "high": F.coalesce(F.lead("q").over(around), "q")})
+    made = _grid(_made(spark, sf_dir)).withColumnRenamed("q", "made")
+    return real.join(made, ["column", "i"]).select("column", "i", "q", F.col("made").between(F.col("low"), F.col("high")).alias("near"))
 
 
 def m13_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    real = a(spark, sf_dir).agg(F.min("order_date").alias("low"), F.max("order_date").alias("high"))
-    made = _made(spark, sf_dir)
-    return made.join(F.broadcast(real)).agg(F.bool_and(F.col("order_date").between(F.col("low"), F.col("high"))).alias("within"), F.count_distinct("even").alias("truths"))
+    """Ranges of the real moments and rates of the real truth values; near: the made ones lie within or within 0.05."""
+    real, made = value_histogram(a(spark, sf_dir).select("order_date", "seen_at", "even")), value_histogram(_made(spark, sf_dir).select("order_date", "seen_at", "even"))
+    new = synth.temporal_ranges(made).select("column", F.col("low").alias("from"), F.col("high").alias("to"))
+    within = (F.col("from") >= F.col("low")) & (F.col("to") <= F.col("high"))
+    ranges = synth.temporal_ranges(real).join(new, "column").select("column", "low", "high", within.alias("near"))
+    rate = synth.small_params(made).filter("true_rate is not null").select("column", F.col("true_rate").alias("new"))
+    rates = synth.small_params(real).filter("true_rate is not null").join(rate, "column")
+    return ranges.unionByName(rates.select("column", F.col("true_rate").cast("string").alias("low"), F.lit(None).cast("string").alias("high"), (F.abs(F.col("true_rate") - F.col("new")) <= 0.05).alias("near")))
 
 
 def m14_personal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct made values, made social numbers that detection takes, and made addresses that are real ones."""
     real = _contacts(spark, sf_dir).select("email", "ssn", "secret")
     made = synth.generate(spark, synth.learn_spec(real), real.count(), 3)
-    return made.agg(F.count_distinct("email").alias("emails"), F.count_distinct("secret").alias("secrets")).join(
-        F.broadcast(made.join(real, "email", "left_semi").agg(F.count("*").alias("leaked")))
+    valid = F.col("ssn").rlike(r"^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}$")
+    known = real.select("email", F.lit(1).alias("real"))
+    return made.join(known, "email", "left").agg(
+        F.count_distinct("email").alias("emails"), F.count_distinct("secret").alias("secrets"), F.count_if(valid).alias("ssns"), F.count("real").alias("leaked")
     )
 
 
@@ -98,10 +113,17 @@ _GRID = " UNION ALL ".join(
     f"SELECT '{c}' AS \"column\", {d} AS decimals, {i} AS i, quantile_cont(x, {i / 20}) AS q FROM (SELECT {c}::DOUBLE AS x FROM a WHERE {c} IS NOT NULL)" for c, d in (("customer", 0), ("total", 2)) for i in range(21)
 )
 
+_TOTALS = " UNION ALL ".join(f"SELECT 'total' AS \"column\", {i} AS i, quantile_cont(total::DOUBLE, {i / 20}) AS q, true AS near FROM a WHERE total IS NOT NULL" for i in range(21))
+#: What every value of a column looks like makes it sensitive.
+_LOOKS = {"email": r"[^@\s]+@[a-z0-9]+(\.[a-z]+)+", "ssn": r"[0-9]{3}-[0-9]{2}-[0-9]{4}", "ip": r"([0-9]{1,3}\.){3}[0-9]{1,3}", "secret": "AKIA[0-9A-Z]{16}"}
+_SENSITIVE = " UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", '{k}' AS sensitive FROM contacts HAVING bool_and(regexp_full_match({c}, '{look}'))" for c in (*_LOOKS, "segment") for k, look in _LOOKS.items()
+)
+
 SQL = {
     "m1_learn_spec": f"""WITH {ORDERS_A}, {histogram_sql("a", A_COLUMNS)}, x AS (SELECT ordinal, "column", round(coalesce(sum(n) FILTER (WHERE value IS NULL), 0)::DOUBLE / sum(n), 2) AS null_rate FROM hist GROUP BY ALL)
         SELECT ordinal, "column", {_KIND} AS kind, null_rate, "column" = 'order_code' AS "unique" FROM x""",
-    "m2_sensitive_kinds": "SELECT * FROM (VALUES ('email', 'email'), ('ssn', 'ssn'), ('ip', 'ip'), ('secret', 'secret')) t(\"column\", sensitive)",
+    "m2_sensitive_kinds": f"WITH {CONTACTS} {_SENSITIVE}",
     "m3_id_patterns": "SELECT 'order_code' AS \"column\", 'ORD-#########' AS pattern, min(o_orderkey) AS start FROM orders UNION ALL SELECT 'padded', '#########', max(o_orderkey) + 1 FROM orders",
     "m4_weights": f"WITH {ORDERS_A} {_WEIGHTS}",
     "m5_grids": f"WITH {ORDERS_A} {_GRID}",
@@ -112,7 +134,8 @@ SQL = {
     "m9_generate": "SELECT count(*) AS n, count(*) AS codes, 0::BIGINT AS notes FROM orders",
     "m10_ids": "SELECT 'ORD-' || lpad(((SELECT min(o_orderkey) FROM orders) + i)::VARCHAR, 9, '0') AS order_code FROM range((SELECT count(*) FROM orders)) t(i)",
     "m11_categories": "SELECT DISTINCT o_orderstatus AS status FROM orders",
-    "m12_numbers": "SELECT true AS within",
-    "m13_moments": "SELECT true AS within, 2::BIGINT AS truths",
-    "m14_personal": "SELECT count(*) AS emails, count(*) AS secrets, 0::BIGINT AS leaked FROM customer",
+    "m12_numbers": f"WITH {ORDERS_A} {_TOTALS}",
+    "m13_moments": f"""WITH {ORDERS_A} SELECT 'order_date' AS "column", min(order_date) || ' 00:00:00' AS low, max(order_date) || ' 00:00:00' AS high, true AS near FROM a
+        UNION ALL SELECT 'seen_at', min(seen_at), max(seen_at), true FROM a UNION ALL SELECT 'even', round(avg(CASE WHEN even = 'yes' THEN 1 ELSE 0 END), 2)::VARCHAR, NULL, true FROM a""",
+    "m14_personal": "SELECT count(*) AS emails, count(*) AS secrets, count(*) AS ssns, 0::BIGINT AS leaked FROM customer",
 }

@@ -11,7 +11,10 @@ from millrace import registry
 FOLDER = "/root/testdata/sf0.001"
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 #: Queries of each kind; the driver compares them all.
-SOME = ("s5_normalize_nulls", "t2_parse_rates", "f4_top_k", "d8_row_classes", "p1_email", "r1_hmac", "x4_text_stats", "n11_policy", "e3_weekly_report", "a5_suite_figures", "m4_weights")
+SOME = (
+    "s5_normalize_nulls", "t2_parse_rates", "f4_top_k", "d8_row_classes", "p1_email", "r1_hmac", "x4_text_stats", "n11_policy", "e3_weekly_report", "a5_suite_figures", "m4_weights",
+    "r4_card", "m2_sensitive_kinds", "m12_numbers", "m13_moments", "m14_personal",
+)
 
 
 def plain(value):
