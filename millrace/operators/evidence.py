@@ -2,12 +2,13 @@
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from millrace.functions.binding import let
-from millrace.functions.staging import broadcast_if_small
+from millrace.functions.staging import broadcast_if_small, quoted
 from millrace.operators.typing import stripped
 from millrace.sources.tables import ledger_safe
 
@@ -19,17 +20,44 @@ LONG_TOKEN = r"^(?=.*[A-Za-z])(?=.*[0-9])[A-Za-z0-9._~-]{24,}$"
 #: What can become of an event, and what tells destinations apart.
 DECISIONS = ("allowed", "observed", "would_block", "blocked", "failed", "unsupported")
 DESTINATION = ("service", "host", "port", "protocol", "scope")
+#: The layout of the ledger.
+LEDGER = dict.fromkeys(
+    ("record_type", "occurred_at", "source", "service", "host", "port", "protocol", "method", "path", "scope", "decision", "rule_id", "bytes_sent", "bytes_received",
+     "process_pid", "process_name", "tool", "target", "correlation_id", "detail"), "string",
+) | {"occurred_at": "timestamp", "port": "int", "bytes_sent": "bigint", "bytes_received": "bigint", "process_pid": "int"}
 RESTRICTED = ("loopback", "link-local", "private", "multicast", "reserved")
 PORTS = {"http": 80, "https": 443, "tcp": 443}
 
 
 def normalize_host(host: Column) -> Column:
     """Trimmed, lower case, without brackets or trailing dots; null where white space or nothing is left. Names
-    beyond ASCII stay as written in lower case."""
+    beyond ASCII stay as written in lower case; `canonical_hosts` turns them into ASCII."""
     bare = F.regexp_replace(F.lower(stripped(host)), r"^\[(.*)\]$", "$1")
     return let(F.regexp_replace(bare, r"\.+$", ""), lambda h: F.when((h != "") & ~h.rlike(r"[\s\x00-\x1f]"), h))
 
 
+def canonical_hosts(df: DataFrame, host_col: str) -> DataFrame:
+    """N1 in full: df with its host normalized, IPv6 addresses in their shortest form and names beyond ASCII in IDNA's
+    ASCII form; null where there is no such form. Plain hosts stay native, of the others each distinct one is read once."""
+    import ipaddress
+
+    @F.arrow_udf("string")
+    def written(batch: pa.Array) -> pa.Array:
+        out = []
+        for host in batch.to_pylist():
+            try:
+                out.append(str(ipaddress.ip_address(host)) if ":" in host else host.encode("idna").decode("ascii"))
+            except ValueError:
+                out.append(None)
+        return pa.array(out, pa.string())
+
+    rows = df.withColumn(host_col, normalize_host(quoted(host_col)))
+    special = quoted(host_col).rlike(r"[^\x00-\x7f]|:")
+    forms = rows.filter(special).select(quoted(host_col).alias("_host")).distinct().withColumn("_form", written(F.col("_host")))
+    out = rows.join(broadcast_if_small(forms), quoted(host_col) == F.col("_host"), "left")
+    return out.withColumn(host_col, F.when(special, F.col("_form")).otherwise(quoted(host_col))).drop("_host", "_form")
+
+
 def suffixes(host: Column) -> Column:
     """All suffixes of a host at label borders, the whole host first."""
     return let(F.split(host, r"\."), lambda p: F.transform(F.sequence(F.lit(1), F.size(p)), lambda i: F.array_join(F.slice(p, i, F.size(p)), ".")))
@@ -335,9 +363,16 @@ def overview(sessions: DataFrame, events: DataFrame, destination: Sequence[str]
 
 
 def evidence_ledger(events: DataFrame, tools: DataFrame) -> DataFrame:
-    """Network and tool events as one labelled table, safe for spreadsheets."""
-    net = events.withColumn("record", F.lit("network"))
-    return ledger_safe(net.unionByName(tools.withColumn("record", F.lit("tool")), allowMissingColumns=True))
+    """Network and tool events as one labelled table of the columns of LEDGER, safe for spreadsheets; columns
+    that a side does not have are null, and columns beyond the layout stay out."""
+
+    def laid_out(rows: DataFrame, named: dict[str, Column]) -> DataFrame:
+        there = {c: quoted(c) for c in rows.columns} | named
+        return rows.select(*[there.get(c, F.lit(None)).cast(LEDGER[c]).alias(c) for c in LEDGER])
+
+    net = laid_out(events, {"record_type": F.lit("network_event"), "occurred_at": F.col("started_at")})
+    hooks = {"record_type": F.lit("tool_event"), "source": F.lit("agent-hook"), "detail": F.col("event") if "event" in tools.columns else F.lit(None)}
+    return ledger_safe(net.unionByName(laid_out(tools, hooks)))
 
 
 def list_sessions(sessions: DataFrame, limit: int) -> DataFrame:

@@ -91,6 +91,15 @@ def a12_risk_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evals.risk_warnings(evals.parse_tools(specs(spark, sf_dir))).select("spec_id", "name", F.array_join("tokens", ",").alias("tokens"))
 
 
+def a12_denied_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as documents whose list of denied tools stands in either place, or nowhere."""
+    k = F.col("p_partkey")
+    names = F.concat(F.lit('["shell", "'), F.col("p_brand"), F.lit('"]'))
+    body = F.when(k % 3 == 0, F.concat(F.lit('{"tools": {"denied": '), names, F.lit("}}"))).when(k % 3 == 1, F.concat(F.lit('{"tools": [], "denied": '), names, F.lit("}"))).otherwise(F.lit('{"tools": []}'))
+    rows = table(spark, sf_dir, "part").select(k.alias("spec_id"), F.concat(F.lit('{"spec": '), body, F.lit("}")).alias("document"))
+    return evals.denied_tools(rows).select("spec_id", F.array_join("denied", ",").alias("denied"))
+
+
 SCHEMA = {
     "required": ["c_name"],
     "additionalProperties": False,
@@ -118,7 +127,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         a1_score_cases, a2_case_errors, a3_safety_errors, a4_merge_gates, a5_suite_figures, a6_verdicts, a7_fingerprint, a8_config_diff, a9_validate_configs,
-        a10_parse_tools, a11_tool_risk, a12_risk_warnings, a13_validate_records, a14_prompt_fingerprints,
+        a10_parse_tools, a11_tool_risk, a12_risk_warnings, a12_denied_tools, a13_validate_records, a14_prompt_fingerprints,
     )
 }
 
@@ -155,6 +164,7 @@ SQL = {
     "a11_tool_risk": "SELECT DISTINCT i AS identifier, t AS token FROM part, (VALUES (0, 'deleteOrder', 'delete'), (2, 'order.send', 'send'), (0, 'orders:writes', 'writes')) v(m, i, t) WHERE p_partkey % 5 = m",
     "a12_risk_warnings": """SELECT p_partkey AS spec_id, CASE p_partkey % 5 WHEN 0 THEN 'deleteOrder' WHEN 1 THEN 'x*' ELSE 'order.send' END AS name,
         CASE p_partkey % 5 WHEN 0 THEN 'delete,writes' WHEN 1 THEN 'writes' ELSE 'send,writes' END AS tokens FROM part WHERE p_partkey % 2 = 1""",
+    "a12_denied_tools": "SELECT p_partkey AS spec_id, CASE WHEN p_partkey % 3 < 2 THEN 'shell,' || p_brand ELSE '' END AS denied FROM part",
     "a13_validate_records": """SELECT c_custkey, concat_ws(';', CASE WHEN c_custkey > 100 THEN 'c_custkey: maximum' END, CASE WHEN length(c_name) < 3 THEN 'c_name: minLength' END,
         CASE WHEN c_mktsegment NOT IN ('BUILDING', 'MACHINERY') THEN 'c_mktsegment: enum' END, CASE WHEN c_acctbal < 0 THEN 'c_acctbal: minimum' END, 'c_nationkey: additionalProperties') AS errors FROM customer""",
     "a14_prompt_fingerprints": """SELECT p_partkey AS spec_id, p_brand AS ref, (p_partkey % 3)::VARCHAR AS version, 'sha256:' || sha256(CASE WHEN right(p_brand, 1) < '4' THEN max(p_name) OVER (PARTITION BY p_brand)

@@ -66,6 +66,14 @@ def n1_normalize_host(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", evidence.normalize_host(host).alias("host"))
 
 
+def n1_canonical_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hosts of pages, one in three below a name beyond ASCII, and addresses in long forms."""
+    k, host = F.col("page_id"), F.regexp_extract("url", "://([^/:?#]+)", 1)
+    six = F.concat(F.lit("[2001:DB8:0:0:0:0:0:"), F.lower(F.hex(1 + k % 4000)), F.lit("]"))
+    rows = table(spark, sf_dir, "pages").select("page_id", F.when(k % 3 == 0, F.concat(host, F.lit(".B\u00dcCHER.example"))).when(k % 3 == 1, six).otherwise(host).alias("host"))
+    return evidence.canonical_hosts(rows, "host")
+
+
 def n2_services(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log(spark, sf_dir).select("event_id", "service")
 
@@ -157,7 +165,8 @@ def n15_overview_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def n16_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evidence.evidence_ledger(log(spark, sf_dir).select("event_id", "session_id", "host", "decision"), tools(spark, sf_dir).drop("occurred_at"))
+    hooks = tools(spark, sf_dir).select("occurred_at", "tool", F.col("event_id").cast("string").alias("correlation_id"), F.lit("PreToolUse").alias("event"))
+    return evidence.evidence_ledger(log(spark, sf_dir), hooks)
 
 
 def n17_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -214,7 +223,7 @@ def e3_weekly_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        n1_normalize_host, n2_services, n3_ip_scope, n4_sanitize_path, n5_sanitize_url, n6_tool_event, n7_redact_command, n8_parse_destination, n9_host_match,
+        n1_normalize_host, n1_canonical_hosts, n2_services, n3_ip_scope, n4_sanitize_path, n5_sanitize_url, n6_tool_event, n7_redact_command, n8_parse_destination, n9_host_match,
         n10_network_match, n11_policy, n12_multi_address, n13_session_report, n13_session_totals, n14_destinations, n15_overview, n15_overview_parts, n16_ledger, n17_retention, n18_merge, n19_dedupe,
         n20_live_totals, e1_validate, e2_week, e3_weekly_report,
     )
@@ -250,6 +259,8 @@ _TAG = "CASE WHEN event_id % 70 = 1 THEN 'odd' ELSE CASE event_type WHEN 'signup
 
 SQL = {
     "n1_normalize_host": "SELECT page_id, CASE WHEN page_id % 9 <> 0 THEN lower(regexp_extract(url, '://([^/:?#]+)', 1)) END AS host FROM pages",
+    "n1_canonical_hosts": """SELECT page_id, CASE page_id % 3 WHEN 0 THEN lower(regexp_extract(url, '://([^/:?#]+)', 1)) || '.xn--bcher-kva.example' WHEN 1 THEN '2001:db8::' || lower(hex(1 + page_id % 4000))
+        ELSE lower(regexp_extract(url, '://([^/:?#]+)', 1)) END AS host FROM pages""",
     "n2_services": f"WITH {LOG} SELECT event_id, service FROM log",
     "n3_ip_scope": """WITH x AS (SELECT event_id, event_id * 7 % 256 AS a, event_id * 13 % 256 AS b, event_id % 256 AS c FROM events)
         SELECT event_id, CASE WHEN a = 127 THEN 'loopback' WHEN a = 169 AND b = 254 THEN 'link-local'
@@ -285,7 +296,10 @@ SQL = {
           CASE WHEN grouping(source) = 1 AND grouping(host) = 1 THEN count(DISTINCT session_id) FILTER (WHERE status = 'running') END AS running,
           string_agg(DISTINCT agent, ',' ORDER BY agent) AS agents, string_agg(DISTINCT source, ',' ORDER BY source) AS sources
         FROM b GROUP BY GROUPING SETS ((), (agent), (source), (service, host, port, protocol, scope))""",
-    "n16_ledger": f"WITH {LOG} SELECT event_id, session_id, host, decision, 'network' AS record, NULL::VARCHAR AS tool FROM log UNION ALL SELECT event_id, user_id, NULL, NULL, 'tool', '''=t' || (event_id % 4) FROM events WHERE event_id % 3 = 1",
+    "n16_ledger": f"""WITH {LOG} SELECT 'network_event' AS record_type, started_at::TIMESTAMP AS occurred_at, source, service, host, port, protocol, NULL::VARCHAR AS method, path, scope, decision, NULL::VARCHAR AS rule_id,
+        bytes_sent, bytes_received, NULL::INT AS process_pid, NULL::VARCHAR AS process_name, NULL::VARCHAR AS tool, NULL::VARCHAR AS target, NULL::VARCHAR AS correlation_id, NULL::VARCHAR AS detail FROM log
+        UNION ALL SELECT 'tool_event', ts::TIMESTAMP, 'agent-hook', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, '''=t' || (event_id % 4), NULL, event_id::VARCHAR, 'PreToolUse'
+        FROM events WHERE event_id % 3 = 1""",
     "n17_retention": f"WITH {LOG} SELECT session_id, count(*) AS events FROM log WHERE session_id % 2 <> 0 OR session_id % 10 = 0 GROUP BY session_id",
     "n18_merge": f"WITH {LOG} SELECT event_id, started_at, ended_at, CASE WHEN ended_at IS NULL THEN 'pending' ELSE decision END AS decision, CASE WHEN ended_at IS NOT NULL THEN bytes_sent END AS bytes_sent, CASE WHEN ended_at IS NOT NULL AND event_id % 2 = 0 THEN path ELSE host END AS detail FROM log",
     "n19_dedupe": f"""WITH {LOG}, r AS (SELECT *, row_number() OVER (PARTITION BY session_id, fingerprint ORDER BY started_at, event_id) AS k FROM log)

@@ -1,5 +1,7 @@
 """Whole jobs: small rows of our own, and queries against their SQL."""
 
+import datetime
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -117,3 +119,24 @@ def test_totals_to_files(spark, tmp_path):
     stream = spark.readStream.schema(rows((1, "", "", 1)).schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     got = streams.run_to_files(streams.live_totals(stream, "1 day", "1 day"), str(tmp_path / "out")).collect()
     assert [(r["session_id"], r["events"], r["allowed"], r["bytes_sent"]) for r in got] == [(1, 2, 1, 11)]
+
+
+def test_figures_of_suites_without_name_or_latency(spark):
+    rows = [(s, i, 1.0, x, 0.0, None, None) for s, n in ((None, 20), ("", 40)) for i, x in enumerate(range(n))] + [("none", 1, 0.5, None, None, None, None)]
+    cases = spark.createDataFrame(rows, "suite_id string, case_id int, score double, latency_ms int, cost double, pii_leakage_rate double, unsupported_claim_rate double")
+    found = {r["suite_id"]: (r["cases"], r["p95_latency_ms"]) for r in evals.suite_figures(cases).collect()}
+    assert found == {None: (20, 18), "": (40, 37), "none": (1, None)}
+    assert evals.suite_figures(cases.limit(0)).count() == 0
+
+
+def test_hosts_in_ascii(spark):
+    want = {"[2001:DB8::0:1]": "2001:db8::1", "BÜCHER.example.": "xn--bcher-kva.example", "a b": None, "::zz": None, "plain.example": "plain.example", None: None}
+    hosts = spark.createDataFrame([(h, h) for h in want] * 2, "id string, host string")
+    rows = evidence.canonical_hosts(hosts, "host").collect()
+    assert len(rows) == 2 * len(want) and {r["id"]: r["host"] for r in rows} == want
+
+
+def test_ledger_of_tables_with_few_columns(spark):
+    events = spark.createDataFrame([(datetime.datetime(2021, 1, 1), "=x", "extra")], "started_at timestamp, host string, other string")
+    rows = evidence.evidence_ledger(events, spark.createDataFrame([], "occurred_at timestamp, tool string")).collect()
+    assert len(rows) == 1 and len(rows[0]) == 20 and rows[0]["host"] == "'=x" and rows[0]["record_type"] == "network_event"
