@@ -53,9 +53,10 @@ def canonical_hosts(df: DataFrame, host_col: str) -> DataFrame:
 
     rows = df.withColumn(host_col, normalize_host(quoted(host_col)))
     special = quoted(host_col).rlike(r"[^\x00-\x7f]|:")
-    forms = rows.filter(special).select(quoted(host_col).alias("_host")).distinct().withColumn("_form", written(F.col("_host")))
-    out = rows.join(broadcast_if_small(forms), quoted(host_col) == F.col("_host"), "left")
-    return out.withColumn(host_col, F.when(special, F.col("_form")).otherwise(quoted(host_col))).drop("_host", "_form")
+    key, form = (next(n for n in (f"_{name}" + "_" * i for i in range(len(df.columns) + 1)) if n not in df.columns) for name in ("host", "form"))
+    forms = rows.filter(special).select(quoted(host_col).alias(key)).distinct().withColumn(form, written(F.col(key)))
+    out = rows.join(broadcast_if_small(forms), quoted(host_col) == F.col(key), "left")
+    return out.withColumn(host_col, F.when(special, F.col(form)).otherwise(quoted(host_col))).drop(key, form)
 
 
 def suffixes(host: Column) -> Column:

@@ -131,7 +131,7 @@ def test_figures_of_suites_without_name_or_latency(spark):
 
 def test_hosts_in_ascii(spark):
     want = {"[2001:DB8::0:1]": "2001:db8::1", "BÜCHER.example.": "xn--bcher-kva.example", "a b": None, "::zz": None, "plain.example": "plain.example", None: None}
-    hosts = spark.createDataFrame([(h, h) for h in want] * 2, "id string, host string")
+    hosts = spark.createDataFrame([(h, h, 1, 2) for h in want] * 2, "id string, host string, _host int, _form int")
     rows = evidence.canonical_hosts(hosts, "host").collect()
     assert len(rows) == 2 * len(want) and {r["id"]: r["host"] for r in rows} == want
 
