@@ -8,8 +8,11 @@ from millrace.llm import bpe, language_id, pii, sql, warc
 from millrace.llm.embedding_dedup import near_vectors
 from millrace.llm.exact_dedup import exact_dedup
 from millrace.llm.line_dedup import drop_repeated_lines
+from millrace.llm.manifest import manifest, proof_hash
 from millrace.llm.minhash_dedup import near_dedup
 from millrace.llm.mixing import mix
+from millrace.llm.packing import packed, pieces_of
+from millrace.llm.spelling import misspelt, spelling_variants
 from millrace.llm.token_counts import count_tokens
 
 
@@ -77,8 +80,24 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op11_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = pieces_of(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), carry=["doc_id"])
+    packing = packed(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
+    return packing.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    rows = manifest(docs, carry=["doc_id"], tampered=F.crc32(F.col("doc_id").cast("string")) % 3 == 0)
+    return rows.select("doc_id", "leaf", "subroot", "root", proof_hash(F.col("proof")).alias("proof_sha256"), "folded_root", "verified")
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(_table(spark, sf_dir, "documents"), change=misspelt)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_language_id, op2_bpe, op3_token_counts, op4_warc, op5_exact_dedup, op6_pii, op7_embedding_near_dedup, op8_minhash_near_dedup, op9_mixing, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_language_id, op2_bpe, op3_token_counts, op4_warc, op5_exact_dedup, op6_pii, op7_embedding_near_dedup, op8_minhash_near_dedup, op9_mixing, op10_line_dedup, op11_best_fit_packing, op12_merkle_manifest, op13_spelling_variants)}
 
 
 def oracle_sql() -> dict[str, str]:
