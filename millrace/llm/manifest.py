@@ -79,9 +79,9 @@ def log_of(leaves: list[bytes], top: int) -> bytes:
     return b"".join(out)
 
 
-def levels_of(block: int, n: int) -> int:
+def levels_of(block: int, n: int, levels: int) -> int:
     """Levels that the builder of a block makes: all of its part where the tree has other blocks, else up to the root."""
-    return LEVELS if block else depth(n)
+    return levels if block else depth(n)
 
 
 def siblings(log: bytes, n: int, levels: int, index: np.ndarray) -> list[list[dict]]:
@@ -99,13 +99,13 @@ def siblings(log: bytes, n: int, levels: int, index: np.ndarray) -> list[list[di
     return out
 
 
-def numbered(rows: DataFrame, by: str, order: Sequence[str]) -> DataFrame:
+def numbered(rows: DataFrame, by: str, order: Sequence[str], size: int = RANGE) -> DataFrame:
     """rows with `index`, their number (from 0) within `by` in the order of other columns; rows that tie go as they come.
 
     Rows are ranged by both, so that a value of `by` that a third of all rows have is dealt to many tasks."""
     n = rows.count()
     rows = rows.withColumn("_tie", F.monotonically_increasing_id())
-    ranged = rows.repartitionByRange(max(1, -(-n // RANGE)), by, *order, "_tie").sortWithinPartitions(by, *order, "_tie")
+    ranged = rows.repartitionByRange(max(1, -(-n // size)), by, *order, "_tie").sortWithinPartitions(by, *order, "_tie")
     # the row's number within its task is in the low bits, the task's in the high ones
     ranged = staged(ranged.drop("_tie").withColumn("_at", F.monotonically_increasing_id()), "ranged").withColumn("_task", F.shiftright("_at", 33))
     runs = staged(ranged.groupBy(by, "_task").agg(F.count("*").alias("_n"), F.min("_at").alias("_first")), "runs")
@@ -116,52 +116,52 @@ def numbered(rows: DataFrame, by: str, order: Sequence[str]) -> DataFrame:
     return found.withColumn("index", F.col("_at") + F.col("_shift")).drop("_at", "_task", "_by", "_run", "_shift")
 
 
-def _build(nodes: DataFrame) -> DataFrame:
+def _build(nodes: DataFrame, levels: int) -> DataFrame:
     """One row per aligned block of (tree, index, node): tree, block, n and the log of the nodes over them."""
 
     def build(table: pa.Table) -> pa.Table:
         table = table.sort_by("index")
-        top = levels_of(table["block"][0].as_py(), table.num_rows)
+        top = levels_of(table["block"][0].as_py(), table.num_rows, levels)
         log = log_of([bytes.fromhex(h) for h in table["node"].to_pylist()], top)
         return pa.table({"tree": table["tree"][:1], "block": table["block"][:1], "n": pa.array([table.num_rows]), "log": pa.array([log], pa.binary())})
 
-    block = F.floor(F.col("index") / ARITY**LEVELS).alias("block")
+    block = F.floor(F.col("index") / ARITY**levels).alias("block")
     return nodes.select("tree", "index", "node", block).groupBy("tree", "block").applyInArrow(build, "tree string, block long, n long, log binary")
 
 
-def _prove(nodes: DataFrame, logs: DataFrame) -> DataFrame:
+def _prove(nodes: DataFrame, logs: DataFrame, levels: int) -> DataFrame:
     """The nodes' columns and proof: siblings within the block, then the proof of the block's own root (`rest`)."""
 
     def prove(left: pa.Table, right: pa.Table) -> pa.Table:
         block, n, log, rest = (right[c][0].as_py() for c in ("block", "n", "log", "rest"))
-        found = siblings(log, n, levels_of(block, n), left["index"].to_numpy() % ARITY**LEVELS)
+        found = siblings(log, n, levels_of(block, n, levels), left["index"].to_numpy() % ARITY**levels)
         return left.drop_columns(["block"]).append_column("proof", pa.array([own + (rest or []) for own in found], pa.list_(pa.struct([("before", pa.string()), ("after", pa.string())]))))
 
-    nodes = nodes.withColumn("block", F.floor(F.col("index") / ARITY**LEVELS))
+    nodes = nodes.withColumn("block", F.floor(F.col("index") / ARITY**levels))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in nodes.schema if f.name != "block")
     return nodes.groupBy("tree", "block").cogroup(logs.groupBy("tree", "block")).applyInArrow(prove, f"{fields}, proof {PROOF}")
 
 
-def forest(nodes: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+def forest(nodes: DataFrame, levels: int = LEVELS) -> tuple[DataFrame, list[DataFrame]]:
     """(tree, node) of the roots of trees over nodes (tree, index, node), and the logs of the tiers that built them.
 
     A tier's block roots, each the last of its log, are the nodes of the tier above, until every tree is one block."""
     tiers, now = [], nodes
     while True:
-        tiers.append(staged(_build(now), "merkle-log"))
+        tiers.append(staged(_build(now, levels), "merkle-log"))
         now = tiers[-1].select("tree", F.col("block").alias("index"), F.lower(F.hex(F.substring("log", -32, 32))).alias("node"))
         if not tiers[-1].filter("block > 0").limit(1).count():
             return now.select("tree", "node"), tiers
 
 
-def proven(nodes: DataFrame, tiers: list[DataFrame], above: DataFrame) -> DataFrame:
+def proven(nodes: DataFrame, tiers: list[DataFrame], above: DataFrame, levels: int = LEVELS) -> DataFrame:
     """nodes with proof, from the tiers of their trees and the proofs (tree, block 0, rest) of the trees' roots.
 
     From the top down: the blocks of a tier are the nodes of the one above, whose proofs they continue."""
     for below, tier in zip(reversed(tiers[:-1]), reversed(tiers[1:]), strict=True):
-        blocks = _prove(below.select("tree", F.col("block").alias("index")), _continued(tier, above))
+        blocks = _prove(below.select("tree", F.col("block").alias("index")), _continued(tier, above), levels)
         above = staged(blocks.select("tree", F.col("index").alias("block"), F.col("proof").alias("rest")), "merkle-proofs")
-    return _prove(nodes, _continued(tiers[0], above))
+    return _prove(nodes, _continued(tiers[0], above), levels)
 
 
 def _continued(tier: DataFrame, above: DataFrame) -> DataFrame:
@@ -172,7 +172,14 @@ def _continued(tier: DataFrame, above: DataFrame) -> DataFrame:
 
 
 def manifest(
-    docs: DataFrame, fields: Sequence[str] = FIELDS, tree_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] | None = None, tampered: Column | None = None
+    docs: DataFrame,
+    fields: Sequence[str] = FIELDS,
+    tree_col: str = "lang",
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    carry: Sequence[str] | None = None,
+    tampered: Column | None = None,
+    levels: int = LEVELS,
 ) -> DataFrame:
     """The carried columns (default: all) of every row with leaf, subroot, root, proof, tampered_leaf, folded_root, verified.
 
@@ -193,14 +200,14 @@ def manifest(
     with scratch(docs.sparkSession) as own:
         leaves = numbered(staged(leaves, "leaves"), "tree", ["_id", "node"]).select("_in", "tree", "index", "node", "now")
         leaves = own.keep(staged(leaves, "numbered"))
-        subroots, tiers = forest(leaves.select("tree", "index", "node"))
+        subroots, tiers = forest(leaves.select("tree", "index", "node"), levels)
         tops = numbered(subroots.select(F.lit("").alias("tree"), F.col("tree").alias("of"), "node"), "tree", ["of"])
         tops = staged(tops.select("tree", "index", "of", "node"), "subroots")
-        roots, upper = forest(tops.select("tree", "index", "node"))
+        roots, upper = forest(tops.select("tree", "index", "node"), levels)
         root = roots.select("node").first()
         ends = roots.select("tree", F.lit(0).cast("long").alias("block"), F.array().cast(PROOF).alias("rest"))
-        tops = own.keep(staged(proven(tops, upper, ends), "subroot-proofs"))
-        found = own.keep(staged(proven(leaves, tiers, tops.select(F.col("of").alias("tree"), F.lit(0).cast("long").alias("block"), F.col("proof").alias("rest"))), "proofs"))
+        tops = own.keep(staged(proven(tops, upper, ends, levels), "subroot-proofs"))
+        found = own.keep(staged(proven(leaves, tiers, tops.select(F.col("of").alias("tree"), F.lit(0).cast("long").alias("block"), F.col("proof").alias("rest")), levels), "proofs"))
         own.drop(leaves)
     subroots = broadcast_if_small(tops.select(F.col("of").alias("_of"), F.col("node").alias("subroot")), 1000)
     found = found.join(subroots, F.col("tree").eqNullSafe(F.col("_of"))).withColumn("root", F.lit(root and root["node"]))

@@ -101,4 +101,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_warc": sql.WARC, "op5_exact_dedup": sql.EXACT_DEDUP, "op6_pii": sql.PII, "op7_embedding_near_dedup": sql.EMBEDDING, "op9_mixing": sql.MIXING, "op10_line_dedup": sql.LINE_DEDUP}
+    return {"op4_warc": sql.WARC, "op5_exact_dedup": sql.EXACT_DEDUP, "op6_pii": sql.PII, "op7_embedding_near_dedup": sql.EMBEDDING, "op9_mixing": sql.MIXING, "op10_line_dedup": sql.LINE_DEDUP, "op12_merkle_manifest": sql.MERKLE, "op13_spelling_variants": sql.SPELLING}

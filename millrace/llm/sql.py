@@ -150,3 +150,91 @@ SELECT d.doc_id, count(*) FILTER (WHERE kind = 'email') AS n_email, count(*) FIL
 FROM d LEFT JOIN spans x ON d.doc_id = x.doc_id GROUP BY d.doc_id
 """
 )
+
+#: The table of CRC-32, and the checksum of the UTF-8 bytes of a string, as a lambda's list.
+_CRC_TABLE = """crc AS (
+  SELECT list_transform(range(256), lambda i: list_reduce([i::BIGINT, 0, 0, 0, 0, 0, 0, 0, 0],
+         lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END)) AS t
+)"""
+
+
+def _crc32(text: str) -> str:
+    return f"""xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(range(octet_length(encode({text}))),
+         lambda i: ('0x' || substr(hex(encode({text})), (2 * i + 1)::BIGINT, 2))::BIGINT)),
+         lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8)), 4294967295::BIGINT)"""
+
+
+def _field(value: str) -> str:
+    return f"coalesce(octet_length(encode({value}::VARCHAR)) || ':' || {value}::VARCHAR, '-')"
+
+
+_LOWERED = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_HEAD = " || ".join(map(_field, ("doc_id", "source", "lang", "n_chars")))
+
+MERKLE = f"""
+WITH RECURSIVE {_CRC_TABLE}, d AS (
+  SELECT doc_id, lang, sha256({_HEAD} || {_field("text")}) AS leaf,
+         CASE WHEN {_crc32("doc_id::VARCHAR")} % 3 = 0 THEN sha256({_HEAD} || {_field(_LOWERED)}) ELSE sha256({_HEAD} || {_field("text")}) END AS seen
+  FROM documents, crc
+), leaves AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS idx, count(*) OVER (PARTITION BY lang) AS n FROM d
+), nodes AS (
+  SELECT lang, 0 AS level, idx, leaf AS h, n FROM leaves
+  UNION ALL
+  SELECT lang, level + 1, idx // 8, sha256(string_agg(h, '' ORDER BY idx)), (n + 7) // 8 FROM nodes WHERE n > 1 GROUP BY lang, level, idx // 8, n
+), subroots AS (
+  SELECT lang, h, level AS top, row_number() OVER (ORDER BY encode(lang) NULLS FIRST) - 1 AS idx, count(*) OVER () AS n FROM nodes WHERE n = 1
+), tops AS (
+  SELECT 100 AS level, idx, h, n FROM subroots
+  UNION ALL
+  SELECT level + 1, idx // 8, sha256(string_agg(h, '' ORDER BY idx)), (n + 7) // 8 FROM tops WHERE n > 1 GROUP BY level, idx // 8, n
+), around AS (
+  SELECT l.doc_id, x.level, coalesce(string_agg(x.h, '' ORDER BY x.idx) FILTER (WHERE x.idx < l.idx // (8 ** x.level)::BIGINT), '') AS b,
+         coalesce(string_agg(x.h, '' ORDER BY x.idx) FILTER (WHERE x.idx > l.idx // (8 ** x.level)::BIGINT), '') AS a
+  FROM leaves l JOIN nodes x ON x.lang IS NOT DISTINCT FROM l.lang AND x.n > 1 AND x.idx // 8 = l.idx // (8 ** (x.level + 1))::BIGINT
+  GROUP BY l.doc_id, x.level
+  UNION ALL
+  SELECT l.doc_id, x.level, coalesce(string_agg(x.h, '' ORDER BY x.idx) FILTER (WHERE x.idx < s.idx // (8 ** (x.level - 100))::BIGINT), ''),
+         coalesce(string_agg(x.h, '' ORDER BY x.idx) FILTER (WHERE x.idx > s.idx // (8 ** (x.level - 100))::BIGINT), '')
+  FROM leaves l JOIN subroots s ON s.lang IS NOT DISTINCT FROM l.lang JOIN tops x ON x.n > 1 AND x.idx // 8 = s.idx // (8 ** (x.level - 99))::BIGINT
+  GROUP BY l.doc_id, x.level
+), proofs AS (
+  SELECT doc_id, sha256(string_agg(b || a, '' ORDER BY level)) AS proof_sha256, list({{'b': b, 'a': a}} ORDER BY level) AS p FROM around GROUP BY doc_id
+), out AS (
+  SELECT l.doc_id, l.leaf, s.h AS subroot, (SELECT h FROM tops WHERE n = 1) AS root, coalesce(p.proof_sha256, sha256('')) AS proof_sha256,
+         list_reduce(list_prepend({{'b': l.seen, 'a': ''}}, coalesce(p.p, [])), lambda acc, y: {{'b': sha256(y.b || acc.b || y.a), 'a': ''}}).b AS folded_root
+  FROM leaves l JOIN subroots s ON s.lang IS NOT DISTINCT FROM l.lang LEFT JOIN proofs p ON p.doc_id = l.doc_id
+)
+SELECT *, folded_root = root AS verified FROM out
+"""
+
+SPELLING = rf"""
+WITH RECURSIVE {_CRC_TABLE}, runs AS (
+  SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\x{{00C0}}-\x{{00FF}}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents
+), counted AS (
+  SELECT doc_id, run, count(*) AS n FROM runs GROUP BY doc_id, run
+), hashed AS (
+  SELECT run, n, {_crc32("(doc_id || ':' || run)")} AS h FROM counted, crc
+), words AS (
+  SELECT CASE WHEN h % 97 = 0 THEN left(run, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word, sum(n)::BIGINT AS n
+  FROM hashed GROUP BY 1 HAVING length(word) >= 5 AND sum(n) >= 3
+), cut AS (
+  SELECT word, n, i, left(word, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1))::INT AS i FROM words)
+), near AS (
+  SELECT a.word, b.word AS other, b.n AS other_n FROM cut a JOIN cut b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT w.word, c.word, c.n FROM words w JOIN cut c ON c.rest = w.word
+  UNION SELECT c.word, w.word, w.n FROM words w JOIN cut c ON c.rest = w.word
+), best AS (
+  SELECT word, count(*) AS n_near, max(other_n) AS top FROM near GROUP BY word
+), formed AS (
+  SELECT w.word, w.n, coalesce(b.n_near, 0) AS n_near,
+         CASE WHEN b.top >= 2 * w.n THEN (SELECT min(x.other) FROM near x WHERE x.word = w.word AND x.other_n = b.top) END AS form,
+         CASE WHEN b.top >= 2 * w.n THEN b.top END AS form_n
+  FROM words w LEFT JOIN best b USING (word)
+), chain AS (
+  SELECT word, word AS at FROM formed
+  UNION
+  SELECT c.word, f.form FROM chain c JOIN formed f ON f.word = c.at WHERE f.form IS NOT NULL
+)
+SELECT f.*, (SELECT c.at FROM chain c JOIN formed g ON g.word = c.at WHERE c.word = f.word AND g.form IS NULL) AS root FROM formed f
+"""
