@@ -49,27 +49,33 @@ def _numbers(hist: DataFrame, types: DataFrame) -> DataFrame:
     return hist.join(F.broadcast(numeric), "column").withColumn("x", as_float(F.col("value"))).filter("x is not null")
 
 
-def _placed(numbers: DataFrame) -> DataFrame:
-    """(column, x, n, _first, _last, _all): x of a column takes the places from _first up to before _last of _all.
+def placed(values: DataFrame) -> DataFrame:
+    """(column, x, n, _first, _last, _all, _index): x of a column takes the places from _first up to before _last of _all,
+    and is its _index-th distinct value, from 0.
 
     No task holds a column: rows are dealt by ranges of (column, x) and summed within each range, and ranges start
     after those before them (one row per range and column).
     """
-    parts = max(1, int(numbers.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    summed = numbers.groupBy("column", "x").agg(F.sum("n").alias("n"))
+    parts = max(1, int(values.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    summed = values.groupBy("column", "x").agg(F.sum("n").alias("n"))
     dealt = summed.repartitionByRange(parts, "column", "x").withColumn("_p", F.spark_partition_id())
     local = staged(dealt, "quantiles")
-    sizes = local.groupBy("column", "_p").agg(F.sum("n").alias("_n"))
-    offsets = sizes.select("column", "_p", (F.sum("_n").over(Window.partitionBy("column").orderBy("_p")) - F.col("_n")).alias("_before"), F.sum("_n").over(Window.partitionBy("column")).alias("_all"))
-    upto = local.withColumn("_upto", F.sum("n").over(Window.partitionBy("column", "_p").orderBy("x")))
+    sizes = local.groupBy("column", "_p").agg(F.sum("n").alias("_n"), F.count("*").alias("_rows"))
+    whole, earlier = Window.partitionBy("column"), Window.partitionBy("column").orderBy("_p")
+    offsets = sizes.select(
+        "column", "_p", (F.sum("_n").over(earlier) - F.col("_n")).alias("_before"), (F.sum("_rows").over(earlier) - F.col("_rows")).alias("_rows_before"), F.sum("_n").over(whole).alias("_all")
+    )
+    own = Window.partitionBy("column", "_p").orderBy("x")
+    upto = local.withColumns({"_upto": F.sum("n").over(own), "_row": F.row_number().over(own)})
     last = F.col("_before") + F.col("_upto")
-    return upto.join(broadcast_if_small(offsets), ["column", "_p"]).select("column", "x", "n", (last - F.col("n")).alias("_first"), last.alias("_last"), "_all")
+    at = (F.col("_rows_before") + F.col("_row") - 1).alias("_index")
+    return upto.join(broadcast_if_small(offsets), ["column", "_p"]).select("column", "x", "n", (last - F.col("n")).alias("_first"), last.alias("_last"), "_all", at)
 
 
 def nearest_ranks(numbers: DataFrame, share: float) -> DataFrame:
     """(column, q): the least x of (column, x, n) that has at least the share of its column at or below it."""
     wanted = F.greatest(F.ceil(F.lit(share) * F.col("_all")), F.lit(1))
-    return _placed(numbers).filter((F.col("_first") < wanted) & (wanted <= F.col("_last"))).select("column", F.col("x").alias("q"))
+    return placed(numbers).filter((F.col("_first") < wanted) & (wanted <= F.col("_last"))).select("column", F.col("x").alias("q"))
 
 
 def weighted_quantiles(numbers: DataFrame, shares: Sequence[float]) -> DataFrame:
@@ -77,7 +83,7 @@ def weighted_quantiles(numbers: DataFrame, shares: Sequence[float]) -> DataFrame
     wanted place are collected."""
     place = lambda s: F.lit(s) * (F.col("_all") - 1)
     wanted = F.array_distinct(F.array(*[f(place(s)).cast("bigint") for s in shares for f in (F.floor, F.ceil)]))
-    hit = _placed(numbers).select("column", "x", "_all", F.filter(wanted, lambda i: (i >= F.col("_first")) & (i < F.col("_last"))).alias("_i")).filter(F.size("_i") > 0)
+    hit = placed(numbers).select("column", "x", "_all", F.filter(wanted, lambda i: (i >= F.col("_first")) & (i < F.col("_last"))).alias("_i")).filter(F.size("_i") > 0)
     found = hit.select("column", "x", "_all", F.explode("_i").alias("_i")).groupBy("column", "_all").agg(F.map_from_entries(F.collect_list(F.struct("_i", "x"))).alias("_at"))
     at = lambda s, f: F.element_at("_at", f(place(s)).cast("bigint"))
     blend = lambda s: at(s, F.floor) + (at(s, F.ceil) - at(s, F.floor)) * (place(s) - F.floor(place(s)))

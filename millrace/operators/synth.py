@@ -1,17 +1,20 @@
 """Learned synthetic tables (M1-M14): a small specification per column, and rows drawn from hashes of their number."""
 
 import hashlib
+import json
 import math
 from collections.abc import Sequence
+from functools import lru_cache
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from millrace.functions.binding import let
 from millrace.functions.staging import staged
 from millrace.operators import scrub
 from millrace.operators.detect import spans_of
-from millrace.operators.profile import weighted_quantiles
+from millrace.operators.profile import placed, weighted_quantiles
 from millrace.operators.typing import as_boolean, as_date, as_datetime, as_float, column_types, parse_rates, shape, value_histogram
 
 #: Which kind of personal data names a column, first to last.
@@ -19,6 +22,10 @@ SENSITIVE = ("secret", "email", "name", "phone", "ssn", "credit_card", "ip")
 QUANTILES = [i / 20 for i in range(21)]
 #: Areas from 100 on, groups and serials of social security numbers that are drawn.
 AREAS, GROUPS, SERIALS = 566, 99, 9999
+#: Categories of a column whose table stands in the plan, values of a joined block at least, and bytes of a broadcast.
+INLINE, BLOCK, BROADCAST = 4096, 1024, 1 << 23
+#: Rounds of the permutation of row numbers.
+ROUNDS = 4
 WORDS = ("amber", "brook", "cinder", "delta", "ember", "fable", "grain", "harbor", "inlet", "juniper", "knoll", "lumen", "meadow", "nectar", "opal", "prairie")
 
 
@@ -95,36 +102,74 @@ def uniqueness(rates: DataFrame) -> DataFrame:
     return rates.select("column", ((F.col("filled") > 0) & (F.col("distinct") == F.col("filled"))).alias("unique"))
 
 
-def learn_spec(df: DataFrame) -> DataFrame:
-    """M1: one row per column: kind, null rate, uniqueness and the parameters of its kind."""
+class Specification(NamedTuple):
+    """What `generate` draws from. columns: one row per column (ordinal, column, kind, null_rate, unique, parameters).
+    categories: (column, value, weight, low, total, at), one row per value: it has the share from low up to the next
+    value's low of total, and is the at-th value."""
+
+    columns: DataFrame
+    categories: DataFrame
+
+
+def category_table(weights: DataFrame) -> DataFrame:
+    """The categories of a specification from (column, value, weight); equal values add up, nulls are left out."""
+    own = placed(weights.filter("value is not null").select("column", F.col("value").alias("x"), F.col("weight").cast("double").alias("n")))
+    return own.select("column", F.col("x").alias("value"), F.col("n").alias("weight"), F.col("_first").alias("low"), F.col("_all").alias("total"), F.col("_index").alias("at"))
+
+
+def learn_spec(df: DataFrame) -> Specification:
+    """M1: kind, null rate, uniqueness and the parameters of its kind of every column, and the values of the categorical
+    ones with how often they stand, however many there are."""
     hist = staged(value_histogram(df), "histogram")
     rates = staged(parse_rates(hist), "parse-rates")
     nulls = hist.groupBy("column").agg(F.round(F.sum(F.when(F.col("value").isNull(), F.col("n")).otherwise(0)) / F.sum("n"), 2).alias("null_rate"))
     types = column_types(rates).join(nulls, "column").join(uniqueness(rates), "column").join(sensitive_kinds(hist), "column", "left")
     kind = F.coalesce(F.col("sensitive"), F.when(F.col("col_type") == "id_like", "id").otherwise(F.col("col_type")))
-    few = hist.join(F.broadcast(types.filter("col_type = 'categorical'").select("column")), "column", "left_semi")
-    categories = category_weights(few).groupBy("column").agg(F.array_sort(F.collect_list(F.struct("value", "weight"))).alias("categories"))
     out = types.select("ordinal", "column", kind.alias("kind"), "null_rate", (F.col("unique") & kind.isin("id", *SENSITIVE)).alias("unique"))
-    for part in (categories, numeric_grids(hist), temporal_ranges(hist), small_params(hist), id_patterns(hist)):
+    for part in (numeric_grids(hist), temporal_ranges(hist), small_params(hist), id_patterns(hist)):
         out = out.join(part, "column", "left")
-    return staged(out, "specification")
+    columns = staged(out, "specification")
+    few = hist.join(F.broadcast(columns.filter("kind = 'categorical'").select("column")), "column", "left_semi")  # a row per column
+    return Specification(columns, staged(category_table(few.withColumn("weight", F.col("n"))), "categories"))
+
+
+def drawn(*parts: Column | str) -> Column:
+    """An integer below 2 ** 52 that the parts decide."""
+    text = F.concat_ws("/", *[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("bigint")
 
 
 def uniform(seed: int, column: str, what: str = "") -> Column:
     """A number from 0 up to 1 that depends on seed, column and row number alone."""
-    return F.pmod(F.xxhash64(F.lit(seed), F.lit(column), F.lit(what), F.col("id")), F.lit(1 << 53)) / float(1 << 53)
+    return drawn(f"{seed}/{column}/{what}", F.col("id")) / float(1 << 52)
+
+
+@lru_cache(maxsize=64)
+def factors(size: int) -> tuple[int, int]:
+    """Two numbers of like magnitude whose product is size or little more."""
+    root = max(1, math.isqrt(size - 1) + 1)
+    few = range(root, min(2 * root, root + 4096) + 1)
+    first = min(few, key=lambda a: (-(-size // a) * a - size, a))
+    return first, -(-size // first)
 
 
 def permuted(seed: int, column: str, size: int = 1 << 40) -> Column:
-    """A number below size that no other row below size has: the row number times a number prime to size, and shifted."""
-    factor = hash_of(seed, column) % (1 << 20) + 1
-    while math.gcd(factor, size) > 1:
-        factor += 1
-    return F.pmod(F.pmod(F.col("id"), F.lit(size)) * factor + hash_of(seed, column + "+") % size, F.lit(size))
+    """A number below size that no other row number below size has: a Feistel network over pairs of digits, keyed by seed
+    and column. Pairs stand for a few numbers from size on; those walk on to the next number of their cycle."""
+    a, b = factors(size)
 
+    def once(x: Column) -> Column:
+        def turn(pair: Column, k: Column) -> Column:
+            high = F.pmod(pair["high"] + drawn(f"{seed}/{column}/high", k, pair["low"]), F.lit(a))
+            return let(high, lambda h: F.struct(h.alias("high"), F.pmod(pair["low"] + drawn(f"{seed}/{column}/low", k, h), F.lit(b)).alias("low")))
 
-def hash_of(seed: int, text: str) -> int:
-    return int.from_bytes(hashlib.sha256(f"{seed}/{text}".encode()).digest()[:7], "big")
+        start = F.struct(F.floor(x / F.lit(b)).alias("high"), F.pmod(x, F.lit(b)).alias("low"))
+        return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, turn, lambda pair: pair["high"] * F.lit(b) + pair["low"])
+
+    found = once(F.pmod(F.col("id"), F.lit(size)))
+    for _ in range(a * b - size):  # as many numbers as can lie on the way
+        found = let(found, lambda x: F.when(x < size, x).otherwise(once(x)))
+    return found
 
 
 def draw_id(spec: Row, seed: int) -> Column:
@@ -150,17 +195,45 @@ def draw_id(spec: Row, seed: int) -> Column:
     return F.concat(*parts)
 
 
-def draw_category(spec: Row, seed: int) -> Column:
-    """By cumulative weights."""
-    values, weights = [c["value"] for c in spec["categories"]], [max(0.0, c["weight"]) for c in spec["categories"]]
-    total, upto, out = sum(weights) or 1.0, 0.0, F.lit(values[-1])
-    u, cases = uniform(seed, spec["column"]), []
-    for v, w in zip(values, weights, strict=True):
-        upto += w / total
-        cases.append((upto, v))
-    for limit, v in reversed(cases[:-1]):
-        out = F.when(u < limit, v).otherwise(out)
-    return out
+def position(lows: Column, size: int, target: Column) -> Column:
+    """The last place (from 0) of a sorted array of at most size numbers whose number is at most target."""
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(max(1, size.bit_length())))])
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(lows, at + step) <= target, at + step).otherwise(at))
+
+
+def _numbers(values: Sequence[float]) -> Column:
+    """An array of numbers in the plan, as one text."""
+    return F.split(F.lit(",".join(map(repr, values))), ",").cast("array<double>")
+
+
+def draw_categories(rows: DataFrame, categories: DataFrame, seed: int) -> tuple[DataFrame, dict[str, Column]]:
+    """The rows and, by column, a value drawn by cumulative weights.
+
+    Tables of up to INLINE values stand in the plan. Those of larger columns are cut into blocks of consecutive values,
+    which rows join by the block of their draw: broadcast where the table is small in bytes, else by a shuffle, whose hot
+    blocks (one row each) the adaptive skew join splits. A column without any weight over 0 is an error."""
+    sizes = categories.groupBy("column").agg(F.count("*").alias("n"), F.max("total").alias("total"), F.min("weight").alias("least"), F.sum(F.octet_length("value") + 16).alias("bytes"))
+    out = {}
+    for i, size in enumerate(sizes.orderBy("column").collect()):
+        name, n, total = size["column"], size["n"], size["total"]
+        if not total > 0 or not math.isfinite(total) or size["least"] < 0:
+            raise ValueError(f"{name}: categories must have finite weights of at least 0, some over 0")
+        own = categories.filter(F.col("column") == name)
+        target = uniform(seed, name) * total
+        if n <= INLINE and size["bytes"] <= BROADCAST:
+            table = own.orderBy("at").select("value", "low").collect()
+            values = F.from_json(F.lit(json.dumps([r["value"] for r in table])), "array<string>")
+            out[name] = F.get(values, position(_numbers([r["low"] for r in table]), n, target))
+            continue
+        width = max(BLOCK, -(-n // INLINE))
+        blocks = own.groupBy(F.floor(F.col("at") / width).alias(f"_b{i}")).agg(F.array_sort(F.collect_list(F.struct("low", "value"))).alias(f"_v{i}"))
+        blocks = staged(blocks, "category-blocks")
+        starts = [r[0] for r in blocks.orderBy(f"_b{i}").select(F.col(f"_v{i}")[0]["low"]).collect()]
+        rows = rows.withColumn(f"_t{i}", target).withColumn(f"_b{i}", position(_numbers(starts), len(starts), F.col(f"_t{i}")).cast("bigint"))
+        rows = rows.join(F.broadcast(blocks) if size["bytes"] <= BROADCAST else blocks, f"_b{i}")
+        lows = F.transform(F.col(f"_v{i}"), lambda v: v["low"])
+        out[name] = F.get(F.col(f"_v{i}"), position(lows, width, F.col(f"_t{i}")))["value"]
+    return rows, out
 
 
 def draw_number(spec: Row, seed: int) -> Column:
@@ -183,10 +256,16 @@ def draw_moment(spec: Row, seed: int) -> Column:
 def draw_words(spec: Row, seed: int) -> Column:
     """As many words as the column has on average."""
     words = F.array(*map(F.lit, WORDS))
-    pick = lambda i: F.element_at(words, (F.pmod(F.xxhash64(F.lit(seed), F.lit(spec["column"]), F.col("id"), i), F.lit(len(WORDS))) + 1).cast("int"))
+    pick = lambda i: F.element_at(words, (F.pmod(drawn(f"{seed}/{spec['column']}", F.col("id"), i), F.lit(len(WORDS))) + 1).cast("int"))
     return F.array_join(F.transform(F.sequence(F.lit(1), F.lit(max(1, spec["avg_words"] or 1))), pick), " ")
 
 
+def number_of_social(x: Column) -> Column:
+    """The x-th social security number that can be drawn."""
+    area, group, serial = 100 + F.floor(x / (GROUPS * SERIALS)), 1 + F.floor(x / SERIALS) % GROUPS, 1 + x % SERIALS
+    return F.concat_ws("-", area.cast("string"), F.lpad(group.cast("string"), 2, "0"), F.lpad(serial.cast("string"), 4, "0"))
+
+
 def draw_personal(spec: Row, seed: int) -> Column:
     """A made-up value that no source value enters; unique where the column is, by a permutation of row numbers."""
     digest = F.sha2(F.concat_ws("/", F.lit(seed), F.lit(spec["column"]), F.col("id").cast("string")), 256)
@@ -195,13 +274,13 @@ def draw_personal(spec: Row, seed: int) -> Column:
         sample = {"phone": "(000) 000-0000", "ssn": "000-00-0000", "credit_card": "0" * 16, "ip": "0.0.0.0", "email": "a@b.com", "name": "A B", "secret": "s"}
         return scrub.FAKES[spec["kind"]](F.lit(sample[spec["kind"]]), digest)
     social = permuted(seed, spec["column"], AREAS * GROUPS * SERIALS)
-    octets = [F.pmod(F.floor(permuted(seed, spec["column"]) / 256**k), F.lit(256)).cast("string") for k in (3, 2, 1, 0)]
+    octets = lambda x: F.concat_ws(".", *[F.pmod(F.floor(x / 256**k), F.lit(256)).cast("string") for k in (3, 2, 1, 0)])
     return {
         "email": F.concat(F.lit("u"), number, F.lit("@example.com")),
         "phone": F.concat(F.lit("+1"), number),
-        "ssn": F.concat_ws("-", (100 + F.floor(social / (GROUPS * SERIALS))).cast("string"), F.lpad((1 + F.floor(social / SERIALS) % GROUPS).cast("string"), 2, "0"), F.lpad((1 + social % SERIALS).cast("string"), 4, "0")),
-        "credit_card": F.concat(F.lit("40"), number, scrub.luhn_digit(F.concat(F.lit("40"), number))),
-        "ip": F.concat_ws(".", *octets),
+        "ssn": let(social, number_of_social),
+        "credit_card": let(F.concat(F.lit("40"), number), lambda head: F.concat(head, scrub.luhn_digit(head))),
+        "ip": let(permuted(seed, spec["column"], 1 << 32), octets),
         "name": F.concat(scrub._pick(scrub.FIRST, digest, 0), F.lit(" "), scrub._pick(scrub.LAST, digest, 1), F.lit(" "), F.initcap(F.translate(number, "0123456789", "abdefgiklm"))),
         "secret": F.concat(F.lit("REDACTED_"), number),
     }[spec["kind"]]
@@ -220,10 +299,6 @@ def check_spec(spec: Sequence[Row]) -> None:
             refuse(row, "null_rate must lie in 0..1")
         if kind == "boolean" and (rate is None or not 0 <= rate <= 1):
             refuse(row, "true_rate must lie in 0..1")
-        if kind == "categorical":
-            weights = [c["weight"] for c in row["categories"] or ()]
-            if not weights or not finite(weights) or min(weights) < 0:
-                refuse(row, "categories must have finite weights of at least 0")
         if kind in ("integer", "float"):
             grid = row["grid"] or ()
             if len(grid) < 2 or not finite(grid) or list(grid) != sorted(grid):
@@ -232,22 +307,27 @@ def check_spec(spec: Sequence[Row]) -> None:
             refuse(row, "a range must have a low and a high end")
 
 
-def generate(spark: SparkSession, spec: DataFrame, n: int, seed: int = 0) -> DataFrame:
-    """M9: n rows in the order of the specification. A row depends on seed and row number alone, however many tasks draw.
+def generate(spark: SparkSession, spec: Specification, n: int, seed: int = 0) -> DataFrame:
+    """M9: n rows, columns in the order of the specification. A row depends on seed and row number alone, however many
+    tasks draw.
 
-    The specification, one row per column, comes to the driver.
+    Of the specification only its rows per column and tables of at most INLINE values come to the driver.
     """
-    rows = spec.orderBy("ordinal").collect()
-    check_spec(rows)
+    columns = spec.columns.orderBy("ordinal").collect()
+    check_spec(columns)
+    known = spec.categories.filter(F.col("column").isin([r["column"] for r in columns if r["kind"] == "categorical"]))
+    rows, categories = draw_categories(spark.range(n), known, seed)
     out = []
-    for row in rows:
+    for row in columns:
         kind = row["kind"]
         if kind == "empty":
             value = F.lit(None).cast("string")
         elif kind == "id":
             value = draw_id(row, seed)
         elif kind == "categorical":
-            value = draw_category(row, seed)
+            if row["column"] not in categories:
+                raise ValueError(f"{row['column']}: no categories to draw from")
+            value = categories[row["column"]]
         elif kind in ("integer", "float"):
             value = draw_number(row, seed)
         elif kind in ("date", "datetime"):
@@ -259,6 +339,4 @@ def generate(spark: SparkSession, spec: DataFrame, n: int, seed: int = 0) -> Dat
         else:
             value = draw_words(row, seed)
         out.append(F.when(uniform(seed, row["column"], "null") >= row["null_rate"], value).alias(row["column"]))
-    return spark.range(n).select(*out)
-
-
+    return rows.select(*out)

@@ -132,7 +132,7 @@ def test_scrub(spark):
 def test_synth(spark):
     df = strings(spark, code=[f"A-{i:03d}" for i in range(30)], n=[str(i * 2) for i in range(30)], e=[f"p{i}@q.org" for i in range(30)], g=["x", "y", "y"] * 10)
     spec = synth.learn_spec(df)
-    kinds = {r["column"]: (r["kind"], r["pattern"]) for r in spec.collect()}
+    kinds = {r["column"]: (r["kind"], r["pattern"]) for r in spec.columns.collect()}
     assert kinds["code"] == ("id", "A-###") and kinds["e"][0] == "email"
     made = synth.generate(spark, spec, 1200, 5)
     assert sorted(map(str, made.collect())) == sorted(map(str, synth.generate(spark, spec, 1200, 5).repartition(7).collect()))
