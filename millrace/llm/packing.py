@@ -18,25 +18,54 @@ from millrace.llm.spans import sliced
 LIMIT, END = 4096, 1
 #: Pieces that one task packs, about.
 SHARD = 8192
-#: Chunks whose ids a worker remembers, and code points of a remembered chunk, at most.
+#: Chunks of a generation whose ids a worker remembers, and code points of a remembered chunk, at most.
 KNOWN, SHORT = 1 << 18, 64
 #: A round that empties a smaller share of the underfull bins is the last.
 LEAST_GAIN = 0.001
 RESULT = ("piece", "start", "length", "ids", "sequence_id", "offset")
 
 
+def byte_alphabet() -> dict[int, str]:
+    """Byte to its character in a byte-level vocabulary: visible Latin-1 as it is, the others from U+0100 on in order."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = iter(range(256, 512))
+    return {b: chr(b if b in plain else next(rest)) for b in range(256)}
+
+
 class Chunks(dict):
-    """Ids, as little-endian unsigned 32-bit integers, of chunks without white space; unknown ones are encoded."""
+    """Ids, as little-endian unsigned 32-bit integers, of chunks without white space; unknown ones are encoded.
+
+    A chunk of Latin characters has the ids of its lower case; one that ends in a mark behind a letter or digit has those
+    of the rest and of the mark; one of letters alone goes straight to the vocabulary's merges. All others pass the whole
+    library. Remembered chunks are kept in two generations, so that frequent ones stay."""
+
+    MARKS = frozenset(".,;:!?")
 
     def __init__(self, path: str):
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
+        self.model, self.alphabet, self.old = self.library.model, byte_alphabet(), {}
+
+    def _ids(self, chunk: str) -> bytes:
+        if chunk and "<" not in chunk and (chunk.isascii() or max(chunk) < "\u0250"):
+            low = chunk.lower()
+            if low != chunk:
+                return self[low]
+            if chunk.isalpha():
+                word = chunk if chunk.isascii() else chunk.encode().decode("latin-1").translate(self.alphabet)
+                return np.array([t.id for t in self.model.tokenize(word)], "<u4").tobytes()
+            if chunk[-1] in self.MARKS and chunk[-2:-1].isalnum():
+                return self[chunk[:-1]] + self[chunk[-1]]
+        return np.array(self.library.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
 
     def __missing__(self, chunk: str) -> bytes:
-        ids = np.array(self.library.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
+        ids = self.old.get(chunk)
+        if ids is None:
+            ids = self._ids(chunk)
         if len(chunk) <= SHORT:
             if len(self) >= KNOWN:
+                self.old = dict(self)
                 self.clear()
             self[chunk] = ids
         return ids
