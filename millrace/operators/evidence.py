@@ -1,14 +1,15 @@
 """Network evidence (N1-N17): destinations made comparable, rules applied by joins, and rollups of the log."""
 
+import json
 from collections.abc import Sequence
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from millrace.functions.binding import let
-from millrace.functions.staging import broadcast_if_small, quoted
+from millrace.functions.staging import broadcast_if_small, quoted, scratch, staged
 from millrace.operators.typing import stripped
 from millrace.sources.tables import ledger_safe
 
@@ -102,8 +103,9 @@ SCOPES = (
 
 
 def ip_scope(ip: Column) -> Column:
-    """Unresolved, hostname, or the scope of an address; IPv6 by its leading digits."""
+    """Unresolved, hostname, or the scope of an address; IPv6 by its leading digits, IPv4 within IPv6 as IPv4."""
     low = F.lower(ip)
+    within = let(F.when(ip.contains(":"), ip_bits(ip)), lambda bits: F.when(bits.startswith("4"), F.conv(F.right(bits, F.lit(32)), 2, 10).cast("bigint")))
 
     def of(number: Column) -> Column:
         out = F.when(ip.isNull() | (ip == ""), "unresolved")
@@ -116,7 +118,7 @@ def ip_scope(ip: Column) -> Column:
         out = out.when(low == "::1", "loopback").when(low.rlike("^fe[89ab]"), "link-local").when(low.rlike("^f[cd]"), "private")
         return out.when(low.startswith("ff"), "multicast").when(low == "::", "reserved").otherwise("public")
 
-    return let(ip_number(ip), of)
+    return let(F.coalesce(ip_number(ip), within), of)
 
 
 def sanitize_path(path: Column) -> Column:
@@ -270,38 +272,120 @@ def check_rules(rules: DataFrame) -> DataFrame:
     return rules.select("id", reason.alias("reason")).filter("reason is not null")
 
 
+#: Bits of a word of a bitmap of rules, and rules of a table at most: all bitmaps of so many take some 13 MB.
+BITS, MOST_RULES = 62, 10_000
+
+
+def _both(x: Column, y: Column) -> Column:
+    return F.zip_with(x, y, lambda a, b: a.bitwiseAND(b))
+
+
+def _either(maps: Column, none: Column) -> Column:
+    """All bitmaps of an array, and one more, put together."""
+    return F.aggregate(maps, none, lambda acc, m: F.zip_with(acc, m, lambda x, y: x.bitwiseOR(y)))
+
+
+def _lowest(words: Column) -> Column:
+    """The number of the lowest bit that is set; null where none is."""
+    first = F.array_position(F.transform(words, lambda w: w != 0), True)
+    bit = lambda w: F.bit_count(w.bitwiseAND(-w) - 1)
+    return F.when(first > 0, ((first - 1) * BITS + let(F.element_at(words, first.cast("int")), bit)).cast("int"))
+
+
+class RuleBitmaps:
+    """A rule table as bitmaps: bit k stands for the k-th rule in the order in which they are asked. Rules are a
+    configuration, and come to the driver."""
+
+    def __init__(self, rules: DataFrame):
+        self.spark = rules.sparkSession
+        self.rules = rules.orderBy("rank", "id").limit(MOST_RULES + 1).collect()
+        if len(self.rules) > MOST_RULES:
+            raise ValueError(f"more than {MOST_RULES} rules")
+        self.bit = {r["id"]: k for k, r in enumerate(self.rules)}
+        nets = rules.select("id", F.explode("ips").alias("cidr")).select("id", _networks(F.col("cidr")).alias("n"))
+        self.leads = nets.select("id", F.expr("left(n.bits, n.size)").alias("lead")).collect()
+
+    def words(self, bits) -> list[int]:
+        out = [0] * max(1, -(-len(self.rules) // BITS))
+        for k in bits:
+            out[k // BITS] |= 1 << k % BITS
+        return out
+
+    def those(self, fits) -> Column:
+        """The bitmap of the rules that fit, in the plan."""
+        return F.split(F.lit(",".join(map(str, self.words(k for k, r in enumerate(self.rules) if fits(r))))), ",").cast("array<bigint>")
+
+    def table(self, schema: str, pairs) -> DataFrame:
+        """A row for each key of the pairs (key, rule's bit), with its bitmap; as many as the rules have selectors."""
+        bits: dict[tuple, list[int]] = {}
+        for key, k in pairs:
+            bits.setdefault(key, []).append(k)
+        return F.broadcast(self.spark.createDataFrame([(*key, self.words(own)) for key, own in bits.items()], f"{schema}, words array<bigint>"))
+
+    def of_hosts(self, hosts: DataFrame) -> DataFrame:
+        """(host, words): by the suffixes of each host."""
+        pairs = []
+        for k, r in enumerate(self.rules):
+            for pattern in r["hosts"] or ():
+                how = "within" if pattern.startswith("**.") else "below" if pattern.startswith("*.") else "exact"
+                pairs.append(((pattern.lower().removeprefix("**.").removeprefix("*."), how), k))
+        each = hosts.select("host", F.posexplode(suffixes(F.col("host"))).alias("depth", "key"))
+        fits = ((F.col("how") == "exact") & (F.col("depth") == 0)) | ((F.col("how") == "below") & (F.col("depth") > 0)) | (F.col("how") == "within")
+        return each.join(self.table("key string, how string", pairs), "key").filter(fits).select("host", "words")
+
+    def of_ips(self, ips: DataFrame) -> DataFrame:
+        """(ip, words): by the leading bits of each address, of every length in use."""
+        pairs = [((r["lead"],), self.bit[r["id"]]) for r in self.leads]
+        sizes = sorted({len(lead) for (lead,), _ in pairs})
+        each = ips.select("ip", ip_bits(F.col("ip")).alias("bits")).filter("bits is not null")
+        each = each.select("ip", F.explode(F.array(*[F.left("bits", F.lit(k)) for k in sizes]).cast("array<string>")).alias("lead"))
+        return each.join(self.table("lead string", pairs), "lead").select("ip", "words")
+
+
 def evaluate_policy(events: DataFrame, rules: DataFrame, default: str = "deny", mode: str = "audit") -> DataFrame:
-    """Events (event_id, host, ip, port, protocol) with rule_id, action and outcome.
+    """Events (event_id, host, ip, port, protocol) with rule_id, action and outcome, a row for each.
 
     rules: id, rank, action, hosts, ips, ports, protocols, allow_private; a category without entries fits all. The first
     deny beats the first allow; without either the default holds; restricted scopes need an allow with
-    allow_private. A rule table with errors allows nothing and raises.
+    allow_private. A null host, address, port or protocol fits no selector, `*` included. A rule table with errors allows
+    nothing and raises, as does one of more than MOST_RULES.
+
+    Each selector becomes a bitmap of the rules that have it, in the order of their rank. Every distinct host, address,
+    port and protocol looks its bitmap up by equality joins; per distinct destination the four are put together by AND,
+    and the lowest bit among those of each action is the rule. Events join the decisions of their destination: there is
+    no row per event and rule.
     """
     bad = check_rules(rules).limit(5).collect()
     if bad:
         raise ValueError("; ".join(f"rule {r['id']}: {r['reason']}" for r in bad))
-    few = broadcast_if_small(rules.select("id", "rank", "action", "ports", "protocols", "allow_private", F.size("ips").alias("ni")))
-    by_host = host_matches(events.select("host").distinct(), rules).groupBy("host").agg(F.collect_set("rule").alias("host_rules"))
-    by_ip = network_matches(events.select("ip").distinct(), rules).groupBy("ip").agg(F.collect_set("rule").alias("ip_rules"))
-    seen = events.join(by_host, "host", "left").join(by_ip, "ip", "left")
-    free = _ids(rules.filter(F.size("hosts") == 0))
-    some = F.array_distinct(F.concat(F.coalesce("host_rules", F.array().cast("array<string>")), free))
-    seen = seen.withColumn("_id", F.explode_outer(some))
-    fits = (
-        ((F.col("ni") == 0) | F.coalesce(F.array_contains("ip_rules", F.col("id")), F.lit(False)))
-        & ((F.size("ports") == 0) | F.array_contains("ports", F.col("port")))
-        & ((F.size("protocols") == 0) | F.array_contains("protocols", F.col("protocol")))
-    )
-    first = lambda action: F.min(F.when(F.col("action") == action, F.struct("rank", "id")))["id"]
-    judged = seen.join(few, F.col("_id") == F.col("id"), "left").withColumn("action", F.when(fits, F.col("action"))).groupBy("event_id", "host", "ip", "port", "protocol").agg(
-        first("deny").alias("deny"), first("allow").alias("allow"), F.coalesce(F.bool_or(F.when(F.col("action") == "allow", F.col("allow_private"))), F.lit(False)).alias("private_ok")
-    )
-    chosen = F.coalesce("deny", "allow")
-    action = F.when(F.col("deny").isNotNull(), "deny").when(F.col("allow").isNotNull(), "allow").otherwise(default)
-    scope = ip_scope(F.coalesce("ip", "host"))
-    refused = (action == "allow") & scope.isin(*RESTRICTED) & ~F.col("private_ok")
-    out = judged.select("event_id", F.when(~refused, chosen).alias("rule_id"), F.when(refused, "deny").otherwise(action).alias("action"))
-    return out.withColumn("outcome", F.when(F.col("action") == "allow", "allowed").otherwise("would_block" if mode == "audit" else "blocked"))
+    maps, to = RuleBitmaps(rules), ("host", "ip", "port", "protocol")
+    with scratch(events.sparkSession) as own:
+        seen = own.keep(staged(events.select(*to).distinct(), "destinations"))
+    each = lambda c, entries: [((v,), k) for k, r in enumerate(maps.rules) for v in r[entries] or ()]
+    free = {
+        "host": maps.those(lambda r: not r["hosts"]), "ip": maps.those(lambda r: not r["ips"]),
+        "port": maps.those(lambda r: not r["ports"]), "protocol": maps.those(lambda r: not r["protocols"]),
+    }
+    any_host = maps.those(lambda r: not r["hosts"] or "*" in r["hosts"])
+    found = {c: maps_of(seen.select(c).distinct()).groupBy(c).agg(_either(F.collect_list("words"), least).alias(f"_{c}")) for c, maps_of, least in (("host", maps.of_hosts, any_host), ("ip", maps.of_ips, free["ip"]))}
+    for c, kind, entries in (("port", "int", "ports"), ("protocol", "string", "protocols")):
+        found[c] = maps.table(f"{c} {kind}", each(c, entries)).select(c, _either(F.array("words"), free[c]).alias(f"_{c}"))
+    free["host"] = F.when(F.col("host").isNotNull(), any_host).otherwise(free["host"])
+    for c in to:
+        seen = seen.join(found[c], c, "left").withColumn(f"_{c}", F.coalesce(F.col(f"_{c}"), free[c]))
+    seen = seen.select(*to, _both(_both(F.col("_host"), F.col("_ip")), _both(F.col("_port"), F.col("_protocol"))).alias("_fits"))
+    among = lambda fit: _lowest(_both(F.col("_fits"), maps.those(fit)))
+    seen = seen.select(
+        *to, among(lambda r: r["action"] == "deny").alias("_deny"), among(lambda r: r["action"] == "allow").alias("_allow"),
+        among(lambda r: r["action"] == "allow" and r["allow_private"]).isNotNull().alias("_private"),
+    )
+    action = F.when(F.col("_deny").isNotNull(), "deny").when(F.col("_allow").isNotNull(), "allow").otherwise(default)
+    refused = (action == "allow") & ip_scope(F.coalesce("ip", "host")).isin(*RESTRICTED) & ~F.col("_private")
+    names = F.from_json(F.lit(json.dumps([r["id"] for r in maps.rules])), "array<string>")
+    outcome = F.when(F.col("action") == "allow", "allowed").otherwise("would_block" if mode == "audit" else "blocked")
+    judged = seen.select(F.struct(*to).alias("_to"), F.when(~refused, F.get(names, F.coalesce("_deny", "_allow"))).alias("rule_id"), F.when(refused, "deny").otherwise(action).alias("action"))
+    judged = judged.withColumn("outcome", outcome)
+    return events.select("event_id", F.struct(*to).alias("_to")).join(judged, "_to").select("event_id", "rule_id", "action", "outcome")
 
 
 def multi_address(events: DataFrame, rules: DataFrame, **options) -> DataFrame:
@@ -387,6 +471,36 @@ def retain(sessions: DataFrame, events: DataFrame, delete: DataFrame) -> tuple[D
     return sessions.join(gone, "session_id", "left_anti"), events.join(gone, "session_id", "left_anti")
 
 
+def retain_partitions(spark: SparkSession, path: str, sessions: DataFrame, delete: DataFrame, day: str = "day") -> list:
+    """N17 on evidence in files partitioned by day: the events of sessions that go (see `retain`) are taken out, and only
+    the partitions that hold some are written anew; the files of other days stay as they are. The new partitions are
+    written to the shared folder before any is replaced. Returns the days that were touched.
+
+    Days left without events are removed. A lost executor repeats its task; a driver that ends in between leaves whole
+    partitions, old or new, and the call can be repeated.
+    """
+    gone = sessions.join(delete.select("session_id"), "session_id", "left_semi").filter("status <> 'running'").select("session_id")
+    events = spark.read.parquet(path)
+    touched = [r[0] for r in events.join(gone, "session_id", "left_semi").select(day).distinct().collect()]  # partitions
+    if not touched:
+        return []
+    own = F.lit(False)
+    for value in touched:
+        own = own | F.col(day).eqNullSafe(F.lit(value))
+    with scratch(spark):
+        left = staged(events.filter(own).join(gone, "session_id", "left_anti"), "retained")
+        kept = [r[0] for r in left.select(day).distinct().collect()]
+        if kept:
+            left.repartition(day).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(day).parquet(path)
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    for value in touched:
+        if value not in kept:
+            name = "__HIVE_DEFAULT_PARTITION__" if value is None else value
+            files.delete(spark._jvm.org.apache.hadoop.fs.Path(root, f"{day}={name}"), True)
+    return sorted(touched, key=str)
+
+
 def merge_phases(rows: DataFrame, keys: Sequence[str] = ("event_id",)) -> DataFrame:
     """Rows of opening and closing an event merged: the latest filled detail, decision and bytes of each."""
     last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("at"))).alias(c)
@@ -397,7 +511,8 @@ def merge_phases(rows: DataFrame, keys: Sequence[str] = ("event_id",)) -> DataFr
 
 
 def dedupe(rows: DataFrame) -> DataFrame:
-    """The first row of each session and fingerprint; rows without a fingerprint all stay."""
-    first = Window.partitionBy("session_id", "fingerprint").orderBy("started_at", "event_id")
-    marked = rows.filter("fingerprint is not null").withColumn("_k", F.row_number().over(first)).filter("_k = 1").drop("_k")
+    """The first row of each session and fingerprint; rows without a fingerprint all stay. Each task keeps the first
+    of its own repeats before anything shuffles."""
+    first = F.min_by(F.struct(*map(quoted, rows.columns)), F.struct("started_at", "event_id")).alias("_row")
+    marked = rows.filter("fingerprint is not null").groupBy("session_id", "fingerprint").agg(first).select("_row.*")
     return marked.unionByName(rows.filter("fingerprint is null"))

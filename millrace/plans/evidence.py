@@ -191,11 +191,11 @@ def n19_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def n20_live_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Runs the stream over the events file to its end, into files of the shared folder, and reads those."""
+    """Runs the stream over the events file to its end, upserts totals into the shared folder, and reads the current ones."""
     events = spark.readStream.schema(table(spark, sf_dir, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     rows = events.select(F.col("user_id").alias("session_id"), F.col("ts").cast("timestamp").alias("started_at"), F.when(F.col("event_type") == "error", "blocked").otherwise("allowed").alias("decision"), F.floor(F.col("value") * 100).cast("bigint").alias("bytes_sent"))
     totals = streams.live_totals(rows, "1 day", "1 day").select(F.col("window.start").alias("day"), "session_id", "events", "allowed", "bytes_sent")
-    return streams.run_to_files(totals, new_path(spark, "live"))
+    return streams.run_to_files(totals, new_path(spark, "live"), ("day", "session_id"))
 
 
 def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:

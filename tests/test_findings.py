@@ -64,26 +64,6 @@ def test_items_and_tool_ids(spark):
     assert found == [["tags[1]: minLength", "tags[1]: pattern", "tags[2]: type", "tags[3]: pattern"], ["tags: minItems", "tool: pattern"], []]
 
 
-def test_merge_stream_over_midnight(spark, tmp_path):
-    rows = [
-        (1, "open", "2024-01-01 23:59:50", "pending", None), (1, "close", "2024-01-02 00:00:10", "allowed", 7),
-        (2, "open", "2024-01-01 10:00:00", "pending", None), (2, "close", "2024-01-03 12:00:00", "blocked", 9),
-        (3, "open", "2024-01-01 11:00:00", "pending", None),
-    ]
-    table = lambda rows: spark.createDataFrame(rows, "event_id long, phase string, at string, decision string, bytes_sent long").withColumn("at", F.to_timestamp("at"))
-    table(rows).write.parquet(str(tmp_path / "in"))
-    table([(9, "open", "2024-03-01 00:00:00", None, None)]).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = streams.merge_stream(spark.readStream.schema(table(rows).schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")), late="60 days")
-    query = stream.writeStream.format("memory").queryName("merged").outputMode("complete").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
-    query.awaitTermination()
-    found = {r["event_id"]: r for r in spark.table("merged").filter("event_id < 9").collect()}
-    want = {r["event_id"]: r for r in evidence.merge_phases(table(rows)).collect()}
-    assert spark.table("merged").count() == 4 and found == want and found[1]["decision"] == "allowed" and found[2]["bytes_sent"] == 9
-    closed = streams.merge_stream(spark.readStream.schema(table(rows).schema).parquet(str(tmp_path / "in"))).writeStream.format("memory").queryName("emitted").outputMode("append")
-    closed.option("checkpointLocation", str(tmp_path / "d")).trigger(availableNow=True).start().awaitTermination()
-    assert sorted(r["event_id"] for r in spark.table("emitted").collect()) == [1, 2, 3]
-
-
 def test_triads_of_bullets(spark):
     docs = spark.createDataFrame([(1, "Look:\n- one\n* two\n  + three\nend"), (2, "- one\n- two\nend"), (3, "Red, blue, and green."), (4, "- a, b, and c\n- d\n- e")], "id long, text string")
     hits = {r["id"]: (r["hits"], r["severity"]) for r in text.analyze(docs, "id", signals={"uniform_structure": text.uniform_structure}).collect()}
