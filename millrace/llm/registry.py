@@ -93,7 +93,7 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spelling_variants(_table(spark, sf_dir, "documents"), change=misspelt)
+    return spelling_variants(_table(spark, sf_dir, "documents"), changes=misspelt)
 
 
 def queries() -> dict:

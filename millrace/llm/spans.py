@@ -14,7 +14,7 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _CHUNK = 1 << 18
 
 
-def _trimmed() -> None:
+def trimmed() -> None:
     """Give free memory of the C library back, where it has a call for that."""
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim is not None:
@@ -31,7 +31,7 @@ def sliced(batches: Iterator, rows: int = 512) -> Iterator:
             yield tuple(b.slice(at, rows) for b in batch) if many else batch.slice(at, rows)
         del batch
         pa.default_memory_pool().release_unused()
-        _trimmed()
+        trimmed()
 
 
 def ranges(texts: list[str], limit: int = 1 << 18) -> Iterator[tuple[int, int]]:

@@ -177,7 +177,7 @@ def as_dict(df):
     return {r["word"]: (r["n"], r["n_near"], r["form"], r["form_n"], r["root"]) for r in df.collect()}
 
 
-@pytest.mark.parametrize(("most", "shard", "block"), [(1 << 15, 200_000, 2048), (30, 300, 6)])
+@pytest.mark.parametrize(("most", "shard", "block"), [(1 << 15, 100_000, 4096), (30, 60, 6)])
 def test_spelling(spark, docs, monkeypatch, most, shard, block):
     monkeypatch.setattr(spelling.near_words, "__defaults__", (shard, block))
     long = "z" * 80 + " " + "z" * 81 + " " + "z" * 79 + "y "
@@ -195,7 +195,7 @@ def test_spelling(spark, docs, monkeypatch, most, shard, block):
 def test_spelling_of_documents(spark):
     rows = spark.read.parquet(f"{FOLDER}/documents.parquet")
     change = lambda i, run: run[: h % len(run)] + run[h % len(run) + 1 :] if (h := zlib.crc32(f"{i}:{run}".encode())) % 97 == 0 else run
-    assert as_dict(spelling_variants(rows, change=misspelt, most=200)) == brute_words(rows.select("doc_id", "text").collect(), change)
+    assert as_dict(spelling_variants(rows, changes=misspelt, most=200)) == brute_words(rows.select("doc_id", "text").collect(), change)
 
 
 def test_grams_that_an_edit_leaves_alone():
