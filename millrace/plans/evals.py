@@ -25,20 +25,32 @@ def gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suites.select("suite_id", F.explode(F.array(*[F.struct(F.lit(g).alias("gate"), F.lit(v).alias("value")) for g, v in rows])).alias("g")).select("suite_id", "g.*")
 
 
+API_VERSION, KIND = "v1", "WorkloadSpec"
+
+
 def specs(spark: SparkSession, sf_dir: str, version: int = 0) -> DataFrame:
-    """Parts as workload documents."""
+    """Parts as workload documents: nested lists, nulls and empty values among them, every fault in some of them."""
     k = F.col("p_partkey")
     tools = F.array(
         F.struct(F.concat(F.lit("readPart"), (k % 3).cast("string")).alias("name"), F.array(F.lit("parts:read")).alias("scopes"), F.lit(False).alias("requiresApproval")),
         F.struct(F.when(k % 5 == 0, "deleteOrder").when(k % 5 == 1, "x*").otherwise("order.send").alias("name"), F.array(F.lit("orders:writes")).alias("scopes"), (k % 2 == 0).alias("requiresApproval")),
-    )
+        F.struct(F.when(k % 8 == 0, "ｒｅａｄ").when(k % 8 == 1, "readPart0").when(k % 8 == 2, "no name!").when(k % 8 == 3, "").otherwise("grantAccess").alias("name"), F.array(F.lit("parts:draft")).alias("scopes"), F.lit(True).alias("requiresApproval")),
+    )
     size = F.col("p_size") + F.when(k % 6 == 0, version).otherwise(0)
+    schema = F.struct(F.struct(F.when(k % 10 != 3, "object").otherwise("list").alias("type")).alias("schema"))
+    route = F.struct(F.when(k % 4 == 0, F.concat("p_brand", F.lit(f"v{version}"))).otherwise(F.col("p_brand")).alias("primary"), F.when(k % 9 != 0, "g").alias("gateway"))
+    tests = F.struct(F.when(k % 11 != 0, F.array(F.lit("core"))).otherwise(F.array().cast("array<string>")).alias("requiredSuites"), F.when(k % 12 != 0, F.struct(F.when(k % 13 != 0, 0.5).alias("minOverallScore"))).alias("gates"))
+    rules = F.struct(F.array(F.when(k % 14 != 0, "base").otherwise(" ")).alias("requiredPacks"), F.when(k % 15 != 0, "warn").otherwise("off").alias("enforcementMode"))
+    places = F.array(F.struct(F.col("p_brand").alias("name"), F.array(k % 2, F.lit(version)).alias("shards")), F.lit(None))
+    sources = F.when(k % 16 < 8, places).otherwise(F.array().cast("array<struct<name: string, shards: array<bigint>>>"))
     body = F.struct(
-        F.struct(F.when(k % 4 == 0, F.concat("p_brand", F.lit(f"v{version}"))).otherwise(F.col("p_brand")).alias("primary")).alias("modelRoute"),
-        F.struct(F.lit("s").alias("schema")).alias("inputs"), F.struct(size.alias("limit")).alias("retrieval"), tools.alias("tools"),
+        F.lit("d").alias("description"), route.alias("modelRoute"), schema.alias("inputs"), F.when(k % 17 != 0, schema).alias("outputs"), tests.alias("evals"),
+        rules.alias("policies"), F.struct(size.alias("limit"), sources.alias("sources"), F.when(k % 3 == 0, 7).alias("freshnessDays")).alias("retrieval"), tools.alias("tools"),
+        F.struct(F.lit(False).alias("storeInputs"), F.when(k % 19 != 0, False).alias("storeOutputs")).alias("privacy"),
     )
-    doc = F.struct(F.when(k % 7 != 0, "v1").alias("apiVersion"), F.lit("WorkloadSpec").alias("kind"), F.struct(F.col("p_name").alias("name")).alias("metadata"), body.alias("spec"))
-    return table(spark, sf_dir, "part").select(k.alias("spec_id"), F.to_json(doc).alias("document"))
+    about = F.struct(F.col("p_name").alias("name"), F.lit("p").alias("project"), F.when(k % 20 != 0, "o").alias("owner"))
+    doc = F.struct(F.when(k % 7 != 0, API_VERSION).alias("apiVersion"), F.lit(KIND).alias("kind"), about.alias("metadata"), body.alias("spec"))
+    return table(spark, sf_dir, "part").select(k.alias("spec_id"), F.to_json(doc, {"ignoreNullFields": "true"}).alias("document"))
 
 
 def a1_score_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,7 +88,7 @@ def a8_config_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def a9_validate_configs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evals.validate_configs(specs(spark, sf_dir)).select("spec_id", F.array_join("errors", ";").alias("errors"))
+    return evals.validate_configs(specs(spark, sf_dir), API_VERSION, KIND).select("spec_id", F.array_join("errors", ";").alias("errors"))
 
 
 def a10_parse_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -157,13 +169,25 @@ SQL = {
         SELECT suite_id, failed = '' AS passed, failed FROM f""",
     "a7_fingerprint": """SELECT p_partkey, 'sha256:' || sha256('{"a":"' || p_brand || '","b":' || p_size || '}') AS fingerprint FROM part""",
     "a8_config_diff": """SELECT p_partkey AS spec_id, 'spec.modelRoute.primary' AS path, '"' || p_brand || 'v0"' AS old, '"' || p_brand || 'v1"' AS new, 'model' AS category FROM part WHERE p_partkey % 4 = 0
-        UNION ALL SELECT p_partkey, 'spec.retrieval.limit', p_size::VARCHAR, (p_size + 1)::VARCHAR, 'retrieval' FROM part WHERE p_partkey % 6 = 0""",
-    "a9_validate_configs": """SELECT p_partkey AS spec_id, concat_ws(';', CASE WHEN p_partkey % 7 = 0 THEN 'apiVersion is missing' END, 'spec.outputs.schema is missing', 'spec.evals.suites is missing') AS errors FROM part""",
+        UNION ALL SELECT p_partkey, 'spec.retrieval.limit', p_size::VARCHAR, (p_size + 1)::VARCHAR, 'retrieval' FROM part WHERE p_partkey % 6 = 0
+        UNION ALL SELECT p_partkey, 'spec.retrieval.sources.0.shards.1', '0', '1', 'retrieval' FROM part WHERE p_partkey % 16 < 8""",
+    "a9_validate_configs": """SELECT p_partkey AS spec_id, concat_ws(';', CASE WHEN k % 7 = 0 THEN 'apiVersion must be v1' END, CASE WHEN k % 20 = 0 THEN 'metadata.owner is required' END,
+        CASE WHEN k % 10 = 3 THEN 'spec.inputs.schema.type must be object' END, CASE WHEN k % 17 = 0 THEN 'spec.outputs must be an object' WHEN k % 10 = 3 THEN 'spec.outputs.schema.type must be object' END,
+        CASE WHEN k % 9 = 0 THEN 'spec.modelRoute.gateway is required' END, CASE WHEN k % 11 = 0 THEN 'spec.evals.requiredSuites must contain at least one suite' END,
+        CASE WHEN k % 12 = 0 THEN 'spec.evals.gates is required' WHEN k % 13 = 0 THEN 'spec.evals.gates.minOverallScore is required' END,
+        CASE WHEN k % 14 = 0 THEN 'spec.policies.requiredPacks must contain at least one pack' END, CASE WHEN k % 15 = 0 THEN 'spec.policies.enforcementMode must be block, warn, or monitor' END,
+        CASE WHEN k % 5 = 1 THEN 'tools[1] wildcard' END,
+        CASE k % 8 WHEN 0 THEN 'tools[2] ambiguous normalization' WHEN 1 THEN (CASE WHEN k % 3 = 0 THEN 'tools[2] repeated name' END) WHEN 2 THEN 'tools[2] bad name' WHEN 3 THEN 'tools[2] missing name' END,
+        CASE WHEN k % 16 < 8 AND k % 3 <> 0 THEN 'spec.retrieval.freshnessDays is required when retrieval sources are configured' END,
+        CASE WHEN k % 19 = 0 THEN 'spec.privacy.storeOutputs must be a boolean' END) AS errors FROM (SELECT p_partkey, p_partkey AS k FROM part)""",
     "a10_parse_tools": """SELECT p_partkey AS spec_id, 0 AS pos, 'readPart' || (p_partkey % 3) AS name, false AS approval, NULL AS issue FROM part
-        UNION ALL SELECT p_partkey, 1, CASE p_partkey % 5 WHEN 0 THEN 'deleteOrder' WHEN 1 THEN 'x*' ELSE 'order.send' END, p_partkey % 2 = 0, CASE WHEN p_partkey % 5 = 1 THEN 'wildcard' END FROM part""",
-    "a11_tool_risk": "SELECT DISTINCT i AS identifier, t AS token FROM part, (VALUES (0, 'deleteOrder', 'delete'), (2, 'order.send', 'send'), (0, 'orders:writes', 'writes')) v(m, i, t) WHERE p_partkey % 5 = m",
+        UNION ALL SELECT p_partkey, 1, CASE p_partkey % 5 WHEN 0 THEN 'deleteOrder' WHEN 1 THEN 'x*' ELSE 'order.send' END, p_partkey % 2 = 0, CASE WHEN p_partkey % 5 = 1 THEN 'wildcard' END FROM part
+        UNION ALL SELECT p_partkey, 2, CASE p_partkey % 8 WHEN 0 THEN 'ｒｅａｄ' WHEN 1 THEN 'readPart0' WHEN 2 THEN 'no name!' WHEN 3 THEN '' ELSE 'grantAccess' END, true,
+          CASE p_partkey % 8 WHEN 0 THEN 'ambiguous normalization' WHEN 1 THEN (CASE WHEN p_partkey % 3 = 0 THEN 'repeated name' END) WHEN 2 THEN 'bad name' WHEN 3 THEN 'missing name' END FROM part""",
+    "a11_tool_risk": """SELECT DISTINCT i AS identifier, t AS token FROM part, (VALUES (5, 0, 'deleteOrder', 'delete'), (5, 2, 'order.send', 'send'), (5, 0, 'orders:writes', 'write'), (8, 5, 'grantAccess', 'grant')) v(d, m, i, t)
+        WHERE p_partkey % d = m""",
     "a12_risk_warnings": """SELECT p_partkey AS spec_id, CASE p_partkey % 5 WHEN 0 THEN 'deleteOrder' WHEN 1 THEN 'x*' ELSE 'order.send' END AS name,
-        CASE p_partkey % 5 WHEN 0 THEN 'delete,writes' WHEN 1 THEN 'writes' ELSE 'send,writes' END AS tokens FROM part WHERE p_partkey % 2 = 1""",
+        CASE p_partkey % 5 WHEN 0 THEN 'delete,write' WHEN 1 THEN 'write' ELSE 'send,write' END AS tokens FROM part WHERE p_partkey % 2 = 1""",
     "a12_denied_tools": "SELECT p_partkey AS spec_id, CASE WHEN p_partkey % 3 < 2 THEN 'shell,' || p_brand ELSE '' END AS denied FROM part",
     "a13_validate_records": """SELECT c_custkey, concat_ws(';', CASE WHEN c_custkey > 100 THEN 'c_custkey: maximum' END, CASE WHEN length(c_name) < 3 THEN 'c_name: minLength' END,
         CASE WHEN c_mktsegment NOT IN ('BUILDING', 'MACHINERY') THEN 'c_mktsegment: enum' END, CASE WHEN c_acctbal < 0 THEN 'c_acctbal: minimum' END, 'c_nationkey: additionalProperties') AS errors FROM customer""",

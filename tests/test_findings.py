@@ -43,18 +43,47 @@ def test_evals_agree(spark, name):
 
 def test_tool_risk(spark):
     want = {
-        "dropTable": ["drop"], "table.dropped": ["dropped"], "dropping_all": ["dropping"], "transferring": ["transferring"], "invoice.paid": ["paid"], "fileWritten": ["written"],
-        "mailSent": ["sent"], "forcedelete": ["delete"], "del_ete": ["delete"], "d.e.l.e.t.e": ["delete"], "DBDROP": ["drop"], "orders:writes": ["writes"], "execute": ["execute"],
-        "s.endpoint": ["send"], "rewriteAll": ["write"], "refunds.create": ["create", "refunds"], "writer.publish": ["write"],
-        "list.refunds": [], "writer.read": [], "writer.readAndDelete": ["delete", "write"], "readPayload": [], "consent.get": [], "represented": [], "dropdown": [], "sender": [],
-        "readUserUpdatedAt": [], "payments.list": [], "executor": [],
+        "dropTable": ["drop"], "table.dropped": ["drop"], "dropping_all": ["drop"], "transferring": ["transfer"], "invoice.paid": ["pay"], "fileWritten": ["write"],
+        "mailSent": ["sent"], "forcedelete": ["delete"], "del_ete": ["delete"], "d.e.l.e.t.e": ["delete"], "DBDROP": ["drop"], "orders:writes": ["write"], "execute": ["execute"],
+        "rewriteAll": ["write"], "refunds.create": ["create", "refund"], "writer.publish": ["publish"], "wipe_disk": ["wipe"], "destroyCluster": ["destroy"], "grant_admin": ["admin", "grant"],
+        "runCommand": ["run"], "submit_form": ["submit"], "publishPost": ["publish"], "purge": ["purge"], "user.modified": ["modify"], "patches": ["patch"], "list.delete": ["delete"],
+        "list.refunds": [], "writer.read": [], "writer.readAndDelete": ["delete"], "readPayload": [], "consent.get": [], "represented": [], "dropdown": [], "sender": [],
+        "readUserUpdatedAt": [], "payments.list": [], "executor": [], "": [], "--": [],
     }
     tools = spark.createDataFrame([("s", n, [], False) for n in want], "spec_id string, name string, scopes array<string>, approval boolean")
     found = {n: [] for n in want}
-    for r in evals.tool_risk(tools).collect():
+    for r in evals.tool_risk(tools, words=("dropdown", "endpoint")).collect():
         found[r["identifier"]].append(r["token"])
     assert {n: sorted(t) for n, t in found.items()} == want
-    assert {r["name"] for r in evals.risk_warnings(tools).collect()} == {n for n, t in want.items() if t}
+    assert {r["name"] for r in evals.risk_warnings(tools, words=("dropdown",)).collect()} == {n for n, t in want.items() if t}
+    scopes = ["notes:write_internal", "notes.draft", "runs:draft", "write_internal", "a:b:c", "notes/write_internal", "parts:read", None]
+    rows = spark.createDataFrame([("s", None, scopes, False)], "spec_id string, name string, scopes array<string>, approval boolean")
+    assert sorted((r["identifier"], r["token"]) for r in evals.tool_risk(rows).collect()) == [("notes/write_internal", "write"), ("runs:draft", "run"), ("write_internal", "write")]
+    assert sorted(r["identifier"] for r in evals.ambiguous_scopes(rows).collect()) == ["a:b:c"]
+
+
+def test_leaves_of_documents(spark):
+    docs = ['{"a": {"b": [1, {"c": null}], "e": {}}, "f": []}', '[true, "x", [[2.50]]]', "7", "nonsense", None, '{"a.b": 1}']
+    rows = spark.createDataFrame(list(enumerate(docs)), "id int, doc string")
+    found = sorted((r["id"], r["path"], r["v"]) for r in evals.leaves(rows, "id", "doc", "v").collect())
+    assert found == [(0, "a.b.0", "1"), (0, "a.b.1.c", "null"), (0, "a.e", "{}"), (0, "f", "[]"), (1, "0", "true"), (1, "1", '"x"'), (1, "2.0.0", "2.5"), (2, "", "7"), (5, "a.b", "1")]
+    left, right = rows.filter("id < 2"), rows.filter("id < 2").withColumn("doc", F.regexp_replace("doc", "null", "0"))
+    got = evals.config_diff(left, right, "id", "doc")
+    assert [tuple(r) for r in got.collect()] == [(0, "a.b.1.c", "null", "0", "config")]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+    assert evals.leaves(rows.limit(0), "id", "doc", "v").count() == 0
+
+
+def test_documents_that_are_no_objects(spark):
+    rows = spark.createDataFrame([(1, "[]"), (2, None), (3, '{"spec": {"tools": {"allowed": [1, {"name": 5}, {"name": "a", "scopes": "x"}, {"name": "b", "requiresApproval": "yes"}, {"name": "c", "scopes": ["d*", null]}, {"name": "a"}, {"name": "a"}]}}}')], "spec_id int, document string")
+    tools = [(r["pos"], r["name"], r["issue"]) for r in evals.parse_tools(rows).orderBy("pos").collect()]
+    assert tools == [
+        (0, None, "no object"), (1, None, "missing name"), (2, "a", "scopes must be a list"), (3, "b", "approval must be a boolean"), (4, "c", "wildcard"), (5, "a", None), (6, "a", "repeated name"),
+    ]
+    errors = {r["spec_id"]: r["errors"] for r in evals.validate_configs(rows, "v1", "K").collect()}
+    assert errors[1] == errors[2] and len(errors[1]) == 14 and errors[1][0] == "apiVersion must be v1"
+    assert [e for e in errors[3] if e.startswith("tools")][0] == "tools[0] no object" and len([e for e in errors[3] if e.startswith("tools")]) == 6
 
 
 def test_items_and_tool_ids(spark):
