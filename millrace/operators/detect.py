@@ -154,8 +154,11 @@ def scan_histogram(hist: DataFrame, kinds: Sequence[str] = KINDS) -> DataFrame:
     filled = scanned.groupBy("column").agg(F.sum("n").alias("filled"), (F.sum(F.when(F.size("spans") > 0, F.col("n")).otherwise(0)) / F.sum("n")).alias("hit_rate"))
     each = scanned.filter(F.size("spans") > 0).select("ordinal", "column", "n", "spans", F.explode(F.array_distinct(F.col("spans.kind"))).alias("kind"))
     first = F.element_at(F.filter("spans", lambda s: s["kind"] == F.col("kind")), 1)
-    masked = F.slice(F.array_sort(F.collect_set(mask_value(first["value"], F.col("kind")))), 1, 3)
-    counted = each.groupBy("ordinal", "column", "kind").agg(F.sum("n").alias("hits"), masked.alias("samples"))
+    masked = each.groupBy("ordinal", "column", "kind", mask_value(first["value"], F.col("kind")).alias("mask")).agg(F.sum("n").alias("n"))
+    part = [*(F.col(c) for c in ("ordinal", "column", "kind")), F.pmod(F.xxhash64("mask"), F.lit(64))]  # so no task ranks all masks
+    some = masked.withColumn("rank", F.row_number().over(Window.partitionBy(*part).orderBy("mask")))
+    least = F.slice(F.array_sort(F.collect_list(F.when(F.col("rank") <= 3, F.col("mask")))), 1, 3)
+    counted = some.groupBy("ordinal", "column", "kind").agg(F.sum("n").alias("hits"), least.alias("samples"))
     weight = F.when(F.col("kind") != "name", 1.0).when(F.col("column").rlike("(?i)name|first|last|full"), 0.7).otherwise(0.4)
     sure = counted.join(filled, "column").withColumn("confidence", F.col("hits") / F.col("filled") * weight).filter("confidence >= 0.5")
     return sure.select("ordinal", "column", "kind", "confidence", "hit_rate", "samples")

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from millrace.functions.staging import broadcast_if_small, staged
+from millrace.functions.staging import broadcast_if_small, scratch, staged
 from millrace.operators.detect import KINDS, scan_histogram
-from millrace.operators.typing import as_float, column_types, parse_rates, value_histogram
+from millrace.operators.typing import as_float, cells_of, column_types, parse_rates, value_histogram, wide_columns, wide_rates
 
 #: Kinds of personal data of which no numeric statistics are shown.
 SUPPRESSED = ("credit_card", "ssn", "phone")
@@ -121,18 +121,43 @@ def outlier_examples(hist: DataFrame, types: DataFrame, k: int = 5) -> DataFrame
     fence = 1.5 * (F.col("q")[1] - F.col("q")[0])
     beyond = F.greatest(F.col("q")[0] - fence - F.col("x"), F.col("x") - F.col("q")[1] - fence)
     far = numbers.join(F.broadcast(q), "column").withColumn("beyond", beyond).filter("beyond > 0")
-    rank = F.row_number().over(Window.partitionBy("column").orderBy(F.col("beyond").desc(), "value"))
-    return far.withColumn("rank", rank).filter(F.col("rank") <= k).select("ordinal", "column", "rank", "value")
+    order = [F.col("beyond").desc(), F.col("value")]
+    some = far.withColumn("part", F.pmod(F.xxhash64("value"), F.lit(64)))  # so no task ranks all outliers of a column
+    some = some.withColumn("rank", F.row_number().over(Window.partitionBy("column", "part").orderBy(*order))).filter(F.col("rank") <= k)
+    ranked = some.withColumn("rank", F.row_number().over(Window.partitionBy("column").orderBy(*order))).filter(F.col("rank") <= k)
+    return ranked.select("ordinal", "column", "rank", "value")
 
 
-def profile(df: DataFrame, include_values: bool = False, k: int = 10) -> DataFrame:
-    """one row per column; raw values only where include_values asks for them."""
-    hist = staged(value_histogram(df), "histogram")
-    types = staged(column_types(parse_rates(hist)), "column-types")
-    pii = staged(scan_histogram(hist, KINDS), "column-pii")
+def profile(df: DataFrame, include_values: bool = False, k: int = 10, sketch: bool = False) -> DataFrame:
+    """one row per column; raw values only where include_values asks for them.
+
+    Wide columns of nearly unique text (`wide_columns`) have no histogram, so no text shuffles: their counts and parse
+    rates are aggregates of one scan, cells are scanned for personal data where they stand, and they have neither numeric
+    statistics nor most frequent values. Their distinct count is exact by digests, or with sketch an estimate (1 % off).
+    """
+    wide = wide_columns(df)
+    narrow = [c for c in df.columns if c not in wide]
+    with scratch(df.sparkSession) as own:
+        hist = own.keep(staged(value_histogram(df, narrow), "histogram"))
+        cells = cells_of(df, wide)
+        rates = parse_rates(hist)
+        if wide:
+            own_rates = own.keep(staged(wide_rates(cells, sketch), "wide-rates"))
+            rates = rates.unionByName(own_rates)
+        types = own.keep(staged(column_types(rates), "column-types"))
+        pii = scan_histogram(hist, KINDS)
+        if wide:
+            pii = pii.unionByName(scan_histogram(cells.withColumn("n", F.lit(1).cast("bigint")), KINDS))
+        pii = own.keep(staged(pii, "column-pii"))
+    counts = null_and_distinct(hist)
+    if wide:
+        rows = cells.groupBy("ordinal", "column").agg(F.count("*").alias("row_count"), F.count_if(F.col("value").isNull()).alias("null_count"))
+        of = lambda c: 100.0 * F.col(c) / F.col("row_count")
+        seen = rows.join(own_rates.select("column", F.col("distinct").alias("distinct_count")), "column")
+        counts = counts.unionByName(seen.withColumns({"null_pct": of("null_count"), "distinct_pct": of("distinct_count")}))
     kinds = pii.groupBy("column").agg(F.array_sort(F.collect_list("kind")).alias("pii"))
     stats = numeric_stats(hist, types, pii.filter(F.col("kind").isin(*SUPPRESSED))).drop("ordinal")
-    out = null_and_distinct(hist).join(types.drop("ordinal"), "column").join(kinds, "column", "left").join(stats, "column", "left")
+    out = counts.join(types.drop("ordinal"), "column").join(kinds, "column", "left").join(stats, "column", "left")
     if include_values:
         top = top_k(hist, k).groupBy("column").agg(F.array_sort(F.collect_list(F.struct("rank", "value", "n"))).alias("top"))
         out = out.join(top, "column", "left")

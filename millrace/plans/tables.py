@@ -124,6 +124,12 @@ def f9_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.profile(a(spark, sf_dir))
 
 
+def f9_profile_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Profile of documents: their texts are wide, so no histogram holds them."""
+    rows = profile.profile(table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), "text", "lang", "source"))
+    return rows.select("ordinal", "column", "row_count", "null_count", "null_pct", "distinct_count", "distinct_pct", "col_type", "count", "min", "max", "mean")
+
+
 def d1_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diff.schema_changes(a(spark, sf_dir), b(spark, sf_dir)).select("column", "change")
 
@@ -202,7 +208,7 @@ QUERIES = {
     for f in (
         s4_flatten, s5_normalize_nulls, s7_read_table, s9_formula_safe, s10_ledger_safe, t1_value_histogram, t2_parse_rates, t3_shape, t4_is_id_like,
         t5_infer_types, t6_coerce, t7_finite_number, f1_counts, f2_f3_nulls_distinct, f4_top_k, f5_f6_numeric_stats, f7_outlier_examples,
-        f8_suppressed_stats, f9_profile, d1_schema, d2_type_changes, d3_nullability, d4_candidate_keys, d5_shared_keys, d6_key_token, d7_duplicates,
+        f8_suppressed_stats, f9_profile, f9_profile_texts, d1_schema, d2_type_changes, d3_nullability, d4_candidate_keys, d5_shared_keys, d6_key_token, d7_duplicates,
         d8_row_classes, d9_changed_cells, d10_changed_by_column, d11_added_rows, d12_category_drift, d13_number_drift, d14_diff,
     )
 }
@@ -274,6 +280,12 @@ SQL = {
     "f9_profile": f"""{_TYPES_A}, {_STATS}, nd AS ({_NULLS.format(h="hist")})
         SELECT nd.*, t.col_type, NULL::VARCHAR[] AS pii, s."count", s."min", s."max", s.mean, s.std, s.p5, s.q1, s.median, s.q3, s.p95, s.outliers
         FROM nd JOIN types t USING ("column") LEFT JOIN stats s USING ("column")""",
+    "f9_profile_texts": " UNION ALL ".join(
+        f"""SELECT {i} AS ordinal, '{c}' AS "column", count(*) AS row_count, count(*) - count({c}) AS null_count, 100.0::DOUBLE * (count(*) - count({c})) / count(*) AS null_pct,
+            count(DISTINCT {c}) AS distinct_count, 100.0::DOUBLE * count(DISTINCT {c}) / count(*) AS distinct_pct, '{kind}' AS col_type,
+            {f"count({c}), min({c})::DOUBLE, max({c})::DOUBLE, avg({c})" if kind == "integer" else "NULL::BIGINT, NULL::DOUBLE, NULL::DOUBLE, NULL::DOUBLE"} FROM documents"""
+        for i, (c, kind) in enumerate((("doc_id", "integer"), ("text", "text"), ("lang", "categorical"), ("source", "categorical")))
+    ).replace("count(doc_id), min(doc_id)::DOUBLE, max(doc_id)::DOUBLE, avg(doc_id)", 'count(doc_id) AS "count", min(doc_id)::DOUBLE AS "min", max(doc_id)::DOUBLE AS "max", avg(doc_id) AS mean'),
     "d1_schema": "SELECT * FROM (VALUES ('note', 'removed'), ('region', 'added')) t(\"column\", change)",
     "d2_type_changes": f"""{_BOTH} SELECT x."column", x.col_type AS old_type, y.col_type AS new_type FROM types_a x JOIN types_b y USING ("column") WHERE x.col_type <> y.col_type""",
     "d3_nullability": f"""WITH {ORDERS_A}, {ORDERS_B}, c AS (SELECT * REPLACE (CASE WHEN order_key::BIGINT % 5 <> 0 THEN priority END AS priority) FROM b),

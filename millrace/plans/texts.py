@@ -54,6 +54,13 @@ def x6_phrase_tells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _signal(spark, sf_dir, "phrase_tells")
 
 
+def x6_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits of three lexicons that come as one table."""
+    rows = [(name, p) for name, phrases in (("phrase_tells", text.TELLS), ("puffery", tuple(text.PUFFERY)), ("weasel", text.WEASEL)) for p in phrases]
+    hits = text.lexicon_hits(_prose(spark, sf_dir), "id", spark.createDataFrame(rows, "signal string, phrase string"))
+    return hits.groupBy("id", "signal").agg(F.count("*").alias("hits"))
+
+
 def x7_em_dash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _signal(spark, sf_dir, "em_dash").select("id", "hits")
 
@@ -122,7 +129,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         x1_paragraphs, x2_sentences, x3_words, x4_text_stats, x5_burstiness, x6_phrase_tells, x7_em_dash, x8_binary_contrast, x9_colon_reveal, x10_puffery,
-        x11_weasel, x12_uniform_structure, x13_recap_ending, x14_formatting, x15_evidence, x16_analyze, x17_edits, x18_rewrite, x19_suggestions, x20_word_diff,
+        x6_lexicon, x11_weasel, x12_uniform_structure, x13_recap_ending, x14_formatting, x15_evidence, x16_analyze, x17_edits, x18_rewrite, x19_suggestions, x20_word_diff,
     )
 }
 
@@ -152,6 +159,9 @@ SQL = {
     "x3_words": f"SELECT doc_id, {_WORDS.format(t='text')} AS words FROM documents",
     "x4_text_stats": f"WITH {PROSE} SELECT id, length(text) AS chars, {_WORDS.format(t='text')} AS words, {_PARAGRAPHS} AS paragraphs FROM t",
     "x6_phrase_tells": _phrase_sql(text.TELLS, 3, "hits * 100.0 / greatest(w, 1) / 3"),
+    "x6_lexicon": f"WITH {PROSE}, h AS ("
+    + " UNION ALL ".join(f"SELECT id, '{name}' AS signal, {_phrases(words)} AS hits FROM t" for name, words in (("phrase_tells", text.TELLS), ("puffery", tuple(text.PUFFERY)), ("weasel", text.WEASEL)))
+    + ") SELECT * FROM h WHERE hits > 0",
     "x7_em_dash": f"WITH {PROSE} SELECT id, length(text) - length(replace(text, '—', '')) AS hits FROM t",
     "x8_binary_contrast": f"""WITH {PROSE}, h AS (SELECT id, len(regexp_extract_all(text, '(?i)\\bnot (just|only|merely|simply)\\b[^.!?\\n]*?[,;—] *(but|it|this|that|they)\\b|\\bnot [^.!?,\\n]*, but\\b|(\\bnot|n[''’]t) [^.!?\\n]*[.!?]\\s+(it|this|that|they)([''’](s|re)| is| are)\\b')) AS hits FROM t)
         SELECT id, CASE WHEN hits > 0 THEN 'strong' ELSE 'info' END AS severity, least(1.0, hits::DOUBLE) AS score, hits FROM h""",
