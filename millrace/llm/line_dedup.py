@@ -6,16 +6,17 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions.staging import broadcast_if_small, quoted, scratch, staged
+from millrace.functions.staging import quoted, scratch, staged
 from millrace.llm.spans import U, mixed, sliced
 
 STRIPPED = " \t\n\x0b\x0c\r"
-#: Lines of one shard, and probes of one task, about.
-SHARD, PROBES = 250_000, 500_000
-#: Lines that a task counts before it hands them on, and bytes of index that are broadcast, at most.
+#: Lines of one shard, about.
+SHARD = 250_000
+#: Lines that a task counts before it hands them on, and bytes of index that a Python worker holds, at most.
 HELD, ROOM = 1 << 19, 1 << 26
 #: Stands for a null id, below all others.
 NO_ID = -(1 << 63)
@@ -38,19 +39,6 @@ def _keys(texts: list[str | None], least: int) -> tuple[np.ndarray, np.ndarray,
     return flat, np.repeat(np.arange(len(texts)), sizes), sizes
 
 
-def line_keys(text: Column, least: int) -> Column:
-    """array<struct<h, check>> of the distinct keys of a text's lines."""
-
-    @F.arrow_udf("array<struct<h: long, check: long>>")
-    def keyed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in sliced(batches):
-            flat, _, sizes = _keys(batch.to_pylist(), least)
-            keys = pa.StructArray.from_arrays([pa.array(flat[:, 0]), pa.array(flat[:, 1])], ["h", "check"])
-            yield pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), pa.int32()), keys)
-
-    return keyed(text)
-
-
 def _summed(parts: list[np.ndarray]) -> np.ndarray:
     """Rows (h, check, docs, last), one per key: documents added, the largest id."""
     rows = np.concatenate(parts)
@@ -86,12 +74,18 @@ def partial_lines(docs: DataFrame, least: int) -> DataFrame:
 
 class PerfectHash:
     """A minimal perfect hash of distinct 128-bit keys: levels of bits, where a key sits at the first level on which
-    it met no other; its slot is the number of bits before it. About three bits a key."""
+    it met no other; its slot is the number of bits before it. Bits are packed in words, each with the number of bits
+    before it: about four and a half bits a key."""
 
-    def __init__(self, levels: list[np.ndarray]):
-        self.levels = levels
-        self.ranks = [np.cumsum(bits) - bits for bits in levels]
-        self.bases = np.cumsum([0, *(int(bits.sum()) for bits in levels)])
+    def __init__(self, sizes: list[int], words: np.ndarray):
+        self.sizes, self.words = sizes, words
+        counts = np.bitwise_count(words).astype(np.uint32)
+        self.ranks = np.cumsum(counts, dtype=np.uint32) - counts
+        self.starts = np.cumsum([0, *(size // 64 for size in sizes)])
+
+    @property
+    def nbytes(self) -> int:
+        return self.words.nbytes + self.ranks.nbytes
 
     @staticmethod
     def _at(h: np.ndarray, check: np.ndarray, level: int, size: int) -> np.ndarray:
@@ -100,24 +94,27 @@ class PerfectHash:
 
     @classmethod
     def of(cls, h: np.ndarray, check: np.ndarray) -> "PerfectHash":
-        levels = []
+        sizes, words = [], [np.zeros(0, U)]
         while len(h):
-            size = max(64, 2 * len(h))
-            at = cls._at(h, check, len(levels), size)
-            alone = np.bincount(at, minlength=size) == 1
-            levels.append(alone.astype(np.int64))
+            sizes.append(-(-max(64, 2 * len(h)) // 64) * 64)
+            at = cls._at(h, check, len(sizes) - 1, sizes[-1])
+            alone = np.bincount(at, minlength=sizes[-1]) == 1
+            words.append(np.packbits(alone, bitorder="little").view(U))
             again = ~alone[at]
             h, check = h[again], check[again]
-        return cls(levels)
+        return cls(sizes, np.concatenate(words))
 
     def slots(self, h: np.ndarray, check: np.ndarray) -> np.ndarray:
         """Slot of each key; a key that is not of the set gets some slot or -1."""
         out = np.full(len(h), -1)
         open_ = np.arange(len(h))
-        for k, bits in enumerate(self.levels):
-            at = self._at(h[open_], check[open_], k, len(bits))
-            here = bits[at] == 1
-            out[open_[here]] = self.bases[k] + self.ranks[k][at[here]]
+        for level, size in enumerate(self.sizes):
+            at = self._at(h[open_], check[open_], level, size)
+            word, bit = self.starts[level] + (at >> 6), (at & 63).astype(U)
+            held = self.words[word]
+            here = (held >> bit) & U(1) == 1
+            below = np.bitwise_count(held & ((U(1) << bit) - U(1)))
+            out[open_[here]] = (self.ranks[word] + below)[here]
             open_ = open_[~here]
         return out
 
@@ -155,24 +152,23 @@ def repeated_lines(parts: DataFrame, shards: int, min_docs: int) -> DataFrame:
 
 
 def build_index(lines: DataFrame, shards: int) -> DataFrame:
-    """One row per shard: the bits of its hash, and by slot fingerprint and last id; hits is how often its lines occur."""
+    """One row per shard: the words of its hash, by slot fingerprint and last id, and bytes, what it takes in memory."""
 
     def build(table: pa.Table) -> pa.Table:
-        hashed, one, docs, last = _arrays(table)
-        bits = np.packbits(np.concatenate(hashed.levels).astype(np.uint8))
-        sizes = np.array([len(b) for b in hashed.levels], np.int64)
+        hashed, one, _, last = _arrays(table)
+        fingerprints = table["check"].to_numpy()[one]
         return pa.table(
             {
                 "shard": table["shard"][:1],
-                "hits": pa.array([int(docs.sum())]),
-                "levels": pa.array([sizes.tobytes()], pa.binary()),
-                "bits": pa.array([bits.tobytes()], pa.binary()),
-                "fingerprints": pa.array([table["check"].to_numpy()[one].tobytes()], pa.binary()),
+                "bytes": pa.array([hashed.nbytes + fingerprints.nbytes + last.nbytes]),
+                "levels": pa.array([np.array(hashed.sizes, np.int64).tobytes()], pa.binary()),
+                "words": pa.array([hashed.words.tobytes()], pa.binary()),
+                "fingerprints": pa.array([fingerprints.tobytes()], pa.binary()),
                 "last": pa.array([last.tobytes()], pa.binary()),
             }
         )
 
-    schema = "shard long, hits long, levels binary, bits binary, fingerprints binary, last binary"
+    schema = "shard long, bytes long, levels binary, words binary, fingerprints binary, last binary"
     return lines.withColumn("shard", _shard_of(F.col("h"), shards)).groupBy("shard").applyInArrow(build, schema)
 
 
@@ -180,11 +176,13 @@ class Shard:
     """The arrays of one row of the index."""
 
     def __init__(self, row: dict):
-        sizes = np.frombuffer(row["levels"], np.int64)
-        bits = np.unpackbits(np.frombuffer(row["bits"], np.uint8))[: sizes.sum()].astype(np.int64)
-        self.hashed = PerfectHash(np.split(bits, np.cumsum(sizes)[:-1]))
+        self.hashed = PerfectHash(np.frombuffer(row["levels"], np.int64).tolist(), np.frombuffer(row["words"], U))
         self.fingerprints, self.last = np.frombuffer(row["fingerprints"], U), np.frombuffer(row["last"], np.int64)
 
+    @property
+    def nbytes(self) -> int:
+        return self.hashed.nbytes + self.fingerprints.nbytes + self.last.nbytes
+
     def dropped(self, h: np.ndarray, check: np.ndarray, ids: np.ndarray) -> np.ndarray:
         """Whether each line is indexed and its largest id is another than the one it stands in."""
         slot = self.hashed.slots(h, check)
@@ -192,63 +190,81 @@ class Shard:
         return (slot >= 0) & (self.fingerprints[at] == check) & (self.last[at] != ids)
 
 
-def probe(probes: DataFrame, index: DataFrame) -> DataFrame:
-    """The probes (row, id, h, check, shard, salt) that are dropped."""
+def groups_of(sizes: list[tuple[int, int]], room: int) -> list[list[int]]:
+    """Shards (shard, bytes) in groups of at most room bytes; a larger shard is a group of its own."""
+    groups, used = [], room
+    for shard, size in sizes:
+        if used + size > room:
+            groups.append([])
+            used = 0
+        groups[-1].append(shard)
+        used += size
+    return groups
+
+
+def load(index: DataFrame, shards: list[int]) -> Broadcast:
+    """Some shards of the index, at most ROOM bytes or one shard, for every worker."""
+    rows = index.filter(F.col("shard").isin(shards)).toArrow().to_pylist()
+    return index.sparkSession.sparkContext.broadcast({r["shard"]: Shard(r) for r in rows})
 
-    def look_up(left: pa.Table, right: pa.Table) -> pa.Table:
-        found = left.select(["row", "h", "check"])
-        if not right.num_rows or not left.num_rows:
-            return found.slice(0, 0)
-        h, check = (left[c].to_numpy().view(U) for c in ("h", "check"))
-        ids = pc.fill_null(left["id"], NO_ID).to_numpy()
-        return found.filter(pa.array(Shard(right.slice(0, 1).to_pylist()[0]).dropped(h, check, ids)))
 
-    groups = probes.groupBy("shard", "salt").cogroup(index.groupBy("shard", "salt"))
-    return groups.applyInArrow(look_up, "row long, h long, check long")
+def _gone(lines: list[list[str]], ids: pa.Array, index: dict[int, Shard], shards: int, least: int) -> list[set[int]]:
+    """Of each text, the places of the lines that the arrays of some shards say to drop."""
+    keys = [(n, k, key) for n, own in enumerate(lines) for k, line in enumerate(own) if (key := _key(line, least))]
+    pair = np.array([key for _, _, key in keys], np.int64).reshape(-1, 2)
+    own = pc.fill_null(ids, NO_ID).to_numpy()[[n for n, _, _ in keys]] if keys else np.zeros(0, np.int64)
+    gone, shard = np.zeros(len(keys), bool), pair[:, 0] % shards
+    for s in np.unique(shard).tolist():
+        at = np.flatnonzero(shard == s)
+        if s in index:
+            gone[at] = index[s].dropped(pair[at, 0].view(U), pair[at, 1].view(U), own[at])
+    out: list[set[int]] = [set() for _ in lines]
+    for i in np.flatnonzero(gone).tolist():
+        out[keys[i][0]].add(keys[i][1])
+    return out
 
 
-def without_indexed(text: Column, ident: Column, index: dict[int, Shard], shards: int, least: int) -> Column:
-    """struct<n_dropped, kept>: the text without the lines that the arrays of a broadcast index say to drop."""
-    known = SparkSession.active().sparkContext.broadcast(index)
+def _kept(lines: list[str], gone: set[int]) -> str:
+    return "\n".join([x for k, x in enumerate(lines) if k not in gone] if gone else lines)
+
+
+def without_indexed(text: Column, ident: Column, known: Broadcast, shards: int, least: int) -> Column:
+    """struct<n_dropped, kept>: the text without the lines that an index says to drop."""
 
     @F.arrow_udf("struct<n_dropped: long, kept: string>")
     def kept_lines(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        index = known.value
         for texts, ids in sliced(batches):
             lines = [(t or "").split("\n") for t in texts.to_pylist()]
-            keys = [(n, k, key) for n, own in enumerate(lines) for k, line in enumerate(own) if (key := _key(line, least))]
-            pair = np.array([key for _, _, key in keys], np.int64).reshape(-1, 2)
-            own = pc.fill_null(ids, NO_ID).to_numpy()[[n for n, _, _ in keys]] if keys else np.zeros(0, np.int64)
-            gone, shard = np.zeros(len(keys), bool), pair[:, 0] % shards
-            for s in np.unique(shard).tolist():
-                at = np.flatnonzero(shard == s)
-                if s in index:
-                    gone[at] = index[s].dropped(pair[at, 0].view(U), pair[at, 1].view(U), own[at])
-            out: list[set[int]] = [set() for _ in lines]
-            for i in np.flatnonzero(gone).tolist():
-                out[keys[i][0]].add(keys[i][1])
-            kept = ["\n".join([x for k, x in enumerate(own) if k not in bad] if bad else own) for own, bad in zip(lines, out, strict=True)]
+            out = _gone(lines, ids, known.value, shards, least)
+            kept = [_kept(own, bad) for own, bad in zip(lines, out, strict=True)]
             yield pa.StructArray.from_arrays([pa.array(map(len, out), pa.int64()), pa.array(kept, pa.string())], ["n_dropped", "kept"])
 
     return kept_lines(text, ident)
 
 
-def without(text: Column, keys: Column, least: int) -> Column:
-    """struct<n_dropped, kept>: the text without the lines that have one of the keys."""
+def dropped_lines(text: Column, ident: Column, known: Broadcast, shards: int, least: int) -> Column:
+    """array<int>: places of the lines of a text that some shards of an index say to drop."""
+
+    @F.arrow_udf("array<int>")
+    def places(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for texts, ids in sliced(batches):
+            lines = [(t or "").split("\n") for t in texts.to_pylist()]
+            yield pa.array([sorted(x) for x in _gone(lines, ids, known.value, shards, least)], pa.list_(pa.int32()))
+
+    return places(text, ident)
+
+
+def without(text: Column, places: Column) -> Column:
+    """struct<n_dropped, kept>: the text without the lines at some places; null is none."""
 
     @F.arrow_udf("struct<n_dropped: long, kept: string>")
     def kept_lines(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for texts, keys in sliced(batches):
-            dropped, kept = [], []
-            for text, gone in zip(texts.to_pylist(), keys.to_pylist(), strict=True):
-                gone = {(k["h"], k["check"]) for k in gone or ()}
-                lines = (text or "").split("\n")
-                rest = [line for line in lines if _key(line, least) not in gone] if gone else lines
-                dropped.append(len(lines) - len(rest))
-                kept.append("\n".join(rest))
-            yield pa.StructArray.from_arrays([pa.array(dropped, pa.int64()), pa.array(kept, pa.string())], ["n_dropped", "kept"])
+        for texts, places in sliced(batches):
+            gone = [set(p or ()) for p in places.to_pylist()]
+            kept = [_kept((t or "").split("\n"), bad) for t, bad in zip(texts.to_pylist(), gone, strict=True)]
+            yield pa.StructArray.from_arrays([pa.array(map(len, gone), pa.int64()), pa.array(kept, pa.string())], ["n_dropped", "kept"])
 
-    return kept_lines(text, keys)
+    return kept_lines(text, places)
 
 
 def drop_repeated_lines(
@@ -259,7 +275,6 @@ def drop_repeated_lines(
     min_docs: int = 3,
     least: int = 20,
     shard: int = SHARD,
-    probes: int = PROBES,
     room: int = ROOM,
 ) -> DataFrame:
     """The carried columns (default: all) of every row, with n_lines, n_dropped and kept_text.
@@ -271,9 +286,9 @@ def drop_repeated_lines(
     column are replaced. An empty table gives an empty result.
 
     Each task sums its own lines first, so that a frequent line reaches its shard once per task. The lines that repeat
-    often enough are indexed again. An index of at most `room` bytes is broadcast, and documents probe it where they
-    stand; a larger one stays in its shards, to which the lines' hashes go, those of a frequent line dealt to several
-    copies of its shard.
+    often enough are indexed again, and documents probe the index where they stand: lines never shuffle. Of the index
+    workers hold `room` bytes at a time. A larger one is probed group by group of its shards, a pass over the texts
+    each; then the places of dropped lines join the texts by row, which shuffles texts once.
     """
     columns = [c for c in (docs.columns if carry is None else carry) if c not in ("n_lines", "n_dropped", "kept_text")]
     rows = docs.select(F.struct(*map(quoted, columns)).alias("_in"), F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
@@ -284,19 +299,19 @@ def drop_repeated_lines(
         repeated = staged(repeated_lines(parts, max(1, -(-parts.count() // shard)), min_docs), "repeated-lines")
         shards = max(1, -(-repeated.count() // shard))
         index = staged(build_index(repeated, shards), "line-index")
-        size = index.agg(F.sum(F.length("bits") + F.length("fingerprints") + F.length("last"))).first()[0] or 0
-        if size <= room:
-            known = {r["shard"]: Shard(r) for r in index.toArrow().to_pylist()}
+        groups = groups_of([(r["shard"], r["bytes"]) for r in index.select("shard", "bytes").orderBy("shard").collect()], room)
+        if len(groups) <= 1:
+            known = load(index, groups[0] if groups else [])
             result = rows.select("_in", lines, without_indexed(F.col("text"), F.col("id"), known, shards, least).alias("out"))
         else:
             rows = own.keep(staged(rows.withColumn("row", F.monotonically_increasing_id()), "line-rows"))
-            each = rows.select("row", "id", F.explode(line_keys(F.col("text"), least)).alias("k")).select("row", "id", "k.h", "k.check")
-            rest = (parts.agg(F.sum("docs")).first()[0] or 0) // shards
-            load = staged(index.select("shard", F.ceil((F.col("hits") + rest) / probes).cast("int").alias("salts")), "line-load")
-            salted = index.join(load, "shard").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-            asked = each.withColumn("shard", _shard_of(F.col("h"), shards)).join(broadcast_if_small(load), "shard")
-            asked = asked.withColumn("salt", F.pmod(F.xxhash64("row"), F.col("salts")).cast("int")).drop("salts")
-            gone = own.keep(staged(probe(asked, salted), "dropped-lines"))
-            gone = gone.groupBy("row").agg(F.collect_set(F.struct("h", "check")).alias("keys"))
-            result = rows.join(gone, "row", "left").select("_in", lines, without(F.col("text"), F.col("keys"), least).alias("out"))
+            gone = None
+            for group in groups:
+                known = load(index, group)
+                found = rows.select("row", dropped_lines(F.col("text"), F.col("id"), known, shards, least).alias("gone")).filter(F.size("gone") > 0)
+                found = own.keep(staged(found, "dropped-lines"))
+                known.unpersist()
+                gone = found if gone is None else gone.unionByName(found)
+            places = gone.groupBy("row").agg(F.flatten(F.collect_list("gone")).alias("gone"))
+            result = rows.join(places, "row", "left").select("_in", lines, without(F.col("text"), F.col("gone")).alias("out"))
     return result.select("_in.*", "n_lines", "out.n_dropped", F.col("out.kept").alias("kept_text"))

@@ -3,18 +3,20 @@
 import collections
 import hashlib
 import itertools
+import pickle
 import re
 import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from millrace.llm import line_dedup, registry, spelling
 from millrace.llm import manifest as merkle
-from millrace.llm import registry, spelling
 from millrace.llm.manifest import address, depth, log_of, manifest, proof_hash, siblings
 from millrace.llm.packing import best_fit, pack_shard, packed, pieces_of, sequences
 from millrace.llm.spelling import affected, decompose, misspelt, one_edit, spelling_variants
@@ -220,3 +222,28 @@ def test_query_and_sql_agree(spark, name):
     names = [d[0] for d in cursor.description]
     assert sorted(names) == sorted(found.columns)
     assert sorted(map(repr, cursor.fetchall())) == sorted(repr(tuple(r[c] for c in names)) for r in found.collect())
+
+
+def test_index_takes_the_bytes_it_says(spark):
+    rng = np.random.default_rng(7)
+    n = 50_000
+    h, check = (rng.integers(-(1 << 63), (1 << 63) - 1, n) for _ in range(2))
+    lines = spark.createDataFrame(pa.table({"h": h, "check": check, "docs": np.full(n, 3), "last": rng.integers(0, 1 << 40, n)}).to_pandas())
+    index = line_dedup.build_index(lines, 3)
+    rows = index.orderBy("shard").collect()
+    known = line_dedup.load(index, [0, 1, 2])
+    for r in rows:
+        assert known.value[r["shard"]].nbytes == r["bytes"]
+    total = sum(r["bytes"] for r in rows)
+    assert total < 18 * n and abs(len(pickle.dumps(known.value, protocol=5)) - total) < 0.1 * total
+    assert line_dedup.groups_of([(0, 40), (1, 70), (2, 20), (3, 10), (4, 500), (5, 1)], 100) == [[0], [1, 2, 3], [4], [5]]
+    assert line_dedup.groups_of([], 100) == []
+
+
+def test_lines_never_shuffle(spark):
+    rows = spark.createDataFrame([(i, f"this very line is long enough\nown line of document {i}\n" + "x" * i) for i in range(9)], "doc_id long, text string")
+    for room in (1 << 26, 0):
+        got = line_dedup.drop_repeated_lines(rows, room=room)
+        assert got.filter("n_dropped = 1").count() == 8
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "FlatMapCoGroups" not in plan and "Generate" not in plan

@@ -259,7 +259,7 @@ def test_mix(docs, none):
     assert mix(none).count() == 0
 
 
-@pytest.mark.parametrize("small", [{}, {"shard": 2}, {"room": 0}, {"room": 0, "shard": 2, "probes": 2}])
+@pytest.mark.parametrize("small", [{}, {"shard": 2}, {"room": 0}, {"room": 200, "shard": 2}])
 def test_lines(docs, none, small):
     docs = docs.withColumn("n_lines", F.lit("x")).withColumn("shard", F.lit(1))
     got = drop_repeated_lines(docs, **small).collect()
