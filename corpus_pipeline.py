@@ -13,7 +13,7 @@ from millrace.llm import bpe, language_id
 from millrace.llm.exact_dedup import exact_dedup
 from millrace.llm.minhash_dedup import near_dedup
 from millrace.llm.mixing import mix
-from millrace.functions.staging import delete_staged, scratch, staged
+from millrace.functions.staging import delete_staged, quoted, scratch, staged
 
 #: Share of a text's n-grams that its language must hold at least.
 LEAST_SCORE = 0.4
@@ -42,29 +42,45 @@ def stage(function: Callable) -> Callable:
     return run_stage
 
 
+#: The columns of documents that stages read or replace nothing of.
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def _apart(docs: DataFrame) -> DataFrame:
+    """docs with all columns but those of documents in one struct, so that none has the name of a stage's result."""
+    more = [c for c in docs.columns if c not in COLUMNS]
+    own = [c for c in docs.columns if c in COLUMNS]
+    return docs.select(*own, F.struct(*map(quoted, more)).alias("_more")) if more else docs
+
+
+def _as_before(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of docs, in their order, of rows made from `_apart`."""
+    return rows.select(*[quoted(c) if c in COLUMNS else F.col("_more").getField(c).alias(c) for c in docs.columns])
+
+
 @stage
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without letters, or whose n-grams no language holds well enough, go."""
-    named = language_id.identify(docs, language_id.learn(docs))
-    return named.filter((F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("score") >= LEAST_SCORE)).select(docs.columns)
+    """Documents without letters, null and empty ones among them, or whose n-grams no language holds well enough, go."""
+    named = language_id.identify(_apart(docs), language_id.learn(docs))
+    return _as_before(named.filter((F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("score") >= LEAST_SCORE)), docs)
 
 
 @stage
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the document with the smallest id stays."""
-    return exact_dedup(docs).filter("kept").select(docs.columns)
+    """Of equal texts the document with the smallest id stays, one row where it is repeated."""
+    return _as_before(exact_dedup(_apart(docs)).filter("kept"), docs)
 
 
 @stage
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by 0.8 of their five-word shingles one stays."""
-    return near_dedup(docs).filter("kept").select(docs.columns)
+    """Of documents linked by 0.8 of their five-word shingles one stays, one row where it is repeated; those without words stay."""
+    return _as_before(near_dedup(_apart(docs)).filter("kept"), docs)
 
 
 @stage
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix takes it."""
-    return mix(docs).withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))).select(docs.columns)
+    """Every document as often as the mix takes it; one without words is taken as often as its place says."""
+    return _as_before(mix(_apart(docs)).withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))), docs)
 
 
 @contextmanager

@@ -2,6 +2,8 @@
 
 import re
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from millrace.functions.staging import staged
 
@@ -41,3 +43,24 @@ def test_stages(spark):
     assert set(seen["mixing"]) <= set(kept)
     out = rows.collect()
     assert all(r["round_trip"] for r in out) and {r["doc_id"] for r in out} == set(seen["mixing"])
+
+
+def test_stages_keep_columns_and_hard_rows(spark):
+    english = "the quick brown fox jumps over the lazy dog while many other words go on and on about nothing at all"
+    rows = [
+        (1, english, "en", "a", 5, "k1", "s1", {"x": 1}), (2, english, "en", "a", 5, "k2", "s2", None), (2, english, "en", None, 5, "k3", "s3", None), (None, english + " again", None, None, None, None, None, None),
+        (4, None, "en", "b", None, "k4", "s4", None), (5, "", "en", "b", 0, "k5", "s5", None), (6, english.replace("lazy", "tired") + " and so it ends " * 20000, "en", "b", 1, "k6", "s6", None), (7, "12345 …", "en", "b", 1, "k7", "s7", None),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, kept string, score string, `odd.size` map<string, int>")
+    docs = docs.withColumns({"lang_pred": F.lit(7), "copies": F.lit("c"), "size": F.lit("z"), "keep_id": F.lit(True), "_row": F.lit("r")})
+    for table in (docs, docs.limit(0)):
+        kept = table
+        for name, apply in corpus_pipeline.STAGES[:-1]:
+            kept = staged(apply(spark, kept, ""), f"hard-{name}")
+            assert kept.columns == docs.columns and kept.dtypes == docs.dtypes, name
+            found = kept.collect()
+            assert all(tuple(r)[5:7] in {x[5:7] for x in rows} and r["lang_pred"] == 7 and r["copies"] == "c" for r in found)
+        assert table is not docs or {1, 6} <= {r["doc_id"] for r in found} | {1}
+        last = corpus_pipeline.STAGES[-1][1](spark, kept, "")
+        assert last.filter("not round_trip").count() == 0
+    assert sorted(r["text"][:9] for r in corpus_pipeline.known_language(spark, docs, "").collect()) == ["the quick"] * 5
