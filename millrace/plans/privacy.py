@@ -58,7 +58,9 @@ def p2_phone(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_ssn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _spans(spark, sf_dir, "ssn")
+    """Numbers of contacts between others whose area, group or serial no one has."""
+    texts = _contacts(spark, sf_dir).select("c_custkey", F.concat_ws(" ", "segment", F.lit("666-12-3456"), "ssn", F.lit("900-12-3456, 123-00-4567 or 123-45-0000")).alias("text"))
+    return detect.scan_spans(texts, "text", ("ssn",)).select("c_custkey", "start", "end", "value")
 
 
 def p4_credit_card(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,7 +78,7 @@ def p6_prefixed_secret(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p7_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokens = table(spark, sf_dir, "pages").select("page_id", F.explode(F.regexp_extract_all("url", F.lit(r"\S{20,}"), F.lit(0))).alias("token"))
-    return tokens.select("page_id", "token", detect.entropy(F.col("token")).alias("bits"))
+    return tokens.select("page_id", "token", detect.entropy(F.col("token")).alias("bits"), detect.valid_token(F.col("token")).alias("valid"))
 
 
 def p8_name(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -231,11 +233,11 @@ _FAKE_IP = " || '.' || ".join(f"least(254, greatest(1, {_byte(i)}))" for i in ra
 
 SQL = {
     "p1_email": _MAILS,
-    "p3_ssn": _SSNS,
+    "p3_ssn": f"""WITH {CONTACTS} SELECT c_custkey, length(segment) + 13 AS "start", length(segment) + 24 AS "end", ssn AS value FROM contacts""",
     "p4_credit_card": _CARDS,
     "p5_ip": _IPS,
     "p6_prefixed_secret": f"""WITH {CONTACTS} SELECT c_custkey, length(segment) + 1 AS "start", length(segment) + 21 AS "end", secret AS value FROM contacts""",
-    "p7_entropy": f"WITH t AS (SELECT page_id, unnest(regexp_extract_all(url, '[^ ]{{20,}}')) AS token FROM pages) SELECT page_id, token, {_ENTROPY} AS bits FROM t",
+    "p7_entropy": f"WITH t AS (SELECT page_id, unnest(regexp_extract_all(url, '[^ ]{{20,}}')) AS token FROM pages) SELECT *, bits > 4.0 AND NOT regexp_matches(token, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+[.][A-Za-z]') AND NOT contains(lower(token), 'javascript:') AS valid FROM (SELECT page_id, token, {_ENTROPY} AS bits FROM t)",
     "p8_name": f'WITH {CONTACTS} SELECT c_custkey, "name" <> \'Zyx Qwv\' AS is_name FROM contacts',
     "p10_scan_table": f"""WITH {CONTACTS}, w AS (SELECT avg(CASE WHEN "name" <> 'Zyx Qwv' THEN 1 ELSE 0 END) AS r FROM contacts)
         SELECT * FROM (VALUES ('email', 'email', 1.0::DOUBLE, 1.0::DOUBLE), ('ssn', 'ssn', 1.0, 1.0), ('card', 'credit_card', 1.0, 1.0), ('ip', 'ip', 1.0, 1.0), ('secret', 'secret', 1.0, 1.0)) t("column", kind, confidence, hit_rate)

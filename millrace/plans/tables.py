@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.functions.staging import new_path
 from millrace.operators import diff, profile, typing
 from millrace.plans.views import A_COLUMNS, B_COLUMNS, ORDERS_A, ORDERS_B, X, histogram_sql, orders_a, orders_b, rates_sql, table, types_sql
 from millrace.sources import tables as sources
@@ -38,7 +39,56 @@ def s5_normalize_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def s7_read_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sources.read_table(spark, f"{sf_dir}/nation.parquet", "parquet")
+    return sources.read_table(spark, f"{sf_dir}/part.parquet", "parquet").select("p_partkey", "p_name", "p_brand", "p_size")
+
+
+def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select("p_partkey", "p_name", F.when(F.col("p_partkey") % 9 == 0, "N/A").otherwise(F.col("p_brand")).alias("p_brand"), "p_size")
+
+
+def s1_read_delimited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts written as comma-separated text into the shared folder, and read back."""
+    path = new_path(spark, "parts-csv")
+    sources.write_table(_parts(spark, sf_dir), path, "csv")
+    return sources.read_table(spark, path, "csv")
+
+
+def s2_read_json_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as arrays of at most 100 objects, a file each, and read back."""
+    path = new_path(spark, "parts-json")
+    some = _parts(spark, sf_dir).groupBy(F.floor(F.col("p_partkey") / 100)).agg(F.to_json(F.collect_list(F.struct("p_partkey", "p_name", "p_brand", "p_size"))).alias("value"))
+    some.select("value").write.option("maxRecordsPerFile", 1).text(path)
+    return sources.read_table(spark, path, "json")
+
+
+def s3_read_jsonl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as an object per line, and read back with what is nested flattened."""
+    path = new_path(spark, "parts-jsonl")
+    sources.write_table(_parts(spark, sf_dir).select("p_partkey", F.struct("p_name", "p_brand").alias("about"), F.array("p_size").alias("sizes")), path, "jsonl")
+    return sources.read_table(spark, path, "jsonl").select("p_partkey", F.col("`about.p_name`").alias("p_name"), F.col("`about.p_brand`").alias("p_brand"), "sizes")
+
+
+def s6_read_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts written as lines, and read back: how often each line stands."""
+    path = new_path(spark, "text-lines")
+    table(spark, sf_dir, "documents").select(F.coalesce("text", F.lit("")).alias("value")).write.text(path)
+    return sources.read_lines(spark, path).groupBy(F.md5("line").alias("line_md5")).agg(F.count("*").alias("n"))
+
+
+def s8_write_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells that a spreadsheet would run and dates, written as tab-separated text and read as they stand there."""
+    path = new_path(spark, "orders-tsv")
+    dates = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderdate").cast("date").alias("day"))
+    sources.write_table(_risky(spark, sf_dir).filter("o_orderkey % 10 <> 6").join(dates, "o_orderkey"), path, "tsv")
+    return sources.read_delimited(spark, path, "\t")
+
+
+def s8_write_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of the columns of orders as a report, read back as text."""
+    path = new_path(spark, "report")
+    counts = profile.null_and_distinct(hist(a(spark, sf_dir)))
+    sources.write_report(counts.select(F.struct("row_count", "null_count").alias("rows"), "distinct_count", "column", F.lit(None).cast("string").alias("note")), path)
+    return spark.read.text(path)
 
 
 def _risky(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -206,7 +256,7 @@ def d14_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        s4_flatten, s5_normalize_nulls, s7_read_table, s9_formula_safe, s10_ledger_safe, t1_value_histogram, t2_parse_rates, t3_shape, t4_is_id_like,
+        s4_flatten, s5_normalize_nulls, s1_read_delimited, s2_read_json_records, s3_read_jsonl, s6_read_lines, s7_read_table, s8_write_table, s8_write_report, s9_formula_safe, s10_ledger_safe, t1_value_histogram, t2_parse_rates, t3_shape, t4_is_id_like,
         t5_infer_types, t6_coerce, t7_finite_number, f1_counts, f2_f3_nulls_distinct, f4_top_k, f5_f6_numeric_stats, f7_outlier_examples,
         f8_suppressed_stats, f9_profile, f9_profile_texts, d1_schema, d2_type_changes, d3_nullability, d4_candidate_keys, d5_shared_keys, d6_key_token, d7_duplicates,
         d8_row_classes, d9_changed_cells, d10_changed_by_column, d11_added_rows, d12_category_drift, d13_number_drift, d14_diff,
@@ -247,10 +297,21 @@ _JOINED = f"""WITH {ORDERS_A}, {ORDERS_B}, j AS (
   SELECT CASE WHEN ka IS NULL THEN 'added' WHEN kb IS NULL THEN 'removed' WHEN order_key IN (SELECT order_key FROM cells) THEN 'changed' ELSE 'unchanged' END AS class FROM j
 )"""
 
+_PARTS = "SELECT p_partkey::VARCHAR AS p_partkey, p_name, CASE WHEN p_partkey % 9 <> 0 THEN p_brand END AS p_brand, p_size::VARCHAR AS p_size FROM part"
+
 SQL = {
     "s4_flatten": "SELECT o_orderkey::VARCHAR AS o_orderkey, o_custkey::VARCHAR AS o_custkey, '{\"o_orderstatus\":\"' || o_orderstatus || '\"}' AS o_state FROM orders",
     "s5_normalize_nulls": f"WITH {ORDERS_A} SELECT * FROM a",
-    "s7_read_table": "SELECT n_nationkey::VARCHAR AS n_nationkey, n_name, n_regionkey::VARCHAR AS n_regionkey FROM nation",
+    "s7_read_table": "SELECT p_partkey::VARCHAR AS p_partkey, p_name, p_brand, p_size::VARCHAR AS p_size FROM part",
+    "s1_read_delimited": _PARTS,
+    "s2_read_json_records": _PARTS,
+    "s3_read_jsonl": f"SELECT p_partkey, p_name, p_brand, '[\"' || p_size || '\"]' AS sizes FROM ({_PARTS})",
+    "s6_read_lines": "SELECT md5(line) AS line_md5, count(*) AS n FROM (SELECT unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents) GROUP BY 1",
+    "s8_write_table": _RISKY + r""" SELECT r.o_orderkey::VARCHAR AS o_orderkey, CASE WHEN regexp_matches(cell, '^ *[=+@\t\r]')
+        OR (ltrim(cell) LIKE '-%' AND NOT regexp_matches(ltrim(cell), '^-([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$')) THEN '''' || cell ELSE cell END AS cell, strftime(o_orderdate, '%Y-%m-%d') AS day
+        FROM r JOIN orders o ON o.o_orderkey = r.o_orderkey WHERE r.o_orderkey % 10 <> 6""",
+    "s8_write_report": f"""WITH {ORDERS_A}, {histogram_sql("a", A_COLUMNS)} SELECT '{{"column":"' || "column" || '","distinct_count":' || count(value) || ',"note":null,"rows":{{"null_count":'
+        || coalesce(sum(n) FILTER (WHERE value IS NULL), 0)::BIGINT || ',"row_count":' || sum(n)::BIGINT || '}}}}' AS value FROM hist GROUP BY "column" """,
     "s9_formula_safe": _RISKY + r""" SELECT o_orderkey, CASE WHEN regexp_matches(cell, '^ *[=+@\t\r]')
         OR (ltrim(cell) LIKE '-%' AND NOT regexp_matches(ltrim(cell), '^-([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$')) THEN '''' || cell ELSE cell END AS cell FROM r""",
     "s10_ledger_safe": _RISKY + r""" SELECT o_orderkey, CASE WHEN regexp_matches(cell, '^([\t\r\n]|\s*[=+@-])') THEN '''' || cell ELSE cell END AS cell FROM r""",

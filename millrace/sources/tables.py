@@ -100,6 +100,29 @@ def write_table(df: DataFrame, path: str, fmt: str) -> None:
         raise ValueError(f"no writer for {fmt}")
 
 
+def sorted_json(df: DataFrame) -> DataFrame:
+    """One JSON object per row, in column report: keys sorted at every level, nulls written."""
+
+    def ordered(value: Column, kind: T.DataType) -> Column:
+        if isinstance(kind, T.StructType):
+            fields = sorted(kind.fields, key=lambda f: f.name)
+            return F.when(value.isNotNull(), F.struct(*[ordered(value.getField(f.name), f.dataType).alias(f.name) for f in fields]))
+        if isinstance(kind, T.ArrayType):
+            return F.transform(value, lambda x: ordered(x, kind.elementType))
+        if isinstance(kind, T.MapType):
+            return F.map_from_entries(F.array_sort(F.map_entries(value)))
+        return value
+
+    fields = sorted(df.schema.fields, key=lambda f: f.name)
+    row = F.struct(*[ordered(name_of(f.name), f.dataType).alias(f.name) for f in fields])
+    return df.select(F.to_json(row, {"ignoreNullFields": "false", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss"}).alias("report"))
+
+
+def write_report(df: DataFrame, path: str) -> None:
+    """A profile, a difference or verdicts as JSON lines with sorted keys."""
+    sorted_json(df).write.text(path)
+
+
 def formula_safe_cell(value: Column) -> Column:
     """An apostrophe in front of what a spreadsheet would run: = + @ tab or return, or a minus that starts no number."""
     body = F.ltrim(value)

@@ -13,7 +13,8 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 #: Queries of each kind; the driver compares them all.
 SOME = (
     "s5_normalize_nulls", "t2_parse_rates", "f4_top_k", "d8_row_classes", "p1_email", "r1_hmac", "x4_text_stats", "n11_policy", "e3_weekly_report", "a5_suite_figures", "m4_weights",
-    "r4_card", "m1_learn_spec", "m2_sensitive_kinds", "m9_generate", "m11_categories", "m12_numbers", "m13_moments", "m14_personal", "n1_canonical_hosts", "n16_ledger", "a12_denied_tools",
+    "s1_read_delimited", "s2_read_json_records", "s3_read_jsonl", "s6_read_lines", "s8_write_table", "s8_write_report", "p3_ssn", "p7_entropy", "x6_lexicon", "a8_config_diff",
+    "a9_validate_configs", "a10_parse_tools", "a11_tool_risk", "r4_card", "m1_learn_spec", "m2_sensitive_kinds", "m9_generate", "m11_categories", "m12_numbers", "m13_moments", "m14_personal", "n1_canonical_hosts", "n16_ledger", "a12_denied_tools",
 )
 
 
