@@ -91,7 +91,8 @@ def write_table(df: DataFrame, path: str, fmt: str) -> None:
     """Csv and tsv with guarded cells, json lines, or parquet; dates in ISO form."""
     iso = {"dateFormat": "yyyy-MM-dd", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss"}
     if fmt in ("csv", "tsv"):
-        formula_safe(df).write.options(header=True, sep="," if fmt == "csv" else "\t", **iso).csv(path)
+        as_is = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+        formula_safe(df).write.options(header=True, sep="," if fmt == "csv" else "\t", **as_is, **iso).csv(path)
     elif fmt in ("json", "jsonl"):
         df.write.options(**iso).json(path)
     elif fmt == "parquet":
