@@ -16,6 +16,8 @@ from millrace.llm.components import components, forest
 
 #: Bytes of the vectors of a block, about; children of an interval, leading dimensions, vectors for the directions.
 BLOCK_BYTES, FANOUT, LEADING, SAMPLE = 1 << 22, 8, 8, 4096
+#: Consecutive blocks that travel together, at most; a task holds twice as many.
+NEIGHBOURS = 4
 #: Sub-blocks within a task, and what rounding may take from a distance.
 TILE, SLACK = 256, 1e-6
 
@@ -164,39 +166,56 @@ def near_blocks(cut: DataFrame, total: int, epsilon: float) -> DataFrame:
     return pairs
 
 
-def join_blocks(pairs: DataFrame, least: float) -> DataFrame:
-    """(row, n, root): per pair of blocks, the weight that a vector links with and a row that it is connected to."""
-
-    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for x in batch.to_pylist():
-                same = x["i"] == x["j"]
-                rows = [np.frombuffer(x[f"rows_{s}"], np.int64) for s in "ij"]
-                weights = [np.frombuffer(x[f"weights_{s}"], np.int64).astype(np.float64) for s in "ij"]
-                one, other = (unit(np.frombuffer(x[f"vectors_{s}"], np.float64).reshape(len(r), -1)) for s, r in zip("ij", rows, strict=True))
-                n, m = np.zeros(len(one)), np.zeros(len(other))
-                a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-                for at in range(0, len(one), TILE):
-                    hit = one[at : at + TILE] @ other.T >= least
-                    if same:
-                        hit[np.arange(len(hit)), at + np.arange(len(hit))] = False
-                    n[at : at + TILE] += hit @ weights[1]
-                    if not same:
-                        m += weights[0][at : at + TILE] @ hit
-                    u, v = np.nonzero(hit)
-                    keep = u + at < v if same else slice(None)
-                    u, v = u[keep] + at, v[keep] + (0 if same else len(one))
-                    label = forest(len(one) + (0 if same else len(other)), u, v)  # a tile needs no more links than nodes
-                    linked = np.unique(np.concatenate([u, v]))
-                    a.append(linked)
-                    b.append(label[linked])
-                node = rows[0] if same else np.concatenate(rows)
-                count = n if same else np.concatenate([n, m])
-                label = forest(len(node), np.concatenate(a), np.concatenate(b))
-                some = count > 0
-                yield pa.RecordBatch.from_arrays([pa.array(node[some]), pa.array(count[some].astype(np.int64)), pa.array(node[label[some]])], ["row", "n", "root"])
-
-    return pairs.mapInArrow(joined, "row long, n long, root long")
+def _linked(i: dict, j: dict, least: float) -> pa.RecordBatch:
+    """(row, n, root) of two blocks: the weight that a vector links with and a row that it is connected to."""
+    same = i["seq"] == j["seq"]
+    rows = [np.frombuffer(x["rows"], np.int64) for x in (i, j)]
+    weights = [np.frombuffer(x["weights"], np.int64).astype(np.float64) for x in (i, j)]
+    one, other = (unit(np.frombuffer(x["vectors"], np.float64).reshape(len(r), -1)) for x, r in zip((i, j), rows, strict=True))
+    n, m = np.zeros(len(one)), np.zeros(len(other))
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for at in range(0, len(one), TILE):
+        hit = one[at : at + TILE] @ other.T >= least
+        if same:
+            hit[np.arange(len(hit)), at + np.arange(len(hit))] = False
+        n[at : at + TILE] += hit @ weights[1]
+        if not same:
+            m += weights[0][at : at + TILE] @ hit
+        u, v = np.nonzero(hit)
+        keep = u + at < v if same else slice(None)
+        u, v = u[keep] + at, v[keep] + (0 if same else len(one))
+        label = forest(len(one) + (0 if same else len(other)), u, v)  # a tile needs no more links than nodes
+        linked = np.unique(np.concatenate([u, v]))
+        a.append(linked)
+        b.append(label[linked])
+    node = rows[0] if same else np.concatenate(rows)
+    count = n if same else np.concatenate([n, m])
+    label = forest(len(node), np.concatenate(a), np.concatenate(b))
+    some = count > 0
+    return pa.RecordBatch.from_arrays([pa.array(node[some]), pa.array(count[some].astype(np.int64)), pa.array(node[label[some]])], ["row", "n", "root"])
+
+
+def neighbourhood(pairs: int) -> int:
+    """Consecutive blocks that travel together: one where pairs are few, so that every core has some, up to NEIGHBOURS."""
+    return max(1, min(NEIGHBOURS, math.isqrt(pairs // 256)))
+
+
+def join_blocks(pairs: DataFrame, cut: DataFrame, least: float, together: int) -> DataFrame:
+    """(row, n, root) of the pairs of blocks (i, j), as of `_linked`.
+
+    Pairs are dealt by neighbourhoods of i and of j: a block moves once for each pair of neighbourhoods that needs it,
+    not for each pair of blocks, and a task holds 2 * together blocks."""
+    at = [F.floor(F.col(c) / together).alias(f"g{c}") for c in "ij"]
+    pairs = pairs.select(*at, "i", "j")
+    needed = pairs.select(F.col("gi").alias("ni"), F.col("gj").alias("nj"), F.explode(F.array_distinct(F.array("i", "j"))).alias("seq")).distinct()
+    moved = needed.join(cut.select("seq", "rows", "weights", "vectors"), "seq")
+
+    def joined(left: pa.Table, right: pa.Table) -> pa.Table:
+        own = {x["seq"]: x for x in right.select(["seq", "rows", "weights", "vectors"]).to_pylist()}
+        found = [_linked(own[i], own[j], least) for i, j in zip(left["i"].to_pylist(), left["j"].to_pylist(), strict=True)]
+        return pa.Table.from_batches(found)
+
+    return pairs.groupBy("gi", "gj").cogroup(moved.groupBy("ni", "nj")).applyInArrow(joined, "row long, n long, root long")
 
 
 def near_vectors(
@@ -231,9 +250,7 @@ def near_vectors(
     thin = rows.select("row", "_in", "id", "digest")
     if pairs is None:
         return thin.select("_in.*", F.lit(0).cast("bigint").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
-    for side in "ij":
-        pairs = pairs.join(cut.select(F.col("seq").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in ("rows", "weights", "vectors")]), side)
-    found = staged(join_blocks(pairs, least), "near-vectors")
+    found = staged(join_blocks(pairs, cut, least, neighbourhood(pairs.count())), "near-vectors")
     counts = found.groupBy(F.col("row").alias("first")).agg(F.sum("n").alias("n"))
     named = components(found.select(F.col("row").alias("u"), F.col("root").alias("v"))).withColumnRenamed("node", "first")
     sets = sets.join(counts, "first", "left").join(named, "first", "left").select(

@@ -15,7 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from millrace.llm import line_dedup, registry, spelling
+from millrace.llm import embedding_dedup, line_dedup, registry, spelling
 from millrace.llm import manifest as merkle
 from millrace.llm.manifest import address, depth, log_of, manifest, proof_hash, siblings
 from millrace.llm.packing import best_fit, pack_shard, packed, pieces_of, sequences
@@ -247,3 +247,26 @@ def test_lines_never_shuffle(spark):
         assert got.filter("n_dropped = 1").count() == 8
         plan = got._jdf.queryExecution().executedPlan().toString()
         assert "FlatMapCoGroups" not in plan and "Generate" not in plan
+
+
+@pytest.mark.parametrize("together", [1, 2, 3])
+def test_blocks_that_travel_together(spark, monkeypatch, together):
+    rng = np.random.default_rng(11)
+    base = rng.normal(size=(40, 6))
+    x = np.concatenate([base, base + 0.05 * rng.normal(size=base.shape), rng.normal(size=(40, 6)), base[:5], np.zeros((1, 6))])
+    monkeypatch.setattr(embedding_dedup, "neighbourhood", lambda pairs: together)
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: r for r in embedding_dedup.near_vectors(frame, block_bytes=1).collect()}
+    unit = x[:-1] / np.linalg.norm(x[:-1], axis=1, keepdims=True)
+    hit = unit @ unit.T >= 0.9
+    np.fill_diagonal(hit, False)
+    assert [got[i]["n_links"] for i in range(len(x))] == [*hit.sum(axis=1).tolist(), 0]
+    assert got[len(x) - 1]["component_id"] == len(x) - 1
+    label = list(range(len(unit)))
+    for _ in unit:
+        label = [min([label[i], *(label[j] for j in np.flatnonzero(hit[i]))]) for i in range(len(unit))]
+    assert [got[i]["component_id"] for i in range(len(unit))] == label
+
+
+def test_size_of_neighbourhoods():
+    assert [embedding_dedup.neighbourhood(n) for n in (0, 1, 255, 256, 1024, 1 << 20)] == [1, 1, 1, 1, 2, 4]
