@@ -248,9 +248,20 @@ def d13_number_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def d14_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Everything that a difference holds, as (what, n): changes of columns, types, nulls, categories and means, classes
+    of rows and changed cells."""
     found = diff.diff(a(spark, sf_dir), b(spark, sf_dir))
-    cells = diff.changed_by_column(found.cells).select(F.concat(F.lit("changed "), "column").alias("what"), "n")
-    return found.classes.select(F.col("class").alias("what"), "n").unionByName(cells).withColumn("key", F.lit(",".join(found.key)))
+    said = lambda rows, n, *words: rows.select(F.concat_ws(" ", *[F.col(w) if w in rows.columns else F.lit(w) for w in words]).alias("what"), n.cast("bigint").alias("n"))
+    one = F.lit(1)
+    parts = [
+        said(found.schema, one, "schema", "change", "column"), said(found.types, one, "type", "column", "old_type", "new_type"), said(found.nulls, one, "nulls", "column"),
+        said(found.categories, F.col("new_values"), "new", "column"), said(found.categories, F.col("vanished_values"), "vanished", "column"),
+        said(found.numbers, F.round("mean_delta"), "mean", "column"), said(found.classes, F.col("n"), "class"), said(diff.changed_by_column(found.cells), F.col("n"), "changed", "column"),
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out.withColumn("key", F.lit(",".join(found.key)))
 
 
 QUERIES = {
@@ -373,4 +384,8 @@ SQL = {
         SELECT "column", mb - ma AS mean_delta, sb - sa AS std_delta, 100 * (mb - ma) / abs(ma) AS mean_pct_change FROM m""",
     "d14_diff": f"""{_JOINED} SELECT class AS what, count(*) AS n, 'order_code' AS key FROM classes GROUP BY class
         UNION ALL SELECT 'changed ' || "column", count(*), 'order_code' FROM cells GROUP BY "column" """,
-}
+}
+SQL["d14_diff"] += f"""UNION ALL SELECT 'schema ' || change || ' ' || "column", 1, 'order_code' FROM ({SQL["d1_schema"]})
+    UNION ALL SELECT 'type ' || "column" || ' ' || old_type || ' ' || new_type, 1, 'order_code' FROM ({SQL["d2_type_changes"]})
+    UNION ALL SELECT 'new ' || "column", new_values, 'order_code' FROM ({SQL["d12_category_drift"]}) UNION ALL SELECT 'vanished ' || "column", vanished_values, 'order_code' FROM ({SQL["d12_category_drift"]})
+    UNION ALL SELECT 'mean ' || "column", round(mean_delta)::BIGINT, 'order_code' FROM ({SQL["d13_number_drift"]})"""
