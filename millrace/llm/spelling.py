@@ -30,8 +30,11 @@ STEP = 1 << 14
 
 
 def misspelt(doc_id: int | None) -> Callable[[str], str]:
-    """Changes a run of the document: one code point of it goes where the hash of document and run says so."""
-    head = zlib.crc32(f"{'' if doc_id is None else doc_id}:".encode())
+    """Changes a run of the document: one code point of it goes where the hash of document and run says so. Without an id
+    there is no hash, and runs stay, as in the SQL."""
+    if doc_id is None:
+        return str
+    head = zlib.crc32(f"{doc_id}:".encode())
 
     def change(run: str) -> str:
         h = zlib.crc32(run.encode(), head)
@@ -187,10 +190,12 @@ def _meetings(key: np.ndarray, side: np.ndarray) -> Iterator[tuple[np.ndarray, n
 
 def _links(words: list[str], own: np.ndarray, key: np.ndarray, side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Numbers of the words, those of the first not longer than those of the second, of postings that meet and are one
-    edit apart, each once. own has the number of each posting's word."""
+    edit apart, each once. own has the number of each posting's word. Of words of equal length the first in code-point
+    order comes first, in whatever order postings arrive, so that equal pairs of other lists and shards are equal."""
     order = np.lexsort((side, key))
     own, key, side = own[order], key[order], side[order]
-    size = np.array([len(w) for w in words], np.int64)
+    size, place = np.array([len(w) for w in words], np.int64), np.zeros(len(words), np.int64)
+    place[sorted(range(len(words)), key=words.__getitem__)] = np.arange(len(words))
     width = min(int(size.max(initial=1)), WIDE) + 1
     matrix = np.array([w if len(w) < WIDE else "" for w in words], f"<U{width}").view(np.uint32).reshape(len(words), width) if words else np.zeros((0, 2), np.uint32)
     letters = np.zeros(len(words), np.uint64)
@@ -205,7 +210,9 @@ def _links(words: list[str], own: np.ndarray, key: np.ndarray, side: np.ndarray)
         near = ~wide
         near[near] = _near_pairs(matrix[a[near]], matrix[b[near]])
         near[wide] = [one_edit(words[x], words[y]) for x, y in zip(a[wide].tolist(), b[wide].tolist(), strict=True)]
-        found.append(a[near] * len(words) + b[near])
+        a, b = a[near], b[near]
+        turned = (size[a] == size[b]) & (place[a] > place[b])
+        found.append(np.where(turned, b, a) * len(words) + np.where(turned, a, b))
     pairs = np.unique(np.concatenate(found))
     return pairs // max(1, len(words)), pairs % max(1, len(words))
 
@@ -285,7 +292,7 @@ def spelling_variants(
     lengthen it.
     Two words are near if one inserted, deleted or replaced code point tells them apart. form is the near word of
     largest n (ties: the smallest in code-point order) if that is at least ratio times the word's n; root is where the
-    chain of forms ends. Null texts have no words; a null id is written as nothing. Repeated rows count each. An empty
+    chain of forms ends. Null texts have no words. Repeated rows count each. An empty
     table gives an empty result.
 
     `least` is LONGEST at least: then a word's grams outnumber those that an edit can affect, and no pair is missed.
