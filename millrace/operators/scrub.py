@@ -134,9 +134,13 @@ def fake(value: Column, kind: str, salt: bytes) -> Column:
     return F.when(value.isNotNull(), let(hmac_sha256(value, salt), lambda digest: FAKES[kind](value, digest)))
 
 
-def scrub_column(df: DataFrame, column: str, kind: str, salt: bytes) -> DataFrame:
-    """Every filled cell of a flagged column is replaced."""
-    return df.withColumn(column, fake(name_of(column), kind, salt))
+def scrub_column(df: DataFrame, column: str, kind: str, salt: bytes, key: str | None = None) -> DataFrame:
+    """Every filled cell of a flagged column is replaced.
+
+    Fakes are short, so those of many values repeat: of a million values about a hundred share the eight digits of a
+    secret with another. Joins go by a further column `key`, which has the whole keyed digest of the cell."""
+    out = df if key is None else df.withColumn(key, hmac_sha256(name_of(column), salt))
+    return out.withColumn(column, fake(name_of(column), kind, salt))
 
 
 def chosen_spans(spans: Column) -> Column:

@@ -172,8 +172,8 @@ def r12_residual(spark: SparkSession, sf_dir: str) -> DataFrame:
 def r13_join_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit("user"), F.col("o_custkey").cast("string")).alias("user"))
     people = table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("user"), F.col("c_custkey").cast("string")).alias("user"))
-    left, right = (scrub.scrub_column(t, "user", "secret", SALT) for t in (orders, people))
-    return left.join(right, "user").groupBy("c_custkey").agg(F.count("*").alias("orders"))
+    left, right = (scrub.scrub_column(t, "user", "secret", SALT, key="user_key") for t in (orders, people))
+    return left.join(right, ["user_key", "user"]).groupBy("c_custkey").agg(F.count("*").alias("orders"))
 
 
 QUERIES = {
