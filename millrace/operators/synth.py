@@ -33,7 +33,8 @@ def sensitive_kinds(hist: DataFrame) -> DataFrame:
     """M2: (column, sensitive) of the first kind that any distinct cell holds; columns without a hit are left out."""
     rank = F.array_position(F.array(*map(F.lit, SENSITIVE)), F.col("s.kind"))
     each = hist.filter("value is not null").select("column", F.explode(spans_of(F.col("value"), False)).alias("s"))
-    return each.groupBy("column").agg(F.min_by("s.kind", rank).alias("sensitive"))
+    first = each.groupBy("column").agg(F.min(rank).cast("int").alias("first"))  # numbers, so that no task sorts its hits
+    return first.select("column", F.element_at(F.array(*map(F.lit, SENSITIVE)), F.col("first")).alias("sensitive"))
 
 
 def id_patterns(hist: DataFrame) -> DataFrame:
@@ -45,11 +46,11 @@ def id_patterns(hist: DataFrame) -> DataFrame:
     filled = hist.filter("value is not null").select("column", "value", "n", shape(F.col("value")).alias("mask"))
     counted = filled.groupBy("column", "mask").agg(F.sum("n").alias("n"))
     best = counted.groupBy("column").agg(F.min_by("mask", F.struct((-F.col("n")).alias("n"), "mask")).alias("mask"), F.count("*").alias("masks"))
-    own = filled.join(best, ["column", "mask"])
+    own = filled.join(F.broadcast(best), ["column", "mask"])  # a row per column, and no task gets all values of one
     digits = F.regexp_replace("value", "[^0-9]", "").try_cast("bigint")
     starts = own.groupBy("column", "mask", "masks").agg(F.min(digits).alias("low"), F.max(digits).alias("high"), F.max(F.length("value")).alias("width"))
     place = own.select("column", F.posexplode(F.filter(F.split("value", ""), lambda c: c != "")).alias("pos", "c"))
-    kinds = place.groupBy("column", "pos").agg(F.count_distinct("c").alias("k"), F.max("c").alias("c"))
+    kinds = place.groupBy("column", "pos", "c").count().groupBy("column", "pos").agg(F.count("*").alias("k"), F.max("c").alias("c"))
     mark = F.when(F.col("c").rlike("[0-9]"), "#").when((F.col("k") > 1) & F.col("c").rlike(r"\p{L}"), "?").otherwise(F.col("c"))
     pattern = kinds.groupBy("column").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", mark.alias("m")))), lambda s: s["m"]), "").alias("pattern"))
     number = F.col("mask").rlike("^9+$")
