@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.functions.staging import staged
 from millrace.operators import synth
 from millrace.operators.typing import parse_rates, value_histogram
 from millrace.plans.privacy import CONTACTS, _contacts
@@ -31,7 +32,7 @@ def m2_sensitive_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def m3_id_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return synth.id_patterns(value_histogram(a(spark, sf_dir).select("order_code", F.lpad("order_key", 9, "0").alias("padded"))))
+    return synth.id_patterns(staged(value_histogram(a(spark, sf_dir).select("order_code", F.lpad("order_key", 9, "0").alias("padded"))), "histogram"))
 
 
 def m4_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
