@@ -1,9 +1,15 @@
 """Sources and sinks (S1-S10): every cell a nullable string on the way in, safe cells on the way out."""
 
+import json
+import re
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.functions.staging import new_path
+
 #: The literals that stand for a missing cell, exactly as written.
 NA_LITERALS = ("", "N/A", "null", "NULL", "None", "nan")
 #: What each file extension holds.
@@ -37,9 +43,45 @@ def read_delimited(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
     return rows.select(first.alias(names[0]), *[name_of(c) for c in names[1:]])
 
 
+def json_objects(content: bytes) -> list[str]:
+    """The objects of a file's array, or its only object, as they are written but each on one line; no others pass."""
+    text = content.decode(json.detect_encoding(content)).strip(" \t\r\n")
+    listed, decoder, blank, out = text.startswith("["), json.JSONDecoder(), re.compile(r"[ \t\r\n]*"), []
+    if listed and not (len(text) > 1 and text.endswith("]")):
+        raise ValueError("an array is not closed")
+    at = blank.match(text, int(listed)).end()
+    end = len(text) - 1 if listed else len(text)
+    while at < end:
+        value, stop = decoder.raw_decode(text, at)
+        if not isinstance(value, dict):
+            raise ValueError("a file holds something else than objects")
+        out.append(re.sub(r"[\r\n]", " ", text[at:stop]))
+        at = blank.match(text, stop).end()
+        if at == end:
+            break
+        if not listed or text[at] != ",":
+            raise ValueError("a file holds something else than one array of objects")
+        at = blank.match(text, at + 1).end()
+        if at == end:
+            raise ValueError("an array ends with a comma")
+    return out
+
+
 def read_json_records(spark: SparkSession, path: str) -> DataFrame:
-    """One array of objects per file; anything else fails."""
-    return spark.read.options(multiLine=True, primitivesAsString=True, mode="FAILFAST").json(path)
+    """One array of objects per file; anything else fails.
+
+    The arrays become lines in the shared folder, an object each. Spark's own reader of arrays opens a file anew for every
+    number that it keeps as text, and infers their schema in few tasks; lines it reads at once, as split as they are long."""
+
+    @F.arrow_udf("array<string>")
+    def objects(batch: pa.Array) -> pa.Array:
+        return pa.array([json_objects(b) for b in batch.to_pylist()], pa.list_(pa.string()))
+
+    files = spark.read.format("binaryFile").load(path)
+    parts = files.columns[4:]  # behind path, time, length and content: from names of folders
+    lines = new_path(spark, "json-lines")
+    files.select(F.explode(objects("content")).alias("value"), *map(name_of, parts)).write.partitionBy(*parts).text(lines)
+    return read_jsonl(spark, lines)
 
 
 def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
