@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from millrace.operators import detect, scrub
 from millrace.operators.typing import value_histogram
-from millrace.plans.views import table
+from millrace.plans.views import dealt, table
 
 SALT = b"millrace-test-salt"
 
@@ -29,7 +29,7 @@ def _contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
         "secret": F.concat(F.lit("AKIA"), pad(k, 16)),
         "segment": F.col("c_mktsegment"),
     }
-    return table(spark, sf_dir, "customer").select(k, *[c.alias(n) for n, c in fields.items()])
+    return dealt(table(spark, sf_dir, "customer")).select(k, *[c.alias(n) for n, c in fields.items()])
 
 
 def _card(payload: Column) -> Column:

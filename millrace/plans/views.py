@@ -8,6 +8,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """The rows dealt evenly to tasks. A small file makes few of them, which much work on each row would then keep busy alone."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 A_COLUMNS = ("order_key", "order_code", "customer", "status", "total", "order_date", "seen_at", "priority", "even", "note")
 B_COLUMNS = ("order_key", "order_code", "customer", "status", "total", "order_date", "seen_at", "priority", "even", "region")
 
