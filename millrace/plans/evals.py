@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.operators import evals
-from millrace.plans.views import table
+from millrace.plans.views import dealt, table
 
 
 def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,7 +50,7 @@ def specs(spark: SparkSession, sf_dir: str, version: int = 0) -> DataFrame:
     )
     about = F.struct(F.col("p_name").alias("name"), F.lit("p").alias("project"), F.when(k % 20 != 0, "o").alias("owner"))
     doc = F.struct(F.when(k % 7 != 0, API_VERSION).alias("apiVersion"), F.lit(KIND).alias("kind"), about.alias("metadata"), body.alias("spec"))
-    return table(spark, sf_dir, "part").select(k.alias("spec_id"), F.to_json(doc, {"ignoreNullFields": "true"}).alias("document"))
+    return dealt(table(spark, sf_dir, "part")).select(k.alias("spec_id"), F.to_json(doc, {"ignoreNullFields": "true"}).alias("document"))
 
 
 def a1_score_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
