@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.operators import text
-from millrace.plans.views import table
+from millrace.plans.views import dealt, table
 
 
 def _prose(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,7 +18,7 @@ def _prose(spark: SparkSession, sf_dir: str) -> DataFrame:
         ),
         ((F.col("conv_id") + F.col("turn")) % 6 + 1).cast("int"),
     )
-    turns = table(spark, sf_dir, "conversations")
+    turns = dealt(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
     return turns.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "role", F.concat(F.coalesce("text", F.lit("")), extra).alias("text"))
 
 
@@ -47,7 +47,7 @@ def _signal(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def x5_burstiness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return text.analyze(table(spark, sf_dir, "documents"), "doc_id", signals={"burstiness": text.burstiness})
+    return text.analyze(dealt(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", signals={"burstiness": text.burstiness})
 
 
 def x6_phrase_tells(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,7 +98,7 @@ def x15_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def x16_analyze(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select(F.struct("doc_id", "source", "lang").alias("id"), "text")
+    docs = dealt(table(spark, sf_dir, "documents").select(F.struct("doc_id", "source", "lang").alias("id"), "text"))
     found = text.analyze(docs, "id").select("id.*", "signal", "severity")
     return found.groupBy("source", "lang", "signal", "severity").agg(F.count("*").alias("docs"))
 
@@ -108,10 +108,7 @@ def x17_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def x18_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
-    prose = _prose(spark, sf_dir)
-    new = text.rewrite(prose, "id").select("id", "text")
-    before, after = (text.analyze(t, "id").select("id", "signal", F.col("severity").alias(n)) for t, n in ((prose, "before"), (new, "after")))
-    return before.join(after, ["id", "signal"]).filter("before <> after")
+    return text.rewrite_signals(_prose(spark, sf_dir), "id")
 
 
 def x19_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
