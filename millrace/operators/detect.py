@@ -88,14 +88,15 @@ def column_hint(column: str) -> bool:
 def spans_of(text: Column, bare_ssn: bool = False, kinds: Sequence[str] = KINDS, names: Sequence[str] = NAMES) -> Column:
     """All spans of a text, each once, by start, end and kind; short plain numbers and nulls have none."""
     having = lambda sign, spans: F.when(sign, spans).otherwise(no_spans())  # noqa: E731  # what no match lacks, cheaper than a search
-    digits = text.rlike("[0-9]")
+    digits = lambda n: text.rlike(f"(?:[0-9][^0-9]*+){{{n}}}")
+    long = lambda n: F.length(text) >= n
     makers = {
         "email": lambda: [having(text.contains("@"), matches(text, EMAIL, "email"))],
-        "phone": lambda: [having(digits, matches(text, PHONE, "phone", valid_phone))],
-        "ssn": lambda: [having(digits, matches(text, SSN, "ssn", lambda v: valid_ssn(v, bare_ssn)))],
-        "credit_card": lambda: [having(digits, matches(text, CARD, "credit_card", valid_card))],
+        "phone": lambda: [having(digits(10), matches(text, PHONE, "phone", valid_phone))],
+        "ssn": lambda: [having(digits(9), matches(text, SSN, "ssn", lambda v: valid_ssn(v, bare_ssn)))],
+        "credit_card": lambda: [having(digits(13), matches(text, CARD, "credit_card", valid_card))],
         "ip": lambda: [having(text.contains("."), matches(text, IP, "ip", valid_ip))],
-        "secret": lambda: [matches(text, PREFIXED, "secret"), matches(text, TOKEN, "secret", valid_token)],
+        "secret": lambda: [having(long(11), matches(text, PREFIXED, "secret")), having(long(20), matches(text, TOKEN, "secret", valid_token))],
         "name": lambda: [
             F.when(is_name(text, names), F.array(F.struct(F.lit(0).alias("start"), F.length(text).alias("end"), F.lit("name").alias("kind"), text.alias("value")))).otherwise(
                 F.array().cast("array<struct<start: int, end: int, kind: string, value: string>>")
